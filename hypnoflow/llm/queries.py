@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash
-from .common import crc_of, table
+from . import ann, chat, decontam, htmltext, langid, mixing, quality, sharding, simhash, warc
+from .common import crc_of, shared_dir, table
 
 #: Half of the mix for the one source that holds a third of the rows here would be too much: it gets a tenth.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -41,6 +44,10 @@ FROM c JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING max(n_comm
 """
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS, SHARD_SEED)
     return shard_digest(shuffled)
@@ -51,6 +58,11 @@ def shard_digest(shuffled: DataFrame) -> DataFrame:
     return shuffled.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     space = quality.fit(docs, labels.where(crc_of("doc_id") % 5 != 0))
@@ -59,6 +71,40 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+#: Both turns of the conversation that is added to test the escaping.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_turns(rows))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = posixpath.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archive(spark, path)
+    # what a revisit leaves out is told by its headers; a response's payload is measured as it was read
+    here = F.col("warc_type") == "response"
+    return read.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.when(here, F.octet_length("payload")).otherwise(F.col("payload_length").cast("int")).cast("bigint").alias("payload_bytes"),
+        F.when(here, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+     f AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -85,9 +131,13 @@ SELECT doc_id, source, mix_copy, md5('20/order:' || coalesce(CAST(doc_id AS VARC
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_sharding": op4_sharding,
+    "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
+    "op7_chat_format": op7_chat_format,
+    "op8_warc": op8_warc,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op2_decontamination": OP2_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
