@@ -9,7 +9,7 @@ with a sketched hash and enough shingles for the class; each is verified on the
 The sketch is of the short side only and is looked up in the whole document: the Jaccard similarity of a 30-word item
 and a 20,000-word document is about 0.001, which signatures of whole documents would not find.
 
-Defined results: words are runs of letters, marks and digits, lower-cased; a text of fewer than five words has its
+Defined results: words are what SEPARATORS (spaces, controls, punctuation) leave, lower-cased; a text of fewer than five words has its
 whole word sequence as its one shingle, so such an item is found only in documents of just these words; a text without
 words, empty or null has no shingle and is never matched; rows that repeat a doc_id are tested each by itself and the
 best containment counts; items that repeat are reported each.
@@ -22,13 +22,20 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 THRESHOLD = 0.8
+#: ASCII and Latin-1 but for letters and digits, general and CJK punctuation.
+SEPARATORS = r"[\x00-/:-@\[-`{-\xBF\x{2000}-\x{206F}\x{3000}-\x{303F}]"
 #: Sketches, and items in verification, are broadcast up to so many rows or shingles (about 100 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(F.length(spaced) > 0, F.split(spaced, " ")).otherwise(F.array().cast("array<string>"))
+    words = F.array_remove(F.split(F.lower(text), f"{SEPARATORS}+"), "")
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
+def once(value: Column, name: str) -> Column:
+    """value through a generator of one row, so that it is not computed anew wherever it is used."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def shingles_of(words: Column, n: int = WORDS) -> Column:
@@ -59,21 +66,24 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """doc_id, item_id, n_item, n_common, containment of every pair at or above the threshold."""
-    items = benchmark.select("item_id", F.array_distinct(shingles_of(words_of(F.col("text")), n)).alias("item_shingles"))
+    worded_items = benchmark.select("item_id", once(words_of(F.col("text")), "words"))
+    items = worded_items.select("item_id", once(F.array_distinct(shingles_of(F.col("words"), n)), "item_shingles"))
     items = items.withColumn("n_item", F.size("item_shingles")).where("n_item > 0")
     sketch = sketches(items, threshold)
     n_rows, n_shingles = sketch.count(), items.agg(F.sum("n_item")).first()[0] or 0
     small = max(n_rows, n_shingles) <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda df: df)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    # the words pass through a generator of one row, else every use of them would split the text again
-    worded = keyed.withColumn("words", F.explode(F.array(words_of(F.col("text"))))).drop("text")
-    hashed = worded.select("doc_id", "text_key", F.size("words").alias("n_words"), F.explode(hashes_of(F.col("words"), n)).alias("hash"))
+    worded = keyed.select("doc_id", "text_key", once(words_of(F.col("text")), "words"))
+    hashed = worded.select("doc_id", "text_key", F.size("words").alias("n_words"), hashes_of(F.col("words"), n).alias("hashes"))
+    hashed = hashed.select("doc_id", "text_key", "n_words", F.explode("hashes").alias("hash"))
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("class_need")
     found = hashed.join(near(sketch), "hash").where(enough).select("doc_id", "text_key", "item_id").distinct()
     by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("item_ids"))
     texts = keyed.join(by_doc.withColumnRenamed("doc_id", "found_id"), (F.col("found_id").eqNullSafe(F.col("doc_id"))) & (by_doc["text_key"] == keyed["text_key"]))
-    texts = texts.select("doc_id", F.array_distinct(shingles_of(words_of(F.col("text")), n)).alias("shingles"), F.explode("item_ids").alias("item_id"))
+    texts = texts.select("doc_id", "item_ids", once(words_of(F.col("text")), "words"))
+    texts = texts.select("doc_id", "item_ids", once(F.array_distinct(shingles_of(F.col("words"), n)), "shingles"))
+    texts = texts.select("doc_id", "shingles", F.explode("item_ids").alias("item_id"))
     pairs = texts.join(near(items), "item_id").withColumn("n_common", F.size(F.array_intersect("shingles", "item_shingles")))
     best = pairs.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))
     return best.where(F.col("n_common") >= needed("n_item", threshold)).withColumn("containment", F.col("n_common") / F.col("n_item"))

@@ -31,10 +31,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
-           WHERE regexp_matches(lower(text), '[\p{L}\p{M}\p{N}]')),
-     b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
-           WHERE regexp_matches(lower(text), '[\p{L}\p{M}\p{N}]')),
+WITH d AS (SELECT doc_id, r, w FROM (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\xBF\x{2000}-\x{206F}\x{3000}-\x{303F}]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0),
+     b AS (SELECT item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\xBF\x{2000}-\x{206F}\x{3000}-\x{303F}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
      ds AS (SELECT DISTINCT doc_id, r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d)),
      bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b)),
      n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_item FROM bs GROUP BY item_id),
