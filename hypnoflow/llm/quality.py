@@ -2,7 +2,7 @@
 
 Texts become counts of character runs (1 to 3 long, taken once as they are written and once by kind of character), with
 log frequencies and inverse document frequencies, scaled to length one and projected on the RANK strongest singular
-directions of the labelled sample. The labelled vectors (at most SAMPLE rows of RANK floats, under 3 MB) are broadcast;
+directions of the labelled sample. The labelled vectors (about SAMPLE rows of RANK floats, 1 MB) are broadcast;
 every document's cosines with all of them are computed exactly, in blocks, and its NEIGHBOURS nearest vote for their
 labels, each weighted by its similarity.
 
@@ -27,7 +27,7 @@ from .common import rows_about
 
 FEATURES = 1 << 12
 #: At most about so many labelled rows are learned from.
-SAMPLE = 6000
+SAMPLE = 4000
 RANK = 64
 NEIGHBOURS = 25
 #: Similarity is raised to this power before it weighs a vote.
@@ -97,14 +97,40 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Space:
+@dataclass
+class Sample:
+    """Sparse rows of counts, of which only a block is dense at a time, and their labels."""
+
+    start: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+    labels: np.ndarray
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for lo in range(0, len(self.labels), BLOCK):
+            hi = min(lo + BLOCK, len(self.labels))
+            out = np.zeros((hi - lo, FEATURES), np.float32)
+            span = slice(self.start[lo], self.start[hi])
+            out[np.repeat(np.arange(hi - lo), np.diff(self.start[lo : hi + 1])), self.at[span]] = self.n[span]
+            yield out
+
+
+def fit_space(sample: Sample, rank: int = RANK) -> Space:
+    labels = sample.labels
     if not len(labels):
         return Space(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
-    idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x = weighted(counts, idf)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    space = Space(idf, np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32), np.zeros((0, rank), np.float32), labels.astype(float), float(labels.mean()))
-    space.vectors = space.project(counts).astype(np.float32)
+    idf = (np.log((1 + len(labels)) / (1 + sum((b > 0).sum(axis=0) for b in sample.blocks()))) + 0.1).astype(np.float32)
+    gram = np.zeros((FEATURES, FEATURES), np.float32)
+    for b in sample.blocks():
+        x = weighted(b, idf)
+        gram += x.T @ x
+    # the strongest directions by subspace iteration: the full decomposition of the Gram matrix would take ten times the memory
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((FEATURES, min(rank, FEATURES) + 16)).astype(np.float32))[0]
+    for _ in range(20):
+        basis = np.linalg.qr(gram @ basis)[0]
+    values, turn = np.linalg.eigh(basis.T @ gram @ basis)
+    space = Space(idf, np.ascontiguousarray((basis @ turn)[:, ::-1][:, :rank]).astype(np.float32), np.zeros((0, rank), np.float32), labels.astype(float), float(labels.mean()))
+    space.vectors = np.concatenate([space.project(b) for b in sample.blocks()]).astype(np.float32)
     return space
 
 
@@ -124,18 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     # the sample is small by its bound, so the documents are not shuffled to meet it
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("label", F.xxhash64("label_id", "text").alias("u"), "text")
     got = rows.mapInArrow(_counted, "label int, u bigint, at array<smallint>, n array<float>").toArrow()
-    order = np.argsort(got["u"].to_numpy(), kind="stable")
-    counts = np.zeros((len(order), FEATURES), np.float32)
-    at, n = got["at"].to_pylist(), got["n"].to_pylist()
-    for row, i in enumerate(order):
-        counts[row, at[i]] = n[i]
-    return fit_space(counts, got["label"].to_numpy()[order].astype(float), rank)
+    got = got.take(pa.array(np.argsort(got["u"].to_numpy(), kind="stable"))).combine_chunks()
+    at, n = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float32())) for c in ("at", "n"))
+    start = np.concatenate([[0], np.cumsum(got["at"].combine_chunks().value_lengths().to_numpy() if got.num_rows else [])]).astype(np.int64)
+    return fit_space(Sample(start, at.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy(), got["label"].to_numpy().astype(float)), rank)
 
 
 def score(docs: DataFrame, space: Space) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier)."""
     spread = docs.sparkSession.sparkContext.broadcast(space)
-    kept = [f for f in docs.schema.fields if f.name != "score"]
+    kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
