@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import codec, filtering, live, timeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = timeline.QUERIES | codec.QUERIES | filtering.QUERIES | live.QUERIES
+SQL: dict[str, str] = timeline.SQL | codec.SQL | filtering.SQL | live.SQL
