@@ -38,6 +38,19 @@ def unit_hash(*columns: str | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, in whatever case."""
+    lower = {n.lower() for n in names}
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in lower])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def rows_about(df: DataFrame, n: int, *columns: str, seed: int, rows: int | None = None) -> DataFrame:
     """About n rows of df, all of them where it has fewer: those whose hash is under n / count."""
     rows = df.count() if rows is None else rows

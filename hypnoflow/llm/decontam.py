@@ -92,4 +92,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that contain a test item."""
     hit = contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")

@@ -200,7 +200,7 @@ def _inside(tree: Tree, top: int, nodes: Iterable[int]) -> list[bool]:
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     """pages with the main text of their html column."""
-    kept = [f for f in pages.schema.fields if f.name != text]
+    kept = [f for f in pages.schema.fields if f.name.lower() != text]
     schema = T.StructType([*kept, T.StructField(text, T.StringType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,7 +181,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats for each machine
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ that count, and all copies are dealt out by a seeded hash and sorted by it in ea
 
 Defined results: a null source is a source of its own; documents with null or empty text count as any other; rows that
 repeat a doc_id draw the same count; a source with weight 0 goes; an empty table gives an empty one; columns other
-than doc_id and source are carried along, whatever their names.
+than doc_id and source are carried along, but for names that begin with mix_ and are this operator's own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: A rate above this is drawn as a sum of independent Poisson counts of at most this mean, so that exp(-mean) holds.
 RATE_STEP = 256.0
 #: Counts of one such draw stay below this: the tail beyond is under 2**-53.
@@ -63,6 +65,7 @@ def cumulative(rate: Column) -> Column:
 
 def replicate(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, out_rows: int | None = None, seed: int = 0) -> DataFrame:
     """docs with a row for each copy, in shuffled order, and the columns mix_rate, mix_copy and mix_key (its place in the order)."""
+    docs = without(docs, "mix_rate", "mix_copy", "mix_key", "mix_source", "mix_parts", "mix_cdf", "mix_part", "mix_count")
     by_source = rates(docs, weights, default_weight, out_rows)
     parts = F.greatest(F.ceil(F.col("rate") / RATE_STEP), F.lit(1)).cast("int")
     table = by_source.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), parts.alias("mix_parts"), cumulative(F.col("rate") / parts).alias("mix_cdf"))

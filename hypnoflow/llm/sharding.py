@@ -9,7 +9,7 @@ never holds much more than bucket_bytes, or one record where that is larger.
 
 Defined results: a null text counts no bytes and stays null; empty texts, repeated rows and repeated ids are records
 like others; an empty table gives an empty result; fewer rows than shards leave some shards empty; other columns are
-carried along (names beginning with shard_ are for this operator's own).
+carried along, but for shard, slot and the names beginning with shard_ that are this operator's own.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
+
 #: Text bytes that pass two may hold at once for a bucket; three times that is needed while it is permuted.
 BUCKET_BYTES = 32 << 20
 #: Offsets (16 bytes a bucket) are broadcast up to so many buckets.
@@ -41,6 +43,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, bucket_byte
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
+    docs = without(docs, "shard", "slot", "shard_bucket", "shard_start", "shard_tie")
     rows, total = docs.agg(F.count(F.lit(1)), F.sum(text_bytes())).first()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-int(total or 0) // bucket_bytes), min(width, rows // 64))
@@ -58,7 +61,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, bucket_byte
     starts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
     offsets = spark.createDataFrame([(b, s) for (b, _), s in zip(counts, starts)], "shard_bucket bigint, shard_start bigint")
     dealt = dealt.join(F.broadcast(offsets) if len(counts) <= BROADCAST_BUCKETS else offsets, "shard_bucket")
-    kept = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
+    kept = docs.schema.fields
     schema = T.StructType([*kept, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     names = [f.name for f in kept]
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, unused
 from .components import components
 
 SEED = 42
@@ -235,6 +235,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class: that with the smallest doc_id, a null one last. Of rows with its id and text, one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
-    once = docs.join(kept, same, "left_semi").withColumn("kept_key", F.xxhash64("text"))
-    return once.dropDuplicates(["doc_id", "kept_key"]).select(docs.columns)
+    same = docs["doc_id"].cast("bigint").eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"])
+    key = unused(docs, "text_key")
+    once = docs.join(kept, same, "left_semi").withColumn(key, F.xxhash64("text"))
+    return once.dropDuplicates(["doc_id", key]).drop(key)

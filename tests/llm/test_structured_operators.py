@@ -1,0 +1,154 @@
+"""Vectors, pages, chats, archives: edge cases, round trips and brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hypnoflow.llm import ann, chat, htmltext, warc
+
+
+def test_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 16))
+    x = (centres[rng.integers(0, 12, 900)] + 0.4 * rng.standard_normal((900, 16))).astype(np.float32)
+    x[300:600] = x[0]  # a third of the rows are one vector
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    bad = [(1000, None, 1), (1050, [0.0] * 16, 1), (1100, [float("nan")] + [1.0] * 15, 1), (1150, [float("inf")] + [1.0] * 15, 1), (1200, [1.0] * 4, 1), (1250, [], 1), (1300, [None] + [1.0] * 15, 1), (None, [1.0] * 16, 1), (600, x[600].tolist(), 2)]
+    df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>, label int")
+    got = ann.neighbours(df, F.col("vec_id") % 50 == 0, 5).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 900, 50):
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in own] == [1, 2, 3, 4, 5]
+        cosine = u @ u[q]
+        cosine[q] = -9
+        assert all(abs(cosine[r.vec_id] - r.score) < 1e-6 for r in own)
+        best = np.lexsort((np.arange(900), -np.round(cosine, 12)))[:5]
+        hit += len(set(best.tolist()) & {r.vec_id for r in own})
+    assert hit / (18 * 5) >= 0.9 and {r.query_id for r in got} == set(range(0, 900, 50))
+    same = sorted(r.vec_id for r in got if r.query_id == 400)
+    assert same == [0, 300, 301, 302, 303]
+
+
+def test_few_and_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.5]), (3, None)], "vec_id bigint, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.neighbours(df, F.col("vec_id") % 50 == 0, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2)]
+    assert ann.neighbours(df.limit(0), F.lit(True)).count() == 0
+    assert ann.neighbours(df.where("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_prefixes():
+    a = np.array([0b1011 << 28, 0, (1 << 32) - 1])
+    assert ann.common_prefix(a, np.array([0b1010 << 28, 0, 0])).tolist() == [3, 32, 0]
+
+
+PAGES = {
+    "plain": ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>One  two\n three.<p>Four <b>five</b>six.</article><footer>f</footer></body></html>", "Head & line One two three. Four fivesix."),
+    "deep": ("<body><header>Site</header><div id=main><div class=wrap><h2>Title</h2><div>" + "".join(f"<p>Sentence number {i} has a few words, as sentences do.</p>" for i in range(6)) + "</div></div><div class='comments'><p>A reader says a great many words here, more than one would like to see.</p></div></div><aside>x</aside></body>", "Title " + " ".join(f"Sentence number {i} has a few words, as sentences do." for i in range(6))),
+    "links": ("<body><div>" + "<a href=a>link text</a> " * 40 + "</div><div><p>The text proper is here, and it is long enough to count as text.</p><p>And so is this one, which goes on for a while.</p></div></body>", "The text proper is here, and it is long enough to count as text. And so is this one, which goes on for a while."),
+    "script": ("<body><script>var t='</p>';</script><article>Only <i>this</i><br>counts<!-- not -- this --></article><form>No <input></form><noscript>no</noscript></body>", "Only this counts"),
+    "entities": ("<article><p>&lt;b&gt; &eacute;&#233;&#xE9; &nbsp; x</p></article>", "<b> ééé x"),
+    "stray": ("</div><article><p>a < b</p></article></body></html>", "a < b"),
+    "empty": ("", ""),
+    "null": (None, ""),
+    "nothing": ("<nav>Home</nav>", ""),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text(name):
+    page, want = PAGES[name]
+    assert htmltext.main_text(page) == want
+
+
+def test_extract(spark):
+    rows = [(i, "u", PAGES[n][0], "old") for i, n in enumerate(PAGES)] + [(99, None, "<article>" + "<p>word word.</p>" * 20000 + "</article>", None), (100, None, "<div>" * 5000 + "deep" + "</div>" * 5000, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert got[99] == "word word. " * 19999 + "word word." and got[100] == "deep"
+    assert [got[i] for i in range(len(PAGES))] == [w for _, w in PAGES.values()]
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def test_chat(spark):
+    rng = random.Random(2)
+    bits = ["\\", "### ", "### User: ", "</turn>", " </turn>\n", "#", ":", "@", "text", "\n", "é", "\\\\", "</", "turn>"]
+    made = {}
+    for c in range(60):
+        roles = ["system"] * (c % 2) + ["user", "assistant"] * rng.randrange(1, 5)
+        made[c] = [(r, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 12)))) for r in roles]
+    made[-7] = [("user", CONTROL), ("assistant", CONTROL)]
+    made[100] = [("assistant", "first"), ("user", "")]
+    made[101] = [("odd: \\role", "x"), ("", "y"), ("tool", "z")]
+    rows = [(c, i, r, t) for c, turns in made.items() for i, (r, t) in enumerate(turns)] + [(200, 0, "user", None), (200, 1, None, None), (None, None, "user", "q"), (201, 5, "user", "a"), (201, 5, "user", "a")]
+    made |= {200: [("user", ""), ("", "")], None: [("user", "q")], 201: [("user", "a")] * 2}
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, loss_chars string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert set(got) == set(made)
+    for c, turns in made.items():
+        r, learned = got[c], "".join(t for role, t in turns if role == "assistant")
+        assert r.n_turns == len(turns)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert r.valid == (c is None or c < 100)
+    assert got[100].first_bad_turn == 0 and got[201].first_bad_turn == 1
+    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_chat_escapes_every_control():
+    t = chat.Template()
+    for text in (CONTROL, "\\", "\\\\### ", "####  </turn></turn>", "</tu</turn>rn>"):
+        turn = "".join(s for s, _ in t.segments("user", text))
+        assert t.parse(turn) == ("user", text)
+    with pytest.raises(ValueError):
+        t.parse("### User: a ### Assistant: b </turn>\n")
+
+
+def test_chat_conversation_longer_than_a_batch(spark):
+    df = spark.range(25_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    r = chat.read_back(chat.format_turns(df)).collect()
+    assert len(r) == 1 and r[0].n_turns == 25_000 and r[0].valid
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big, other = "é<p>" * 400, "x" * 999
+    rows = [(1, "http://a/1", big), (5, "http://a/5", big), (3, None, big), (2, "http://b\r\nX: y", other), (4, "u", other), (6, "u", None), (7, "u", ""), (8, "u", "WARC/1.1\r\n\r\n"), (9, "u", "z" * 3_000_000), (None, "u", "n")]
+    df = spark.createDataFrame([(*r, b"p") for r in rows], "page_id bigint, url string, html string, payload binary")
+    path = str(tmp_path / "w")
+    warc.write_archive(df, path)
+    got = {r.page_id: r for r in warc.read_archive(spark, path).collect()}
+    assert len(got) == len(rows)
+    for p, _, html in rows:
+        r, data = got[None if p is None else str(p)], (html or "").encode()
+        assert r.payload_digest == hashlib.sha1(data).hexdigest() and int(r.payload_length) == len(data)
+        if p in (1, 3):
+            assert (r.warc_type, r.refers_to, r.payload) == ("revisit", "5", None)
+        else:
+            assert r.warc_type == "response" and bytes(r.payload) == data and r.refers_to is None
+    read = warc.read_archive(spark, path)
+    assert {r.page_id for r in read.where("warc_type = 'revisit'").collect()} == {"1", "3"}
+    assert read.where("target_uri = 'u' and page_id in ('4', '9')").count() == 2
+    assert all(r.payload is None for r in warc.read_archive(spark, path, payload=False).collect())
+
+
+def test_warc_pushdown_and_empty(spark, tmp_path):
+    reader = warc.WarcReader("x", True)
+    rest = list(reader.pushFilters([warc.EqualTo(("warc_type",), "response"), warc.IsNotNull(("warc_type",)), warc.EqualTo(("payload",), b"")]))
+    assert len(rest) == 1 and reader.wanted == {"warc_type": {"response"}}
+    warc.write_archive(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "e"))
+    assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_ignores_files_of_lost_tasks(spark, tmp_path):
+    warc.write_archive(spark.createDataFrame([(1, "u", "h")], "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    (tmp_path / "w" / "lost.warc.gz").write_bytes(b"not an archive")
+    assert warc.read_archive(spark, str(tmp_path / "w")).count() == 1
