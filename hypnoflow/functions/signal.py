@@ -174,6 +174,12 @@ def recording_id(start: Column, admin: Column, technician: Column, equipment: Co
     return F.concat_ws(" ", F.lit("Startdate"), edf_day(start), subfield(admin), subfield(technician), subfield(equipment))
 
 
+def recording_name(when: Column, extension: str, device: Column | None = None) -> Column:
+    """yyyyMMddHHmm[_device].extension"""
+    stamp = F.date_format(when, "yyyyMMddHHmm")
+    return F.concat(stamp, F.lit("") if device is None else F.coalesce(F.concat(F.lit("_"), device), F.lit("")), F.lit(f".{extension}"))
+
+
 def header_start(start: Column) -> Column:
     """Date and time of an EDF header, 16 characters."""
     return F.concat(F.date_format(start, "dd.MM.yy"), F.date_format(start, "HH.mm.ss"))

@@ -110,6 +110,16 @@ def monotonic(df: DataFrame, us: str, series: str = "series", *order: str) -> Da
     return df.withColumn("guarded_us", F.max(us).over(by_time(series, *order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def audio_clock(frames: DataFrame, rate: float, series: str = "series", *order: str) -> DataFrame:
+    """frames (series, arrived_us, first_frame, samples: array) as samples with us: each chunk starts where the sound card's clock
+    puts it relative to the series' first chunk, never before an earlier chunk, and its samples follow at the fixed rate."""
+    w = by_time(series, *(order or ("first_frame",)))
+    start = F.first("arrived_us").over(w) + F.round((F.col("first_frame") - F.first("first_frame").over(w)) * (1e6 / rate)).cast("bigint")
+    guarded = monotonic(frames.withColumn("_start", start), "_start", series, *(order or ("first_frame",)))
+    each = guarded.select(series, "first_frame", "guarded_us", F.posexplode("samples").alias("i", "value"))
+    return each.select(series, (F.col("first_frame") + F.col("i")).alias("frame"), (F.col("guarded_us") + F.round(F.col("i") * (1e6 / rate)).cast("bigint")).alias("us"), "value")
+
+
 def rmssd(df: DataFrame, series: str = "series", value: str = "value", *order: str) -> DataFrame:
     """Root mean square of successive differences; null for series of one sample."""
     step = df.withColumn("_d", F.col(value) - F.lag(value).over(by_time(series, *order)))

@@ -165,10 +165,11 @@ def backoff_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", sig.backoff_cap(F.col("o_orderkey") % 12, 250, 30000).alias("wait_ms"))
 
 
-@query("SELECT p_brand, list(p_partkey ORDER BY p_partkey DESC)[1:3] AS newest, list_filter(list(p_size ORDER BY p_partkey), lambda x: x <> 7)[1:5] AS kept FROM part GROUP BY p_brand")
+@query("SELECT p_brand, array_to_string(list(p_partkey ORDER BY p_partkey DESC)[1:3], ',') AS newest, array_to_string(list_filter(list(p_size ORDER BY p_partkey), lambda x: x <> 7)[1:5], ',') AS kept, array_to_string(list_append(list(p_partkey ORDER BY p_partkey)[1:1], -1) || list(p_partkey ORDER BY p_partkey)[2:3], ',') AS inserted FROM part GROUP BY p_brand")
 def array_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("a"))
-    return g.select("p_brand", F.slice(F.reverse(F.col("a.p_partkey")), 1, 3).alias("newest"), F.slice(F.filter("a.p_size", lambda x: x != 7), 1, 5).alias("kept"))
+    edits = {"newest": F.slice(F.reverse(F.col("a.p_partkey")), 1, 3), "kept": F.slice(F.filter("a.p_size", lambda x: x != 7), 1, 5), "inserted": F.array_insert(F.slice("a.p_partkey", 1, 3), 2, F.lit(-1).cast("bigint"))}
+    return g.select("p_brand", *[F.array_join(x, ",").alias(n) for n, x in edits.items()])
 
 
 @query("SELECT n_nationkey, CAST(greatest(ceil((n_nationkey + 1) * 2.5 * 300.0) + n_nationkey * 30, 2 * n_nationkey * 30) AS BIGINT) AS capacity FROM nation")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import design
+from ..functions.sensors import signals_of
+from ..functions.signal import recording_name
 from ..operators import filters, resample
 from ..sources import edf
 from ..streaming import live
@@ -115,16 +118,31 @@ def edf_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edf.read_recordings(spark, path, "signals").select("signal_index", "label", "physical_min", "physical_max", "samples_per_record", "byte_offset")
 
 
-@query("""SELECT signal_order, driver, label, unit, CAST(physical_min AS DOUBLE) AS physical_min, CAST(physical_max AS DOUBLE) AS physical_max, CAST(rate AS DOUBLE) AS rate FROM (VALUES (0, 'heart', 'Heart rate', 'bpm', 0.0, 240.0, 1.0), (1, 'heart', 'HRV', 'ms', 0.0, 500.0, 1.0), (2, 'temperature', 'Temperature', 'degC', -50.0, 150.0, 1.0), (3, 'snore', 'Snore', '', -1.0, 1.0, 500.0))
-AS v(signal_order, driver, label, unit, physical_min, physical_max, rate)""")
+@query("""SELECT * FROM (VALUES ('heart', '', 0, 'HR', 'bpm', CAST(0 AS DOUBLE), CAST(240 AS DOUBLE), 30), ('heart', '', 1, 'HRV', 'ms', 0, 500, 30), ('temperature', '', 0, 'Skin', 'degC', -50, 150, 30), ('snore', '', 0, 'Snore', '', -1, 1, 15000),
+('motion', 'movement', 0, 'Wrist', 'g', 0, 16, 300), ('motion', 'position', 0, 'Wrist Roll', 'deg', -180, 180, 300), ('motion', 'position', 1, 'Wrist Incl', 'deg', 0, 90, 300),
+('motion', 'raw', 0, 'Wrist Accel X', 'g', -16, 16, 300), ('motion', 'raw', 1, 'Wrist Accel Y', 'g', -16, 16, 300), ('motion', 'raw', 2, 'Wrist Accel Z', 'g', -16, 16, 300),
+('motion', 'raw', 3, 'Wrist Gyro X', 'deg/s', -2000, 2000, 300), ('motion', 'raw', 4, 'Wrist Gyro Y', 'deg/s', -2000, 2000, 300), ('motion', 'raw', 5, 'Wrist Gyro Z', 'deg/s', -2000, 2000, 300),
+('motion', 'raw', 6, 'Wrist Angle X', 'deg', -180, 180, 300), ('motion', 'raw', 7, 'Wrist Angle Y', 'deg', -180, 180, 300), ('motion', 'raw', 8, 'Wrist Angle Z', 'deg', -180, 180, 300))
+AS v(driver, mode, signal_order, label, physical_dimension, physical_min, physical_max, samples_per_record)""")
 def signal_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(CATALOG, "signal_order int, driver string, label string, unit string, physical_min double, physical_max double, rate double")
+    made = [signals_of(spark, "heart"), signals_of(spark, "temperature", name="Skin"), signals_of(spark, "snore"), *[signals_of(spark, "motion", mode, "Wrist", 10.0) for mode in ("movement", "position", "raw")]]
+    return reduce(DataFrame.unionByName, made)
 
 
-#: What the built-in sensors put out, with physical ranges and samples a second.
-CATALOG = [
-    (0, "heart", "Heart rate", "bpm", 0.0, 240.0, 1.0),
-    (1, "heart", "HRV", "ms", 0.0, 500.0, 1.0),
-    (2, "temperature", "Temperature", "degC", -50.0, 150.0, 1.0),
-    (3, "snore", "Snore", "", -1.0, 1.0, 500.0),
-]
+@query("""WITH n AS (SELECT event_id, 'Note ' || event_type AS text, event_id % 48 AS record, row_number() OVER (PARTITION BY event_id % 48 ORDER BY event_id) AS r FROM events)
+SELECT record, CAST(record * 3600 + r AS DOUBLE) AS onset, CASE WHEN event_id % 2 = 0 THEN CAST(2.5 AS DOUBLE) END AS duration, text FROM n WHERE r <= 3""")
+def edf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three notes in every record, written beside the signals and read back."""
+    path = shared_dir(spark)
+    w = Window.partitionBy("record").orderBy("event_id")
+    notes = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 48).alias("record")).withColumn("r", F.row_number().over(w)).where("r <= 3")
+    notes = notes.select(F.lit("night").alias("recording"), "record", (F.col("record") * 3600 + F.col("r")).cast("double").alias("onset"), F.when(F.col("event_id") % 2 == 0, 2.5).alias("duration"), F.concat(F.lit("Note "), "event_type").alias("text"))
+    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes)
+    return edf.read_recordings(spark, path, "annotations").select("record", "onset", "duration", "text")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 MINUTE * (o_orderkey % 1440), '%Y%m%d%H%M') || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE '_' || replace(o_orderpriority, ' ', '_') END || '.edf' AS name FROM orders""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    device = F.when(F.col("o_custkey") % 3 != 0, F.replace("o_orderpriority", F.lit(" "), F.lit("_")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", recording_name(when, "edf", device).alias("name"))

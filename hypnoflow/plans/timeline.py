@@ -87,6 +87,15 @@ def rmssd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.rmssd(series_by(spark, sf_dir, "user_id")), "rmssd")
 
 
+@query("""WITH f AS (SELECT CAST(vec_id % 20 AS VARCHAR) AS series, vec_id * 64 // 20 AS first_frame, 1000000 + vec_id * 3 AS arrived_us, embedding AS x FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT *, first_value(arrived_us) OVER w + CAST(round((first_frame - first_value(first_frame) OVER w) * 2000.0) AS BIGINT) AS s FROM f WINDOW w AS (PARTITION BY series ORDER BY first_frame)),
+h AS (SELECT *, max(s) OVER (PARTITION BY series ORDER BY first_frame) AS m FROM g), u AS (SELECT series, first_frame, m, unnest(range(0, len(x))) AS i, unnest(x) AS value FROM h)
+SELECT series, first_frame + i AS frame, m + i * 2000 AS us, value FROM u""")
+def audio_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "embeddings").where("embedding is not null").select((F.col("vec_id") % 20).cast("string").alias("series"), F.floor(F.col("vec_id") * 64 / 20).alias("first_frame"), (F.col("vec_id") * 3 + 1_000_000).alias("arrived_us"), F.col("embedding").alias("samples"))
+    return series.audio_clock(chunks, 500.0)
+
+
 #: Beats of 0.5 to 1.3 s from the events' values; every seventh row has none, every fifth two.
 BEAT = "round(0.5 + value % 100 / 125.0, 3)"
 

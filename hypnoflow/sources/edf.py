@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..functions.signal import build_tal
+
 ANNOTATIONS = "EDF Annotations"
 ANNOTATION_SAMPLES = 64
 RECORD_SECONDS = 30.0
@@ -232,8 +234,8 @@ def build_header(start_us: int, signals: list[dict], data_records: int, duration
 
 
 class EdfWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, duration: float) -> None:
-        self.path, self.duration = path, duration
+    def __init__(self, path: str, duration: float, patient: str, recording: str) -> None:
+        self.path, self.duration, self.patient, self.recording = path, duration, patient, recording
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = located(self.path)
@@ -262,7 +264,11 @@ class EdfWriter(DataSourceArrowWriter):
             value = rows["value"].to_numpy()
             for s, a, b in zip(signals, bounds[:-1].tolist(), bounds[1:].tolist()):
                 out.write(to_digital(value[a:b], s).tobytes())
-            out.write(f"+{records * self.duration:.3f}\x14\x14\x00".encode()[: 2 * ANNOTATION_SAMPLES].ljust(2 * ANNOTATION_SAMPLES, b"\x00"))
+            kept = f"+{records * self.duration:.3f}\x14\x14\x00".encode()
+            for tal in rows["tals"][0].as_py() or ():
+                # what does not fit the record's annotation channel is left out whole, not cut in the middle
+                kept += tal.encode() if len(kept) + len(tal.encode()) <= 2 * ANNOTATION_SAMPLES else b""
+            out.write(kept.ljust(2 * ANNOTATION_SAMPLES, b"\x00"))
             records += 1
 
         def finish() -> None:
@@ -273,7 +279,7 @@ class EdfWriter(DataSourceArrowWriter):
             out.close()
             part, whole = posixpath.join(path, files[-1]), posixpath.join(path, files[-1].removesuffix(".part"))
             with system.open_input_stream(part, compression=None) as f, system.open_output_stream(whole, compression=None) as g:
-                g.write(build_header(start, signals, records, self.duration))
+                g.write(build_header(start, signals, records, self.duration, self.patient, self.recording))
                 while piece := f.read(8 << 20):
                     g.write(piece)
             system.delete_file(part)
@@ -318,15 +324,25 @@ class EdfSource(DataSource):
         return EdfReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> EdfWriter:
-        return EdfWriter(self.options["path"], float(self.options.get("record_seconds", RECORD_SECONDS)))
+        return EdfWriter(self.options["path"], float(self.options.get("record_seconds", RECORD_SECONDS)), self.options.get("patient", "X X X X"), self.options.get("recording", "Startdate X X X X"))
+
 
+def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X") -> None:
+    """One file a recording from (recording, signal_index, label, record, k, value, physical_min, physical_max, start_us).
 
-def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS) -> None:
-    """One file a recording from (recording, signal_index, label, record, k, value, physical_min, physical_max, start_us)."""
+    annotations: (recording, record, onset, duration, text), at most 2 * ANNOTATION_SAMPLES bytes a record. patient, recording: the
+    header's identification fields.
+    """
     rows.sparkSession.dataSource.register(EdfSource)
     kept = rows.select("recording", F.col("signal_index").cast("int").alias("signal_index"), "label", F.col("record").cast("bigint").alias("record"), "k", "value", "physical_min", "physical_max", "start_us")
+    if annotations is None:
+        kept = kept.withColumn("tals", F.lit(None).cast("array<string>"))
+    else:
+        tal = F.struct("onset", build_tal(F.col("onset"), F.col("duration"), F.col("text")).alias("tal"))
+        blocks = annotations.groupBy("recording", "record").agg(F.array_sort(F.collect_list(tal))["tal"].alias("tals"))
+        kept = kept.join(blocks, ["recording", "record"], "left")
     ordered = kept.repartition("recording").sortWithinPartitions("recording", "record", "signal_index", "k")
-    ordered.write.format("edf").option("record_seconds", str(record_seconds)).mode("append").save(path)
+    ordered.write.format("edf").option("record_seconds", str(record_seconds)).option("patient", patient).option("recording", recording).mode("append").save(path)
 
 
 def read_recordings(spark: SparkSession, path: str, kind: str = "samples", signals: str | None = None) -> DataFrame:

@@ -76,3 +76,22 @@ def test_incomplete_record_is_an_error(spark, tmp_path):
     bad = rows("x", ["A"], 2, 4)[:-1]
     with pytest.raises(Exception, match="does not have the samples"):
         edf.write_recordings(spark.createDataFrame(bad, SCHEMA), str(tmp_path / "bad"))
+
+
+def test_annotations_are_written(spark, tmp_path):
+    notes = [("x", 1, 2.5, None, "b"), ("x", 1, 2.0, 1.25, "a"), ("x", 0, 0.0, None, "long " * 40)]
+    df = spark.createDataFrame(rows("x", ["A"], 3, 4), SCHEMA)
+    edf.write_recordings(df, str(tmp_path / "n"), 2.0, spark.createDataFrame(notes, "recording string, record bigint, onset double, duration double, text string"), patient="P1 F X Ann")
+    got = edf.read_recordings(spark, str(tmp_path / "n"), "annotations").orderBy("onset").collect()
+    assert [(r.record, r.onset, r.duration, r.text) for r in got] == [(1, 2.0, 1.25, "a"), (1, 2.5, None, "b")]
+    assert edf.read_recordings(spark, str(tmp_path / "n"), "header").first().patient_id == "P1 F X Ann"
+
+
+def test_sensor_signals(spark):
+    from hypnoflow.functions.sensors import signals_of
+
+    raw = signals_of(spark, "motion", "raw", "Arm", 5.0).collect()
+    assert len(raw) == 9 and raw[0].label == "Arm Accel X" and raw[0].samples_per_record == 150
+    for bad in (("motion", "raw", "", 3.0), ("odd",)):
+        with pytest.raises(ValueError):
+            signals_of(spark, *bad)
