@@ -74,6 +74,27 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, (value / np.linalg.norm(value)).astype(np.float32)
 
 
+def inner_products(rows: list[tuple[np.ndarray, np.ndarray]], block: int = 200) -> np.ndarray:
+    """The Gram matrix of sparse rows, of which two blocks at a time are made dense."""
+    starts = range(0, len(rows), block)
+
+    def dense(lo: int) -> np.ndarray:
+        out = np.zeros((min(block, len(rows) - lo), FEATURES), np.float32)
+        for i, (at, value) in enumerate(rows[lo : lo + block]):
+            out[i, at] = value
+        return out
+
+    gram = np.zeros((len(rows), len(rows)))
+    for a in starts:
+        left = dense(a)
+        for b in starts:
+            if b >= a:
+                part = left @ (left if a == b else dense(b)).T
+                gram[a : a + block, b : b + block] = part
+                gram[b : b + block, a : a + block] = part.T
+    return gram
+
+
 def train_svm(gram: np.ndarray, sign: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual weights alpha * sign and bias of a linear machine, from inner products; the bias is a constant feature."""
     n = len(sign)
@@ -151,10 +172,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     languages = sorted(by_lang)
     if not languages:
         return Model()
-    x = np.zeros((len(kept), FEATURES), np.float32)
-    for i, (_, at, value) in enumerate(kept):
-        x[i, at] = value
-    gram = (x @ x.T).astype(float)
+    gram = inner_products([(at, value) for _, at, value in kept])
+    column = np.concatenate([at for _, at, _ in kept])
+    entry = np.concatenate([value for *_, value in kept])
+    owner = np.repeat(np.arange(len(kept)), [len(at) for _, at, _ in kept])
     lang = np.array([k[0] for k in kept])
     family = np.array([FAMILY_OF.get(k[0], k[0]) for k in kept])
     families = sorted(set(family.tolist()))
@@ -162,7 +183,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
 
     def machine(rows: np.ndarray, positive: np.ndarray) -> int:
         dual, b = train_svm(gram[np.ix_(rows, rows)], np.where(positive, 1.0, -1.0))
-        weights.append(dual.astype(np.float32) @ x[rows])
+        by_row = np.zeros(len(kept))
+        by_row[rows] = dual
+        weights.append(np.bincount(column, by_row[owner] * entry, FEATURES))
         bias.append(b)
         return len(weights) - 1
 
