@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 WORDS = 5
 THRESHOLD = 0.8
 #: ASCII and Latin-1 but for letters and digits, general and CJK punctuation.
@@ -64,32 +66,41 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return sized.join(F.broadcast(most), "size_class").select("item_id", "size_class", needed("class_min", threshold).alias("class_need"), F.explode(low).alias("hash"))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
-    """doc_id, item_id, n_item, n_common, containment of every pair at or above the threshold."""
+def _bounded(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """df, computed once, and marked for broadcast if it is counted and small."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int) -> DataFrame:
+    """doc_id, text_key, item_id, n_item, n_common of every pair at or above the threshold; text_key tells rows of one id apart."""
     worded_items = benchmark.select("item_id", once(words_of(F.col("text")), "words"))
     items = worded_items.select("item_id", once(F.array_distinct(shingles_of(F.col("words"), n)), "item_shingles"))
-    items = items.withColumn("n_item", F.size("item_shingles")).where("n_item > 0")
-    sketch = sketches(items, threshold)
-    n_rows, n_shingles = sketch.count(), items.agg(F.sum("n_item")).first()[0] or 0
-    small = max(n_rows, n_shingles) <= BROADCAST_ROWS
+    items = durable(items.withColumn("n_item", F.size("item_shingles")).where("n_item > 0"))
+    small = (items.agg(F.sum("n_item")).first()[0] or 0) <= BROADCAST_ROWS  # a sketch is no larger than its items
     near = F.broadcast if small else (lambda df: df)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     worded = keyed.select("doc_id", "text_key", once(words_of(F.col("text")), "words"))
     hashed = worded.select("doc_id", "text_key", F.size("words").alias("n_words"), hashes_of(F.col("words"), n).alias("hashes"))
     hashed = hashed.select("doc_id", "text_key", "n_words", F.explode("hashes").alias("hash"))
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("class_need")
-    found = hashed.join(near(sketch), "hash").where(enough).select("doc_id", "text_key", "item_id").distinct()
-    by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("item_ids"))
-    texts = keyed.join(by_doc.withColumnRenamed("doc_id", "found_id"), (F.col("found_id").eqNullSafe(F.col("doc_id"))) & (by_doc["text_key"] == keyed["text_key"]))
-    texts = texts.select("doc_id", "item_ids", once(words_of(F.col("text")), "words"))
-    texts = texts.select("doc_id", "item_ids", once(F.array_distinct(shingles_of(F.col("words"), n)), "shingles"))
-    texts = texts.select("doc_id", "shingles", F.explode("item_ids").alias("item_id"))
+    found = hashed.join(near(sketches(items, threshold)), "hash").where(enough).select("doc_id", "text_key", "item_id").distinct()
+    by_doc = _bounded(found.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("item_ids")))
+    texts = keyed.join(by_doc, keyed["doc_id"].eqNullSafe(by_doc["doc_id"]) & (keyed["text_key"] == by_doc["text_key"]))
+    texts = texts.select(keyed["doc_id"], keyed["text_key"], "item_ids", once(words_of(F.col("text")), "words"))
+    texts = texts.select("doc_id", "text_key", "item_ids", once(F.array_distinct(shingles_of(F.col("words"), n)), "shingles"))
+    texts = texts.select("doc_id", "text_key", "shingles", F.explode("item_ids").alias("item_id"))
     pairs = texts.join(near(items), "item_id").withColumn("n_common", F.size(F.array_intersect("shingles", "item_shingles")))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))
-    return best.where(F.col("n_common") >= needed("n_item", threshold)).withColumn("containment", F.col("n_common") / F.col("n_item"))
+    return pairs.where(F.col("n_common") >= needed("n_item", threshold)).select("doc_id", "text_key", "item_id", "n_item", "n_common")
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
+    """doc_id, item_id, n_item, n_common, containment of every pair at or above the threshold."""
+    best = _verified(docs, benchmark, threshold, n).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))
+    return best.withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that contain a test item."""
-    hit = contained_items(docs, benchmark, threshold).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
+    """docs without the rows whose own text contains a test item."""
+    hit = _bounded(_verified(docs, benchmark, threshold, n).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct())
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_key"]), "left_anti")
