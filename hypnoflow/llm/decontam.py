@@ -48,8 +48,9 @@ def shingles_of(words: Column, n: int = WORDS) -> Column:
 
 
 def hashes_of(words: Column, n: int = WORDS) -> Column:
+    """The hash of every run of n words, in order, chained from word to word; absent words leave it as it is."""
     last = F.greatest(F.size(words) - (n - 1), F.lit(1))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, n)))))
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*[F.get(words, i + j if j else i) for j in range(n)])))
 
 
 def needed(n: Column | str, threshold: float) -> Column:
@@ -62,7 +63,7 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     sized = items.withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
     most = sized.groupBy("size_class").agg(F.max("n_item").alias("class_max"), F.min("n_item").alias("class_min"))
     k = F.col("class_max") - needed("class_max", threshold) + 1
-    low = F.slice(F.array_sort(F.array_distinct(F.transform("item_shingles", lambda s: F.xxhash64(s)))), F.lit(1), k)
+    low = F.slice(F.array_sort(F.array_distinct("item_hashes")), F.lit(1), k)
     return sized.join(F.broadcast(most), "size_class").select("item_id", "size_class", needed("class_min", threshold).alias("class_need"), F.explode(low).alias("hash"))
 
 
@@ -75,7 +76,7 @@ def _bounded(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 def _verified(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int) -> DataFrame:
     """doc_id, text_key, item_id, n_item, n_common of every pair at or above the threshold; text_key tells rows of one id apart."""
     worded_items = benchmark.select("item_id", once(words_of(F.col("text")), "words"))
-    items = worded_items.select("item_id", once(F.array_distinct(shingles_of(F.col("words"), n)), "item_shingles"))
+    items = worded_items.select("item_id", hashes_of(F.col("words"), n).alias("item_hashes"), once(F.array_distinct(shingles_of(F.col("words"), n)), "item_shingles"))
     items = durable(items.withColumn("n_item", F.size("item_shingles")).where("n_item > 0"))
     small = (items.agg(F.sum("n_item")).first()[0] or 0) <= BROADCAST_ROWS  # a sketch is no larger than its items
     near = F.broadcast if small else (lambda df: df)
@@ -90,7 +91,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int) -
     texts = texts.select(keyed["doc_id"], keyed["text_key"], "item_ids", once(words_of(F.col("text")), "words"))
     texts = texts.select("doc_id", "text_key", "item_ids", once(F.array_distinct(shingles_of(F.col("words"), n)), "shingles"))
     texts = texts.select("doc_id", "text_key", "shingles", F.explode("item_ids").alias("item_id"))
-    pairs = texts.join(near(items), "item_id").withColumn("n_common", F.size(F.array_intersect("shingles", "item_shingles")))
+    pairs = texts.join(near(items.drop("item_hashes")), "item_id").withColumn("n_common", F.size(F.array_intersect("shingles", "item_shingles")))
     return pairs.where(F.col("n_common") >= needed("n_item", threshold)).select("doc_id", "text_key", "item_id", "n_item", "n_common")
 
 
