@@ -234,8 +234,14 @@ def hexadecimal(fp: str = "fp") -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class: that with the smallest doc_id, a null one last. Of rows with its id and text, one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
-    same = docs["doc_id"].cast("bigint").eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"])
-    key = unused(docs, "text_key")
-    once = docs.join(kept, same, "left_semi").withColumn(key, F.xxhash64("text"))
-    return once.dropDuplicates(["doc_id", key]).drop(key)
+    kept = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(*_row_key("k.doc_id", F.col("k.text_key"), ["k0", "k1", "k2"]))
+    # the same three columns are the key of the join and of the removal of repeated rows, so the texts are shuffled once
+    names = [unused(docs, k) for k in ("k0", "k1", "k2")]
+    keyed = docs.select("*", *_row_key("doc_id", F.xxhash64("text"), names))
+    on = [keyed[a] == kept[b] for a, b in zip(names, ("k0", "k1", "k2"))]
+    return keyed.join(kept, on, "left_semi").dropDuplicates(names).drop(*names)
+
+
+def _row_key(doc_id: str, text_key: Column, names: list[str]) -> list[Column]:
+    """An id, null or not, and a text's hash as columns that are never null."""
+    return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias(names[0]), F.col(doc_id).isNull().alias(names[1]), text_key.alias(names[2])]
