@@ -57,10 +57,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, bucket_byte
         # a row's ordinal in its input split: the same whenever that split is read again
         dealt = dealt.withColumn("shard_bucket", F.col("shard_bucket") + F.pmod(F.monotonically_increasing_id(), ways) * F.lit(buckets))
         filled = dealt.groupBy("shard_bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = sorted((r["shard_bucket"], r["n"]) for r in filled.select("shard_bucket", "n").collect())
-    starts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
-    offsets = spark.createDataFrame([(b, s) for (b, _), s in zip(counts, starts)], "shard_bucket bigint, shard_start bigint")
-    dealt = dealt.join(F.broadcast(offsets) if len(counts) <= BROADCAST_BUCKETS else offsets, "shard_bucket")
+    counts = filled.select("shard_bucket", "n").toArrow().sort_by("shard_bucket")
+    n = counts["n"].to_numpy()
+    offsets = spark.createDataFrame(pa.table({"shard_bucket": counts["shard_bucket"], "shard_start": pa.array(np.cumsum(n) - n, pa.int64())}))
+    dealt = dealt.join(F.broadcast(offsets) if counts.num_rows <= BROADCAST_BUCKETS else offsets, "shard_bucket")
     kept = docs.schema.fields
     schema = T.StructType([*kept, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     names = [f.name for f in kept]
