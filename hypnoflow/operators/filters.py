@@ -85,6 +85,16 @@ def fir(df: DataFrame, taps: Sequence[float], series: str = "series", order: str
     return df.withColumn("y", F.aggregate(F.zip_with(recent, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
 
 
+def fir_filtfilt(df: DataFrame, taps: Sequence[float], series: str = "series", compat: bool = False) -> DataFrame:
+    """series, seq, y: filtered forwards, then backwards with the forward pass's last samples still in the ring."""
+    length = df.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
+    forward = fir(df.select(series, "seq", "value"), taps, series, compat=compat).join(length, series)
+    ring = forward.where(F.col("seq") >= F.col("n") - len(taps)).select(series, (F.col("seq") - F.col("n")).alias("seq"), "value", "n")
+    turned = forward.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), F.col("y").alias("value"), "n")
+    back = fir(ring.unionByName(turned), taps, series, compat=compat).where("seq >= 0")
+    return back.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), "y")
+
+
 def coefficient_rows(spark: SparkSession, stages: Sequence[Biquad], name: str = "") -> DataFrame:
     """name, stage, b0, b1, b2, a1, a2, k."""
     rows = [(name, i, s.b0, s.b1, s.b2, s.a1, s.a2, s.k) for i, s in enumerate(stages)]

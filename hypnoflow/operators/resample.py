@@ -75,6 +75,12 @@ def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us") -> Dat
     return rows.groupBy(series).applyInArrow(of, f"{series} {kinds[series]}, {time} {kinds[time]}, value double")
 
 
+def chunked(df: DataFrame, size: int, series: str = "series") -> DataFrame:
+    """series, chunk, t (of its first sample), n and the values in order, from (series, n, t, value)."""
+    grouped = df.groupBy(series, F.floor(F.col("n") / size).alias("chunk")).agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("samples"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("a"))
+    return grouped.select(series, "chunk", "t", "samples", F.col("a.value").alias("values"))
+
+
 def polyphase(df: DataFrame, filt: Polyphase, series: str = "series") -> DataFrame:
     """series, n, t, value at the filter's rate, from (series, seq, value) at the input rate.
 

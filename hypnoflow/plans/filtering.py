@@ -174,6 +174,14 @@ def fir_filter_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(filters.fir(signals(spark, sf_dir), design.fir_lowpass(ORDER, FS, 10.0), compat=True).select("series", "seq", "y"), "y")
 
 
+@query(f"""WITH t AS ({taps_sql(ORDER, 10.0)}), {N_USER}, l AS (SELECT series, count(*) AS len FROM n GROUP BY series),
+f AS (SELECT a.series, a.i, sum(t.h * b.x) AS y FROM n a CROSS JOIN t JOIN n b ON b.series = a.series AND b.i = a.i - t.n GROUP BY a.series, a.i),
+c AS (SELECT series, i - len AS j, x FROM n JOIN l USING (series) WHERE i >= len - {ORDER + 1} UNION ALL SELECT series, len - 1 - i, y FROM f JOIN l USING (series))
+SELECT a.series, l.len - 1 - a.j AS seq, round(sum(t.h * b.x), 6) + 0.0 AS y FROM c a JOIN l USING (series) CROSS JOIN t JOIN c b ON b.series = a.series AND b.j = a.j - t.n WHERE a.j >= 0 GROUP BY a.series, a.j, l.len""")
+def fir_filtfilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(filters.fir_filtfilt(signals(spark, sf_dir), design.fir_lowpass(ORDER, FS, 10.0)), "y")
+
+
 @query(f"""WITH t AS ({taps_sql(ORDER, 10.0)}), f AS (SELECT CAST(i AS INTEGER) AS i, sqrt(pow(sum(h * cos(-pi() * i * n / {float(RES)})), 2) + pow(sum(h * sin(-pi() * i * n / {float(RES)})), 2)) AS m FROM t, (SELECT unnest(range(0, {RES})) AS i) GROUP BY i)
 SELECT i, round(m, 8) AS magnitude FROM f""")
 def fir_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +206,19 @@ def polyphase_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.polyphase(e, SRC), "t", "value")
 
 
+@query(f"""WITH RECURSIVE a AS (SELECT CAST(vec_id AS VARCHAR) AS series, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL), {step_sql('f1', 'a', NOTCH[0])},
+l AS (SELECT series, max(i) AS last FROM f1 GROUP BY series), o AS (SELECT series, unnest(range(0, (last * {SRC.up} + {SRC.up} - 1) // {SRC.down} + 1)) AS n FROM l), h AS (SELECT * FROM {phases_sql(SRC)}),
+y AS (SELECT o.series, o.n, o.n / {SRC.rate!r} - {SRC.delay_s!r} AS t, sum(h.h * e.y) / sum(h.h) AS value FROM o JOIN h ON h.p = o.n * {SRC.down} % {SRC.up} JOIN f1 e ON e.series = o.series AND e.i = o.n * {SRC.down} // {SRC.up} - h.j GROUP BY ALL)
+SELECT series, n // 4 AS chunk, round(min(t), 6) + 0.0 AS t, count(*) AS samples, round(arg_max(value, n), 6) + 0.0 AS last FROM y GROUP BY ALL""")
+def snore_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound as it is recorded: mains notch, rate reduction, chunks of a tenth of a second."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("series"), F.posexplode("embedding").alias("seq", "value"))
+    clean, _ = filters.iir(e.select("series", F.col("seq").cast("bigint").alias("seq"), F.col("value").cast("double").alias("value")), NOTCH)
+    slow = resample.polyphase(clean.select("series", "seq", F.col("y").alias("value")), SRC)
+    out = resample.chunked(slow, 4).select("series", "chunk", "t", "samples", F.element_at("values", -1).alias("last"))
+    return rounded(out, "t", "last")
+
+
 @query()
 def kaiser_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The series of the Kaiser design stops at a relative term, which SQL has no form for; tested against numpy's."""
