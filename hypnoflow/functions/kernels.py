@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,12 +24,10 @@ def state_space(stages: Sequence[Biquad]) -> tuple[np.ndarray, np.ndarray, np.nd
     return a, b, c, d
 
 
-def iir(stages: Sequence[Biquad], x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The filtered array and the state after it. Blocks of samples go through matrix products, not one by one."""
+@lru_cache(maxsize=64)
+def _blocked(stages: tuple[Biquad, ...]) -> tuple:
+    """A, B, C, D and the matrices that take a block of samples at once; the same for every series of a filter."""
     a, b, c, d = state_space(stages)
-    z = np.zeros(len(a)) if state is None or not len(state) else np.asarray(state, float)
-    if not len(a):
-        return x * d, z
     powers = [np.eye(len(a))]
     for _ in range(BLOCK):
         powers.append(powers[-1] @ a)
@@ -36,14 +35,22 @@ def iir(stages: Sequence[Biquad], x: np.ndarray, state: np.ndarray | None = None
     impulse = np.concatenate([[d], observe[:-1] @ b])
     reach = np.array([p @ b for p in powers[:BLOCK]])[::-1]
     shift = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
-    toeplitz = np.where(shift >= 0, impulse[shift], 0.0)
+    return a, b, c, d, powers[BLOCK], observe, reach, np.where(shift >= 0, impulse[shift], 0.0)
+
+
+def iir(stages: Sequence[Biquad], x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The filtered array and the state after it. Blocks of samples go through matrix products, not one by one."""
+    a, b, c, d, leap, observe, reach, toeplitz = _blocked(tuple(stages))
+    z = np.zeros(len(a)) if state is None or not len(state) else np.asarray(state, float)
+    if not len(a):
+        return x * d, z
     n = len(x) // BLOCK * BLOCK
     blocks = x[:n].reshape(-1, BLOCK)
     own, pushed = blocks @ toeplitz.T, blocks @ reach
     states = np.empty((len(blocks), len(a)))
     for i in range(len(blocks)):
         states[i] = z
-        z = powers[BLOCK] @ z + pushed[i]
+        z = leap @ z + pushed[i]
     out = [(own + states @ observe.T).ravel()]
     tail = np.empty(len(x) - n)
     for i, v in enumerate(x[n:]):

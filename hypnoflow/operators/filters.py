@@ -35,7 +35,10 @@ def iir(df: DataFrame, stages: Sequence[Biquad], series: str = "series", initial
         return pa.table({series: table[series][:1], "chunk": table["chunk"][:1], "n": pa.array([table.num_rows]), "state": pa.array([z.tolist()], pa.list_(pa.float64()))})
 
     ends = rows.groupBy(series, "chunk").applyInArrow(ended, f"{series} {kind}, chunk bigint, n bigint, state array<double>")
-    given = initial.select(series, F.col("state").alias("first")) if initial is not None else ends.select(series, F.lit(None).cast("array<double>").alias("first")).distinct()
+    if initial is None:
+        begun = ends.withColumn("first", F.lit(None).cast("array<double>"))
+    else:
+        begun = ends.join(initial.select(series, F.col("state").alias("first")), series)
 
     def chained(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -49,7 +52,7 @@ def iir(df: DataFrame, stages: Sequence[Biquad], series: str = "series", initial
         count = len(starts)
         return pa.table({series: pa.concat_arrays([table[series].combine_chunks(), table[series].combine_chunks()[:1]]), "chunk": pa.array([*table["chunk"].to_pylist(), -1]), "total": pa.array([total] * count), "start": pa.array(starts, pa.list_(pa.float64()))})
 
-    chain = ends.join(given, series).groupBy(series).applyInArrow(chained, f"{series} {kind}, chunk bigint, total bigint, start array<double>")
+    chain = begun.groupBy(series).applyInArrow(chained, f"{series} {kind}, chunk bigint, total bigint, start array<double>")
 
     def filtered(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
