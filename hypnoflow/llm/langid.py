@@ -6,8 +6,12 @@ against the rest for each family, then one for each pair of languages in the win
 margins breaking ties. Training uses at most SAMPLE texts a language, drawn by a hash of the text over the whole table; the
 features of these, not their texts, go to the driver, and the weights (FEATURES floats a machine) to the executors.
 
+Machines only compare languages and must name one of them for anything. So a model also knows how likely each language's own
+texts are (mean log-likelihood of a text's runs under the counts of the sample, each text without itself), and `usual` is
+false for what is far below that: letter junk, and languages that were not learned. It does not depend on how many there are.
+
 Defined results: `und` with score 0 where the text is null or has no letter; with nothing to learn from, every text is
-`und`; with one language, all texts get it with score 1; a null or empty label is not learned; whole texts count,
+`und` (and usual, if it has a letter); with one language, all texts get it with score 1; a null or empty label is not learned; whole texts count,
 however long; repeated rows are predicted alike; columns besides text are carried along.
 """
 
@@ -30,6 +34,13 @@ FEATURES = 1 << 15
 #: At most so many texts a language are learned from.
 SAMPLE = 400
 PENALTY = 20.0
+#: Added to the counts of all features, so that an unseen one has a likelihood.
+SMOOTHING = 0.01
+#: A text is usual down to so many nats a run under all but a hundredth of the sample, and short ones, which vary, to
+#: SHORT_SLACK / sqrt(distinct runs) further.
+SLACK, SHORT_SLACK = 1.5, 8.0
+#: A long text counts as this many runs at most in its language's likelihoods, so that none of them is the language.
+RUNS_LIMIT = 3000.0
 #: Families of language codes; a code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
@@ -121,9 +132,24 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     pairs: dict[str, list[tuple[int, str, str]]] = field(default_factory=dict)
+    #: By language: log-likelihood of each feature, and the least mean of a usual text.
+    likelihood: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self._predict(*features(text))
+
+    def predict_usual(self, text: str | None) -> tuple[str, float, bool]:
+        """Language and score, and whether the text is like those that this language, or another, was learned from."""
         at, value = features(text)
+        lang, score = self._predict(at, value)
+        if lang not in self.likelihood:
+            return lang, score, len(at) > 0
+        share, slack = value.astype(float) ** 2, SHORT_SLACK / math.sqrt(len(at))
+        # the machines may be wrong about a short text; that is no reason to take it for junk
+        own = [self.likelihood[lang], *(x for name, x in self.likelihood.items() if name != lang)]
+        return lang, score, any(share @ log[at] >= least - slack for log, least in own)
+
+    def _predict(self, at: np.ndarray, value: np.ndarray) -> tuple[str, float]:
         if not len(at) or not self.languages:
             return "und", 0.0
         margin = value @ self.transposed[at] + self.bias
@@ -148,6 +174,18 @@ class Model:
         self.transposed = np.ascontiguousarray(self.weights.T)
 
 
+def learn_likelihood(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Log-likelihood of each feature in a language, and the least mean of a text that is usual in it."""
+    share = [value.astype(float) ** 2 for _, value in texts]
+    runs = [min(1 / s.min(), RUNS_LIMIT) for s in share]  # the rarest run of a text is mostly there once
+    counts = np.zeros(FEATURES)
+    for (at, _), s, n in zip(texts, share, runs):
+        counts[at] += s * n
+    total = counts.sum()
+    own = [s @ np.log((np.maximum(counts[at] - s * n, 0) + SMOOTHING) / (total - n + SMOOTHING * FEATURES)) for (at, _), s, n in zip(texts, share, runs)]
+    return np.log((counts + SMOOTHING) / (total + SMOOTHING * FEATURES)).astype(np.float32), float(np.quantile(own, 0.01)) - SLACK
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     """A model from rows with text and lang."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
@@ -198,19 +236,22 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
         for a, b in combinations(sorted(set(lang[family == f].tolist())), 2):
             rows_ab = np.flatnonzero((lang == a) | (lang == b))
             pairs[f].append((machine(rows_ab, lang[rows_ab] == a), a, b))
-    return Model(languages, families, np.array(weights, np.float32).reshape(-1, FEATURES), np.array(bias, np.float32), pairs)
+    likelihood = {name: learn_likelihood([(at, value) for own, at, value in kept if own == name]) for name in languages}
+    return Model(languages, families, np.array(weights, np.float32).reshape(-1, FEATURES), np.array(bias, np.float32), pairs, likelihood)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, usual: str | None = None) -> DataFrame:
+    """docs with lang_pred and score, and whether the text is usual in a column of that name, if one is given."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats for each machine
-    kept = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(usual, T.BooleanType())] if usual else [])]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.name.lower() for a in added}]
+    schema = T.StructType([*kept, *added])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch[f.name] for f in kept] + [pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*(f.name for f in kept), "lang_pred", "score"])
+            found = [(own.predict_usual if usual else own.predict)(t.as_py()) for t in batch["text"]]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in zip(range(len(added)), (pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch[f.name] for f in kept] + columns, [f.name for f in schema.fields])
 
     return docs.select(*[f.name for f in kept]).mapInArrow(of, schema)

@@ -91,3 +91,29 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_language_stage_rejects_junk_and_unlearned(spark):
+    rng = random.Random(4)
+    plain = [(i, sentence(rng, lang, rng.randrange(1, 60)), lang) for i, lang in enumerate(list(VOCAB) * 60)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(4, 10))) for _ in range(rng.randrange(3, 40))) for _ in range(30)]
+    finnish = "yö talo juna ikkuna uni katu vesi kaunis eilen meidän työ hyvää kissa nukkuu pöydällä koska sataa".split()
+    other = [" ".join(rng.choice(finnish) for _ in range(rng.randrange(5, 40))) for _ in range(30)]
+    rows = plain + [(1000 + i, t, None) for i, t in enumerate(junk + other + ["быстрая лиса", "12 34"])]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()
+    assert {r.doc_id for r in got} == {i for i, _, _ in plain}
+
+
+def test_language_stage_keeps_all_where_nothing_is_learned(spark):
+    rows = [(1, "Some plain text.", None), (2, "Une nuit", None), (3, "1 2 !", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 2}
+
+
+def test_language_stage_keeps_short_texts_of_many_families(spark):
+    rng = random.Random(6)
+    words = [["".join(rng.choice(f"{a}{b}{c}ei") for _ in range(5)) for _ in range(12)] for a, b, c in zip("bcdfghjklmnp", "qrstvwxzbcdf", "aouaouaouaou")]
+    rows = [(i, " ".join(rng.choice(words[i % 12]) for _ in range(rng.randrange(2, 9))), f"x{i % 12}") for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 480
