@@ -44,16 +44,26 @@ def linear(df: DataFrame, n: int, series: str = "series", order: tuple[str, ...]
     return out.select(series, "k", F.when(own, F.col("ms")).otherwise(F.floor(at).cast("double")).alias("ms"), F.when(own, F.col("value")).otherwise(mixed).alias("value"))
 
 
-def epochs(df: DataFrame, epoch_us: int, samples: int, start_us: int, end_us: int, series: str = "series") -> DataFrame:
+def span(df: DataFrame, epoch_us: int) -> tuple[int, int]:
+    """Start of the epoch of df's first us and end of that of its last; (0, 0) where it has none."""
+    first, last = df.agg(F.min("us"), F.max("us")).first()
+    return (0, 0) if first is None else (first // epoch_us * epoch_us, (last // epoch_us + 1) * epoch_us)
+
+
+def epochs(df: DataFrame, epoch_us: int, samples: int, start_us: int | None = None, end_us: int | None = None, series: str = "series") -> DataFrame:
     """series, record, k, value, is_filled: each epoch of each series as exactly `samples` points, zeros where it has none.
 
-    Each (series, epoch) is resampled by itself; the dense grid of records is made from the list of series.
+    Each (series, epoch) is resampled by itself; the dense grid of records is made from the list of series. Start and end
+    are those of all rows by default; rows outside those given are left out.
     """
+    if start_us is None or end_us is None:
+        first, after = span(df, epoch_us)
+        start_us, end_us = first if start_us is None else start_us, after if end_us is None else end_us
     own = df.where((F.col("us") >= start_us) & (F.col("us") < end_us)).withColumn("record", F.floor((F.col("us") - start_us) / epoch_us))
     keyed = own.select(F.struct(series, "record").alias("series"), (F.col("us") / 1000.0).alias("ms"), "event_id", "value")
     points = linear(keyed, samples).select(F.col(f"series.{series}").alias(series), F.col("series.record").alias("record"), "k", "value")
     records = -(-(end_us - start_us) // epoch_us)
-    grid = df.select(series).distinct().select(series, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(records - 1).cast("bigint"))).alias("record"))
+    grid = df.where(F.lit(records > 0)).select(series).distinct().select(series, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(records - 1).cast("bigint"))).alias("record"))
     grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
     full = grid.join(points, [series, "record", "k"], "left")
     return full.withColumn("is_filled", F.col("value").isNull()).withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -94,19 +94,28 @@ def stream_keepalive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TIMELINE_SQL["epoch_records"].replace("CAST(greatest(-32768", "round(0.0 + (CAST(greatest(-32768", 1).replace(" AS INTEGER) AS digital, value IS NULL AS is_filled", " AS INTEGER) + 32768) * 500.0 / 65535.0, 6) + 0.0 AS value", 1).replace("SELECT d.series, d.record, d.k,", "SELECT d.series, CAST(d.record AS BIGINT) AS record, CAST(d.record * 12 + d.k AS BIGINT) AS seq,", 1))
 def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly epochs of every event type, written as one recording and read back."""
+    """Hourly epochs of every event type, written as one recording of the whole span; the SQL's two days of it read back."""
     path = shared_dir(spark)
+    first, _ = recorded_span(spark, sf_dir)
     edf.write_recordings(recording(spark, sf_dir), path, 3600.0)
-    back = edf.read_recordings(spark, path)
-    return rounded(back.select(F.col("label").alias("series"), "record", "seq", "value"), "value")
+    a, b = (START - first) // HOUR, (END - first) // HOUR
+    back = edf.read_recordings(spark, path).where((F.col("record") >= a) & (F.col("record") <= b - 1))
+    return rounded(back.select(F.col("label").alias("series"), (F.col("record") - a).alias("record"), (F.col("seq") - a * 12).alias("seq"), "value"), "value")
+
+
+def recorded_span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Start and end of the recording: the hours of all events, and at least those that the SQL compares."""
+    first, after = resample.span(series_by(spark, sf_dir, "event_type"), HOUR)
+    return (min(first, START), max(after, END)) if after else (START, END)
 
 
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = resample.epochs(series_by(spark, sf_dir, "event_type"), HOUR, 12, START, END)
+    first, after = recorded_span(spark, sf_dir)
+    filled = resample.epochs(series_by(spark, sf_dir, "event_type"), HOUR, 12, first, after)
     names = filled.select("series").distinct()
     index = names.join(names.select(F.col("series").alias("other")), F.col("other") < F.col("series"), "left").groupBy("series").agg(F.count("other").alias("signal_index"))
     rows = filled.join(F.broadcast(index), "series")
-    return rows.select(F.lit("night").alias("recording"), "signal_index", F.col("series").alias("label"), "record", "k", F.round("value", 6).alias("value"), F.lit(0.0).alias("physical_min"), F.lit(500.0).alias("physical_max"), F.lit(START).alias("start_us"))
+    return rows.select(F.lit("night").alias("recording"), "signal_index", F.col("series").alias("label"), "record", "k", F.round("value", 6).alias("value"), F.lit(0.0).alias("physical_min"), F.lit(500.0).alias("physical_max"), F.lit(first).alias("start_us"))
 
 
 @query(f"""WITH {S_TYPE}, l AS (SELECT series AS label, row_number() OVER (ORDER BY series) - 1 AS i FROM (SELECT DISTINCT series FROM s))

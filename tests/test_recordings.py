@@ -95,3 +95,17 @@ def test_sensor_signals(spark):
     for bad in (("motion", "raw", "", 3.0), ("odd",)):
         with pytest.raises(ValueError):
             signals_of(spark, *bad)
+
+
+def test_recording_covers_all_events(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from hypnoflow.plans import live
+
+    start = datetime(2024, 1, 1, 0, 30)
+    events = [(i, i % 3, "ab"[i % 2], start + timedelta(hours=13 * i), float(10 + i)) for i in range(60)]  # over 32 days
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = live.recording(spark, str(tmp_path)).where("value <> 0").select("label", "record", "value").distinct().collect()
+    assert {(r.label, r.record, r.value) for r in rows} == {("ab"[i % 2], 13 * i, 10.0 + i) for i in range(60)}
+    back = live.edf_roundtrip(spark, str(tmp_path)).where("value > 1").select("record").distinct().collect()
+    assert {r.record for r in back} == {0, 13, 26, 39}  # the part that its SQL has

@@ -180,3 +180,10 @@ def test_every_query_with_its_sql(spark):
             assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want), name
         else:
             assert len(got), name
+
+
+def test_epochs_over_the_whole_span(spark):
+    df = spark.createDataFrame([("a", 5_500, 1, 1.0), ("b", 9_100, 2, 2.0)], "series string, us bigint, event_id bigint, value double")
+    got = {(r.series, r.record, r.value) for r in resample.epochs(df, 1000, 1).collect()}
+    assert got == {(s, r, {("a", 0): 1.0, ("b", 4): 2.0}.get((s, r), 0.0)) for s in "ab" for r in range(5)}
+    assert resample.epochs(df.limit(0), 1000, 1).count() == 0
