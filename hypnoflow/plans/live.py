@@ -146,7 +146,7 @@ def edf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("record").orderBy("event_id")
     notes = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 48).alias("record")).withColumn("r", F.row_number().over(w)).where("r <= 3")
     notes = notes.select(F.lit("night").alias("recording"), "record", (F.col("record") * 3600 + F.col("r")).cast("double").alias("onset"), F.when(F.col("event_id") % 2 == 0, 2.5).alias("duration"), F.concat(F.lit("Note "), "event_type").alias("text"))
-    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes)
+    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes, all_annotations=True)
     return edf.read_recordings(spark, path, "annotations").select("record", "onset", "duration", "text")
 
 

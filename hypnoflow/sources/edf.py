@@ -234,8 +234,9 @@ def build_header(start_us: int, signals: list[dict], data_records: int, duration
 
 
 class EdfWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, duration: float, patient: str, recording: str) -> None:
+    def __init__(self, path: str, duration: float, patient: str, recording: str, annotation_samples: int | None = None) -> None:
         self.path, self.duration, self.patient, self.recording = path, duration, patient, recording
+        self.whole, self.annotation_samples = annotation_samples is not None, annotation_samples or ANNOTATION_SAMPLES
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = located(self.path)
@@ -256,7 +257,7 @@ class EdfWriter(DataSourceArrowWriter):
                 name, records, size = own, 0, 0
                 start = rows["start_us"][0].as_py()
                 signals = [{"label": rows["label"][a].as_py(), "physical_min": rows["physical_min"][a].as_py(), "physical_max": rows["physical_max"][a].as_py(), "digital_min": -32768, "digital_max": 32767, "samples_per_record": int(b - a)} for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                signals.append({"label": ANNOTATIONS, "physical_min": -1, "physical_max": 1, "digital_min": -32768, "digital_max": 32767, "samples_per_record": ANNOTATION_SAMPLES})
+                signals.append({"label": ANNOTATIONS, "physical_min": -1, "physical_max": 1, "digital_min": -32768, "digital_max": 32767, "samples_per_record": self.annotation_samples})
                 files.append(f"{re.sub(r'[^A-Za-z0-9._-]', '_', str(own))}-{uuid.uuid4().hex}.edf.part")
                 out = system.open_output_stream(posixpath.join(path, files[-1]), compression=None)
             if [int(b - a) for a, b in zip(bounds[:-1], bounds[1:])] != [s["samples_per_record"] for s in signals[:-1]]:
@@ -266,9 +267,12 @@ class EdfWriter(DataSourceArrowWriter):
                 out.write(to_digital(value[a:b], s).tobytes())
             kept = f"+{records * self.duration:.3f}\x14\x14\x00".encode()
             for tal in rows["tals"][0].as_py() or ():
+                fits = len(kept) + len(tal.encode()) <= 2 * self.annotation_samples
+                if self.whole and not fits:
+                    raise ValueError(f"the annotations of record {records} of {own} do not fit {2 * self.annotation_samples} bytes")
                 # what does not fit the record's annotation channel is left out whole, not cut in the middle
-                kept += tal.encode() if len(kept) + len(tal.encode()) <= 2 * ANNOTATION_SAMPLES else b""
-            out.write(kept.ljust(2 * ANNOTATION_SAMPLES, b"\x00"))
+                kept += tal.encode() if fits else b""
+            out.write(kept.ljust(2 * self.annotation_samples, b"\x00"))
             records += 1
 
         def finish() -> None:
@@ -324,25 +328,41 @@ class EdfSource(DataSource):
         return EdfReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> EdfWriter:
-        return EdfWriter(self.options["path"], float(self.options.get("record_seconds", RECORD_SECONDS)), self.options.get("patient", "X X X X"), self.options.get("recording", "Startdate X X X X"))
+        return EdfWriter(self.options["path"], float(self.options.get("record_seconds", RECORD_SECONDS)), self.options.get("patient", "X X X X"), self.options.get("recording", "Startdate X X X X"), int(self.options["annotation_samples"]) if "annotation_samples" in self.options else None)
 
 
-def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X") -> None:
+def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X", all_annotations: bool = False) -> None:
     """One file a recording from (recording, signal_index, label, record, k, value, physical_min, physical_max, start_us).
 
-    annotations: (recording, record, onset, duration, text), at most 2 * ANNOTATION_SAMPLES bytes a record. patient, recording: the
-    header's identification fields.
+    annotations: (recording, record, onset, duration, text). With all_annotations, the annotation signal is as wide as the
+    fullest record needs, and annotations of a record that does not exist are an error; without it, a record takes
+    2 * ANNOTATION_SAMPLES bytes, and what is beyond is left out. patient, recording: the header's identification fields.
     """
     rows.sparkSession.dataSource.register(EdfSource)
+    samples = None
     kept = rows.select("recording", F.col("signal_index").cast("int").alias("signal_index"), "label", F.col("record").cast("bigint").alias("record"), "k", "value", "physical_min", "physical_max", "start_us")
     if annotations is None:
         kept = kept.withColumn("tals", F.lit(None).cast("array<string>"))
     else:
         tal = F.struct("onset", build_tal(F.col("onset"), F.col("duration"), F.col("text")).alias("tal"))
         blocks = annotations.groupBy("recording", "record").agg(F.array_sort(F.collect_list(tal))["tal"].alias("tals"))
-        kept = kept.join(blocks, ["recording", "record"], "left")
+        # a block goes to the first row of its record only: it would be repeated for every sample
+        heads = kept.groupBy("recording", "record").agg(F.min(F.struct("signal_index", "k")).alias("head"))
+        placed = blocks.join(heads, ["recording", "record"], "left").select("recording", "record", "head.signal_index", "head.k", "tals")
+        if all_annotations:
+            lost = placed.where("signal_index is null").first()
+            if lost is not None:
+                raise ValueError(f"annotations of record {lost.record} of {lost.recording}, which has no samples")
+            size = F.octet_length(F.concat_ws("", "tals")) + F.length(F.format_string("+%.3f", F.col("record") * float(record_seconds))) + 3
+            samples = max(ANNOTATION_SAMPLES, -(-(blocks.agg(F.max(size)).first()[0] or 0) // 2))
+            if samples >= 10**8:
+                raise ValueError(f"{samples} samples of annotations a record are more than the header's field can say")
+        kept = kept.join(placed, ["recording", "record", "signal_index", "k"], "left")
     ordered = kept.repartition("recording").sortWithinPartitions("recording", "record", "signal_index", "k")
-    ordered.write.format("edf").option("record_seconds", str(record_seconds)).option("patient", patient).option("recording", recording).mode("append").save(path)
+    writer = ordered.write.format("edf").option("record_seconds", str(record_seconds)).option("patient", patient).option("recording", recording)
+    if samples is not None:
+        writer = writer.option("annotation_samples", str(samples))
+    writer.mode("append").save(path)
 
 
 def read_recordings(spark: SparkSession, path: str, kind: str = "samples", signals: str | None = None) -> DataFrame:

@@ -109,3 +109,15 @@ def test_recording_covers_all_events(spark, tmp_path):
     assert {(r.label, r.record, r.value) for r in rows} == {("ab"[i % 2], 13 * i, 10.0 + i) for i in range(60)}
     back = live.edf_roundtrip(spark, str(tmp_path)).where("value > 1").select("record").distinct().collect()
     assert {r.record for r in back} == {0, 13, 26, 39}  # the part that its SQL has
+
+
+def test_all_annotations_are_written(spark, tmp_path):
+    notes = [("x", i % 3, float(i % 3 * 2) + i / 1000, None, f"note {i} é") for i in range(200)] + [("x", 1, 2.5, 1.5, "long " * 100)]
+    schema = "recording string, record bigint, onset double, duration double, text string"
+    df = spark.createDataFrame(rows("x", ["A"], 3, 4), SCHEMA)
+    edf.write_recordings(df, str(tmp_path / "n"), 2.0, spark.createDataFrame(notes, schema), all_annotations=True)
+    got = edf.read_recordings(spark, str(tmp_path / "n"), "annotations").collect()
+    assert sorted((r.record, r.text) for r in got) == sorted((n[1], n[4]) for n in notes)
+    assert edf.read_recordings(spark, str(tmp_path / "n")).count() == 12
+    with pytest.raises(ValueError, match="record 7"):
+        edf.write_recordings(df, str(tmp_path / "m"), 2.0, spark.createDataFrame([("x", 7, 1.0, None, "a")], schema), all_annotations=True)
