@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. Parts that say what they are not (menus, footers, asides, forms, scripts, and elements
-whose class, id or role names an advert, a notice, a comment section and the like) go first. Every node then has a
+whose class, id or role names an advert, a notice, a comment section and the like) go first; a form or a class is no
+reason to drop what holds the article. Every node then has a
 composite density: its characters per tag, weighed down by the share of characters and tags in links, relative to the
 body's. The node whose children's densities sum highest is the content; the least density on the path from the body
 to it is the threshold, and every other node at least that dense gives its own maximum-sum subtree too.
@@ -49,30 +50,76 @@ class Tree:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.drop, self.in_article = ["#root"], [0], [False], [False]
+        self.marked: list[bool] = [False]  # said to be no content by class or id only, or a form
         self.pieces: list[tuple[int, str]] = []  # (element, text); an empty text is a block boundary
 
-    def add(self, tag: str, parent: int, drop: bool) -> int:
+    def add(self, tag: str, parent: int, drop: bool, marked: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.drop.append(drop)
+        self.marked.append(marked)
         self.in_article.append(tag in ("article", "main") or self.in_article[parent])
         return len(self.tag) - 1
 
 
-def _unwanted(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_content:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _named(value: str) -> bool:
+    return not NOT_CONTENT.isdisjoint(re.split(r"[^a-z]+", value.lower()))
+
+
+def _unwanted(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
+    """Whether the element goes for certain, and whether it is marked as what goes unless it holds the article."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not in_content:
+        return True, False
+    marked = tag == "form"
+    if not attributes or tag in ("html", "body", "main"):
+        return False, marked
+    if tag == "article":
+        return False, any(name.lower() in ("class", "id") and _named(" ".join(values)) for name, *values in _MARKS.findall(attributes))
     if _HIDDEN.search(attributes):
-        return True
+        return True, False
     for name, *values in _MARKS.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not NOT_CONTENT.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES - {"form"}:
+            return True, False
+        if name in ("class", "id") and _named(value) or name == "role" and value == "form":
+            marked = True
+    return False, marked
+
+
+def _drop_marked(tree: Tree) -> None:
+    """Drops what is marked, but for layout wrappers: those that hold half of the longest article's text outside links.
+
+    The articles are the article elements (those whose own class is marked, as comments' are, only if there are no others),
+    else the main element, else the whole page.
+    """
+    if not any(tree.marked):
+        return
+    n = len(tree.tag)
+    own, in_link = [0] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = tree.tag[i] == "a" or in_link[tree.parent[i]]
+    for i, piece in tree.pieces:
+        if piece and not tree.drop[i] and not in_link[i]:
+            own[i] += len("".join(piece.split()))
+
+    def upward(values: list[int]) -> list[int]:
+        out = list(values)
+        for i in range(n - 1, 0, -1):
+            out[tree.parent[i]] += out[i]
+        return out
+
+    chars = upward(own)
+    articles = [i for i in range(n) if tree.tag[i] == "article" and chars[i]]
+    cores = [i for i in articles if not tree.marked[i]] or articles or [i for i in range(n) if tree.tag[i] == "main" and chars[i]] or [0]
+    longest, inside = max(chars[i] for i in cores), [False] * n
+    for i in cores:
+        inside[i] = True
+    for i in range(1, n):
+        inside[i] = inside[i] or inside[tree.parent[i]]
+    held = upward([c if x else 0 for c, x in zip(own, inside)])
+    for i in range(1, n):
+        wrapper = longest > 0 and 2 * held[i] >= longest
+        tree.drop[i] = tree.drop[i] or tree.drop[tree.parent[i]] or tree.marked[i] and not wrapper and tree.tag[i] not in ("article", "main")
 
 
 def parse(page: str) -> Tree:
@@ -113,12 +160,14 @@ def parse(page: str) -> Tree:
                 close_to(depth)
         if tag not in INLINE:
             tree.pieces.append((stack[-1], ""))
-        node = tree.add(tag, stack[-1], tree.drop[stack[-1]] or _unwanted(tag, m[3], tree.in_article[stack[-1]]))
+        drop, marked = _unwanted(tag, m[3], tree.in_article[stack[-1]])
+        node = tree.add(tag, stack[-1], tree.drop[stack[-1]] or drop, marked)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n  # their content is never article text
         elif tag not in VOID and not (tag in ("svg", "path") and m[3].rstrip().endswith("/")):
             stack.append(node)  # a closing slash means nothing on HTML's own elements
+    _drop_marked(tree)
     return tree
 
 

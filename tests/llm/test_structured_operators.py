@@ -152,3 +152,24 @@ def test_warc_ignores_files_of_lost_tasks(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "h")], "page_id bigint, url string, html string"), str(tmp_path / "w"))
     (tmp_path / "w" / "lost.warc.gz").write_bytes(b"not an archive")
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 1
+
+
+STORY = "".join(f"<p>Sentence number {i} has a few words, as sentences do.</p>" for i in range(6))
+SIDE = "<div class='sidebar'><p>Read other things here.</p></div><div class='comments'><p>A reader says this.</p></div>"
+WRAPPERS = ["<div class='content-sidebar-wrap'>{}</div>", "<div class='has-sidebar'><div id='no-sidebar'>{}</div></div>", "<div class='widget-page'>{}</div>", "<form action='/'>{}</form>", "<div role='form'>{}</div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_main_text_in_layout_wrappers(wrapper, inner):
+    want = " ".join(f"Sentence number {i} has a few words, as sentences do." for i in range(6))
+    page = "<body><nav>Home</nav>" + wrapper.format(inner.format(STORY) + SIDE) + "<footer>f</footer></body>"
+    assert htmltext.main_text(page) == want
+
+
+def test_main_text_without_comments_and_teasers():
+    want = " ".join(f"Sentence number {i} has a few words, as sentences do." for i in range(6))
+    comments = "<div class='comments'>" + "<article class='comment'><p>A reader says a great many words here, again and again.</p></article>" * 20 + "</div>"
+    teasers = "<div class='related'>" + "<article><p>Another story.</p></article>" * 3 + "</div>"
+    page = f"<body><div class='has-sidebar'><main><article>{STORY}</article>{comments}</main>{teasers}</div></body>"
+    assert htmltext.main_text(page) == want
