@@ -3,8 +3,8 @@
 Texts are lower-cased, everything but letters is taken as one space, and runs of 1 to 3 characters are hashed into
 FEATURES counts, scaled to length one. Linear support vector machines (hinge loss, dual coordinate descent) decide: one
 against the rest for each family, then one for each pair of languages in the winning family, whose votes are counted,
-margins breaking ties. Training uses at most SAMPLE texts a language, drawn by a hash of the text over the whole table; the
-features of these, not their texts, go to the driver, and the weights (FEATURES floats a machine) to the executors.
+margins breaking ties. Training uses at most SAMPLE distinct texts a language, those of the lowest hashes in the whole table; the
+features of these only, not their texts, go to the driver, and the weights (FEATURES floats a machine) to the executors.
 
 Machines only compare languages and must name one of them for anything. So a model also knows how likely each language's own
 texts are (mean log-likelihood of a text's runs under the counts of the sample, each text without itself), and `usual` is
@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,24 +189,36 @@ def learn_likelihood(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     """A model from rows with text and lang."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("h"), unit_hash("text", seed=seed).alias("u"))
+    # copies count once; the estimate, within a few hundredths, needs no shuffle
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return Model()
     # a little more than asked for, so that chance leaves enough, then the lowest hashes of each language
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * sample / n)))])
-    drawn = rows.select("lang", "text", unit_hash("text", seed=seed).alias("u")).where(F.col("u") < share[F.col("lang")])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * sample / max(n, 1))))])
+    drawn = rows.where(F.col("u") < share[F.col("lang")])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of what is drawn, a little over `sample` a language
         for batch in batches:
-            found = [features(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["lang"], batch["u"], pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["lang", "u", "at", "value"])
-
-    got = drawn.mapInArrow(of, "lang string, u double, at array<int>, value array<float>").toArrow()
-    by_lang: dict[str, list[tuple[float, np.ndarray, np.ndarray]]] = {}
-    for lang, u, at, value in zip(got["lang"].to_pylist(), got["u"].to_pylist(), got["at"], got["value"]):
-        if len(at.values):
-            by_lang.setdefault(lang, []).append((u, at.values.to_numpy(), value.values.to_numpy()))
-    kept = [(lang, at, value) for lang in sorted(by_lang) for _, at, value in sorted(by_lang[lang], key=lambda x: (x[0], len(x[1]), x[1].tobytes()))[:sample]]
+            fresh = []
+            for i, key in enumerate(zip(batch["lang"].to_pylist(), batch["h"].to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            found = [(i, *features(batch["text"][i].as_py())) for i in fresh]
+            found = [x for x in found if len(x[1])]
+            own = batch.select(["lang", "h", "u"]).take(pa.array([i for i, *_ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([a.astype(np.int32) for _, a, _ in found], pa.list_(pa.int32())), pa.array([v for *_, v in found], pa.list_(pa.float32()))], ["lang", "h", "u", "at", "value"])
+
+    made = drawn.mapInArrow(of, "lang string, h bigint, u double, at array<int>, value array<float>")
+    once = made.withColumn("r", F.row_number().over(Window.partitionBy("lang", "h").orderBy("u"))).where("r = 1")
+    least = once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))).where(F.col("r") <= sample)
+    got = least.drop("r").toArrow()
+    by_lang: dict[str, list[tuple[float, int, np.ndarray, np.ndarray]]] = {}
+    for lang, h, u, at, value in zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["u"].to_pylist(), got["at"], got["value"]):
+        by_lang.setdefault(lang, []).append((u, h, at.values.to_numpy(), value.values.to_numpy()))
+    kept = [(lang, at, value) for lang in sorted(by_lang) for _, _, at, value in sorted(by_lang[lang], key=lambda x: x[:2])]
     languages = sorted(by_lang)
     if not languages:
         return Model()

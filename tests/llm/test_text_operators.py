@@ -282,3 +282,17 @@ def test_sharding(docs, none, rows, bucket_bytes):
 def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 5, seed=1)
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 5
+
+
+def test_language_learns_distinct_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    few = [(sentence(rng, "de", 25), "de") for _ in range(3)] * 1000  # copies only
+    hot = [(sentence(rng, "en", 25), "en")] * 2000 + [(sentence(rng, "en", 25), "en") for _ in range(300)]
+    rows = few + hot + [("12 34", "en"), ("über", None)]
+    learned = []
+    original = langid.inner_products
+    monkeypatch.setattr(langid, "inner_products", lambda x: learned.append([(a.tobytes(), v.tobytes()) for a, v in x]) or original(x))
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(6), sample=60)
+    assert model.languages == ["de", "en"]
+    assert len(learned[0]) == len(set(learned[0])) == 3 + 60  # all texts of the one, as many as asked for of the other
+    assert all(model.predict(t)[0] == lang for t, lang in few[:3])
