@@ -1,14 +1,27 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Parts that say what they are not (menus, footers, asides, forms, scripts, and elements
-whose class, id or role names an advert, a notice, a comment section and the like) go first; a form or a class is no
-reason to drop what holds the article. Every node then has a
-composite density: its characters per tag, weighed down by the share of characters and tags in links, relative to the
-body's. The node whose children's densities sum highest is the content; the least density on the path from the body
-to it is the threshold, and every other node at least that dense gives its own maximum-sum subtree too.
+A page becomes a tree of elements. With `clean` (the default), parts that say what they are not (menus, footers, asides,
+forms, and elements whose class, id or role names an advert, a notice, a comment section and the like) are marked and
+never put out; a form or a class is no reason to drop what holds the article. Scripts, styles and the head never count.
+
+Densities are those of the whole page, marked parts included. A node's composite density is its characters per tag,
+weighed by the characters and tags outside links, relative to the body's share of links; every count of zero is taken
+as one. A block's density sum is that of its child blocks, a run of text of its own between them counting as one. Then
+
+1. the block with the highest sum (the outermost of equals) is the core;
+2. the path from the core to the body sets two thresholds: the core is widened to an outer node for as long as that is
+   at least CLIMB times as dense as the core, for where menus and notices come in, density falls; and the least density
+   on the path is that of the page as a whole;
+3. in the content, blocks with fewer characters outside links than in them, two links at least and a density under the
+   page's are menus of their own and go; beside it, within an article element around it, blocks at least as dense as
+   the page belong to it, and so does the last heading before it if it has none.
+
+The plain rule, by which every node of the page's density gives its own densest subtree, lets short notices through:
+text without a link is dense. Widening along the path leaves them out.
 
 Defined results: a null or empty page, and one without text, gives the empty string; unclosed and stray tags are put right
-as browsers do for the common cases; character references are decoded once; text is never cut.
+as browsers do for the common cases; character references are decoded once; text is never cut. Time is linear in the
+page: tags that never end, quotes that never close and elements nested by the million included.
 """
 
 from __future__ import annotations
@@ -16,7 +29,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +40,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select option textarea input dialog menu".split())
+#: Elements whose content is never text of the page.
+NO_TEXT = frozenset("head script style noscript template iframe object embed svg math canvas audio video".split())
+#: Elements that are not the article by their name.
+DROPPED = frozenset("nav footer aside form button select option textarea input dialog menu".split())
 #: Opening one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Opening one of the keys ends an open element among the values, up to the nearest scope.
@@ -40,9 +57,12 @@ NOT_CONTENT = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget toolbar footer masthead share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login comment comments commentlist respond disqus replies pagination pager skip".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: An outer node is content too if it is at least this share as dense as the core.
+CLIMB = 0.7
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_MARKS = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.IGNORECASE)
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.IGNORECASE)
 
 
 class Tree:
@@ -86,6 +106,22 @@ def _unwanted(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
     return False, marked
 
 
+def _upward(tree: Tree, values: list[int]) -> list[int]:
+    """Each node's value with those of all below it."""
+    out, parent = list(values), tree.parent
+    for i in range(len(out) - 1, 0, -1):
+        if out[i]:
+            out[parent[i]] += out[i]
+    return out
+
+
+def _in_links(tree: Tree) -> list[bool]:
+    out = [False] * len(tree.tag)
+    for i in range(1, len(out)):
+        out[i] = tree.tag[i] == "a" or out[tree.parent[i]]
+    return out
+
+
 def _drop_marked(tree: Tree) -> None:
     """Drops what is marked, but for layout wrappers: those that hold half of the longest article's text outside links.
 
@@ -95,20 +131,11 @@ def _drop_marked(tree: Tree) -> None:
     if not any(tree.marked):
         return
     n = len(tree.tag)
-    own, in_link = [0] * n, [False] * n
-    for i in range(1, n):
-        in_link[i] = tree.tag[i] == "a" or in_link[tree.parent[i]]
+    own, in_link = [0] * n, _in_links(tree)
     for i, piece in tree.pieces:
         if piece and not tree.drop[i] and not in_link[i]:
             own[i] += len("".join(piece.split()))
-
-    def upward(values: list[int]) -> list[int]:
-        out = list(values)
-        for i in range(n - 1, 0, -1):
-            out[tree.parent[i]] += out[i]
-        return out
-
-    chars = upward(own)
+    chars = _upward(tree, own)
     articles = [i for i in range(n) if tree.tag[i] == "article" and chars[i]]
     cores = [i for i in articles if not tree.marked[i]] or articles or [i for i in range(n) if tree.tag[i] == "main" and chars[i]] or [0]
     longest, inside = max(chars[i] for i in cores), [False] * n
@@ -116,145 +143,215 @@ def _drop_marked(tree: Tree) -> None:
         inside[i] = True
     for i in range(1, n):
         inside[i] = inside[i] or inside[tree.parent[i]]
-    held = upward([c if x else 0 for c, x in zip(own, inside)])
+    held = _upward(tree, [c if x else 0 for c, x in zip(own, inside)])
     for i in range(1, n):
         wrapper = longest > 0 and 2 * held[i] >= longest
         tree.drop[i] = tree.drop[i] or tree.drop[tree.parent[i]] or tree.marked[i] and not wrapper and tree.tag[i] not in ("article", "main")
 
 
-def parse(page: str) -> Tree:
-    tree, stack = Tree(), [0]
+def parse(page: str, clean: bool = True) -> Tree:
+    """The page's tree; without `clean` nothing is dropped but what is no text."""
+    tree, stack, token = Tree(), [0], _TAG
     at, n = 0, len(page)
+    open_at: dict[str, list[int]] = {}  # by tag, the places on the stack where one is open
+    block = [0]  # by place on the stack, the nearest place at or below that is no inline element
 
     def text(raw: str) -> None:
         if raw:
             tree.pieces.append((stack[-1], html.unescape(raw) if "&" in raw else raw))
 
     def close_to(depth: int) -> None:
-        if any(tree.tag[x] not in INLINE for x in stack[depth:]):
+        if block[-1] >= depth:
             tree.pieces.append((stack[depth - 1], ""))
-        del stack[depth:]
+        for x in reversed(stack[depth:]):
+            open_at[tree.tag[x]].pop()
+        del stack[depth:], block[depth:]
+
+    def nearest(tags: set[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        tag_at = page.find("<", at)
+        if tag_at < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:  # comments and declarations
+        follows = page[tag_at + 1 : tag_at + 2]
+        if follows in ("!", "?"):
+            text(page[at:tag_at])
+            comment = page.startswith("<!--", tag_at)
+            end = page.find("-->" if comment else ">", tag_at + (4 if comment else 2))
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        m = None
+        if follows == "/" or "a" <= follows.lower() <= "z":
+            m = token.match(page, tag_at)
+            if m is None and token is _TAG and follows != "/":
+                # quotes that run to the end of the page are none from here on: it is scanned once more only
+                token = _LOOSE
+                m = token.match(page, tag_at)
+        if m is None and follows != "/" and not "a" <= follows.lower() <= "z":
+            text(page[at : tag_at + 1])
+            at = tag_at + 1
+            continue
+        if m is None:
+            end = page.find(">", tag_at)
+            text(page[at:] if end < 0 else page[at:tag_at])  # where no tag ends from here on, the rest is text
+            at = n if end < 0 else end + 1
             continue
+        text(page[at:tag_at])
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tree.tag[stack[d]] == tag), 0)
-            if depth:
-                close_to(depth)
+            if open_at.get(tag):
+                close_to(open_at[tag][-1])
             continue
         if tag in ENDS_P:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tree.tag[stack[d]] == "p" or tree.tag[stack[d]] not in INLINE), 0)
-            if depth and tree.tag[stack[depth]] == "p":
-                close_to(depth)
+            if open_at.get("p") and block[-1] == open_at["p"][-1]:
+                close_to(block[-1])
         elif tag in ENDS:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tree.tag[stack[d]] in ENDS[tag] | SCOPES[tag]), 0)
+            depth = nearest(ENDS[tag] | SCOPES[tag])
             if depth and tree.tag[stack[depth]] in ENDS[tag]:
                 close_to(depth)
         if tag not in INLINE:
             tree.pieces.append((stack[-1], ""))
-        drop, marked = _unwanted(tag, m[3], tree.in_article[stack[-1]])
-        node = tree.add(tag, stack[-1], tree.drop[stack[-1]] or drop, marked)
+        drop, marked = _unwanted(tag, m[3], tree.in_article[stack[-1]]) if clean else (False, False)
+        node = tree.add(tag, stack[-1], tree.drop[stack[-1]] or drop or tag in NO_TEXT, marked)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{tag}\s*+>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n  # their content is never article text
         elif tag not in VOID and not (tag in ("svg", "path") and m[3].rstrip().endswith("/")):
+            open_at.setdefault(tag, []).append(len(stack))
+            block.append(block[-1] if tag in INLINE else len(stack))
             stack.append(node)  # a closing slash means nothing on HTML's own elements
     _drop_marked(tree)
     return tree
 
 
-def densities(tree: Tree) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum of its children's."""
-    n = len(tree.tag)
-    chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, page_share: float) -> float:
+    """Composite text density; page_share: the body's characters in links for each of all its characters."""
+    if not chars:
+        return 0.0
+    c, t, lc, lt, plain = chars, max(tags, 1), max(link_chars, 1), max(link_tags, 1), max(chars - link_chars, 1)
+    return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(math.log(c / plain * lc + page_share * c + math.e))
+
+
+@dataclass
+class Densities:
+    """By node: composite density, the sum of its child blocks' densities, characters, those in links, and tags a below it."""
+
+    density: list[float]
+    total: list[float]
+    chars: list[int]
+    links: list[int]
+    link_tags: list[int]
+
+
+def densities(tree: Tree) -> Densities:
+    """Of all that is text on the page; sums leave out what was dropped."""
+    n, tag, parent, drop = len(tree.tag), tree.tag, tree.parent, tree.drop
+    silent = [False] * n
     for i in range(1, n):
-        in_link[i] = tree.tag[i] == "a" or in_link[tree.parent[i]]
+        silent[i] = tag[i] in NO_TEXT or silent[parent[i]]
+    own, own_links, in_link = [0] * n, [0] * n, _in_links(tree)
+    # runs of text between block boundaries and line breaks: (block, characters, of them in links, tags, link tags)
+    block = list(range(n))
+    for i in range(1, n):
+        block[i] = block[parent[i]] if tag[i] in INLINE else i
+    runs: list[list[int]] = []
+    last, run = -1, None
     for i, piece in tree.pieces:
-        if piece and not tree.drop[i]:
-            size = len("".join(piece.split()))
-            chars[i] += size
-            links[i] += size if in_link[i] else 0
-    for i in range(n - 1, 0, -1):
-        if not tree.drop[i]:
-            up = tree.parent[i]
-            chars[up] += chars[i]
-            links[up] += links[i]
-            tags[up] += tags[i] + 1
-            link_tags[up] += link_tags[i] + (tree.tag[i] == "a")
-    share = links[0] / chars[0] if chars[0] else 0.0
-    density, total = [0.0] * n, [0.0] * n
+        if not piece:
+            run = None
+            continue
+        size = len("".join(piece.split()))
+        if not size or silent[i]:
+            continue
+        if run is None or run[0] != block[i] or any(tag[x] == "br" for x in range(last + 1, i)):
+            run = [block[i], 0, 0, 0, 0]
+            runs.append(run)
+        if i != last and i != block[i]:
+            run[3] += 1
+            run[4] += tag[i] == "a"
+        last = i
+        own[i] += size
+        run[1] += size
+        if in_link[i]:
+            own_links[i] += size
+            run[2] += size
+    chars, links = _upward(tree, own), _upward(tree, own_links)
+    below = _upward(tree, [int(not silent[i]) for i in range(n)])
+    anchors = _upward(tree, [int(tag[i] == "a" and not silent[i]) for i in range(n)])
+    body = next((i for i in range(n) if tag[i] == "body"), 0)
+    share = max(links[body], 1) / chars[body] if chars[body] else max(links[0], 1) / max(chars[0], 1)
+    density = [0.0] * n
     for i in range(n):
-        if chars[i] and not tree.drop[i]:
-            c, t, lc, lt = chars[i], max(tags[i], 1), links[i], max(link_tags[i], 1)
-            plain = c / t
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            # without any link the base is 1 and tells nothing: characters per tag alone
-            density[i] = plain * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / math.log(base) if base > 1.0001 else plain * math.log(max(c, 2))
+        if chars[i]:
+            density[i] = composite(chars[i], below[i] - 1, links[i], anchors[i] - (tag[i] == "a"), share)
+    total = [0.0] * n
     for i in range(1, n):
-        total[tree.parent[i]] += density[i]
-    return density, total
+        if block[i] == i and not drop[i]:
+            total[block[parent[i]]] += density[i]
+    for b, c, lc, t, lt in runs:
+        if not drop[b]:
+            total[b] += composite(c, t, lc, lt, share)
+    return Densities(density, total, chars, links, anchors)
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page; empty where there is none."""
+def main_text(page: str | None, clean: bool = True) -> str:
+    """The article of a page; empty where there is none. Without `clean`, density alone decides."""
     if not page:
         return ""
-    tree = parse(page)
-    density, total = densities(tree)
-    n = len(tree.tag)
-    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    if any(p and p.strip() and not tree.drop[i] and not inside for (i, p), inside in zip(tree.pieces, _inside(tree, body, [i for i, _ in tree.pieces]))):
-        body = 0  # text after a stray end of the body
-    # the best subtree under each node; what has no denser children stands for itself
-    best = list(range(n))
-    score = [max(total[i], density[i]) for i in range(n)]
-    for i in range(n - 1, 0, -1):
-        up = tree.parent[i]
-        if not tree.drop[i] and score[best[i]] > score[best[up]]:
-            best[up] = best[i]
-    path = [best[body]]
+    tree = parse(page, clean)
+    d = densities(tree)
+    n, tag, parent, drop = len(tree.tag), tree.tag, tree.parent, tree.drop
+    body = next((i for i in range(n) if tag[i] == "body"), 0)
+    inside = _below(tree, [body])
+    if any(not inside[i] and not drop[i] and p.strip() for i, p in tree.pieces if p):
+        body, inside = 0, [True] * n  # text beside the body
+    core = max((i for i in range(n) if inside[i] and not drop[i] and tag[i] not in INLINE), key=d.total.__getitem__, default=body)
+    path = [core]
     while path[-1] not in (body, 0):
-        path.append(tree.parent[path[-1]])
-    threshold = min(density[i] for i in path)
-    content, direct = [False] * n, [False] * n
-    for i, inside in zip(range(n), _inside(tree, body, range(n))):
-        if inside and not tree.drop[i] and density[i] and density[i] >= threshold:
-            content[best[i]] = True
-            direct[i] = i != body  # text of its own beside the subtree belongs to it
-    # an article is whole, and so are the headings beside the content
-    for i in path:
-        content[i] = content[i] or tree.tag[i] == "article"
-    above = set(path)
+        path.append(parent[path[-1]])
+    threshold = min(d.density[i] for i in path)
+    outer = 0
+    for place, i in enumerate(path):
+        if d.density[i] < CLIMB * d.density[core]:
+            break
+        outer = place
+    tops = [path[outer]]
+    article = next((i for i in path[outer:] if tag[i] == "article"), None)
+    content = _below(tree, tops)
+    held = _below(tree, [article]) if article is not None else content
+    before = [i for i in range(tops[0]) if tag[i] in HEADINGS and not drop[i] and parent[i] in path[outer:] and d.chars[i]]
+    if before and not any(content[i] and tag[i] in HEADINGS for i in range(n)):
+        content[before[-1]] = True
+    menu = [False] * n
     for i in range(1, n):
-        content[i] = (content[i] or content[tree.parent[i]] or tree.tag[i] in HEADINGS and tree.parent[i] in above) and not tree.drop[i]
-    return " ".join("".join(" " if not p or tree.tag[i] == "br" else p for i, p in tree.pieces if not p or content[i] or direct[i] and not tree.drop[i]).split())
+        own_block = tag[i] not in INLINE
+        content[i] = content[i] or content[parent[i]] or held[i] and own_block and d.density[i] >= threshold
+        low = own_block and d.density[i] < threshold and 2 * d.links[i] > d.chars[i] and d.link_tags[i] > 1
+        menu[i] = menu[parent[i]] or low and i not in path
+    return " ".join("".join(" " if not p or tag[i] == "br" else p for i, p in tree.pieces if not p or content[i] and not drop[i] and not menu[i]).split())
 
 
-def _inside(tree: Tree, top: int, nodes: Iterable[int]) -> list[bool]:
-    """Whether each of the nodes is top or below it."""
+def _below(tree: Tree, tops: list[int]) -> list[bool]:
+    """By node, whether it is one of tops or below one."""
     found = [False] * len(tree.tag)
-    for i in range(top, len(found)):
-        found[i] = i == top or i > top and found[tree.parent[i]]
-    return [found[i] for i in nodes]
+    for i in tops:
+        found[i] = True
+    for i in range(1, len(found)):
+        found[i] = found[i] or found[tree.parent[i]]
+    return found
 
 
-def extract(pages: DataFrame, text: str = "text") -> DataFrame:
+def extract(pages: DataFrame, text: str = "text", clean: bool = True) -> DataFrame:
     """pages with the main text of their html column."""
     kept = [f for f in pages.schema.fields if f.name.lower() != text]
     schema = T.StructType([*kept, T.StructField(text, T.StringType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(p.as_py()) for p in batch["html"]]
+            found = [main_text(p.as_py(), clean) for p in batch["html"]]
             yield pa.RecordBatch.from_arrays([batch[f.name] for f in kept] + [pa.array(found, pa.string())], [*(f.name for f in kept), text])
 
     return pages.select(*[f.name for f in kept]).mapInArrow(of, schema)
