@@ -110,7 +110,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_DEFAULT, seed=MIX_SEED)
-    return mixed.select("doc_id", "source", "mix_copy", "mix_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    return mixed.select("doc_id", "source", "mix_row", "mix_copy", "mix_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 OP10_SQL = """
@@ -120,10 +120,11 @@ WITH RECURSIVE counts AS (SELECT source, count(*) AS n, CASE WHEN source = 'src0
   pmf AS (SELECT source, parts, r / parts AS m, 0 AS k, exp(-r / parts) AS p, exp(-r / parts) AS c FROM part
           UNION ALL SELECT source, parts, m, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM pmf WHERE k < least(ceil(m + 12 * sqrt(m) + 20), 1023)),
   cdf AS (SELECT source, parts, list(c ORDER BY k) AS cs FROM pmf GROUP BY ALL),
-  drawn AS (SELECT d.doc_id, d.source, d.text, cs, unnest(range(1, parts + 1)) AS part FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source),
-  counted AS (SELECT *, len(list_filter(cs, lambda c: c < (CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || part), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) AS n FROM drawn),
-  copies AS (SELECT doc_id, source, text, CAST(unnest(range(1, n + 1)) + (part - 1) * 1024 AS INTEGER) AS mix_copy FROM counted)
-SELECT doc_id, source, mix_copy, md5('20/order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || mix_copy) AS mix_key, md5(coalesce(text, '')) AS text_md5 FROM copies
+  named AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS mix_row FROM documents),
+  drawn AS (SELECT d.*, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_md5 || ':' || mix_row AS name, cs, unnest(range(1, parts + 1)) AS part FROM named d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source),
+  counted AS (SELECT *, len(list_filter(cs, lambda c: c < (CAST('0x' || substr(md5('20:' || name || ':' || part), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) AS n FROM drawn),
+  copies AS (SELECT doc_id, source, text_md5, mix_row, name, CAST(unnest(range(1, n + 1)) + (part - 1) * 1024 AS INTEGER) AS mix_copy FROM counted)
+SELECT doc_id, source, mix_row, mix_copy, md5('20/order:' || name || ':' || mix_copy) AS mix_key, text_md5 FROM copies
 """
 
 QUERIES = {

@@ -4,10 +4,11 @@ Pass one scatters the records into memory-sized buckets by a seeded hash of the
 loads each bucket, shuffles it by Fisher-Yates with a generator seeded by (seed, bucket) and puts it out. The buckets
 one after another are the shuffled stream, cut into shards whose row counts differ by one at most (law `rows`).
 
-A bucket that repeated rows would overfill is dealt again over as many sub-buckets as its bytes ask for, so one task
-never holds much more than bucket_bytes, or one record where that is larger.
+Rows that repeat id and text would all go to one bucket. They are found by counting the hashes, and each gets a number
+that is hashed with it (and written with it first, so that it stays the same if a task runs again). So copies are spread
+over all buckets like other rows, and a bucket holds about bucket_bytes, or one record where that is larger.
 
-Defined results: a null text counts no bytes and stays null; empty texts, repeated rows and repeated ids are records
+Defined results: a null text counts ROW_BYTES like an empty one and stays null; empty texts, repeated rows and repeated ids are records
 like others; an empty table gives an empty result; fewer rows than shards leave some shards empty; other columns are
 carried along, but for shard, slot and the names beginning with shard_ that are this operator's own.
 """
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import repeats_apart, without
 
-#: Text bytes that pass two may hold at once for a bucket; three times that is needed while it is permuted.
-BUCKET_BYTES = 32 << 20
+#: Bytes that pass two may hold at once for a bucket; twice that is needed while its pieces are put together.
+BUCKET_BYTES = 16 << 20
+#: What a row counts for besides its text.
+ROW_BYTES = 64
 #: Offsets (16 bytes a bucket) are broadcast up to so many buckets.
 BROADCAST_BUCKETS = 1_000_000
 
@@ -43,42 +46,40 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, bucket_byte
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
-    docs = without(docs, "shard", "slot", "shard_bucket", "shard_start", "shard_tie")
-    rows, total = docs.agg(F.count(F.lit(1)), F.sum(text_bytes())).first()
+    docs = without(docs, "shard", "slot", "shard_hash", "shard_row", "shard_bucket", "shard_start")
+    seen, once, again = repeats_apart(docs.withColumn("shard_hash", F.xxhash64(F.lit(seed), "doc_id", "text")), "shard_hash", "shard_row", text_bytes() + ROW_BYTES)
+    rows, total = (int(x or 0) for x in seen.agg(F.sum("n"), F.sum("bytes")).first())
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, -(-int(total or 0) // bucket_bytes), min(width, rows // 64))
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))
-    dealt = docs.withColumn("shard_bucket", key)
-    # the histogram gives every bucket's place in the stream, and which buckets repeated rows have overfilled
-    filled = dealt.groupBy("shard_bucket").agg(F.sum(text_bytes()).alias("bytes"), F.count(F.lit(1)).alias("n"))
-    split = {r["shard_bucket"]: -(-r["bytes"] // bucket_bytes) for r in filled.where(F.col("bytes") > 2 * bucket_bytes).collect()}
-    if split:
-        ways = F.coalesce(F.create_map(*[F.lit(x) for kv in split.items() for x in kv])[F.col("shard_bucket")], F.lit(1))
-        # a row's ordinal in its input split: the same whenever that split is read again
-        dealt = dealt.withColumn("shard_bucket", F.col("shard_bucket") + F.pmod(F.monotonically_increasing_id(), ways) * F.lit(buckets))
-        filled = dealt.groupBy("shard_bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = filled.select("shard_bucket", "n").toArrow().sort_by("shard_bucket")
-    n = counts["n"].to_numpy()
+    buckets = max(1, -(-total // bucket_bytes), min(width, rows // 64))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "shard_hash", "shard_row"), F.lit(buckets)).alias("shard_bucket")
+    no_row = F.lit(0).cast("bigint").alias("shard_row")
+    names = docs.columns
+    dealt, places = once.select("*", no_row), seen.where("n = 1").select("shard_hash", no_row)
+    if again is not None:
+        dealt, places = dealt.select(*names, "shard_hash", "shard_row").union(again.select(*names, "shard_hash", "shard_row")), places.union(again.select("shard_hash", "shard_row"))
+    # the histogram gives every bucket's place in the stream
+    counts = places.select(bucket).groupBy("shard_bucket").count().toArrow().sort_by("shard_bucket")
+    n = counts["count"].to_numpy()
     offsets = spark.createDataFrame(pa.table({"shard_bucket": counts["shard_bucket"], "shard_start": pa.array(np.cumsum(n) - n, pa.int64())}))
-    dealt = dealt.join(F.broadcast(offsets) if counts.num_rows <= BROADCAST_BUCKETS else offsets, "shard_bucket")
-    kept = docs.schema.fields
-    schema = T.StructType([*kept, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    names = [f.name for f in kept]
+    dealt = dealt.select("*", bucket).join(F.broadcast(offsets) if counts.num_rows <= BROADCAST_BUCKETS else offsets, "shard_bucket")
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = pa.Table.from_batches(list(batches)).combine_chunks()
-        n, start = bucket.num_rows, bucket["shard_start"][0].as_py()
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        n, start = table.num_rows, table["shard_start"][0].as_py()
         # a set order first: what a lost executor's task is given again may arrive in another
-        bucket = bucket.take(pa.compute.sort_indices(bucket, [("doc_id", "ascending"), ("shard_tie", "ascending")]))
+        known = pa.compute.sort_indices(table, [("shard_hash", "ascending"), ("shard_row", "ascending")]).to_numpy()
         order = np.arange(n)
-        np.random.Generator(np.random.PCG64([seed, bucket["shard_bucket"][0].as_py()])).shuffle(order)  # Fisher-Yates
-        place = np.arange(start, start + n)
-        shard = place * shards // rows
-        out = bucket.select(names).take(pa.array(order))
-        out = out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(place - -(-shard * rows // shards), pa.int64()))
-        yield from out.to_batches(max_chunksize=2048)
-
-    return dealt.withColumn("shard_tie", F.xxhash64("text")).groupBy("shard_bucket").applyInArrow(shuffled, schema)
+        np.random.Generator(np.random.PCG64([seed, table["shard_bucket"][0].as_py()])).shuffle(order)  # Fisher-Yates
+        place, order, table = np.arange(start, start + n), known[order], table.select(names)
+        shard = place * shards // max(rows, 1)
+        slot = place - -(-shard * rows // shards)
+        for at in range(0, n, 512):
+            out = table.take(pa.array(order[at : at + 512]))
+            out = out.append_column("shard", pa.array(shard[at : at + 512], pa.int32())).append_column("slot", pa.array(slot[at : at + 512], pa.int64()))
+            yield from out.to_batches()
+
+    return dealt.groupBy("shard_bucket").applyInArrow(shuffled, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0) -> None:

@@ -1,12 +1,10 @@
 """The whole pipeline against a plain version of every stage's rule."""
 
-import hashlib
-import math
 import random
 from collections import Counter
 
 import pytest
-from test_text_operators import VOCAB, plain_components, plain_fingerprint, plain_shingles, sentence
+from test_text_operators import VOCAB, plain_components, plain_fingerprint, plain_shingles, poisson_copies, sentence
 
 import corpus_pipeline
 
@@ -31,21 +29,6 @@ def tables(spark, tmp_path_factory):
     return str(folder), docs, items
 
 
-def poisson_copies(doc_id, rate, seed):
-    parts, total = max(1, math.ceil(rate / 256)), 0
-    for part in range(1, parts + 1):
-        h = hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}:{part}".encode()).hexdigest()
-        u, m = (int(h[:13], 16) + 0.5) / 2**52, rate / parts
-        p = c = math.exp(-m)
-        k = 0
-        while c < u:
-            k += 1
-            p *= m / k
-            c += p
-        total += k
-    return total
-
-
 def test_stages(spark, tables):
     folder, docs, items = tables
     now = spark.read.parquet(f"{folder}/documents.parquet")
@@ -70,7 +53,7 @@ def test_stages(spark, tables):
     n = Counter(d[3] for d in want)
     weight = {s: corpus_pipeline.MIX_WEIGHTS.get(s, 1.0) for s in n}
     rate = {s: weight[s] / sum(weight.values()) * len(want) / n[s] for s in n}
-    want = [d for d in want for _ in range(poisson_copies(d[0], rate[d[3]], corpus_pipeline.MIX_SEED))]
+    want = [d for d in want for _ in range(poisson_copies(d[0], d[1], 1, rate[d[3]], corpus_pipeline.MIX_SEED))]
     assert Counter(got[3]) == Counter(want)
     assert Counter(got[4]) == Counter(want)
     counts = Counter(r.shard for r in now.collect())

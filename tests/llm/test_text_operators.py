@@ -227,6 +227,35 @@ def test_sketches_are_wide_enough(spark):
         assert k[i] > n - math.ceil(0.8 * n)
 
 
+def poisson_copies(doc_id, text, number, rate, seed):
+    """Copies of a row by the rule of the operator, by itself."""
+    parts, total = max(1, math.ceil(rate / mixing.RATE_STEP)), 0
+    body = hashlib.md5((text or "").encode()).hexdigest()
+    for part in range(1, parts + 1):
+        h = hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}:{body}:{number}:{part}".encode()).hexdigest()
+        u, m = (int(h[:13], 16) + 0.5) / 2**52, rate / parts
+        p = c = math.exp(-m)
+        k = 0
+        while c < u and k < 1000:
+            k += 1
+            p *= m / k
+            c += p
+        total += k
+    return total
+
+
+def test_mixing_of_repeated_and_absent_ids(spark):
+    rows = [(None, f"text {i}", "a") for i in range(3000)] + [(7, "same", "b")] * 3000 + [(8, None, "b")] * 1500 + [(i, "x", "c") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    for seed in range(10):
+        got = mixing.replicate(docs, {}, seed=seed)
+        made = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+        assert set(made) == {"a", "b", "c"} and all(abs(n - 3000) < 5 * math.sqrt(3000) for n in made.values())
+    spread = got.repartition(16, "mix_key").withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.sum((F.col("doc_id") == 7).cast("int")).alias("same"), F.count("*").alias("n")).collect()
+    assert len(spread) == 16 and all(0.1 < r.same / r.n < 0.35 for r in spread)
+    assert sorted({r.mix_row for r in got.where("doc_id = 7").select("mix_row").distinct().collect()})[-1] > 2900
+
+
 def test_mixing(docs, none, rows):
     mixed = mixing.replicate(docs, {"src0": 1.0, "src1": 6.0, "src2": 0.0}, default_weight=1.0, out_rows=3000, seed=3)
     assert [c for c in mixed.columns if not c.startswith("mix_")] == [c for c in docs.columns if c != "mix_key"]
@@ -237,22 +266,15 @@ def test_mixing(docs, none, rows):
     for s, w in (("src0", 1), ("src1", 6), (None, 1)):
         mean = 3000 * w / 8
         assert abs(made[s] - mean) < 6 * math.sqrt(mean * (1 + 1 / n[s])) + 6 * mean / math.sqrt(n[s] * max(mean / n[s], 1))
-    # each count is the inverse of the distribution at the hashed number
-    for r in {(r.doc_id, r.source, r.mix_rate) for r in got}:
-        parts = max(1, math.ceil(r[2] / mixing.RATE_STEP))
-        count = 0
-        for part in range(1, parts + 1):
-            h = hashlib.md5(f"3:{'null' if r[0] is None else r[0]}:{part}".encode()).hexdigest()
-            u, m = (int(h[:13], 16) + 0.5) / 2**52, r[2] / parts
-            p = c = math.exp(-m)
-            k = 0
-            while c < u and k < 1000:
-                k += 1
-                p *= m / k
-                c += p
-            count += k
-        times = sum(1 for x in rows if (x[0], x[3]) == (r[0], r[1]))
-        assert sum(1 for x in got if (x.doc_id, x.source) == (r[0], r[1])) == count * times
+    # each count is the inverse of the distribution at the hashed number, equal rows being numbered
+    rate = {r.source: r.mix_rate for r in got}
+    numbers, want = Counter(), Counter()
+    for d, text, _, source, *_ in rows:
+        numbers[d, source, text or ""] += 1
+        if source in rate:
+            want[d, source, text or ""] += poisson_copies(d, text, numbers[d, source, text or ""], rate[source], 3)
+    assert Counter((r.doc_id, r.source, r.text or "") for r in got) == Counter({k: v for k, v in want.items() if v})
+    assert len({(r.doc_id, r.text or "", r.source, r.mix_row, r.mix_copy) for r in got}) == len(got)
     keys = [r.mix_key for r in got]
     assert sum(a > b for a, b in zip(keys, keys[1:])) < 8  # sorted in each partition
     assert mixing.replicate(none, {}).count() == 0
@@ -279,6 +301,43 @@ def test_sharding(docs, none, rows, bucket_bytes):
     assert len(few) == 3 and all(r.slot == 0 for r in few)
 
 
+def test_sharding_spreads_repeated_rows(spark):
+    rows = [(i, f"text number {i}") for i in range(6000)] + [(77, "again and again")] * 6000 + [(None, None)] * 3000 + [(None, "")] * 1500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    out = sharding.shuffle_into_shards(docs, 24, seed=4, bucket_bytes=100_000)
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for kind, n in ((lambda r: r.doc_id == 77, 6000), (lambda r: r.text is None, 3000), (lambda r: r.text == "", 1500)):
+        per = Counter(r.shard for r in got if kind(r))
+        assert len(per) == 24 and all(abs(c - n / 24) < 6 * math.sqrt(n / 24) for c in per.values())
+
+
+def test_sharding_order_is_the_plain_two_pass_shuffle(spark):
+    rows = [(i, f"text number {i}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashed = docs.select("doc_id", F.xxhash64(F.lit(9), "doc_id", "text").alias("h")).withColumn("g", F.xxhash64(F.lit(9), "h", F.lit(0).cast("bigint"))).collect()
+    total = sum(len(t) + sharding.ROW_BYTES for _, t in rows)
+    buckets = max(-(-total // 5000), 4)
+    scattered = {}
+    for r in hashed:
+        scattered.setdefault(r.g % buckets, []).append((r.h, r.doc_id))
+    stream = []
+    for bucket in sorted(scattered):
+        own = [d for _, d in sorted(scattered[bucket])]
+        order = np.arange(len(own))
+        np.random.Generator(np.random.PCG64([9, bucket])).shuffle(order)
+        stream += [own[i] for i in order]
+    got = sharding.shuffle_into_shards(docs, 7, seed=9, bucket_bytes=5000).orderBy("shard", "slot").collect()
+    assert [r.doc_id for r in got] == stream
+    assert [r.shard for r in got] == [i * 7 // 700 for i in range(700)]
+
+
+def test_many_rows_without_text_are_many_tasks(spark):
+    docs = spark.range(200_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    out = sharding.shuffle_into_shards(docs, 3, bucket_bytes=1 << 20).withColumn("at", F.spark_partition_id())
+    assert {r.shard: r["count"] for r in out.groupBy("shard").count().collect()} == {0: 66667, 1: 66667, 2: 66666}
+
+
 def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 5, seed=1)
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 5
