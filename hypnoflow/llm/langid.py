@@ -3,16 +3,17 @@
 Texts are lower-cased, everything but letters is taken as one space, and runs of 1 to 3 characters are hashed into
 FEATURES counts, scaled to length one. Linear support vector machines (hinge loss, dual coordinate descent) decide: one
 against the rest for each family, then one for each pair of languages in the winning family, whose votes are counted,
-margins breaking ties. Training uses at most SAMPLE distinct texts a language, those of the lowest hashes in the whole table; the
-features of these only, not their texts, go to the driver, and the weights (FEATURES floats a machine) to the executors.
+margins breaking ties. Training uses at most SAMPLE distinct texts a language, those of the lowest hashes in the whole table. Every
+machine is trained by a task of its own on the sparse features of the languages it compares; only the weights (FEATURES
+floats a machine) go to the driver and from there to the executors.
 
 Machines only compare languages and must name one of them for anything. So a model also knows how likely each language's own
 texts are (mean log-likelihood of a text's runs under the counts of the sample, each text without itself), and `usual` is
 false for what is far below that: letter junk, and languages that were not learned. It does not depend on how many there are.
 
 Defined results: `und` with score 0 where the text is null or has no letter; with nothing to learn from, every text is
-`und` (and usual, if it has a letter); with one language, all texts get it with score 1; a null or empty label is not learned; whole texts count,
-however long; repeated rows are predicted alike; columns besides text are carried along.
+`und` (and usual, if it has a letter); with one language, all texts get it with score 1; a null label is not learned, an empty one is a
+language of that name; more than MOST_LANGUAGES labels are an error; whole texts count, however long; repeated rows are predicted alike; columns besides text are carried along.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unit_hash
+from .common import durable, unit_hash
 
 FEATURES = 1 << 15
 #: At most so many texts a language are learned from.
 SAMPLE = 400
+#: Machines grow with the square of the languages of a family: more labels than this are taken for a mistake, and refused.
+MOST_LANGUAGES = 200
 PENALTY = 20.0
 #: Added to the counts of all features, so that an unseen one has a likelihood.
 SMOOTHING = 0.01
@@ -85,42 +88,32 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, (value / np.linalg.norm(value)).astype(np.float32)
 
 
-def inner_products(rows: list[tuple[np.ndarray, np.ndarray]], block: int = 200) -> np.ndarray:
-    """The Gram matrix of sparse rows, of which two blocks at a time are made dense."""
-    starts = range(0, len(rows), block)
+def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds: int = 30, seed: int = 7, close: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine by dual coordinate descent on sparse rows; the bias is a constant feature.
 
-    def dense(lo: int) -> np.ndarray:
-        out = np.zeros((min(block, len(rows) - lo), FEATURES), np.float32)
-        for i, (at, value) in enumerate(rows[lo : lo + block]):
-            out[i, at] = value
-        return out
-
-    gram = np.zeros((len(rows), len(rows)))
-    for a in starts:
-        left = dense(a)
-        for b in starts:
-            if b >= a:
-                part = left @ (left if a == b else dense(b)).T
-                gram[a : a + block, b : b + block] = part
-                gram[b : b + block, a : a + block] = part.T
-    return gram
-
-
-def train_svm(gram: np.ndarray, sign: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Dual weights alpha * sign and bias of a linear machine, from inner products; the bias is a constant feature."""
+    It ends after `rounds` passes, or when no row's gradient in a pass was further than `close` from what its bounds ask for.
+    """
     n = len(sign)
-    gram = gram + 1.0
-    alpha, out = np.zeros(n), np.zeros(n)
+    weights, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(n)
+    rows = [(at, value.astype(float)) for at, value in rows]
+    size = [float(value @ value) + 1.0 for _, value in rows]
     cost = PENALTY * n / (2.0 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))  # classes count alike
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in rng.permutation(n):
-            new = min(max(alpha[i] - (sign[i] * out[i] - 1) / gram[i, i], 0.0), cost[i])
+        worst = 0.0
+        for i in rng.permutation(n).tolist():
+            at, value = rows[i]
+            slope = sign[i] * (weights[at] @ value + bias) - 1.0
+            new = min(max(alpha[i] - slope / size[i], 0.0), cost[i])
             if new != alpha[i]:
-                out += (new - alpha[i]) * sign[i] * gram[i]
+                step = (new - alpha[i]) * sign[i]
+                weights[at] += step * value
+                bias += step
                 alpha[i] = new
-    dual = alpha * sign
-    return dual, float(dual.sum())
+                worst = max(worst, abs(slope))
+        if worst <= close:
+            break
+    return weights, bias
 
 
 @dataclass
@@ -186,17 +179,17 @@ def learn_likelihood(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
     return np.log((counts + SMOOTHING) / (total + SMOOTHING * FEATURES)).astype(np.float32), float(np.quantile(own, 0.01)) - SLACK
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
-    """A model from rows with text and lang."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
+def drawn_features(labelled: DataFrame, sample: int, seed: int) -> DataFrame:
+    """lang, h, u, at, value: the features of at most `sample` distinct texts a language, those of the lowest hashes."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("h"), unit_hash("text", seed=seed).alias("u"))
     # copies count once; the estimate, within a few hundredths, needs no shuffle
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
-    if not counts:
-        return Model()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of lang")
     # a little more than asked for, so that chance leaves enough, then the lowest hashes of each language
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * sample / max(n, 1))))])
-    drawn = rows.where(F.col("u") < share[F.col("lang")])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * sample / max(r["n"], 1))))])
+    drawn = rows.where(F.col("u") < share[F.col("lang")]) if counts else rows.limit(0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()  # of what is drawn, a little over `sample` a language
@@ -214,42 +207,54 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     made = drawn.mapInArrow(of, "lang string, h bigint, u double, at array<int>, value array<float>")
     once = made.withColumn("r", F.row_number().over(Window.partitionBy("lang", "h").orderBy("u"))).where("r = 1")
     least = once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))).where(F.col("r") <= sample)
-    got = least.drop("r").toArrow()
-    by_lang: dict[str, list[tuple[float, int, np.ndarray, np.ndarray]]] = {}
-    for lang, h, u, at, value in zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["u"].to_pylist(), got["at"], got["value"]):
-        by_lang.setdefault(lang, []).append((u, h, at.values.to_numpy(), value.values.to_numpy()))
-    kept = [(lang, at, value) for lang in sorted(by_lang) for _, _, at, value in sorted(by_lang[lang], key=lambda x: x[:2])]
-    languages = sorted(by_lang)
+    return durable(least.drop("r"))
+
+
+def _sparse(table: pa.Table) -> tuple[pa.Table, list[tuple[np.ndarray, np.ndarray]]]:
+    """The table in a set order, and its rows' indices and values."""
+    table = table.sort_by([("lang", "ascending"), ("u", "ascending"), ("h", "ascending")])
+    return table, [(at.values.to_numpy(), value.values.to_numpy()) for at, value in zip(table["at"], table["value"])]
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
+    """A model from rows with text and lang."""
+    spark = labelled.sparkSession
+    drawn = drawn_features(labelled, sample, seed)
+    languages = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())
     if not languages:
         return Model()
-    gram = inner_products([(at, value) for _, at, value in kept])
-    column = np.concatenate([at for _, at, _ in kept])
-    entry = np.concatenate([value for *_, value in kept])
-    owner = np.repeat(np.arange(len(kept)), [len(at) for _, at, _ in kept])
-    lang = np.array([k[0] for k in kept])
-    family = np.array([FAMILY_OF.get(k[0], k[0]) for k in kept])
-    families = sorted(set(family.tolist()))
-    weights, bias, pairs = [], [], {}
-
-    def machine(rows: np.ndarray, positive: np.ndarray) -> int:
-        dual, b = train_svm(gram[np.ix_(rows, rows)], np.where(positive, 1.0, -1.0))
-        by_row = np.zeros(len(kept))
-        by_row[rows] = dual
-        weights.append(np.bincount(column, by_row[owner] * entry, FEATURES))
-        bias.append(b)
-        return len(weights) - 1
-
-    everything = np.arange(len(kept))
-    if len(families) > 1:
-        for f in families:
-            machine(everything, family == f)
+    family_of = {x: FAMILY_OF.get(x, x) for x in languages}
+    families = sorted(set(family_of.values()))
+    roles: list[tuple[int, str, int]] = []  # machine, language, side
+    pairs: dict[str, list[tuple[int, str, str]]] = {f: [] for f in families}
+    count = len(families) if len(families) > 1 else 0
+    for m in range(count):
+        roles += [(m, x, 1 if family_of[x] == families[m] else -1) for x in languages]
     for f in families:
-        pairs[f] = []
-        for a, b in combinations(sorted(set(lang[family == f].tolist())), 2):
-            rows_ab = np.flatnonzero((lang == a) | (lang == b))
-            pairs[f].append((machine(rows_ab, lang[rows_ab] == a), a, b))
-    likelihood = {name: learn_likelihood([(at, value) for own, at, value in kept if own == name]) for name in languages}
-    return Model(languages, families, np.array(weights, np.float32).reshape(-1, FEATURES), np.array(bias, np.float32), pairs, likelihood)
+        for a, b in combinations([x for x in languages if family_of[x] == f], 2):
+            pairs[f].append((count, a, b))
+            roles += [(count, a, 1), (count, b, -1)]
+            count += 1
+
+    def machine(table: pa.Table) -> pa.Table:
+        table, rows = _sparse(table)
+        weights, bias = train_svm(rows, table["side"].to_numpy().astype(float))
+        return pa.table({"machine": table["machine"][:1], "weights": pa.array([weights.astype(np.float32).tobytes()]), "bias": pa.array([bias])})
+
+    def usual(table: pa.Table) -> pa.Table:
+        table, rows = _sparse(table)
+        log, least = learn_likelihood(rows)
+        return pa.table({"lang": table["lang"][:1], "log": pa.array([log.tobytes()]), "least": pa.array([least])})
+
+    weights, bias = np.zeros((count, FEATURES), np.float32), np.zeros(count, np.float32)
+    if count:
+        table = spark.createDataFrame(roles, "machine int, lang string, side int")  # MOST_LANGUAGES squared rows at most
+        made = drawn.join(F.broadcast(table), "lang").repartition(count, "machine").groupBy("machine").applyInArrow(machine, "machine int, weights binary, bias double").toArrow()
+        for m, w, b in zip(made["machine"].to_pylist(), made["weights"], made["bias"].to_pylist()):
+            weights[m], bias[m] = np.frombuffer(w.as_py(), np.float32), b
+    told = drawn.groupBy("lang").applyInArrow(usual, "lang string, log binary, least double").toArrow()
+    likelihood = {x: (np.frombuffer(log.as_py(), np.float32), least) for x, log, least in zip(told["lang"].to_pylist(), told["log"], told["least"].to_pylist())}
+    return Model(languages, families, weights, bias, pairs, {x: likelihood[x] for x in languages})
 
 
 def identify(docs: DataFrame, model: Model, usual: str | None = None) -> DataFrame:

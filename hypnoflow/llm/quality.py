@@ -2,13 +2,13 @@
 
 Texts become counts of character runs (1 to 3 long, taken once as they are written and once by kind of character), with
 log frequencies and inverse document frequencies, scaled to length one and projected on the RANK strongest singular
-directions of the labelled sample. The labelled vectors (about SAMPLE rows of RANK floats, 1 MB) are broadcast;
-every document's cosines with all of them are computed exactly, in blocks, and its NEIGHBOURS nearest vote for their
-labels, each weighted by its similarity.
+directions of the labelled sample. The labelled vectors (at most SAMPLE rows of RANK doubles, 3 MB) are broadcast;
+every document's cosines with all of them are computed exactly, in blocks, and its NEIGHBOURS nearest (of equally near
+ones, those of the lower hashes) vote for their labels, each weighted by its similarity.
 
 Defined results: a null or empty text, and any text if nothing is labelled, gets the share of label 1 among the labelled
-rows (0.5 if there are none); whole texts count; rows that repeat a doc_id are scored each by its own text; null labels
-are not learned; columns besides text are carried along.
+rows (0.5 if there are none); whole texts count; rows that repeat a doc_id are scored each by its own text; labelled rows
+with the same text and label are learned once, however often they are there; null labels and ids are not learned; columns besides text are carried along.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_about
+from .common import durable, rows_about
 
 FEATURES = 1 << 12
-#: At most about so many labelled rows are learned from.
-SAMPLE = 4000
+#: At most so many labelled texts are learned from.
+SAMPLE = 6000
 RANK = 64
 NEIGHBOURS = 25
 #: Similarity is raised to this power before it weighs a vote.
@@ -75,19 +75,20 @@ class Space:
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors in the space of rows of counts; zero where there is nothing."""
-        out = weighted(counts, self.idf) @ self.directions
+        out = (weighted(counts, self.idf) @ self.directions).astype(float)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        cosine = self.project(counts) @ self.vectors.T
+        cosine = np.round(self.project(counts) @ self.vectors.T, 12)
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) ** SHARPNESS
+        least = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+        nearer, equal = cosine > least, cosine == least
+        near = nearer | equal & (equal.cumsum(axis=1) <= k - nearer.sum(axis=1, keepdims=True))
+        weight = np.where(near, np.maximum(cosine, 0), 0.0) ** SHARPNESS
         total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1)
-        return np.where((total > 0) & (counts.sum(axis=1) > 0), vote / np.maximum(total, 1e-300), self.prior)
+        return np.where((total > 0) & (counts.sum(axis=1) > 0), np.clip(weight @ self.labels / np.maximum(total, 1e-300), 0, 1), self.prior)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ def fit_space(sample: Sample, rank: int = RANK) -> Space:
         basis = np.linalg.qr(gram @ basis)[0]
     values, turn = np.linalg.eigh(basis.T @ gram @ basis)
     space = Space(idf, np.ascontiguousarray((basis @ turn)[:, ::-1][:, :rank]).astype(np.float32), np.zeros((0, rank), np.float32), labels.astype(float), float(labels.mean()))
-    space.vectors = np.concatenate([space.project(b) for b in sample.blocks()]).astype(np.float32)
+    space.vectors = np.concatenate([space.project(b) for b in sample.blocks()])
     return space
 
 
@@ -144,11 +145,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, rank: int = RANK, seed: int = 5) -> Space:
-    """The space of about `sample` labelled documents; labels has doc_id and the label column, 0 or 1."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label"))
-    drawn = rows_about(known, sample, "label_id", seed=seed)
-    # the sample is small by its bound, so the documents are not shuffled to meet it
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("label", F.xxhash64("label_id", "text").alias("u"), "text")
+    """The space of at most `sample` labelled texts; labels has doc_id and the label column, 0 or 1."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label")).distinct()
+    known = known.join(docs.select(F.col("doc_id").alias("label_id")).distinct(), "label_id", "left_semi")
+    # a little more than asked for, as texts may repeat; small by this bound, so the documents are not shuffled to meet it
+    drawn = rows_about(durable(known), int(1.3 * sample), "label_id", seed=seed)
+    met = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))
+    # an id or a text that is there many times is one row for each text and label before the bound is applied
+    once = durable(met.groupBy("label", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias("u")).agg(F.min("text").alias("text")))
+    key = F.struct("u", "label")
+    last = once.select(key.alias("last")).orderBy("last").limit(sample).agg(F.max("last").alias("last"))
+    rows = once.join(F.broadcast(last), key <= F.col("last")).select("label", "u", "text")  # last is one row
     got = rows.mapInArrow(_counted, "label int, u bigint, at array<smallint>, n array<float>").toArrow()
     got = got.take(pa.array(np.argsort(got["u"].to_numpy(), kind="stable"))).combine_chunks()
     at, n = (got[c].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float32())) for c in ("at", "n"))
