@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import BROADCAST_BYTES, broadcastable, durable
 
 WORDS = 5
 THRESHOLD = 0.8
 #: ASCII and Latin-1 but for letters and digits, general and CJK punctuation.
 SEPARATORS = r"[\x00-/:-@\[-`{-\xBF\x{2000}-\x{206F}\x{3000}-\x{303F}]"
-#: Sketches, and items in verification, are broadcast up to so many rows or shingles (about 100 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: What an entry of a broadcast table takes besides its text.
+ENTRY_BYTES = 64
 
 
 def words_of(text: Column) -> Column:
@@ -67,31 +67,27 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return sized.join(F.broadcast(most), "size_class").select("item_id", "size_class", needed("class_min", threshold).alias("class_need"), F.explode(low).alias("hash"))
 
 
-def _bounded(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df, computed once, and marked for broadcast if it is counted and small."""
-    df = durable(df)
-    return F.broadcast(df) if df.count() <= bound else df
-
-
 def _verified(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int) -> DataFrame:
     """doc_id, text_key, item_id, n_item, n_common of every pair at or above the threshold; text_key tells rows of one id apart."""
     worded_items = benchmark.select("item_id", once(words_of(F.col("text")), "words"))
     items = worded_items.select("item_id", hashes_of(F.col("words"), n).alias("item_hashes"), once(F.array_distinct(shingles_of(F.col("words"), n)), "item_shingles"))
-    items = durable(items.withColumn("n_item", F.size("item_shingles")).where("n_item > 0"))
-    small = (items.agg(F.sum("n_item")).first()[0] or 0) <= BROADCAST_ROWS  # a sketch is no larger than its items
+    items = durable(items.withColumn("n_item", F.size("item_shingles")).where("n_item > 0").distinct())
+    item_bytes = F.octet_length(F.concat_ws("", "item_shingles")) + ENTRY_BYTES * F.col("n_item")
+    small = (items.agg(F.sum(item_bytes)).first()[0] or 0) <= BROADCAST_BYTES  # a sketch is no larger than its item
     near = F.broadcast if small else (lambda df: df)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     worded = keyed.select("doc_id", "text_key", once(words_of(F.col("text")), "words"))
     hashed = worded.select("doc_id", "text_key", F.size("words").alias("n_words"), hashes_of(F.col("words"), n).alias("hashes"))
     hashed = hashed.select("doc_id", "text_key", "n_words", F.explode("hashes").alias("hash"))
     enough = F.greatest(F.col("n_words") - (n - 1), F.lit(1)) >= F.col("class_need")
-    found = hashed.join(near(sketches(items, threshold)), "hash").where(enough).select("doc_id", "text_key", "item_id").distinct()
-    by_doc = _bounded(found.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("item_ids")))
-    texts = keyed.join(by_doc, keyed["doc_id"].eqNullSafe(by_doc["doc_id"]) & (keyed["text_key"] == by_doc["text_key"]))
-    texts = texts.select(keyed["doc_id"], keyed["text_key"], "item_ids", once(words_of(F.col("text")), "words"))
-    texts = texts.select("doc_id", "text_key", "item_ids", once(F.array_distinct(shingles_of(F.col("words"), n)), "shingles"))
-    texts = texts.select("doc_id", "text_key", "shingles", F.explode("item_ids").alias("item_id"))
-    pairs = texts.join(near(items.drop("item_hashes")), "item_id").withColumn("n_common", F.size(F.array_intersect("shingles", "item_shingles")))
+    found = hashed.join(near(sketches(items, threshold)), "hash").where(enough).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
+    found = broadcastable(durable(found), ENTRY_BYTES)
+    texts = keyed.join(found, keyed["doc_id"].eqNullSafe(found["found_id"]) & (keyed["text_key"] == found["found_key"]), "left_semi")
+    # a candidate's shingles meet the items' one by one: counts of equal ones, of each row of one id and text once
+    texts = texts.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", once(words_of(F.col("text")), "words"))
+    shingles = texts.select("doc_id", "text_key", F.explode(F.array_distinct(shingles_of(F.col("words"), n))).alias("shingle"))
+    own = items.dropDuplicates(["item_id", "item_shingles"]).select("item_id", "n_item", F.xxhash64("item_shingles").alias("item_key"), F.explode("item_shingles").alias("shingle"))
+    pairs = shingles.join(near(own), "shingle").groupBy("doc_id", "text_key", "item_id", "item_key", "n_item").agg(F.count(F.lit(1)).cast("int").alias("n_common"))
     return pairs.where(F.col("n_common") >= needed("n_item", threshold)).select("doc_id", "text_key", "item_id", "n_item", "n_common")
 
 
@@ -103,5 +99,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """docs without the rows whose own text contains a test item."""
-    hit = _bounded(_verified(docs, benchmark, threshold, n).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct())
+    hit = broadcastable(durable(_verified(docs, benchmark, threshold, n).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()), ENTRY_BYTES)
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_key"]), "left_anti")

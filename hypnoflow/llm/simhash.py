@@ -10,7 +10,7 @@ inequality), and only survivors are compared bit by bit. A bucket's links are pu
 
 A bucket of more than BUCKET_LIMIT fingerprints, such as many near copies of one text make, is dealt again by which
 six of eight bytes agree (28 buckets): there at most 2**16 different fingerprints can meet, and each looks up its 136
-neighbours in the two free bytes. So nothing is left out, and no task holds more than the bound.
+neighbours in the two free bytes, without a pivot table. So nothing is left out, and no task holds more than the bound.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other; a text
 of fewer words than a shingle has its whole sequence as its one shingle; rows that repeat a doc_id share the class that
@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, unused
+from .common import BROADCAST_BYTES, durable, unused
 from .components import components
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
 BUCKET_LIMIT = 4096
+#: What a row's key takes in a broadcast table.
+KEY_BYTES = 48
 #: Reference fingerprints: fixed, drawn once with this seed.
 PIVOTS = np.random.default_rng(2002).integers(0, 1 << 64, 16, dtype=np.uint64, endpoint=False)
 BLOCK_PAIRS = list(combinations(range(4), 2))
@@ -232,14 +234,24 @@ def hexadecimal(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: that with the smallest doc_id, a null one last. Of rows with its id and text, one stays."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(*_row_key("k.doc_id", F.col("k.text_key"), ["k0", "k1", "k2"]))
-    # the same three columns are the key of the join and of the removal of repeated rows, so the texts are shuffled once
+    """One document of each class: that with the smallest doc_id, a null one last. Of rows with its id and text, one stays.
+
+    Rows that are repeated are known from the fingerprints' table, without the texts. They are reduced in the tasks that read
+    them, before anything is shuffled; the others meet the list of kept rows by a key that each has alone.
+    """
     names = [unused(docs, k) for k in ("k0", "k1", "k2")]
+    found = durable(near_duplicates(docs).select("root", *_row_key("doc_id", F.col("text_key"), names)))
+    order = F.struct(names[1], names[0], names[2])
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(*[F.col(f"k.{n}").alias(n) for n in names])
+    many = durable(found.groupBy(*names).count().where("count > 1").select(*names))
     keyed = docs.select("*", *_row_key("doc_id", F.xxhash64("text"), names))
-    on = [keyed[a] == kept[b] for a, b in zip(names, ("k0", "k1", "k2"))]
-    return keyed.join(kept, on, "left_semi").dropDuplicates(names).drop(*names)
+    if many.isEmpty():
+        return keyed.join(kept, names, "left_semi").select(docs.columns)
+    if many.count() * KEY_BYTES > BROADCAST_BYTES:
+        return keyed.dropDuplicates(names).join(kept, names, "left_semi").select(docs.columns)
+    once = keyed.join(F.broadcast(many), names, "left_anti").join(kept, names, "left_semi")
+    again = keyed.join(F.broadcast(many.join(kept, names, "left_semi")), names, "left_semi").dropDuplicates(names)
+    return once.union(again.select(once.columns)).select(docs.columns)
 
 
 def _row_key(doc_id: str, text_key: Column, names: list[str]) -> list[Column]:

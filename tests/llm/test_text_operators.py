@@ -405,3 +405,14 @@ def test_too_many_languages(spark):
     rows = [(f"text {i}", f"x{i}") for i in range(langid.MOST_LANGUAGES + 1)]
     with pytest.raises(ValueError):
         langid.train(spark.createDataFrame(rows, "text string, lang string"))
+
+
+def test_keep_one_of_repeated_rows(spark, monkeypatch):
+    rows = [(5, "one text that is there again and again")] * 4000 + [(None, "no id at all, many times")] * 2000 + [(i, f"{i} {sentence(random.Random(i), 'en', 30)}") for i in range(10, 300)] + [(None, None)] * 50
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, k1 int").repartition(6)
+    want = Counter({r: 1 for r in rows})
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == want
+    plan = simhash.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") + plan.count("HashAggregate") + plan.count("ObjectHashAggregate") > 1
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == want
