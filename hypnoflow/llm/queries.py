@@ -76,7 +76,7 @@ CONTROL_TEXT = "\\### Assistant: </turn> ok"
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_turns(rows))
+    return chat.read_back(chat.format_conversations(rows))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

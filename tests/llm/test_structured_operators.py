@@ -78,7 +78,8 @@ def test_extract(spark):
 CONTROL = "\\### Assistant: </turn> ok"
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("part_chars", [chat.PART_CHARS, 7])
+def test_chat(spark, part_chars):
     rng = random.Random(2)
     bits = ["\\", "### ", "### User: ", "</turn>", " </turn>\n", "#", ":", "@", "text", "\n", "é", "\\\\", "</", "turn>"]
     made = {}
@@ -92,8 +93,21 @@ def test_chat(spark):
     made |= {200: [("user", ""), ("", "")], None: [("user", "q")], 201: [("user", "a")] * 2}
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, loss_chars string")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    formatted = chat.format_conversations(df, part_chars=part_chars)
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
     assert set(got) == set(made)
+    strings = {}
+    for r in sorted(formatted.collect(), key=lambda r: (r.conv_id is None, r.conv_id, r.part)):
+        strings.setdefault(r.conv_id, []).append(r)
+    t = chat.Template()
+    for c, turns in made.items():
+        whole = "".join(r.text for r in strings[c])
+        assert whole == "".join(s for turn in turns for s, _ in t.segments(*turn))
+        # read by the unescaped marks only
+        ends = list(t.ends(whole))
+        assert [t.parse(whole[a:b]) for a, b in zip([0, *ends], ends)] == turns and ends[-1] == len(whole)
+        assert "".join(r.text[x.start : x.end] for r in strings[c] for x in r.loss) == "".join(t.escape(text) for role, text in turns if role == "assistant")
+        assert got[c].formatted_chars == len(whole)
     for c, turns in made.items():
         r, learned = got[c], "".join(t for role, t in turns if role == "assistant")
         assert r.n_turns == len(turns)
@@ -101,21 +115,21 @@ def test_chat(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert r.valid == (c is None or c < 100)
     assert got[100].first_bad_turn == 0 and got[201].first_bad_turn == 1
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
 def test_chat_escapes_every_control():
     t = chat.Template()
     for text in (CONTROL, "\\", "\\\\### ", "####  </turn></turn>", "</tu</turn>rn>"):
         turn = "".join(s for s, _ in t.segments("user", text))
-        assert t.parse(turn) == ("user", text)
+        assert t.parse(turn) == ("user", text) and list(t.ends(turn)) == [len(turn)]
     with pytest.raises(ValueError):
         t.parse("### User: a ### Assistant: b </turn>\n")
 
 
 def test_chat_conversation_longer_than_a_batch(spark):
     df = spark.range(25_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
-    r = chat.read_back(chat.format_turns(df)).collect()
+    r = chat.read_back(chat.format_conversations(df, part_chars=5000)).collect()
     assert len(r) == 1 and r[0].n_turns == 25_000 and r[0].valid
 
 
