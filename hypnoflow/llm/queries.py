@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import uuid
 
@@ -82,16 +83,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = posixpath.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archive(spark, path)
-    # what a revisit leaves out is told by its headers; a response's payload is measured as it was read
-    here = F.col("warc_type") == "response"
-    return read.select(
-        F.col("page_id").cast("bigint").alias("page_id"),
-        F.when(here, F.octet_length("payload")).otherwise(F.col("payload_length").cast("int")).cast("bigint").alias("payload_bytes"),
-        F.when(here, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"),
-        F.col("refers_to").cast("bigint").alias("refers_to"),
-    )
+    # two passes with pushed predicates: responses with their payloads, and revisits, for which no payload is read
+    read = functools.partial(warc.read_archive, spark, path)
+    own = [F.col("page_id").cast("bigint").alias("page_id")]
+    responses = read().where("warc_type = 'response'").select(*own, F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.col("warc_type").alias("record_type"))
+    revisits = read().where("warc_type = 'revisit'").select(*own, F.col("payload_digest").alias("said"), F.col("refers_to").cast("bigint").alias("refers_to"), F.col("warc_type").alias("record_type"))
+    # a revisit's payload is that of the response it names: the digests must agree, or it has none
+    named = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said"), "payload_bytes").distinct()
+    again = revisits.join(named, ["refers_to", "said"], "left")
+    told = again.select("page_id", "payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("said")).alias("payload_digest"), "record_type", "refers_to")
+    return responses.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(told)
 
 
 OP8_SQL = """

@@ -2,23 +2,30 @@
 
 Writing: every task writes gzip members, one a record, to files of its own of about FILE_BYTES each; only the names in a
 manifest, written when the whole job has succeeded, belong to the archive, so retried and lost tasks leave nothing in it.
+A member's gzip header says how long the member is (extra field `sl`).
 
-Reading: a partition is a file of the manifest. Filters on warc_type and on header columns are pushed down: a record's
-headers are parsed first, and the payload of a record that they exclude is neither decoded nor kept; with option
-payload=false no payload is. Spark asks for spark.sql.python.filterPushdown.enabled; read_archive sets it.
+Reading: a partition is a file, of the manifest or, where there is none, any .warc or .warc.gz below the path. Filters on
+warc_type and on header columns are pushed down: a record's headers are parsed first, and a record that they exclude is
+passed over by seeking to the next: its payload is not read, decoded or kept. With option payload=false no payload is.
+Members of other writers, which do not say their length, must be inflated to be passed over, but nothing of them is kept.
+Spark asks for spark.sql.python.filterPushdown.enabled; read_archive sets it. Spark keeps what was pushed with the loaded
+source, so a query that filters an archive in two ways must load it twice.
+
+Payloads are what follows the HTTP headers in responses, and the whole block of records that are not HTTP; encodings of
+the HTTP message are left as they are. Revisits have none.
 
 Defined results: a null payload is an empty one; a null url is an empty one; equal payloads of at least REVISIT_BYTES
 are written once, as the response of the largest page_id, and referred to by the others (rows that repeat this page_id
-are responses too, a null page_id is always a revisit unless all are null); an empty table makes an empty archive.
+are responses too, a null page_id is always a revisit unless all are null); record ids are unique whatever the rows; an empty
+table makes an empty archive.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
 import posixpath
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .common import broadcastable, durable
+
 REVISIT_BYTES = 1000
+#: Bytes read from a file at once, and of a record at first, for its headers.
+BLOCK, HEAD = 1 << 18, 1 << 10
+#: What a row of the revisits' table takes when it is broadcast.
+REVISIT_ROW = 128
 FILE_BYTES = 64 << 20
 MANIFEST = "manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,7 +55,7 @@ HEADERS = {
     "target_uri": "WARC-Target-URI",
     "warc_date": "WARC-Date",
     "payload_digest": "WARC-Payload-Digest",
-    "refers_to": "WARC-Refers-To",
+    "refers_to": "WARC-X-Refers-To-Page",
     "payload_length": "WARC-X-Payload-Length",
     "page_id": "WARC-X-Page-ID",
 }
@@ -56,28 +69,48 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def record_bytes(row: dict) -> bytes:
-    """One record as its own gzip member."""
+def member_bytes(record: bytes) -> bytes:
+    """A gzip member that says in its header how long it and what it holds are (0 where four bytes cannot say it)."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush() + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    lengths = (24 + len(body), len(record)) if 24 + len(body) < 1 << 32 and len(record) < 1 << 32 else (0, 0)
+    return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, *lengths) + body
+
+
+def member_length(start: bytes) -> int:
+    """The length of the gzip member that starts so; 0 where it does not say."""
+    if len(start) < 12 or not start[3] & 4:
+        return 0
+    at, end = 12, 12 + struct.unpack_from("<H", start, 10)[0]
+    while at + 4 <= min(end, len(start)):
+        name, size = struct.unpack_from("<2sH", start, at)
+        if name == b"sl" and size == 8 and at + 12 <= len(start):
+            return struct.unpack_from("<I", start, at + 4)[0]
+        at += 4 + size
+    return 0
+
+
+def record_bytes(row: dict, record_id: str) -> bytes:
+    """One record, not yet compressed."""
     payload = row["payload"] or b""
     revisit = row["record_type"] == "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     one_line = lambda x: re.sub(r"[\r\n]+", " ", x or "")
-    page = "" if row["page_id"] is None else str(row["page_id"])
     lines = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id}>",
         f"WARC-Target-URI: {one_line(row['url'])}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
         f"WARC-X-Payload-Length: {len(payload)}",
-        f"WARC-X-Page-ID: {page}",
+        f"WARC-X-Page-ID: {'' if row['page_id'] is None else row['page_id']}",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{row['refers_to']}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-X-Refers-To-Page: {row['refers_to']}", f"WARC-Profile: {PROFILE}"]
     lines += [f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}", "", ""]
-    return gzip.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n", mtime=0)
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 @dataclass
@@ -101,7 +134,8 @@ class WarcWriter(DataSourceArrowWriter):
                             out.close()
                         files.append(f"{uuid.uuid4().hex}.warc.gz")
                         out, size = system.open_output_stream(posixpath.join(path, files[-1]), compression=None), 0
-                    size += out.write(record_bytes(row))
+                    record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{files[-1]}/{size}")
+                    size += out.write(member_bytes(record_bytes(row, str(record_id))))
         if out is not None:
             out.close()
         return Written(files)
@@ -123,33 +157,61 @@ class ArchiveFile(InputPartition):
     path: str
 
 
-def members(stream: pa.NativeFile, block: int = 1 << 18) -> Iterator[Iterator[bytes]]:
-    """Of each gzip member, its bytes in pieces; a member that is not read to its end is skipped to it."""
-    rest, over = b"", False
-    while not over or rest:
-        if not rest:
-            rest = stream.read(block)
+class Window:
+    """Reads a file a piece at a time, at any place; `inflated` counts what its members gave."""
+
+    def __init__(self, f: pa.NativeFile) -> None:
+        self.f, self.start, self.data, self.size, self.inflated = f, 0, b"", f.size(), 0
+
+    def get(self, at: int, n: int) -> bytes:
+        """n bytes from `at` on, fewer at the end of the file."""
+        if not self.start <= at or at + n > self.start + len(self.data) and self.start + len(self.data) < self.size:
+            self.f.seek(at)
+            self.start, self.data = at, self.f.read(max(n, BLOCK))
+        return self.data[at - self.start : at - self.start + n]
+
+
+class Plain:
+    """The bytes of a record that lies in the file as it is."""
+
+    def __init__(self, window: Window, at: int) -> None:
+        self.window, self.at = window, at
+
+    def read(self, n: int) -> bytes:
+        piece = self.window.get(self.at, n)
+        self.at += len(piece)
+        return piece
+
+    def after(self, rest: int) -> int:
+        """Where the next record begins, if `rest` bytes of this one have not been read."""
+        return self.at + rest
+
+
+class Member:
+    """The bytes of a gzip member."""
+
+    def __init__(self, window: Window, at: int) -> None:
+        self.window, self.start, self.at = window, at, at
+        self.length, self.inflate = member_length(window.get(at, 64)), zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        while not self.inflate.eof:
+            rest = self.inflate.unconsumed_tail or self.window.get(self.at, 1 << 14)
             if not rest:
-                return
-        inflate = zlib.decompressobj(31)
-
-        def pieces() -> Iterator[bytes]:
-            nonlocal rest, over
-            while not inflate.eof:
-                if not rest:
-                    rest = stream.read(block)
-                    if not rest:
-                        over = True
-                        return
-                piece = inflate.decompress(rest)
-                rest = inflate.unused_data if inflate.eof else b""
-                if piece:
-                    yield piece
-
-        own = pieces()
-        yield own
-        for _ in own:
+                raise ValueError("a gzip member ends too early")
+            self.at += 0 if self.inflate.unconsumed_tail else len(rest)
+            piece = self.inflate.decompress(rest, n)
+            self.window.inflated += len(piece)
+            if piece:
+                return piece
+        return b""
+
+    def after(self, rest: int) -> int:
+        if self.length:
+            return self.start + self.length
+        while self.read(1 << 16):
             pass
+        return self.at - len(self.inflate.unused_data)
 
 
 class WarcReader(DataSourceReader):
@@ -171,51 +233,69 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ArchiveFile]:
         system, path = located(self.path)
-        with system.open_input_stream(posixpath.join(path, MANIFEST)) as f:
-            names = json.loads(f.read())
+        if system.get_file_info(path).type == fs.FileType.File:
+            return [ArchiveFile(self.path)]
+        try:
+            with system.open_input_stream(posixpath.join(path, MANIFEST)) as f:
+                names = json.loads(f.read())
+        except FileNotFoundError:
+            found = (i.path for i in system.get_file_info(fs.FileSelector(path, recursive=True)))
+            names = sorted(posixpath.relpath(x, path) for x in found if x.lower().endswith((".warc", ".warc.gz")))
         return [ArchiveFile(posixpath.join(self.path, n)) for n in names] or [ArchiveFile("")]
 
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.string()) for c in HEADERS] + [("payload", pa.binary())])
-        rows, held = [], 0
         if partition.path:
             system, path = located(partition.path)
-            with system.open_input_stream(path, compression=None) as stream:
-                for member in members(stream):
-                    row = self.record(member)
-                    if row is not None:
-                        rows.append(row)
-                        held += len(row["payload"] or b"")
-                    if len(rows) >= 1000 or held >= 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
+            with system.open_input_file(path) as f:
+                yield from self.batches(Window(f))
+
+    def batches(self, window: Window) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.string()) for c in HEADERS] + [("payload", pa.binary())])
+        rows, held, at = [], 0, 0
+        while at < window.size:
+            source = Member(window, at) if window.get(at, 2) == b"\x1f\x8b" else Plain(window, at)
+            row, at = self.record(source)
+            if row is not None:
+                rows.append(row)
+                held += len(row["payload"] or b"")
+            if len(rows) >= 1000 or held >= 8 << 20:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def record(self, member: Iterator[bytes]) -> dict | None:
-        """The record's columns, or None where its headers exclude it; the payload is joined only for records that stay."""
-        head = b""
-        for piece in member:
+    def record(self, source: Plain | Member) -> tuple[dict | None, int]:
+        """The record's columns, or None where its headers exclude it, and where the next record begins."""
+        head = source.read(HEAD)
+        while b"\r\n\r\n" not in head:
+            piece = source.read(HEAD)
+            if not piece:
+                raise ValueError("a record without the end of its headers")
             head += piece
-            if b"\r\n\r\n" in head:
-                break
         head, _, start = head.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
-        row = {c: fields.get(h) or None for c, h in HEADERS.items()}
+        first, *lines = head.decode("utf-8", "replace").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError("not a WARC record")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        length = int(fields["content-length"])
+        row = {c: fields.get(h.lower()) or None for c, h in HEADERS.items()}
         row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
-        for c in ("record_id", "refers_to"):
-            row[c] = row[c] and row[c].removeprefix("<urn:page:").removesuffix(">")
-        if any(row[c] not in values for c, values in self.wanted.items()) or any(row[c] is None for c in self.present):
-            return None
+        row["record_id"] = row["record_id"] and row["record_id"].removeprefix("<").removesuffix(">")
+        wanted = all(row[c] in values for c, values in self.wanted.items()) and all(row[c] is not None for c in self.present)
         row["payload"] = None
-        if self.payload and row["warc_type"] == "response":
-            out = io.BytesIO()
-            out.write(start)
-            for piece in member:
-                out.write(piece)
-            block = out.getvalue()[: int(fields["Content-Length"])]
-            row["payload"] = block.partition(b"\r\n\r\n")[2]
-        return row
+        if wanted and self.payload and row["warc_type"] != "revisit":
+            pieces, have = [start], len(start)
+            while have < length + 4:
+                piece = source.read(length + 4 - have)
+                if not piece:
+                    break
+                pieces.append(piece)
+                have += len(piece)
+            block, start = b"".join(pieces)[:length], b" " * have
+            if len(block) < length:
+                raise ValueError("a record shorter than it says")
+            row["payload"] = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+        return row if wanted else None, source.after(length + 4 - len(start))
 
 
 class WarcSource(DataSource):
@@ -241,10 +321,10 @@ def records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     marked = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
     large = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
     first = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    # only digests that repeat meet their copies: narrow rows, so the payloads themselves are shuffled by page_id alone
+    # only digests that repeat meet their copies: narrow rows; the payloads are not shuffled if the list of revisits is small, else by page_id
     again = large.join(first, "payload_digest").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
     again = again.select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "refers_to").distinct()
-    both = marked.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left")
+    both = marked.join(broadcastable(durable(again), REVISIT_ROW), F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     return both.select("page_id", "url", "payload", "payload_digest", kind.alias("record_type"), "refers_to")
 
@@ -255,6 +335,7 @@ def write_archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> No
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of the archive or file at path; to be loaded anew for each set of filters in one query."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)

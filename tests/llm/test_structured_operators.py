@@ -1,9 +1,12 @@
 """Vectors, pages, chats, archives: edge cases, round trips and brute force."""
 
+import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,9 +151,9 @@ def test_warc_round_trip(spark, tmp_path):
             assert (r.warc_type, r.refers_to, r.payload) == ("revisit", "5", None)
         else:
             assert r.warc_type == "response" and bytes(r.payload) == data and r.refers_to is None
-    read = warc.read_archive(spark, path)
-    assert {r.page_id for r in read.where("warc_type = 'revisit'").collect()} == {"1", "3"}
-    assert read.where("target_uri = 'u' and page_id in ('4', '9')").count() == 2
+    kinds = [warc.read_archive(spark, path).where(f"warc_type = '{k}'").select("page_id") for k in ("revisit", "response")]
+    assert kinds[0].union(kinds[1]).count() == len(rows) and {r.page_id for r in kinds[0].collect()} == {"1", "3"}
+    assert warc.read_archive(spark, path).where("target_uri = 'u' and page_id in ('4', '9')").count() == 2
     assert all(r.payload is None for r in warc.read_archive(spark, path, payload=False).collect())
 
 
@@ -162,6 +165,60 @@ def test_warc_pushdown_and_empty(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def reading(path, wanted=None, payload=True):
+    """Rows of all files below path, read as a task does, and how many bytes were inflated."""
+    reader = warc.WarcReader(str(path), payload)
+    reader.wanted = wanted or {}
+    rows, inflated = [], 0
+    for part in reader.partitions():
+        if part.path:
+            window = warc.Window(pa.OSFile(part.path))
+            rows += [r for b in reader.batches(window) for r in b.to_pylist()]
+            inflated += window.inflated
+    return rows, inflated
+
+
+def test_warc_passes_over_unwanted_payloads(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "lorem ipsum dolor " * 20_000) for i in range(20)] + [(100 + i, "u", "x" * 5000) for i in range(20)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    whole = sum(len(h) for *_, h in rows)
+    got, inflated = reading(tmp_path / "w")
+    assert len(got) == 40 and inflated > whole - 19 * 5000
+    got, inflated = reading(tmp_path / "w", {"warc_type": {"revisit"}})
+    assert len(got) == 19 and inflated <= 40 * warc.HEAD
+    got, inflated = reading(tmp_path / "w", {"page_id": {"7"}})
+    assert [len(r["payload"]) for r in got] == [len(rows[7][2])] and inflated < len(rows[7][2]) + 45 * warc.HEAD
+    assert reading(tmp_path / "w", payload=False)[1] <= 40 * warc.HEAD
+    assert len({r["record_id"] for r in reading(tmp_path / "w")[0]}) == 40
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    made = [("warcinfo", "application/warc-fields", b"software: x\r\n"), ("response", "application/http; msgtype=response", http + b"<p>WARC/1.0\r\n\r\n" * 9000), ("conversion", "text/plain", b"plain"), ("response", "application/http", http)]
+    records = [f"WARC/1.0\r\nwarc-type: {t}\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Type: {c}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, (t, c, b) in enumerate(made)]
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "one.warc").write_bytes(b"".join(records))
+    (tmp_path / "a" / "two.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    read = warc.read_archive(spark, str(tmp_path / "a"))
+    want = [("warcinfo", "urn:x:0", made[0][2]), ("response", "urn:x:1", made[1][2][len(http) :]), ("conversion", "urn:x:2", b"plain"), ("response", "urn:x:3", b"")]
+    assert sorted((r.warc_type, r.record_id, bytes(r.payload)) for r in read.collect()) == sorted(want * 2)
+    assert {bytes(r.payload) for r in read.where("warc_type = 'conversion'").collect()} == {b"plain"}
+    alone = warc.read_archive(spark, str(tmp_path / "a" / "b" / "one.warc"))
+    assert alone.count() == 4
+    got, inflated = reading(tmp_path / "a" / "b", {"warc_type": {"conversion"}})
+    assert len(got) == 1 and inflated == 0
+
+
+def test_warc_rows_without_or_with_repeated_ids(spark, tmp_path):
+    big = "b" * 2000
+    rows = [(None, "u", big)] * 3 + [(4, "u", big)] * 2 + [(None, "v", "c" * 2000)] * 2 + [(5, "w", "d" * 10)] * 2
+    warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_archive(spark, str(tmp_path / "w")).collect()
+    kinds = Counter((r.page_id, r.warc_type, r.refers_to) for r in got)
+    assert kinds == {(None, "revisit", "4"): 3, ("4", "response", None): 2, (None, "response", None): 2, ("5", "response", None): 2}
+    assert len({r.record_id for r in got}) == len(rows)
+
+
 def test_warc_ignores_files_of_lost_tasks(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "h")], "page_id bigint, url string, html string"), str(tmp_path / "w"))
     (tmp_path / "w" / "lost.warc.gz").write_bytes(b"not an archive")
