@@ -4,18 +4,21 @@ Each of TREES trees gives every vector a string of BITS bits, the sides of rando
 sorted array of these strings. A query descends in all trees to its longest-prefix matches and then ascends in all of
 them at once, a bit at a time, until at least M candidates share the prefixes; it compares itself with these exactly.
 
-On Spark the sorted arrays are cut into blocks by their first p bits, blocks too large for a task into pieces. One pass
-over hash strings counts, for every query and prefix length, what all trees have (descent); from the sums follows where
-the query stops; a second pass scores what lies within that prefix (ascent). M and p come from a bounded sample of
-CALIBRATION queries, compared with all rows in blocks: M is what leads to TARGET of their true neighbours, p the
-shortest prefix that any of them needed. Queries left with fewer than k neighbours ascend to the root: all rows, in blocks.
+On Spark the sorted arrays are cut into blocks by their first p bits, blocks too large for a task into pieces; only
+strings and keys are in them, packed. One pass over the strings counts, for every query and prefix length, what all
+trees have (descent); from the sums follows where the query stops; a second pass gives the keys of what lies within that
+prefix (ascent). A query's keys are made distinct over the trees, and each vector meets the queries that ask for it once.
+A query whose prefix holds more than CROWDED candidates, as among near copies of one vector, is compared with them
+in pieces of blocks instead, so that no list of pairs is made. M and p come from a bounded sample of CALIBRATION queries,
+compared with all rows in blocks: M is what leads to TARGET of their true neighbours, p the shortest prefix that any of them
+needed. Queries left with fewer than k neighbours ascend to the root: all rows, in blocks.
 
 Equal vectors are indexed once, with their k + 1 smallest ids (no other can be among anyone's k nearest), so a vector that
-fills a third of the table costs one row.
+fills a third of the table costs one row. They are told by a hash, and only vectors whose hash is there twice are shuffled.
 
 Defined results: vectors that are null, zero, empty, of another length than the table's most frequent (the smaller if
 equally frequent), or hold null or non-finite components take no part, neither as queries nor as candidates; repeated ids are
-one candidate each time they hold another vector; ties go to the smaller id; fewer than k candidates are all returned.
+one candidate each time they hold another vector; floats and doubles are measured as they are, other numbers as doubles; ties go to the smaller id; fewer than k candidates are all returned.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, rows_about
+from .common import broadcastable, durable, rows_about
 
 TREES = 20
 BITS = 32
@@ -39,6 +42,10 @@ PIECE = 4096
 QUERY_PIECE = 1024
 #: Blocks are made of at most so many first bits.
 MOST_BITS = 12
+#: A query with more candidates than this, and than four times M, is compared with them in pieces.
+CROWDED = 16_384
+#: Bytes of vectors that one task fetches from.
+FETCH_BYTES = 16 << 20
 
 
 def valid_vector(v: str = "embedding") -> Column:
@@ -52,7 +59,7 @@ def planes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = SEED) ->
 
 def strings(x: np.ndarray, normals: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
     """For each row of x, its hash string in every tree, as an integer whose highest bit comes first."""
-    side = (x.astype(np.float32) @ normals > 0).reshape(len(x), trees, bits)
+    side = ((x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32) @ normals > 0).reshape(len(x), trees, bits)
     return side.astype(np.int64) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
@@ -95,22 +102,32 @@ def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> t
     return q[kept], r[kept], score[kept]
 
 
-def classes_of(vectors: DataFrame, k: int, dim: int) -> DataFrame:
-    """embedding, ids (its k + 1 smallest, in order), id (the smallest) of every distinct valid vector."""
-    rows = vectors.where(valid_vector() & (F.size("embedding") == dim))
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)).alias("embedding"))
-    ranked = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    grouped = ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return grouped.withColumn("id", F.col("ids")[0])
+def zeroed(v: str = "embedding") -> Column:
+    """The vector without negative zeros, so that equal ones are equal bits."""
+    return F.transform(v, lambda x: F.when(x == 0, x * 0 + F.abs(x)).otherwise(x))
+
+
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """key, embedding, ids (its k + 1 smallest, in order), id (the smallest) of every distinct vector of rows (vec_id, key, embedding)."""
+    many = durable(rows.groupBy("key").count().where("count > 1").select("key"))
+    alone = rows
+    if not many.isEmpty():
+        many = broadcastable(many, 16)
+        alone = rows.join(many, "key", "left_anti")
+    alone = alone.select("key", "embedding", F.array("vec_id").alias("ids"))
+    again = rows.join(many, "key", "left_semi").distinct()
+    again = again.withColumn("n", F.row_number().over(Window.partitionBy("key", "embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    again = durable(again.groupBy("key", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    return alone.union(again).withColumn("id", F.col("ids")[0])
 
 
 def calibrate(classes: DataFrame, queries: DataFrame, normals: np.ndarray, k: int) -> tuple[int, int]:
     """M and p, from CALIBRATION queries against all rows."""
-    sample = rows_about(queries, CALIBRATION, "id", seed=3).toArrow().slice(0, 4 * CALIBRATION)
+    sample = rows_about(queries, CALIBRATION, "key", seed=3).toArrow().slice(0, 4 * CALIBRATION)
     dim = len(normals)
     if not sample.num_rows:
         return 1, 0
-    own_ids = sample["id"].to_numpy()
+    own_ids = sample["key"].to_numpy()
     own = matrix(sample["embedding"], dim)
     own_strings = strings(own, normals)
 
@@ -118,7 +135,7 @@ def calibrate(classes: DataFrame, queries: DataFrame, normals: np.ndarray, k: in
         counts = np.zeros((len(own), BITS + 1), np.int64)
         out = ["q", "level", "n", "id", "score"]
         for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
-            rows, ids = matrix(batch["embedding"], dim), batch["id"].to_numpy(zero_copy_only=False)
+            rows, ids = matrix(batch["embedding"], dim), batch["key"].to_numpy(zero_copy_only=False)
             level = np.zeros((len(own), len(rows)), np.int64)
             codes = strings(rows, normals)
             for t in range(TREES):
@@ -129,13 +146,13 @@ def calibrate(classes: DataFrame, queries: DataFrame, normals: np.ndarray, k: in
             q, r, score = nearest(own, rows, ids, k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(level[q, r]), pa.array(np.zeros(len(q), np.int64)), pa.array(ids[r]), pa.array(score)], out)
         q, level = (x.ravel() for x in np.indices(counts.shape))
-        zero = np.zeros(len(q))
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(level), pa.array(counts.ravel()), pa.array(np.full(len(q), -1)), pa.array(zero)], out)
+        low = np.full(len(q), -9.0)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(level), pa.array(counts.ravel()), pa.array(np.full(len(q), -1)), pa.array(low)], out)
 
-    told = classes.select("id", "embedding").mapInArrow(of, "q bigint, level bigint, n bigint, id bigint, score double")
+    told = classes.select("key", "embedding").mapInArrow(of, "q bigint, level bigint, n bigint, id bigint, score double")
     told = durable(told)
     sums = told.where("n > 0").groupBy("q", "level").agg(F.sum("n").alias("n")).toPandas()
-    best = told.where("score != 0 or id != -1").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1).toPandas()
+    best = told.where("n = 0 and score > -2").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1).toPandas()
     at = np.zeros((len(own), BITS + 2), np.int64)
     at[sums["q"], sums["level"]] = sums["n"]
     at = at[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows that share at least so many bits, over all trees
@@ -165,7 +182,7 @@ def _pieces(rows: DataFrame, normals: np.ndarray, p: int, trees: int, carried: l
 
 def _met(index: DataFrame, queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Index and query rows in one table, keyed by the pieces (tree, block, i, j) in which each query meets each row."""
-    i, j = F.pmod(F.xxhash64("id"), F.col("index_pieces")), F.pmod(F.xxhash64("id"), F.col("query_pieces"))
+    i, j = F.pmod("key", F.col("index_pieces")), F.pmod("key", F.col("query_pieces"))
     a = index.join(F.broadcast(blocks), ["tree", "block"]).withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_pieces") - 1)))
     b = queries.join(F.broadcast(blocks), ["tree", "block"]).withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("index_pieces") - 1)))
     drop = ["index_pieces", "query_pieces"]
@@ -179,6 +196,68 @@ def _blocks(index: DataFrame, queries: DataFrame) -> DataFrame:
     return index.groupBy("tree", "block").agg(n(PIECE).alias("index_pieces")).join(queries.groupBy("tree", "block").agg(n(QUERY_PIECE).alias("query_pieces")), ["tree", "block"])
 
 
+PACKED = "tree int, block int, i int, j int, asks boolean, strings array<bigint>, keys array<bigint>, stops array<bigint>"
+
+
+def block_sizes(rows: DataFrame, normals: np.ndarray, p: int) -> np.ndarray:
+    """How many of rows (key, embedding) are in each block, as (tree, block); TREES * 2**MOST_BITS numbers at most."""
+    dim = len(normals)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros((TREES, 1 << p), np.int64)
+        for batch in batches:
+            blocks = strings(matrix(batch["embedding"], dim), normals) >> (BITS - p)
+            for t in range(TREES):
+                sizes[t] += np.bincount(blocks[:, t], minlength=1 << p)
+        t, b = np.nonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(b, pa.int32()), pa.array(sizes[t, b])], ["tree", "block", "n"])
+
+    got = rows.select("embedding").mapInArrow(of, "tree int, block int, n bigint").groupBy("tree", "block").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((TREES, 1 << p), np.int64)
+    out[got["tree"].to_numpy(), got["block"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def packed(rows: DataFrame, normals: np.ndarray, p: int, pieces: tuple[np.ndarray, np.ndarray], asks: bool, keys: bool) -> DataFrame:
+    """The strings of rows (key, embedding, and stop if they ask), as sorted runs keyed by the pieces (tree, block, i, j) they belong to.
+
+    pieces: by (tree, block), into how many pieces its index rows and its queries are cut; a query piece meets every index piece.
+    """
+    dim = len(normals)
+    own, other = (pieces[1], pieces[0]) if asks else pieces
+    columns = ["key", "embedding", *(["stop"] if asks and "stop" in rows.columns else [])]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            stop = batch["stop"].to_numpy() if "stop" in columns else np.zeros(len(key), np.int64)
+            codes = strings(matrix(batch["embedding"], dim), normals)
+            out: list[tuple] = []
+            for t in range(TREES):
+                block = codes[:, t] >> (BITS - p)
+                piece = key % np.maximum(own[t, block], 1)
+                order = np.lexsort((codes[:, t], piece, block))
+                order = order[other[t, block[order]] > 0]  # blocks that the other side does not reach stay behind
+                if not len(order):
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(block[order]) != 0) | (np.diff(piece[order]) != 0)]))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                    run = order[a:b]
+                    first = int(block[run[0]])
+                    held = (codes[run, t], key[run] if keys or asks else key[:0], stop[run] if asks else stop[:0])
+                    for o in range(int(other[t, first])):
+                        out.append((t, first, *((o, int(piece[run[0]])) if asks else (int(piece[run[0]]), o)), asks, *held))
+            if out:
+                kinds = [pa.int32()] * 4 + [pa.bool_()] + [pa.list_(pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["tree", "block", "i", "j", "asks", "strings", "keys", "stops"])
+
+    return rows.select(*columns).mapInArrow(of, PACKED)
+
+
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    return table[column].combine_chunks().flatten().to_numpy() if table.num_rows else np.empty(0, np.int64)
+
+
 def _range(sorted_strings: np.ndarray, string: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Where in the sorted array the strings lie that share the first `level` bits."""
     width = np.left_shift(np.int64(1), BITS - np.asarray(level, np.int64))
@@ -186,24 +265,102 @@ def _range(sorted_strings: np.ndarray, string: np.ndarray, level: np.ndarray | i
     return np.searchsorted(sorted_strings, low), np.searchsorted(sorted_strings, low + width)
 
 
-def descend(index: DataFrame, queries: DataFrame, blocks: DataFrame, m: int, p: int) -> DataFrame:
-    """id, stop: the longest prefix at which the trees together have m candidates for the query; p where none has."""
+def descend(index: DataFrame, queries: DataFrame, m: int, p: int) -> DataFrame:
+    """key, stop, n: the longest prefix at which the trees together have m candidates for the query, p where none has; and how many."""
 
     def of(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        string, ids = table["string"].to_numpy(), table["id"].to_numpy()
-        rows, own = np.sort(string[~asks]), string[asks]
-        counts = np.stack([np.subtract(*_range(rows, own, x)[::-1]) for x in range(p, BITS + 1)], axis=1) if len(own) else np.zeros((0, BITS + 1 - p), np.int64)
-        return pa.table({"id": ids[asks], "counts": pa.array(list(counts), pa.list_(pa.int64()))})
-
-    found = _met(index, queries, blocks).applyInArrow(of, "id bigint, counts array<bigint>")
-    sums = found.groupBy("id").agg(*[F.sum(F.col("counts")[x - p]).alias(f"n{x}") for x in range(p, BITS + 1)])
+        asks = table["asks"]
+        rows, asking = table.filter(pa.compute.invert(asks)), table.filter(asks)
+        stored, own = np.sort(_flat(rows, "strings")), _flat(asking, "strings")
+        counts = np.stack([np.subtract(*_range(stored, own, x)[::-1]) for x in range(p, BITS + 1)], axis=1) if len(own) else np.zeros((0, BITS + 1 - p), np.int64)
+        return pa.table({"key": _flat(asking, "keys"), "counts": pa.array(list(counts), pa.list_(pa.int64()))})
+
+    found = index.union(queries).groupBy("tree", "block", "i", "j").applyInArrow(of, "key bigint, counts array<bigint>")
+    sums = found.groupBy("key").agg(*[F.sum(F.col("counts")[x - p]).alias(f"n{x}") for x in range(p, BITS + 1)])
     stop = F.coalesce(*[F.when(F.col(f"n{x}") >= m, F.lit(x)) for x in range(BITS, p - 1, -1)], F.lit(p))
-    return sums.select("id", stop.cast("bigint").alias("stop"))
+    n = F.coalesce(*[F.when(F.col(f"n{x}") >= m, F.col(f"n{x}")) for x in range(BITS, p - 1, -1)], F.col(f"n{p}"))
+    return sums.select("key", stop.cast("bigint").alias("stop"), n.alias("n"))
+
+
+def gather(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """q, keys: the keys within the prefix at which each query stops, one list for each tree and piece."""
+
+    def of(table: pa.Table) -> pa.Table:
+        asks = table["asks"]
+        rows, asking = table.filter(pa.compute.invert(asks)), table.filter(asks)
+        stored, keys = _flat(rows, "strings"), _flat(rows, "keys")
+        order = np.argsort(stored, kind="stable")
+        lo, hi = _range(stored[order], _flat(asking, "strings"), _flat(asking, "stops"))
+        return pa.table({"q": _flat(asking, "keys"), "keys": pa.array([keys[order[a:b]] for a, b in zip(lo.tolist(), hi.tolist())], pa.list_(pa.int64()))})
+
+    return index.union(queries).groupBy("tree", "block", "i", "j").applyInArrow(of, "q bigint, keys array<bigint>").where(F.size("keys") > 0)
+
+
+def fetch(classes: DataFrame, queries: DataFrame, candidates: DataFrame, k: int, dim: int, blocks: int) -> DataFrame:
+    """q, key, id, ids, score: the k + 1 best of each query's candidates in each of `blocks` parts of the classes.
+
+    A part's vectors are held, and the queries that ask for some of them stream past.
+    """
+    kind = classes.schema["embedding"].dataType.simpleString()
+    schema = f"part int, asks boolean, key bigint, ids array<bigint>, embedding {kind}"
+    asked = candidates.groupBy("q").agg(F.flatten(F.collect_list("keys")).alias("keys")).join(queries, F.col("q") == F.col("key")).select("q", "keys", "embedding")
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, q, keys, row = [], [], [], []
+            for i, (own, wanted) in enumerate(zip(batch["q"].to_pylist(), batch["keys"])):
+                wanted = np.unique(wanted.values.to_numpy())
+                at = wanted % blocks
+                order = np.argsort(at, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0])).tolist()
+                for a, b in zip(starts, [*starts[1:], len(order)]):
+                    part.append(int(at[order[a]]))
+                    q.append(own)
+                    keys.append(wanted[order[a:b]])
+                    row.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([True] * len(q)), pa.array(q, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch["embedding"].take(pa.array(row, pa.int64()))], ["part", "asks", "key", "ids", "embedding"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, held = None, [], None  # rows of the part, until the first query asks
+        for batch in batches:
+            parts, asks = batch["part"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero(np.concatenate([[True], (np.diff(parts) != 0) | (asks[1:] != asks[:-1])])).tolist()
+            for a, b in zip(bounds, [*bounds[1:], batch.num_rows]):
+                rows = batch.slice(a, b - a)
+                if parts[a] != now:
+                    now, kept, held = parts[a], [], None
+                if not asks[a]:
+                    kept.append(rows)
+                    continue
+                if held is None:
+                    whole = pa.Table.from_batches(kept).combine_chunks() if kept else None
+                    key = whole["key"].to_numpy() if kept else np.empty(0, np.int64)
+                    order = np.argsort(key)
+                    held = whole, key[order], order, matrix(whole["embedding"], dim) if kept else np.zeros((0, dim))
+                    kept = []
+                whole, key, order, x = held
+                if whole is None:
+                    continue
+                wanted = rows["ids"].flatten().to_numpy()
+                asking = np.repeat(np.arange(rows.num_rows), rows["ids"].value_lengths().to_numpy())
+                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                good = key[at] == wanted
+                at, asking = order[at[good]], asking[good]
+                y, first = matrix(rows["embedding"], dim), np.array([i[0] for i in whole["ids"].to_pylist()], np.int64)
+                score = np.concatenate([exact(y[asking[i : i + (1 << 14)]], x[at[i : i + (1 << 14)]]) for i in range(0, len(at), 1 << 14)] or [np.empty(0)])
+                best = np.lexsort((first[at], -score, asking))
+                start = np.searchsorted(asking[best], np.arange(rows.num_rows))
+                best = best[np.arange(len(best)) - start[asking[best]] <= k]
+                at, asking = pa.array(at[best]), pa.array(asking[best])
+                yield pa.RecordBatch.from_arrays([rows["key"].take(asking), *(whole[c].combine_chunks().take(at) for c in ("key", "id", "ids")), pa.array(score[best])], ["q", "key", "id", "ids", "score"])
+
+    stored = classes.select(F.pmod("key", F.lit(blocks)).cast("int").alias("part"), F.lit(False).alias("asks"), "key", "ids", "embedding")
+    met = stored.union(asked.mapInArrow(parted, schema)).repartition("part").sortWithinPartitions("part", "asks")
+    return met.select("*", F.when(~F.col("asks"), F.col("ids")[0]).alias("id")).mapInArrow(scored, "q bigint, key bigint, id bigint, ids array<bigint>, score double")
 
 
 def ascend(index: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, dim: int) -> DataFrame:
-    """query class q, candidate class's ids, score: the k + 1 best of each piece within each query's prefix."""
+    """q, key, id, ids, score: the k + 1 best classes of each piece within each query's prefix, for queries with crowds of candidates."""
 
     def of(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
@@ -221,46 +378,58 @@ def ascend(index: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, dim:
                     q, r, score = nearest(y[asking], x[a:b], ids[a:b], k + 1)
                     found.append((asking[q], r + a, score))
         q, r, score = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"q": own["id"].take(pa.array(q)), "id": rows["id"].take(pa.array(r)), "ids": rows["ids"].take(pa.array(r)), "score": pa.array(score, pa.float64())})
+        return pa.table({"q": own["key"].take(pa.array(q)), "key": rows["key"].take(pa.array(r)), "id": rows["id"].take(pa.array(r)), "ids": rows["ids"].take(pa.array(r)), "score": pa.array(score, pa.float64())})
 
-    return _met(index, queries, blocks).applyInArrow(of, "q bigint, id bigint, ids array<bigint>, score double")
+    return _met(index, queries, blocks).applyInArrow(of, "q bigint, key bigint, id bigint, ids array<bigint>, score double")
 
 
 def _best(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score from candidate classes and the queries of each class."""
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    classes = found.groupBy("q", "id").agg(F.first("ids").alias("ids"), F.max("score").alias("score")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "id", "key")
+    classes = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("q", "ids", "score")
     each = asked.join(classes, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _dense(classes: DataFrame, queries: DataFrame, normals: np.ndarray, p: int, trees: int, k: int) -> DataFrame:
+    """What ascend finds for queries (key, embedding, stop), each class once."""
+    index = _pieces(classes, normals, p, trees, ["key", "id", "ids", "embedding"])
+    asking = _pieces(queries, normals, p, trees, ["key", "embedding", "stop"])
+    found = ascend(index, asking, _blocks(index, asking), k, len(normals))
+    return found.groupBy("q", "key", "id").agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every valid row for which is_query holds."""
-    vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), is_query.alias("asks")).where(F.col("vec_id").isNotNull())
-    sizes = vectors.where(valid_vector()).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = sizes["dim"] if sizes else 1
-    classes = durable(classes_of(vectors, k, dim))
-    zeroed = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
-    asking = vectors.where(F.col("asks") & valid_vector() & (F.size("embedding") == dim)).select(F.col("vec_id").alias("query_id"), zeroed.alias("embedding")).distinct()
-    asked = durable(asking.join(classes.select("embedding", F.col("id").alias("q")), "embedding").select("query_id", "q"))
-    queries = durable(classes.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "embedding"))
+    spark = vectors.sparkSession
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    own = F.col("embedding").cast(f"array<{element if element in ('float', 'double') else 'double'}>")
+    valid = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), own.alias("embedding"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & valid_vector())
+    sizes = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim, count = (sizes["dim"], sizes["count"]) if sizes else (1, 0)
+    valid = valid.where(F.size("embedding") == dim).withColumn("embedding", zeroed()).withColumn("key", F.xxhash64("embedding"))
+    classes = classes_of(valid.select("vec_id", "key", "embedding"), k)
+    asking = valid.where("asks")
+    asked = durable(asking.select(F.col("vec_id").alias("query_id"), F.col("key").alias("q")).distinct())
+    queries = durable(asking.groupBy("key").agg(F.first("embedding").alias("embedding")))
     normals = planes(dim)
     m, p = calibrate(classes, queries, normals, k)
-    index_strings = _pieces(classes, normals, p, TREES, ["id"])
-    query_strings = _pieces(queries, normals, p, TREES, ["id"])
-    blocks = durable(_blocks(index_strings, query_strings))
-    stops = descend(index_strings, query_strings, blocks, m, p)
-    index = _pieces(classes, normals, p, TREES, ["id", "ids", "embedding"])
-    found = durable(ascend(index, _pieces(queries, normals, p, TREES, ["id", "embedding"]).join(stops, "id"), blocks, k, dim))
-    answers = _best(found, asked, k)
+    index_sizes, query_sizes = block_sizes(classes, normals, p), block_sizes(queries, normals, p)
+    pieces = -(-index_sizes // PIECE), -(-query_sizes // QUERY_PIECE)
+    stops = durable(descend(packed(classes, normals, p, pieces, False, False), packed(queries, normals, p, pieces, True, True), m, p))
+    stopping = queries.join(stops, "key")
+    crowded = F.col("n") > max(4 * m, CROWDED)
+    keys = gather(packed(classes, normals, p, pieces, False, True), packed(stopping.where(~crowded), normals, p, pieces, True, True))
+    parts = max(1, -(-count * dim * 8 // FETCH_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // PIECE))
+    found = fetch(classes, queries, keys, k, dim, parts)
+    if not stops.where(crowded).isEmpty():
+        found = found.union(_dense(classes, stopping.where(crowded), normals, p, TREES, k).select(found.columns))
+    answers = durable(_best(found, asked, k))
     # who has fewer than k, though there are as many, ascends to the root
-    whole = classes.agg(F.sum(F.size("ids"))).first()[0] or 0
-    full = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, max(whole - 1, 0)))
+    full = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, max(count - 1, 0)))
     short = durable(asked.join(full, "query_id", "left_anti"))
     if short.isEmpty():
         return answers
-    again = queries.join(short.select(F.col("q").alias("id")).distinct(), "id", "left_semi").withColumn("stop", F.lit(0).cast("bigint"))
-    root = [_pieces(classes, normals, 0, 1, ["id", "ids", "embedding"]), _pieces(again, normals, 0, 1, ["id", "embedding", "stop"])]
-    exactly = ascend(*root, _blocks(*root), k, dim)
-    return answers.join(short, "query_id", "left_anti").unionByName(_best(exactly, short, k))
+    again = queries.join(short.select(F.col("q").alias("key")).distinct(), "key", "left_semi").withColumn("stop", F.lit(0).cast("bigint"))
+    return answers.join(short, "query_id", "left_anti").unionByName(_best(_dense(classes, again, normals, 0, 1, k), short, k))

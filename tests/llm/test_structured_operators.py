@@ -45,6 +45,52 @@ def test_few_and_no_vectors(spark):
     assert ann.neighbours(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def recall(spark, x, kind="float", step=20, crowded=None, monkeypatch=None):
+    """Share of the true five nearest found, and the rows."""
+    df = spark.createDataFrame([(i, v.tolist(), True, [1]) for i, v in enumerate(x)], f"vec_id bigint, embedding array<{kind}>, asks boolean, ids array<int>").repartition(4)
+    got = ann.neighbours(df, F.col("vec_id") % step == 0, 5).collect()
+    u = x.astype(float) / np.abs(x.astype(float)).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, len(x), step):
+        own = [r for r in got if r.query_id == q]
+        cosine = u @ u[q]
+        cosine[q] = -9
+        assert len(own) == 5 and all(abs(cosine[r.vec_id] - r.score) < 1e-9 for r in own)
+        best = np.sort(cosine)[-5:][::-1]
+        hit += sum(r.score >= best[4] - 1e-12 for r in own)
+    return hit / (5 * len(range(0, len(x), step)))
+
+
+@pytest.mark.parametrize("shape", ["structureless", "clustered", "near copies", "crowded"])
+def test_recall(spark, monkeypatch, shape):
+    rng = np.random.default_rng(5)
+    n, dim = 3000, 24
+    if shape == "structureless":
+        x = rng.standard_normal((n, dim))
+    elif shape == "clustered":
+        x = rng.standard_normal((40, dim))[rng.integers(0, 40, n)] + 0.3 * rng.standard_normal((n, dim))
+    else:
+        x = rng.standard_normal((n, dim))
+        x[: n // 3] = x[0] + 1e-4 * rng.standard_normal((n // 3, dim))  # a third of the rows lies close together
+    if shape == "crowded":
+        monkeypatch.setattr(ann, "CROWDED", 50)
+        monkeypatch.setattr(ann, "PIECE", 400)
+        monkeypatch.setattr(ann, "QUERY_PIECE", 20)
+        monkeypatch.setattr(ann, "calibrate", lambda *a: (12, 2))
+        assert recall(spark, x.astype(np.float32)) > 0.3
+    else:
+        assert recall(spark, x.astype(np.float32)) >= 0.9
+
+
+def test_double_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8))
+    x[7], x[40] = x[0] * 1e300, x[20] * 1e-300  # beyond what a float holds
+    x[9] = x[0] * (1 + 1e-12)
+    assert recall(spark, x, "double", 20) == 1.0
+
+
 def test_prefixes():
     a = np.array([0b1011 << 28, 0, (1 << 32) - 1])
     assert ann.common_prefix(a, np.array([0b1010 << 28, 0, 0])).tolist() == [3, 32, 0]
