@@ -50,6 +50,13 @@ def span(df: DataFrame, epoch_us: int) -> tuple[int, int]:
     return (0, 0) if first is None else (first // epoch_us * epoch_us, (last // epoch_us + 1) * epoch_us)
 
 
+def whole_epochs(df: DataFrame, epoch_us: int, start_us: int, stop_us: int) -> DataFrame:
+    """df's rows with record, the epoch from start_us that they are in; the epoch in which the recording stops is not complete and goes."""
+    records = max(stop_us - start_us, 0) // epoch_us
+    record = F.floor((F.col("us") - start_us) / epoch_us)
+    return df.withColumn("record", record).where((F.col("us") >= start_us) & (F.col("record") < records))
+
+
 def epochs(df: DataFrame, epoch_us: int, samples: int, start_us: int | None = None, end_us: int | None = None, series: str = "series") -> DataFrame:
     """series, record, k, value, is_filled: each epoch of each series as exactly `samples` points, zeros where it has none.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -18,7 +20,7 @@ from ..sources import edf
 from ..streaming import live
 from .filtering import N_USER, step_sql
 from .tables import S_TYPE, S_USER, rounded, series_by, table
-from .timeline import END, HOUR, SQL as TIMELINE_SQL, START, beats
+from .timeline import HOUR, SPAN, SQL as TIMELINE_SQL, beats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,8 +37,14 @@ def query(sql: str | None = None):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one."""
-    return posixpath.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"), uuid.uuid4().hex)
+    """A new folder under spark.checkpoint.dir, which driver and executors share; on one machine, where that is unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return posixpath.join(folder, uuid.uuid4().hex)
 
 
 def events_stream(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
@@ -94,26 +102,19 @@ def stream_keepalive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TIMELINE_SQL["epoch_records"].replace("CAST(greatest(-32768", "round(0.0 + (CAST(greatest(-32768", 1).replace(" AS INTEGER) AS digital, value IS NULL AS is_filled", " AS INTEGER) + 32768) * 500.0 / 65535.0, 6) + 0.0 AS value", 1).replace("SELECT d.series, d.record, d.k,", "SELECT d.series, CAST(d.record AS BIGINT) AS record, CAST(d.record * 12 + d.k AS BIGINT) AS seq,", 1))
 def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly epochs of every event type, written as one recording of the whole span; the SQL's two days of it read back."""
+    """Hourly epochs of every event type over the whole span, written as one recording and read back."""
     path = shared_dir(spark)
-    first, _ = recorded_span(spark, sf_dir)
     edf.write_recordings(recording(spark, sf_dir), path, 3600.0)
-    a, b = (START - first) // HOUR, (END - first) // HOUR
-    back = edf.read_recordings(spark, path).where((F.col("record") >= a) & (F.col("record") <= b - 1))
-    return rounded(back.select(F.col("label").alias("series"), (F.col("record") - a).alias("record"), (F.col("seq") - a * 12).alias("seq"), "value"), "value")
-
-
-def recorded_span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """Start and end of the recording: the hours of all events, and at least those that the SQL compares."""
-    first, after = resample.span(series_by(spark, sf_dir, "event_type"), HOUR)
-    return (min(first, START), max(after, END)) if after else (START, END)
+    return rounded(edf.read_recordings(spark, path).select(F.col("label").alias("series"), "record", "seq", "value"), "value")
 
 
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, after = recorded_span(spark, sf_dir)
-    filled = resample.epochs(series_by(spark, sf_dir, "event_type"), HOUR, 12, first, after)
+    rows = series_by(spark, sf_dir, "event_type")
+    first, after = resample.span(rows, HOUR)
+    filled = resample.epochs(rows, HOUR, 12, first, after)
     names = filled.select("series").distinct()
-    index = names.join(names.select(F.col("series").alias("other")), F.col("other") < F.col("series"), "left").groupBy("series").agg(F.count("other").alias("signal_index"))
+    # a recording's signals are a few thousand at most: four digits in its header
+    index = names.select("series", (F.row_number().over(Window.orderBy("series")) - 1).alias("signal_index"))
     rows = filled.join(F.broadcast(index), "series")
     return rows.select(F.lit("night").alias("recording"), "signal_index", F.col("series").alias("label"), "record", "k", F.round("value", 6).alias("value"), F.lit(0.0).alias("physical_min"), F.lit(500.0).alias("physical_max"), F.lit(first).alias("start_us"))
 
@@ -138,15 +139,15 @@ def signal_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, made)
 
 
-@query("""WITH n AS (SELECT event_id, 'Note ' || event_type AS text, event_id % 48 AS record, row_number() OVER (PARTITION BY event_id % 48 ORDER BY event_id) AS r FROM events)
-SELECT record, CAST(record * 3600 + r AS DOUBLE) AS onset, CASE WHEN event_id % 2 = 0 THEN CAST(2.5 AS DOUBLE) END AS duration, text FROM n WHERE r <= 3""")
+@query(f"""WITH {S_TYPE}, {SPAN}
+SELECT CAST((us - first) // {HOUR} AS BIGINT) AS record, (us - first) // 1000 / 1000.0 AS onset, CASE WHEN event_id % 2 = 0 THEN CAST(2.5 AS DOUBLE) END AS duration, 'Note ' || event_id || ' ' || series AS text FROM s, b""")
 def edf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three notes in every record, written beside the signals and read back."""
+    """A note of every event in its hour's record, written beside the signals and read back."""
     path = shared_dir(spark)
-    w = Window.partitionBy("record").orderBy("event_id")
-    notes = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 48).alias("record")).withColumn("r", F.row_number().over(w)).where("r <= 3")
-    notes = notes.select(F.lit("night").alias("recording"), "record", (F.col("record") * 3600 + F.col("r")).cast("double").alias("onset"), F.when(F.col("event_id") % 2 == 0, 2.5).alias("duration"), F.concat(F.lit("Note "), "event_type").alias("text"))
-    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes, all_annotations=True)
+    first, _ = resample.span(series_by(spark, sf_dir, "event_type"), HOUR)
+    since = F.col("us") - first
+    notes = series_by(spark, sf_dir, "event_type").select(F.lit("night").alias("recording"), F.floor(since / HOUR).alias("record"), (F.floor(since / 1000) / 1000.0).alias("onset"), F.when(F.col("event_id") % 2 == 0, 2.5).alias("duration"), F.concat_ws(" ", F.lit("Note"), "event_id", "series").alias("text"))
+    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes)
     return edf.read_recordings(spark, path, "annotations").select("record", "onset", "duration", "text")
 
 

@@ -12,7 +12,8 @@ from .tables import S_TYPE, S_USER, rounded, series_by, table
 #: A day and an hour of the events, in epoch microseconds.
 X0, X1 = 1_704_153_600_000_000, 1_704_240_000_000_000
 HOUR = 3_600_000_000
-START, END = 1_704_067_200_000_000, 1_704_067_200_000_000 + 48 * HOUR
+#: SQL of b (first, after): the start of the first hour with events and the end of the last one.
+SPAN = f"b AS (SELECT min(us) // {HOUR} * {HOUR} AS first, (max(us) // {HOUR} + 1) * {HOUR} AS after FROM s)"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,11 +34,12 @@ def viewport_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.viewport(series_by(spark, sf_dir, "event_type"), X0, X1).select("series", "us", "value")
 
 
-@query(f"""WITH {S_TYPE}, p AS (SELECT DISTINCT series, unnest(range({START}, {START} + 200 * {HOUR}, {HOUR})) AS us FROM s)
+@query(f"""WITH {S_TYPE}, {SPAN}, p AS (SELECT series, unnest(range(first, after + 1, {HOUR})) AS us FROM (SELECT DISTINCT series FROM s), b)
 SELECT p.series, p.us, s.value, s.us AS found_us FROM p ASOF LEFT JOIN s ON p.series = s.series AND p.us >= s.us""")
 def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series_by(spark, sf_dir, "event_type")
-    probes = s.select("series").distinct().select("series", F.explode(F.sequence(F.lit(START), F.lit(START + 199 * HOUR), F.lit(HOUR))).alias("us"))
+    first, after = resample.span(s, HOUR)
+    probes = s.select("series").distinct().select("series", F.explode(F.sequence(F.lit(first), F.lit(after), F.lit(HOUR))).alias("us"))
     return series.asof(probes, s)
 
 
@@ -139,14 +141,24 @@ def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(resample.linear(s, 40), "value"), "ms", places=3)
 
 
-@query(f"""WITH {S_TYPE}, e AS (SELECT {{'s': series, 'r': (us - {START}) // {HOUR}}} AS g, us / 1000.0 AS ms, event_id, value FROM s WHERE us >= {START} AND us < {END}), {linear_sql('e', 12, 'g')},
-d AS (SELECT series, record, k FROM (SELECT DISTINCT series FROM s), (SELECT unnest(range(0, 48)) AS record), (SELECT unnest(range(0, 12)) AS k))
+@query(f"""WITH {S_TYPE}, m AS (SELECT min(us) AS first, max(us) AS last FROM s), w AS (SELECT series, (us - first) // {HOUR} AS record, value, (last - first) // {HOUR} AS records FROM s, m)
+SELECT series, record, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM w WHERE record < records GROUP BY series, record""")
+def stopped_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording from the first event to the last: the epoch in which it is stopped is left out."""
+    rows = series_by(spark, sf_dir, "event_type")
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    kept = resample.whole_epochs(rows, HOUR, first, last)
+    return rounded(kept.groupBy("series", "record").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total")
+
+
+@query(f"""WITH {S_TYPE}, {SPAN}, e AS (SELECT {{'s': series, 'r': (us - first) // {HOUR}}} AS g, us / 1000.0 AS ms, event_id, value FROM s, b), {linear_sql('e', 12, 'g')},
+d AS (SELECT series, record, k FROM (SELECT DISTINCT series FROM s), (SELECT unnest(range(0, (after - first) // {HOUR})) AS record FROM b), (SELECT unnest(range(0, 12)) AS k))
 SELECT d.series, d.record, d.k, CAST(greatest(-32768, least(32767, floor((coalesce(round(value, 6), 0.0) - 0.0) * 65535.0 / 500.0 - 32768.0 + 0.5))) AS INTEGER) AS digital, value IS NULL AS is_filled
 FROM d LEFT JOIN r ON d.series = r.g.s AND d.record = r.g.r AND d.k = r.k""")
 def epoch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.signal import physical_to_digital
 
-    filled = resample.epochs(series_by(spark, sf_dir, "event_type"), HOUR, 12, START, END)
+    filled = resample.epochs(series_by(spark, sf_dir, "event_type"), HOUR, 12)
     digital = physical_to_digital(F.round("value", 6), *[F.lit(x) for x in (0.0, 500.0, -32768.0, 32767.0)])
     return filled.select("series", "record", "k", digital.alias("digital"), "is_filled")
 
@@ -172,9 +184,9 @@ def lttb_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.lttb(series_by(spark, sf_dir, "user_id"), LTTB_N)
 
 
-@query(f"WITH RECURSIVE {S_TYPE}, v AS (SELECT * FROM s WHERE us > {START + 24 * HOUR} AND us <= {START + 240 * HOUR}), {lttb_sql('v', 50)} SELECT series, us, value FROM l")
+@query(f"WITH RECURSIVE {S_TYPE}, v AS (SELECT * FROM s WHERE us > {X0} AND us <= {X0 + 216 * HOUR}), {lttb_sql('v', 50)} SELECT series, us, value FROM l")
 def viewport_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.traces(series_by(spark, sf_dir, "event_type"), START + 24 * HOUR, START + 240 * HOUR, points=50)
+    return view.traces(series_by(spark, sf_dir, "event_type"), X0, X0 + 216 * HOUR, points=50)
 
 
 @query(f"""WITH RECURSIVE {S_USER}, {lttb_sql('s', 24)}, q AS (SELECT series, list_sort(list(value)) AS x, count(*) AS n FROM l GROUP BY series),

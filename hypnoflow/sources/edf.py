@@ -1,12 +1,17 @@
 """EDF and EDF+ recordings as a PySpark Python data source, `edf`.
 
-Reading gives a row per sample: (path, signal_index, label, record, seq, ts_us, value). A partition is a range of records of
-a file, read by seeking; option `signals` (labels, comma-separated) limits what is decoded, and filters on signal_index and
-record are pushed down. kind=annotations, kind=signals and kind=header give the other parts of a file.
+Reading gives a row per sample: (path, signal_index, label, record, seq, ts_us, value). A partition is a share of a file's records,
+planned from the files' sizes; headers are read in the tasks. Times are those of the records: a record starts where its
+time-keeping annotation says, which for recordings with gaps (EDF+D) is not where the record before ends; without such an
+annotation it starts at its number times the record duration. Option `signals` (labels, comma-separated) limits what is
+decoded, and filters on signal_index and record are pushed down. kind=annotations, kind=records, kind=signals and kind=header
+give the other parts of a file. Spark keeps what was pushed with the loaded source: load anew for other filters in one query.
 
 Writing takes rows (recording, signal_index, label, record, k, value, physical_min, physical_max, start) already complete for each
 recording and record, sorted by recording, record, signal_index, k in one partition a recording (`write_recordings` sees to that); one
 record is held at a time. A file counts once its name is in the manifest.
+
+A physical or digital range, a count or a duration that is no number is an error, not zero.
 """
 
 from __future__ import annotations
@@ -35,11 +40,14 @@ RECORD_SECONDS = 30.0
 MANIFEST = "manifest.json"
 #: Bytes of records that one partition reads.
 PARTITION_BYTES = 32 << 20
+#: Bytes of records that are read at once, and samples of a signal that are put out at once.
+RUN_BYTES, BATCH_SAMPLES = 1 << 20, 1 << 16
 #: Widths of the fields that each signal has, in the order of the header.
 SIGNAL_FIELDS = (("label", 16), ("transducer_type", 80), ("physical_dimension", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefiltering", 80), ("samples_per_record", 8), ("reserved", 32))
 HEADER_FIELDS = (("version", 8), ("patient_id", 80), ("recording_id", 80), ("day", 8), ("clock", 8), ("header_bytes", 8), ("reserved", 44), ("data_records", 8), ("record_duration", 8), ("signal_count", 4))
 SCHEMAS = {
     "samples": "path string, signal_index int, label string, record bigint, seq bigint, ts_us bigint, value double",
+    "records": "path string, record bigint, start_s double, start_us bigint",
     "annotations": "path string, record bigint, onset double, duration double, text string",
     "signals": "path string, signal_index int, label string, transducer_type string, physical_dimension string, physical_min double, physical_max double, digital_min int, digital_max int, prefiltering string, samples_per_record int, byte_offset bigint",
     "header": "path string, version string, patient_id string, recording_id string, start_us bigint, data_records bigint, record_duration double, signal_count int",
@@ -91,16 +99,19 @@ def read_header(f: pa.NativeFile, size: int) -> Header:
             at += width
     offset = 0
     for s in signals:
-        for name in ("physical_min", "physical_max"):
-            s[name] = _number(s[name]) or 0.0
-        for name in ("digital_min", "digital_max", "samples_per_record"):
-            s[name] = _number(s[name], int) or 0
+        for name in ("physical_min", "physical_max", "digital_min", "digital_max", "samples_per_record"):
+            number = _number(s[name], float if name.startswith("physical") else int)
+            if number is None:
+                raise ValueError(f"{name} of signal {s['label']!r} is {s[name]!r}, which is no number")
+            s[name] = number
         s["byte_offset"] = offset
         offset += 2 * s["samples_per_record"]
     for name, kind in (("header_bytes", int), ("data_records", int), ("record_duration", float)):
         fields[name] = _number(fields[name], kind)
+    if fields["record_duration"] is None:
+        raise ValueError("the record duration is no number")
     fields["header_bytes"] = fields["header_bytes"] or 256 * (n + 1)
-    if (fields["data_records"] or -1) < 0:
+    if fields["data_records"] is None or fields["data_records"] < 0:
         fields["data_records"] = (size - fields["header_bytes"]) // offset if offset else 0
     return Header(fields, signals)
 
@@ -129,11 +140,19 @@ def annotations_of(block: bytes) -> list[tuple[float | None, float | None, str]]
     return out
 
 
+def onset_of(block: bytes) -> float | None:
+    """The start of a record that its time-keeping entry, the first of its annotations, gives."""
+    first = block.split(b"\x14", 1)[0].split(b"\x15", 1)[0]
+    return _number(first.decode("utf-8", "replace")) if first[:1] in (b"+", b"-") else None
+
+
 @dataclass
-class RecordRange(InputPartition):
+class FileShare(InputPartition):
+    """Share `part` of `parts` of a file's records."""
+
     path: str
-    first: int
-    after: int
+    part: int
+    parts: int
 
 
 class EdfReader(DataSourceReader):
@@ -154,67 +173,94 @@ class EdfReader(DataSourceReader):
             else:
                 yield f
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[tuple[str, int]]:
+        """The files and their sizes."""
         system, path = located(self.path)
-        if system.get_file_info(path).type == fs.FileType.File:
-            return [self.path]
-        try:
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.File:
+            return [(self.path, info.size)]
+        found = {posixpath.relpath(i.path, path): i.size for i in system.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File}
+        names = sorted(n for n in found if n.lower().endswith(".edf"))
+        if MANIFEST in found:
             with system.open_input_stream(posixpath.join(path, MANIFEST)) as f:
                 names = json.loads(f.read())
-        except FileNotFoundError:
-            names = sorted(posixpath.relpath(i.path, path) for i in system.get_file_info(fs.FileSelector(path, recursive=True)) if i.path.lower().endswith(".edf"))
-        return [posixpath.join(self.path, n) for n in names]
-
-    def partitions(self) -> list[RecordRange]:
-        out = []
-        for path in self._files():
-            if self.kind in ("header", "signals"):
-                out.append(RecordRange(path, 0, 0))
-                continue
-            system, own = located(path)
-            with system.open_input_file(own) as f:
-                head = read_header(f, f.size())
-            step = max(1, PARTITION_BYTES // max(head.record_bytes, 1))
-            end = min(head.fields["data_records"], self.records[1])
-            out += [RecordRange(path, r, min(r + step, end)) for r in range(self.records[0], end, step)]
-        return out or [RecordRange("", 0, 0)]
-
-    def read(self, part: RecordRange) -> Iterator[pa.RecordBatch]:
+        return [(posixpath.join(self.path, n), found[n]) for n in names]
+
+    def partitions(self) -> list[FileShare]:
+        whole = self.kind in ("header", "signals")
+        counts = [(path, 1 if whole else max(1, -(-size // PARTITION_BYTES))) for path, size in self._files()]
+        return [FileShare(path, i, n) for path, n in counts for i in range(n)] or [FileShare("", 0, 1)]
+
+    def read(self, part: FileShare) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         system, own = located(part.path)
         with system.open_input_file(own) as f:
             head = read_header(f, f.size())
-            yield from getattr(self, f"_{self.kind}")(part, head, f)
+            total = head.fields["data_records"]
+            first, after = (max(total * part.part // part.parts, self.records[0]), min(total * (part.part + 1) // part.parts, self.records[1]))
+            yield from getattr(self, f"_{self.kind}")(part.path, head, f, first, after)
 
-    def _header(self, part: RecordRange, head: Header, f: pa.NativeFile) -> Iterator[tuple]:
+    def _header(self, path: str, head: Header, f: pa.NativeFile, first: int, after: int) -> Iterator[tuple]:
         h = head.fields
-        yield part.path, h["version"], h["patient_id"], h["recording_id"], head.start_us, h["data_records"], h["record_duration"], len(head.signals)
+        yield path, h["version"], h["patient_id"], h["recording_id"], head.start_us, h["data_records"], h["record_duration"], len(head.signals)
 
-    def _signals(self, part: RecordRange, head: Header, f: pa.NativeFile) -> Iterator[tuple]:
+    def _signals(self, path: str, head: Header, f: pa.NativeFile, first: int, after: int) -> Iterator[tuple]:
         for i, s in enumerate(head.signals):
-            yield (part.path, i, *(s[c] for c in ("label", "transducer_type", "physical_dimension", "physical_min", "physical_max", "digital_min", "digital_max", "prefiltering", "samples_per_record", "byte_offset")))
-
-    def _annotations(self, part: RecordRange, head: Header, f: pa.NativeFile) -> Iterator[tuple]:
-        s = next((s for s in head.signals if ANNOTATIONS in s["label"]), None)
-        for r in range(part.first, part.after if s else part.first):
-            f.seek(head.fields["header_bytes"] + r * head.record_bytes + s["byte_offset"])
-            yield from ((part.path, r, *x) for x in annotations_of(f.read(2 * s["samples_per_record"])))
-
-    def _samples(self, part: RecordRange, head: Header, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+            yield (path, i, *(s[c] for c in ("label", "transducer_type", "physical_dimension", "physical_min", "physical_max", "digital_min", "digital_max", "prefiltering", "samples_per_record", "byte_offset")))
+
+    def _runs(self, head: Header, f: pa.NativeFile, first: int, after: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The number of the first record of each run, and the run as (records, bytes)."""
+        step = max(1, RUN_BYTES // max(head.record_bytes, 1))
+        for r in range(first, after, step):
+            f.seek(head.fields["header_bytes"] + r * head.record_bytes)
+            raw = np.frombuffer(f.read(min(step, after - r) * head.record_bytes), np.uint8)
+            yield r, raw[: len(raw) // max(head.record_bytes, 1) * head.record_bytes].reshape(-1, max(head.record_bytes, 1))
+
+    @staticmethod
+    def _notes(head: Header) -> dict | None:
+        return next((s for s in head.signals if ANNOTATIONS in s["label"]), None)
+
+    def _starts(self, head: Header, r: int, run: np.ndarray) -> np.ndarray:
+        """Seconds from the file's start at which each record of a run begins."""
+        starts = (r + np.arange(len(run))) * head.fields["record_duration"]
+        s = self._notes(head)
+        if s is not None:
+            for i, row in enumerate(run[:, s["byte_offset"] : s["byte_offset"] + 2 * s["samples_per_record"]]):
+                onset = onset_of(row[:64].tobytes())
+                starts[i] = starts[i] if onset is None else onset
+        return starts
+
+    def _records(self, path: str, head: Header, f: pa.NativeFile, first: int, after: int) -> Iterator[tuple]:
+        for r, run in self._runs(head, f, first, after):
+            for i, start in enumerate(self._starts(head, r, run).tolist()):
+                yield path, r + i, start, head.start_us + int(np.floor(start * 1e6 + 0.5))
+
+    def _annotations(self, path: str, head: Header, f: pa.NativeFile, first: int, after: int) -> Iterator[tuple]:
+        s = self._notes(head)
+        for r, run in self._runs(head, f, first, after if s else first):
+            for i, row in enumerate(run[:, s["byte_offset"] : s["byte_offset"] + 2 * s["samples_per_record"]]):
+                yield from ((path, r + i, *x) for x in annotations_of(row.tobytes()))
+
+    def _samples(self, path: str, head: Header, f: pa.NativeFile, first: int, after: int) -> Iterator[pa.RecordBatch]:
         # a label stands for the first signal that has it
-        first = {s["label"]: i for i, s in reversed(list(enumerate(head.signals)))}
-        wanted = [i for i, s in enumerate(head.signals) if ANNOTATIONS not in s["label"] and (self.labels is None or s["label"] in self.labels and first[s["label"]] == i) and (self.indices is None or i in self.indices)]
-        for r in range(part.first, part.after):
+        one = {s["label"]: i for i, s in reversed(list(enumerate(head.signals)))}
+        wanted = [i for i, s in enumerate(head.signals) if ANNOTATIONS not in s["label"] and s["samples_per_record"] and (self.labels is None or s["label"] in self.labels and one[s["label"]] == i) and (self.indices is None or i in self.indices)]
+        for r, run in self._runs(head, f, first, after):
+            starts = self._starts(head, r, run)
             for i in wanted:
                 s, n = head.signals[i], head.signals[i]["samples_per_record"]
-                f.seek(head.fields["header_bytes"] + r * head.record_bytes + s["byte_offset"])
-                value = to_physical(np.frombuffer(f.read(2 * n), "<i2").astype(np.float64), s)
-                seq = r * n + np.arange(len(value))
-                ts = head.start_us + np.floor(seq * (head.fields["record_duration"] / n * 1e6) + 1e-6).astype(np.int64)
-                k = len(value)
-                columns = [pa.array([part.path] * k), pa.array(np.full(k, i, np.int32)), pa.array([s["label"]] * k), pa.array(np.full(k, r)), pa.array(seq), pa.array(ts), pa.array(value)]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "signal_index", "label", "record", "seq", "ts_us", "value"])
+                raw = np.ascontiguousarray(run[:, s["byte_offset"] : s["byte_offset"] + 2 * n]).view("<i2").astype(np.float64)
+                record = np.repeat(r + np.arange(len(run)), n)
+                k = np.tile(np.arange(n), len(run))
+                ts = head.start_us + np.floor(np.repeat(starts, n) * 1e6 + k * (head.fields["record_duration"] / n * 1e6) + 1e-3).astype(np.int64)
+                value = to_physical(raw.ravel(), s)
+                for at in range(0, len(value), BATCH_SAMPLES):
+                    cut = slice(at, at + BATCH_SAMPLES)
+                    m = len(value[cut])
+                    same = lambda x: pa.DictionaryArray.from_arrays(pa.array(np.zeros(m, np.int32)), pa.array([x])).cast(pa.string())
+                    columns = [same(path), pa.array(np.full(m, i, np.int32)), same(s["label"]), pa.array(record[cut]), pa.array(record[cut] * n + k[cut]), pa.array(ts[cut]), pa.array(value[cut])]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "signal_index", "label", "record", "seq", "ts_us", "value"])
 
 
 @dataclass
@@ -236,7 +282,7 @@ def build_header(start_us: int, signals: list[dict], data_records: int, duration
 class EdfWriter(DataSourceArrowWriter):
     def __init__(self, path: str, duration: float, patient: str, recording: str, annotation_samples: int | None = None) -> None:
         self.path, self.duration, self.patient, self.recording = path, duration, patient, recording
-        self.whole, self.annotation_samples = annotation_samples is not None, annotation_samples or ANNOTATION_SAMPLES
+        self.annotation_samples = annotation_samples or ANNOTATION_SAMPLES
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = located(self.path)
@@ -266,12 +312,9 @@ class EdfWriter(DataSourceArrowWriter):
             for s, a, b in zip(signals, bounds[:-1].tolist(), bounds[1:].tolist()):
                 out.write(to_digital(value[a:b], s).tobytes())
             kept = f"+{records * self.duration:.3f}\x14\x14\x00".encode()
-            for tal in rows["tals"][0].as_py() or ():
-                fits = len(kept) + len(tal.encode()) <= 2 * self.annotation_samples
-                if self.whole and not fits:
-                    raise ValueError(f"the annotations of record {records} of {own} do not fit {2 * self.annotation_samples} bytes")
-                # what does not fit the record's annotation channel is left out whole, not cut in the middle
-                kept += tal.encode() if fits else b""
+            kept += "".join(rows["tals"][0].as_py() or ()).encode()
+            if len(kept) > 2 * self.annotation_samples:
+                raise ValueError(f"the annotations of record {records} of {own} do not fit {2 * self.annotation_samples} bytes")
             out.write(kept.ljust(2 * self.annotation_samples, b"\x00"))
             records += 1
 
@@ -331,12 +374,12 @@ class EdfSource(DataSource):
         return EdfWriter(self.options["path"], float(self.options.get("record_seconds", RECORD_SECONDS)), self.options.get("patient", "X X X X"), self.options.get("recording", "Startdate X X X X"), int(self.options["annotation_samples"]) if "annotation_samples" in self.options else None)
 
 
-def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X", all_annotations: bool = False) -> None:
+def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X") -> None:
     """One file a recording from (recording, signal_index, label, record, k, value, physical_min, physical_max, start_us).
 
-    annotations: (recording, record, onset, duration, text). With all_annotations, the annotation signal is as wide as the
-    fullest record needs, and annotations of a record that does not exist are an error; without it, a record takes
-    2 * ANNOTATION_SAMPLES bytes, and what is beyond is left out. patient, recording: the header's identification fields.
+    annotations: (recording, record, onset, duration, text). The annotation signal is as wide as the fullest record needs,
+    2 * ANNOTATION_SAMPLES bytes at least; annotations of a record that does not exist are an error. patient, recording: the
+    header's identification fields.
     """
     rows.sparkSession.dataSource.register(EdfSource)
     samples = None
@@ -349,14 +392,13 @@ def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_
         # a block goes to the first row of its record only: it would be repeated for every sample
         heads = kept.groupBy("recording", "record").agg(F.min(F.struct("signal_index", "k")).alias("head"))
         placed = blocks.join(heads, ["recording", "record"], "left").select("recording", "record", "head.signal_index", "head.k", "tals")
-        if all_annotations:
-            lost = placed.where("signal_index is null").first()
-            if lost is not None:
-                raise ValueError(f"annotations of record {lost.record} of {lost.recording}, which has no samples")
-            size = F.octet_length(F.concat_ws("", "tals")) + F.length(F.format_string("+%.3f", F.col("record") * float(record_seconds))) + 3
-            samples = max(ANNOTATION_SAMPLES, -(-(blocks.agg(F.max(size)).first()[0] or 0) // 2))
-            if samples >= 10**8:
-                raise ValueError(f"{samples} samples of annotations a record are more than the header's field can say")
+        lost = placed.where("signal_index is null").first()
+        if lost is not None:
+            raise ValueError(f"annotations of record {lost.record} of {lost.recording}, which has no samples")
+        size = F.octet_length(F.concat_ws("", "tals")) + F.length(F.format_string("+%.3f", F.col("record") * float(record_seconds))) + 3
+        samples = max(ANNOTATION_SAMPLES, -(-(blocks.agg(F.max(size)).first()[0] or 0) // 2))
+        if samples >= 10**8:
+            raise ValueError(f"{samples} samples of annotations a record are more than the header's field can say")
         kept = kept.join(placed, ["recording", "record", "signal_index", "k"], "left")
     ordered = kept.repartition("recording").sortWithinPartitions("recording", "record", "signal_index", "k")
     writer = ordered.write.format("edf").option("record_seconds", str(record_seconds)).option("patient", patient).option("recording", recording)
