@@ -8,8 +8,9 @@ On Spark the sorted arrays are cut into blocks by their first p bits, blocks too
 strings and keys are in them, packed. One pass over the strings counts, for every query and prefix length, what all
 trees have (descent); from the sums follows where the query stops; a second pass gives the keys of what lies within that
 prefix (ascent). A query's keys are made distinct over the trees, and each vector meets the queries that ask for it once.
-A query whose prefix holds more than CROWDED candidates, as among near copies of one vector, is compared with them
-in pieces of blocks instead, so that no list of pairs is made. M and p come from a bounded sample of CALIBRATION queries,
+A query whose prefixes hold more than CROWDED candidates, as among near copies of one vector, is compared with them
+in pieces of blocks instead, so that no list of pairs is made, and one whose prefixes hold a good part of the table (1 / ROOT of
+it or more, over all trees) ascends to the root: it meets every row once instead of many rows in many trees. M and p come from a bounded sample of CALIBRATION queries,
 compared with all rows in blocks: M is what leads to TARGET of their true neighbours, p the shortest prefix that any of them
 needed. Queries left with fewer than k neighbours ascend to the root: all rows, in blocks.
 
@@ -23,6 +24,7 @@ one candidate each time they hold another vector; floats and doubles are measure
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +44,11 @@ PIECE = 4096
 QUERY_PIECE = 1024
 #: Blocks are made of at most so many first bits.
 MOST_BITS = 12
-#: A query with more candidates than this, and than four times M, is compared with them in pieces.
+#: A query with more candidates than this over all trees is compared with them in pieces.
 CROWDED = 16_384
+#: To gather a candidate by its key costs about as much as to pass so many rows in a block: a query whose prefixes hold more
+#: than this share of the table over all trees ascends to the root at once.
+ROOT = 16
 #: Bytes of vectors that one task fetches from.
 FETCH_BYTES = 16 << 20
 
@@ -419,12 +424,20 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     pieces = -(-index_sizes // PIECE), -(-query_sizes // QUERY_PIECE)
     stops = durable(descend(packed(classes, normals, p, pieces, False, False), packed(queries, normals, p, pieces, True, True), m, p))
     stopping = queries.join(stops, "key")
-    crowded = F.col("n") > max(4 * m, CROWDED)
-    keys = gather(packed(classes, normals, p, pieces, False, True), packed(stopping.where(~crowded), normals, p, pieces, True, True))
-    parts = max(1, -(-count * dim * 8 // FETCH_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // PIECE))
-    found = fetch(classes, queries, keys, k, dim, parts)
-    if not stops.where(crowded).isEmpty():
-        found = found.union(_dense(classes, stopping.where(crowded), normals, p, TREES, k).select(found.columns))
+    many, crowd = F.col("n") * ROOT >= count, F.col("n") > CROWDED
+    to_root, to_pieces, to_gather = (x or 0 for x in stops.agg(*[F.sum(c.cast("int")) for c in (many, ~many & crowd, ~many & ~crowd)]).first())
+    found = []
+    if to_gather:
+        keys = gather(packed(classes, normals, p, pieces, False, True), packed(stopping.where(~many & ~crowd), normals, p, pieces, True, True))
+        parts = max(1, -(-count * dim * 8 // FETCH_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // PIECE))
+        found.append(fetch(classes, queries, keys, k, dim, parts))
+    if to_pieces:
+        found.append(_dense(classes, stopping.where(~many & crowd), normals, p, TREES, k))
+    if to_root:
+        found.append(_dense(classes, stopping.where(many).withColumn("stop", F.lit(0).cast("bigint")), normals, 0, 1, k))
+    if not found:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    found = functools.reduce(DataFrame.union, (f.select("q", "key", "id", "ids", "score") for f in found))
     answers = durable(_best(found, asked, k))
     # who has fewer than k, though there are as many, ascends to the root
     full = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, max(count - 1, 0)))
