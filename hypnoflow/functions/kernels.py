@@ -59,23 +59,14 @@ def iir(stages: Sequence[Biquad], x: np.ndarray, state: np.ndarray | None = None
     return np.concatenate([*out, tail]), z
 
 
-def lttb(t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Indices of the n points that largest-triangle-three-buckets keeps; all where n >= len or n < 3."""
-    size = len(t)
-    if n >= size or n < 3:
-        return np.arange(size)
-    width = (size - 2) / (n - 2)
-    bounds = np.minimum(np.floor(np.arange(n) * width).astype(np.int64) + 1, size)
-    kept = np.zeros(n, np.int64)
-    kept[-1] = size - 1
-    for i in range(n - 2):
-        lo, hi = bounds[i], bounds[i + 1]
-        after = slice(hi, min(bounds[i + 2], size) if i + 2 < n else size)
-        mean_t, mean_v = t[after].mean(), v[after].mean()
-        last = kept[i]
-        area = np.abs((t[last] - mean_t) * (v[lo:hi] - v[last]) - (t[last] - t[lo:hi]) * (mean_v - v[last]))
-        kept[i + 1] = lo + int(np.argmax(area))
-    return kept
+def lttb_bounds(size: int, n: int) -> list[int]:
+    """Where the n - 2 inner buckets of a series begin, and two ends more; 3 <= n < size."""
+    return np.minimum(np.floor(np.arange(n) * ((size - 2) / (n - 2))).astype(np.int64) + 1, size).tolist()
+
+
+def largest_triangle(t0: float, v0: float, t: np.ndarray, v: np.ndarray, mean_t: float, mean_v: float) -> int:
+    """Which of the points (t, v) makes the largest triangle with (t0, v0) and the mean of the bucket after; the first of equals."""
+    return int(np.argmax(np.abs((t0 - mean_t) * (v - v0) - (t0 - t) * (mean_v - v0))))
 
 
 class HrvWindow:

@@ -18,27 +18,29 @@ from ..functions.kernels import state_space
 CHUNK = 1 << 16
 
 
-def iir(df: DataFrame, stages: Sequence[Biquad], series: str = "series", initial: DataFrame | None = None, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(series, seq, value, y) and the (series, n, state) after each series, from (series, seq, value) with seq from 0.
+def _packed(df: DataFrame, series: str, chunk: int) -> DataFrame:
+    """series, chunk, values: the samples of every chunk of each series, in order."""
+    rows = df.select(F.col(series).alias("series"), F.floor(F.col("seq") / chunk).alias("chunk"), F.struct("seq", F.col("value").cast("double").alias("value")).alias("row"))
+    return rows.groupBy("series", "chunk").agg(F.array_sort(F.collect_list("row"))["value"].alias("values"))
 
-    A series is cut into chunks. Each is filtered from rest for the state it ends in; these few numbers a chunk are chained
-    along the series (state after = A^n state before + what the chunk adds), and each chunk is then filtered from its
-    true start. So the longest series is filtered by as many tasks as it has chunks.
-    """
-    kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == series)
-    rows = df.select(series, "seq", F.col("value").cast("double").alias("value"), F.floor(F.col("seq") / chunk).alias("chunk"))
+
+def _doubles(column: pa.Array) -> Iterator[np.ndarray]:
+    return (x.values.to_numpy(zero_copy_only=False) for x in column)
+
+
+def _filtered(packed: DataFrame, stages: Sequence[Biquad], initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """packed with the chunks' outputs y, and the (series, chunks, n, state) after each series; initial: (series, state)."""
+    kind = packed.schema["series"].dataType.simpleString()
+    index = packed.schema["chunk"].dataType.simpleString()
     a, _, _, _ = state_space(stages)
 
-    def ended(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        _, z = iir_kernel(stages, table["value"].to_numpy())
-        return pa.table({series: table[series][:1], "chunk": table["chunk"][:1], "n": pa.array([table.num_rows]), "state": pa.array([z.tolist()], pa.list_(pa.float64()))})
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = [iir_kernel(stages, x)[1].tolist() for x in _doubles(batch["values"])]
+            yield pa.RecordBatch.from_arrays([batch["series"], batch["chunk"], batch["values"].value_lengths().cast(pa.int64()), pa.array(states, pa.list_(pa.float64()))], ["series", "chunk", "n", "state"])
 
-    ends = rows.groupBy(series, "chunk").applyInArrow(ended, f"{series} {kind}, chunk bigint, n bigint, state array<double>")
-    if initial is None:
-        begun = ends.withColumn("first", F.lit(None).cast("array<double>"))
-    else:
-        begun = ends.join(initial.select(series, F.col("state").alias("first")), series)
+    ends = packed.mapInArrow(ended, f"series {kind}, chunk {index}, n bigint, state array<double>")
+    begun = ends.withColumn("first", F.lit(None).cast("array<double>")) if initial is None else ends.join(initial.select("series", F.col("state").alias("first")), "series")
 
     def chained(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -50,25 +52,42 @@ def iir(df: DataFrame, stages: Sequence[Biquad], series: str = "series", initial
             total += n
         starts.append(z.tolist())
         count = len(starts)
-        return pa.table({series: pa.concat_arrays([table[series].combine_chunks(), table[series].combine_chunks()[:1]]), "chunk": pa.array([*table["chunk"].to_pylist(), -1]), "total": pa.array([total] * count), "start": pa.array(starts, pa.list_(pa.float64()))})
+        key = table["series"].combine_chunks()
+        return pa.table({"series": pa.concat_arrays([key, key[:1]]), "chunk": pa.array([*table["chunk"].to_pylist(), None], pa.int64()), "chunks": pa.array([count - 1] * count), "total": pa.array([total] * count), "start": pa.array(starts, pa.list_(pa.float64()))})
 
-    chain = begun.groupBy(series).applyInArrow(chained, f"{series} {kind}, chunk bigint, total bigint, start array<double>")
+    chain = begun.groupBy("series").applyInArrow(chained, f"series {kind}, chunk bigint, chunks bigint, total bigint, start array<double>")
 
-    def filtered(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        y, _ = iir_kernel(stages, table["value"].to_numpy(), np.array(table["start"][0].as_py()))
-        return table.select([series, "seq", "value"]).append_column("y", pa.array(y))
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [iir_kernel(stages, x, z)[0] for x, z in zip(_doubles(batch["values"]), _doubles(batch["start"]))]
+            yield pa.RecordBatch.from_arrays([batch["series"], batch["chunk"], batch["values"], pa.array(out, pa.list_(pa.float64()))], ["series", "chunk", "values", "y"])
 
-    out = rows.join(chain.where("chunk >= 0").drop("total"), [series, "chunk"]).groupBy(series, "chunk").applyInArrow(filtered, f"{series} {kind}, seq bigint, value double, y double")
-    return out, chain.where("chunk < 0").select(series, F.col("total").alias("n"), F.col("start").alias("state"))
+    started = packed.join(chain.where("chunk is not null").select("series", "chunk", "start"), ["series", "chunk"])
+    out = started.mapInArrow(filtered, f"series {kind}, chunk {index}, values array<double>, y array<double>")
+    return out, chain.where("chunk is null").select("series", "chunks", F.col("total").alias("n"), F.col("start").alias("state"))
+
+
+def iir(df: DataFrame, stages: Sequence[Biquad], series: str = "series", initial: DataFrame | None = None, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(series, seq, value, y) and the (series, n, state) after each series, from (series, seq, value) with seq from 0.
+
+    A series is cut into chunks, each one row with an array. Each is filtered from rest for the state it ends in; these few
+    numbers a chunk are chained along the series (state after = A^n state before + what the chunk adds), and each chunk is
+    then filtered from its true start. So the longest series is filtered by as many tasks as it has chunks. Samples are
+    shuffled once, to make the chunks.
+    """
+    out, after = _filtered(_packed(df, series, chunk), stages, None if initial is None else initial.select(F.col(series).alias("series"), "state"))
+    each = out.select("series", "chunk", F.posexplode(F.arrays_zip("values", "y")).alias("at", "x"))
+    rows = each.select(F.col("series").alias(series), (F.col("chunk") * chunk + F.col("at")).alias("seq"), F.col("x.values").alias("value"), F.col("x.y").alias("y"))
+    return rows, after.select(F.col("series").alias(series), "n", "state")
 
 
-def filtfilt(df: DataFrame, stages: Sequence[Biquad], series: str = "series") -> DataFrame:
-    """series, seq, y: filtered forwards, then backwards from the state the first pass ended in."""
-    forward, after = iir(df, stages, series)
-    turned = forward.join(after.select(series, "n"), series).select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), F.col("y").alias("value"), "n")
-    back, _ = iir(turned, stages, series, initial=after)
-    return back.join(after.select(series, "n"), series).select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), "y")
+def filtfilt(df: DataFrame, stages: Sequence[Biquad], series: str = "series", chunk: int = CHUNK) -> DataFrame:
+    """series, seq, y: filtered forwards, then backwards from the state the first pass ended in. Chunks are turned as they are."""
+    forward, after = _filtered(_packed(df, series, chunk), stages)
+    turned = forward.select("series", (-F.col("chunk")).alias("chunk"), F.reverse("y").alias("values"))
+    back, _ = _filtered(turned, stages, after.select("series", "state"))
+    each = back.select("series", "chunk", F.posexplode(F.reverse("y")).alias("at", "y"))
+    return each.select(F.col("series").alias(series), (F.col("at") - F.col("chunk") * chunk).alias("seq"), "y")
 
 
 def fir(df: DataFrame, taps: Sequence[float], series: str = "series", order: str = "seq", compat: bool = False) -> DataFrame:
@@ -164,11 +183,10 @@ def movement(df: DataFrame, stages: Sequence[Biquad], series: str = "series") ->
 
     The three axes are three series of one filter run.
     """
-    axes = df.select(series, "seq", F.explode(F.create_map(F.lit("x"), "x", F.lit("y"), "y", F.lit("z"), "z")).alias("axis", "value"))
-    keyed = axes.select(F.concat_ws("/", F.col(series).cast("string"), "axis").alias("_key"), "seq", "value", F.col(series).alias("_s"))
-    out, _ = iir(keyed, stages, "_key")
-    own = F.substring_index("_key", "/", 1)
-    return out.withColumn(series, own).groupBy(series, "seq").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("movement"))
+    axes = df.select(F.col(series).alias("of"), "seq", F.explode(F.create_map(F.lit("x"), "x", F.lit("y"), "y", F.lit("z"), "z")).alias("axis", "value"))
+    axes = axes.select(F.struct("of", "axis").alias("signal"), "seq", "value")
+    out, _ = iir(axes, stages, "signal")
+    return out.groupBy(F.col("signal.of").alias(series), "seq").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("movement"))
 
 
 def extrema(df: DataFrame, value: str = "y", order: str = "i", name: str = "name") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.design import Polyphase
-from ..functions.kernels import lttb as lttb_kernel
+from ..functions.kernels import largest_triangle, lttb_bounds
 
 
 def linear(df: DataFrame, n: int, series: str = "series", order: tuple[str, ...] = ("ms", "event_id")) -> DataFrame:
@@ -79,17 +81,71 @@ def epochs(df: DataFrame, epoch_us: int, samples: int, start_us: int | None = No
 def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us") -> DataFrame:
     """series, time, value of the n points that show each series' shape best (largest triangle, three buckets).
 
-    Which point a bucket gives depends on the one before, so a series is reduced by one task, over two plain arrays.
+    Which point a bucket gives depends on the one before, so a series' rows stream in order through one task, which holds
+    two buckets and an Arrow batch. All points where the series has no more than n, or n < 3.
     """
-
-    def of(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table, [(time, "ascending"), ("value", "ascending")]))
-        kept = lttb_kernel(table[time].to_numpy().astype(np.float64), table["value"].to_numpy().astype(np.float64), n)
-        return table.take(pa.array(kept))
-
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = df.where(F.col("value").isNotNull() & ~F.isnan("value")).select(series, time, F.col("value").cast("double").alias("value"))
-    return rows.groupBy(series).applyInArrow(of, f"{series} {kinds[series]}, {time} {kinds[time]}, value double")
+    rows = df.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col(series).alias("series"), F.col(time).alias("t"), F.col("value").cast("double").alias("value"))
+    sizes = rows.groupBy("series").agg(F.count(F.lit(1)).alias("size"))
+    sized = rows.join(sizes, "series")
+    names = ["series", "t", "value"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reduced = object(), None
+        for batch in batches:
+            who = batch["series"].to_pylist()
+            bounds = [0, *(i for i in range(1, len(who)) if who[i] != who[i - 1])]
+            kept: list[pa.RecordBatch] = []
+            for a, b in zip(bounds, [*bounds[1:], len(who)]):
+                if who[a] != now:
+                    now, reduced = who[a], LargestTriangles(batch["size"][a].as_py(), n)
+                part = batch.slice(a, b - a).select(names)
+                kept += reduced.push(part)
+            if kept:
+                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+    ordered = sized.repartition("series").sortWithinPartitions("series", "t", "value")
+    out = ordered.mapInArrow(of, f"series {kinds[series]}, t {kinds[time]}, value double")
+    return out.select(F.col("series").alias(series), F.col("t").alias(time), "value")
+
+
+class LargestTriangles:
+    """Takes a series of `size` rows (series, t, value) a batch at a time and gives back the rows that are kept."""
+
+    def __init__(self, size: int, n: int) -> None:
+        self.size, self.whole = size, n >= size or n < 3
+        self.bounds = None if self.whole else lttb_bounds(size, n)
+        self.bucket, self.first, self.last = 0, 0, (0.0, 0.0)
+        self.held: list[pa.RecordBatch] = []
+        self.count = 0
+
+    def push(self, rows: pa.RecordBatch) -> list[pa.RecordBatch]:
+        if self.whole:
+            return [rows]
+        out = []
+        if not self.first and not self.count:
+            out.append(rows.slice(0, 1))
+            self.last = (float(rows["t"][0].as_py()), rows["value"][0].as_py())
+        self.held.append(rows)
+        self.count += rows.num_rows
+        buckets = len(self.bounds) - 2
+        after = lambda i: min(self.bounds[i + 2], self.size) if i + 2 < len(self.bounds) else self.size
+        if self.bucket < buckets and self.first + self.count >= after(self.bucket):
+            table = pa.Table.from_batches(self.held).combine_chunks()
+            t, v = table["t"].to_numpy().astype(np.float64), table["value"].to_numpy()
+            while self.bucket < buckets and self.first + self.count >= after(self.bucket):
+                lo, hi, end = (x - self.first for x in (self.bounds[self.bucket], self.bounds[self.bucket + 1], after(self.bucket)))
+                kept = lo + largest_triangle(*self.last, t[lo:hi], v[lo:hi], t[hi:end].mean(), v[hi:end].mean())
+                self.last = (t[kept], v[kept])
+                out += table.slice(kept, 1).to_batches()
+                self.bucket += 1
+            drop = (self.bounds[self.bucket] if self.bucket < buckets else self.size - 1) - self.first
+            drop = min(drop, self.count)
+            self.held = table.slice(drop).to_batches()
+            self.first, self.count = self.first + drop, self.count - drop
+        if self.first + self.count == self.size:
+            out.append(self.held[-1].slice(self.held[-1].num_rows - 1))
+        return out
 
 
 def chunked(df: DataFrame, size: int, series: str = "series") -> DataFrame:
@@ -98,22 +154,47 @@ def chunked(df: DataFrame, size: int, series: str = "series") -> DataFrame:
     return grouped.select(series, "chunk", "t", "samples", F.col("a.value").alias("values"))
 
 
-def polyphase(df: DataFrame, filt: Polyphase, series: str = "series") -> DataFrame:
+def polyphase(df: DataFrame, filt: Polyphase, series: str = "series", chunk_samples: int = 1 << 15) -> DataFrame:
     """series, n, t, value at the filter's rate, from (series, seq, value) at the input rate.
 
-    Output n uses phase p = n M mod L and inputs floor(n M / L) - j; each input sends its products to the outputs that
-    need it, and they are summed. Inputs before the first are left out and the taps that remain are weighed up.
+    Output n uses phase p = n M mod L and inputs floor(n M / L) - j. A series is cut into chunks that overlap by a filter's length,
+    so the longest one is resampled by as many tasks as it has chunks. Inputs that are not there, such as those before the
+    first, are left out and the taps that remain are weighed up.
     """
     up, down = filt.up, filt.down
     longest = max(map(len, filt.phases))
-    taps = F.array(*[F.array(*[F.lit(h) for h in p]) for p in filt.phases])
-    # outputs n with 0 <= floor(n M / L) - seq < longest
-    lo = F.ceil(F.col("seq") * up / down)
-    hi = F.ceil((F.col("seq") + longest) * up / down) - 1
-    last = F.floor((F.max("seq").over(Window.partitionBy(series)) * up + up - 1) / down)
-    sent = df.withColumn("_last", last).withColumn("n", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")))).where(F.col("n") <= F.col("_last"))
-    q, p = F.floor(F.col("n") * down / up), F.pmod(F.col("n") * down, F.lit(up))
-    tap = F.get(F.get(taps, p.cast("int")), (q - F.col("seq")).cast("int"))
-    sums = sent.withColumn("_h", tap).where(F.col("_h").isNotNull()).groupBy(series, "n").agg(F.sum(F.col("_h") * F.col("value")).alias("_y"), F.sum("_h").alias("_w"))
-    value = F.when(F.abs("_w") > 1e-12, F.col("_y") / F.col("_w")).otherwise(F.lit(0.0))
-    return sums.select(series, "n", (F.col("n") / filt.rate - filt.delay_s).alias("t"), value.alias("value"))
+    taps, length = np.zeros((up, longest)), np.array([len(h) for h in filt.phases])
+    for i, h in enumerate(filt.phases):
+        taps[i, : len(h)] = h
+    kind = df.schema[series].dataType.simpleString()
+    own = df.select(F.col(series).alias("series"), "seq", F.col("value").cast("double").alias("value"))
+    last = own.groupBy("series").agg(F.floor((F.max("seq") * up + up - 1) / down).alias("last"))
+    # a chunk has the inputs of a filter's length before it too
+    chunk = F.floor(F.col("seq") / chunk_samples)
+    rows = own.select("series", "seq", "value", F.explode(F.sequence(chunk, F.floor((F.col("seq") + longest - 1) / chunk_samples))).alias("chunk"))
+    packed = rows.groupBy("series", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("rows")).join(last, "series")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (which, inputs, end) in enumerate(zip(batch["chunk"].to_pylist(), batch["rows"], batch["last"].to_pylist())):
+                start = which * chunk_samples - (longest - 1)
+                at = inputs.values.field("seq").to_numpy() - start
+                size = max(int(at.max()) + 1, min(chunk_samples + longest - 1, end * down // up - start + 1))
+                x, there = np.zeros(size), np.zeros(size)
+                x[at], there[at] = inputs.values.field("value").to_numpy(), 1.0
+                # outputs n with the newest input floor(n M / L) in this chunk
+                n = np.arange(-(-which * chunk_samples * up // down), min(-(-(which + 1) * chunk_samples * up // down) - 1, end) + 1)
+                y, w, met = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
+                for a in range(0, len(n), 1 << 14):
+                    cut = slice(a, a + (1 << 14))
+                    phase = n[cut] * down % up
+                    place = (n[cut] * down // up - start)[:, None] - np.arange(longest)
+                    weighed = taps[phase] * there[place]
+                    y[cut], w[cut], met[cut] = (weighed * x[place]).sum(axis=1), weighed.sum(axis=1), (there[place] * (np.arange(longest) < length[phase, None])).sum(axis=1)
+                good = met > 0
+                value = np.where(np.abs(w) > 1e-12, y / np.where(np.abs(w) > 1e-12, w, 1.0), 0.0)[good]
+                key = batch["series"].take(pa.array(np.full(len(value), i)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(n[good]), pa.array(value)], ["series", "n", "value"])
+
+    out = packed.mapInArrow(of, f"series {kind}, n bigint, value double")
+    return out.select(F.col("series").alias(series), "n", (F.col("n") / filt.rate - filt.delay_s).alias("t"), "value")

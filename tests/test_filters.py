@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hypnoflow.functions import design, kernels
 from hypnoflow.operators import filters
@@ -153,3 +154,29 @@ def test_responses(spark):
     assert all(abs(r.magnitude - gain(made, r.i, 100)) < 1e-9 for r in got)
     roots = filters.poles_zeros(filters.coefficient_rows(spark, made, "x")).collect()
     assert all(math.hypot(r.re, r.im) < 1 for r in roots if r.kind == "pole") and all(abs(r.re + 1) < 1e-6 for r in roots if r.kind == "zero")
+
+
+def test_movement_of_any_series_names(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, i, *map(float, rng.standard_normal(3))) for s in ("arm/left", "arm/right", "arm") for i in range(50)]
+    df = spark.createDataFrame(rows, "series string, seq bigint, x double, y double, z double")
+    stages = design.movement_highpass(10.0)
+    got = {(r.series, r.seq): r.movement for r in filters.movement(df, stages).collect()}
+    assert len(got) == 150
+    for s in ("arm/left", "arm/right", "arm"):
+        own = np.array([r[2:] for r in rows if r[0] == s])
+        y = np.stack([kernels.iir(stages, own[:, a])[0] for a in range(3)], axis=1)
+        assert np.allclose([got[s, i] for i in range(50)], np.sqrt((y * y).sum(axis=1)), atol=1e-9)
+    by_number = df.withColumn("series", F.xxhash64("series"))
+    assert filters.movement(by_number, stages).schema["series"].dataType == by_number.schema["series"].dataType
+
+
+def test_filtfilt_turns_chunks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(333)
+    stages = design.cascade("lowpass", "butterworth", 2, 100.0, 12.0)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "series string, seq bigint, value double").repartition(3)
+    got = {r.seq: r.y for r in filters.filtfilt(df, stages, chunk=50).collect()}
+    forward, z = kernels.iir(stages, x)
+    back, _ = kernels.iir(stages, forward[::-1], z)
+    assert len(got) == 333 and np.allclose([got[i] for i in range(333)], back[::-1], atol=1e-9)

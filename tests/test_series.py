@@ -1,12 +1,14 @@
 """Series operators on small literal tables, and whole queries against their SQL."""
 
+import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hypnoflow.functions import kernels
+from hypnoflow.functions import design, kernels
 from hypnoflow.functions import signal as sig
 from hypnoflow.operators import resample, series, view
 
@@ -79,15 +81,75 @@ def test_linear_against_interp(spark):
     assert len(got) == 333 and np.allclose([x[2] for x in got], np.interp(grid, t, v), atol=1e-9)
 
 
-def test_lttb_kernel():
+def plain_lttb(t, v, n):
+    """Largest triangle, three buckets, over whole arrays."""
+    size = len(t)
+    if n >= size or n < 3:
+        return list(range(size))
+    width = (size - 2) / (n - 2)
+    kept = [0]
+    for i in range(n - 2):
+        lo, hi = math.floor(i * width) + 1, math.floor((i + 1) * width) + 1
+        end = min(math.floor((i + 2) * width) + 1, size)
+        mt, mv = t[hi:end].mean(), v[hi:end].mean()
+        a = kept[-1]
+        kept.append(max(range(lo, hi), key=lambda j: (abs((t[a] - mt) * (v[j] - v[a]) - (t[a] - t[j]) * (mv - v[a])), -j)))
+    return [*kept, size - 1]
+
+
+def streamed_lttb(t, v, n, step):
+    reduced, out = resample.LargestTriangles(len(t), n), []
+    batch = pa.record_batch({"series": ["x"] * len(t), "t": t, "value": v})
+    for at in range(0, len(t), step):
+        out += [r for b in reduced.push(batch.slice(at, step)) for r in b["t"].to_pylist()]
+        assert n >= len(t) or n < 3 or reduced.count <= 3 * (len(t) / (n - 2) + 2) + step
+    return out
+
+
+def test_lttb_in_a_stream():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 3, 4, 5, 17, 100, 1000):
+        t, v = np.cumsum(rng.integers(1, 9, size)).astype(float), rng.standard_normal(size)
+        for n in (2, 3, 4, 7, 50, 99, 2000):
+            want = [t[i] for i in plain_lttb(t, v, n)]
+            for step in (1, 3, 64, 5000):
+                assert streamed_lttb(t, v, n, step) == want
     t, v = np.arange(100.0), np.zeros(100)
     v[37] = 50
-    kept = kernels.lttb(t, v, 10)
-    assert len(kept) == 10 and kept[0] == 0 and kept[-1] == 99 and 37 in kept and (np.diff(kept) > 0).all()
-    assert kernels.lttb(t, v, 2).tolist() == list(range(100)) and kernels.lttb(t[:3], v[:3], 5).tolist() == [0, 1, 2]
-    for n in range(4, 120):
-        for m in range(3, n):
-            assert len(set(kernels.lttb(np.arange(n) * 1.0, np.sin(np.arange(n)), m).tolist())) == m
+    assert 37 in streamed_lttb(t, v, 10, 7)
+
+
+def test_lttb_of_many_series(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, int(i * 10 + rng.integers(0, 9)), float(rng.standard_normal())) for s, m in (("a/b", 30_000), ("a", 3), ("b", 40)) for i in range(m)]
+    df = spark.createDataFrame(rows, "series string, us bigint, value double").repartition(5)
+    got = {}
+    for r in resample.lttb(df, 12).collect():
+        got.setdefault(r.series, []).append(r.us)
+    for s in ("a/b", "a", "b"):
+        own = sorted((u, v) for x, u, v in rows if x == s)
+        t, v = np.array([u for u, _ in own], float), np.array([x for _, x in own])
+        assert sorted(got[s]) == [own[i][0] for i in plain_lttb(t, v, 12)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 64])
+def test_polyphase_by_chunks(spark, chunk):
+    rng = np.random.default_rng(2)
+    filt = design.polyphase(100.0, 40.0, 8)
+    series = {"a": np.arange(500), "b": np.setdiff1d(np.arange(300), np.arange(90, 200)), "c": np.array([0])}
+    value = {s: rng.standard_normal(len(q)) for s, q in series.items()}
+    df = spark.createDataFrame([(s, int(i), float(x)) for s, q in series.items() for i, x in zip(q, value[s])], "series string, seq bigint, value double").repartition(4)
+    got = {(r.series, r.n): r.value for r in resample.polyphase(df, filt, chunk_samples=chunk).collect()}
+    want = {}
+    for s, q in series.items():
+        x = dict(zip(q.tolist(), value[s]))
+        for n in range((int(q[-1]) * filt.up + filt.up - 1) // filt.down + 1):
+            h, top = filt.phases[n * filt.down % filt.up], n * filt.down // filt.up
+            met = [(h[j], x[top - j]) for j in range(len(h)) if top - j in x]
+            if met:
+                w = sum(a for a, _ in met)
+                want[s, n] = sum(a * b for a, b in met) / w if abs(w) > 1e-12 else 0.0
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_epochs_fill(spark):
