@@ -158,7 +158,7 @@ def first_by_label(signals: DataFrame, label: str = "label", index: str = "signa
 
 def matched_drivers(services: DataFrame, drivers: DataFrame) -> DataFrame:
     """device_id and the driver of its first service that any driver handles."""
-    known = services.join(F.broadcast(drivers), "service_uuid")
+    known = services.join(drivers, "service_uuid")
     return known.groupBy("device_id").agg(F.min_by("driver", "service_order").alias("driver"), F.min("service_order").alias("service_order"))
 
 

@@ -219,15 +219,56 @@ def snore_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "t", "last")
 
 
-@query()
+BETA = design.kaiser_beta(100.0)
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c, {BETA!r} * sqrt(1 - (c / 25.0) * (c / 25.0)) AS x FROM (SELECT unnest(range(0, 26)) AS c)),
+t AS (SELECT c, x, 0 AS k, CAST(1 AS DOUBLE) AS term, CAST(1 AS DOUBLE) AS total FROM c
+  UNION ALL SELECT c, x, k + 1, term * pow(x / (2 * (k + 1)), 2), total + term * pow(x / (2 * (k + 1)), 2) FROM t WHERE term > 1e-6 * total),
+i AS (SELECT c, arg_max(total, k) AS v FROM t GROUP BY c),
+h AS (SELECT c, CASE WHEN c = 0 THEN 2 * (20.0 - 5.0) / {FS} ELSE (sin(2 * c * pi() * 20.0 / {FS}) - sin(2 * c * pi() * 5.0 / {FS})) / (c * pi()) * v / (SELECT v FROM i WHERE c = 0) END AS h FROM i)
+SELECT CAST(25 - c AS INTEGER) AS n, round(h, 9) + 0.0 AS h FROM h UNION SELECT CAST(25 + c AS INTEGER), round(h, 9) + 0.0 FROM h""")
 def kaiser_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series of the Kaiser design stops at a relative term, which SQL has no form for; tested against numpy's."""
     h = design.fir_kaiser(FS, 5.0, 20.0)
     return rounded(spark.createDataFrame([(i, float(x)) for i, x in enumerate(h)], "n int, h double"), "h", places=9)
 
 
-@query()
-def prototype_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of the prototypes, from polynomial roots; tested by their responses."""
-    rows = [(k, n, i, float(a), float(b)) for k in ("bessel", "butterworth", "chebyshev05", "chebyshev1", "chebyshev2", "chebyshev3", "allpass") for n in range(1, 6) for i, (a, b) in enumerate(design.prototype(k, n))]
+def prototype_rows(spark: SparkSession, kinds: tuple[str, ...]) -> DataFrame:
+    rows = [(k, n, i, float(a), float(b)) for k in kinds for n in range(1, 6) for i, (a, b) in enumerate(design.prototype(k, n))]
     return rounded(spark.createDataFrame(rows, "kind string, stages int, stage int, a double, b double"), "a", "b", places=5)
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES ('butterworth', CAST(0 AS DOUBLE)), ('chebyshev05', 0.5), ('chebyshev1', 1), ('chebyshev2', 2), ('chebyshev3', 3)) AS v(kind, ripple)),
+p AS (SELECT kind, ripple, stages, stage, pi() * (2 * (stages - 1 - stage) + 1) / (4 * stages) AS angle, pow(10, ripple / 10) - 1 AS e FROM k, (SELECT stages, unnest(range(0, stages)) AS stage FROM (SELECT unnest(range(1, 6)) AS stages))),
+m AS (SELECT *, CASE WHEN e > 0 THEN asinh(1 / sqrt(e)) / (2 * stages) END AS mu, CASE WHEN e > 0 THEN cosh(acosh(sqrt(2 + 1 / e)) / (2 * stages)) ELSE 1 END AS scale FROM p),
+q AS (SELECT *, CASE WHEN e > 0 THEN sinh(mu) ELSE 1 END * sin(angle) AS re, CASE WHEN e > 0 THEN cosh(mu) ELSE 1 END * cos(angle) AS im FROM m)
+SELECT kind, CAST(stages AS INTEGER) AS stages, CAST(stage AS INTEGER) AS stage, round(2 * re / (re * re + im * im) * scale, 5) + 0.0 AS a, round(scale * scale / (re * re + im * im), 5) + 0.0 AS b FROM q""")
+def prototype_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the prototypes whose poles have a closed form."""
+    return prototype_rows(spark, ("butterworth", "chebyshev05", "chebyshev1", "chebyshev2", "chebyshev3"))
+
+
+@query()
+def prototype_bessel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections from the roots of Bessel polynomials, for which SQL has no form; tested by their responses."""
+    return prototype_rows(spark, ("bessel", "allpass"))
+
+
+@query(f"""WITH w AS (SELECT {W!r} AS w, cos({W!r}) AS c, sin({W!r}) AS s, tan({W!r} / 2) AS t), d AS (SELECT *, s / 1.8 AS al, s * sinh(ln(2) / 2 * w / s) AS bw FROM w),
+z AS (SELECT 1 - 0 AS k, -2 * exp(-w / sqrt(2)) * cos(w / sqrt(2)) AS a1, exp(-w * sqrt(2)) AS a2 FROM w),
+r AS (SELECT 'lowpass_gain' AS name, 1 / (1 + al) AS b0, 2 / (1 + al) AS b1, 1 / (1 + al) AS b2, -2 * c / (1 + al) AS a1, (1 - al) / (1 + al) AS a2, (1 - c) / 2 AS k FROM d
+UNION ALL SELECT 'highpass_gain', 1 / (1 + al), -2 / (1 + al), 1 / (1 + al), -2 * c / (1 + al), (1 - al) / (1 + al), (1 + c) / 2 FROM d
+UNION ALL SELECT 'allpass_bw', (1 - bw) / (1 + bw), -2 * c / (1 + bw), 1, -2 * c / (1 + bw), (1 - bw) / (1 + bw), 1 FROM d
+UNION ALL SELECT 'bandpass_bw', bw / (1 + bw), 0, -bw / (1 + bw), -2 * c / (1 + bw), (1 - bw) / (1 + bw), 1 FROM d
+UNION ALL SELECT 'bandstop_bw', 1 / (1 + bw), -2 * c / (1 + bw), 1 / (1 + bw), -2 * c / (1 + bw), (1 - bw) / (1 + bw), 1 FROM d
+UNION ALL SELECT 'highpass_bt', 3 / p, -6 / p, 3 / p, (2 * t * t - 6) / p, (t * t - 3 * t + 3) / p, 1 FROM (SELECT t, t * t + 3 * t + 3 AS p FROM d)
+UNION ALL SELECT 'matched_z', 1 + a1 + a2, 0, 0, a1, a2, 1 FROM z)
+SELECT name, round(b0, 9) + 0.0 AS b0, round(b1, 9) + 0.0 AS b1, round(b2, 9) + 0.0 AS b2, round(a1, 9) + 0.0 AS a1, round(a2, 9) + 0.0 AS a2, round(k, 9) + 0.0 AS k FROM r""")
+def iir_coeffs_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Designs with the gain apart, by bandwidth, the Bessel-Thomson high-pass and the matched z-transform."""
+    made = {f"{k}_gain": design.biquad(k, FS, FC, q=0.9, pre_gain=True) for k in ("lowpass", "highpass")}
+    made |= {f"{k}_bw": design.biquad(k, FS, FC, bw=1.0) for k in ("allpass", "bandpass", "bandstop")}
+    made |= {"highpass_bt": design.biquad("highpass_bt", FS, FC), "matched_z": design.cascade("lowpass", "butterworth", 1, FS, FC, transform="matched_z")[0]}
+    names = ("b0", "b1", "b2", "a1", "a2", "k")
+    rows = [(name, *(float(getattr(s, c)) for c in names)) for name, s in made.items()]
+    return rounded(spark.createDataFrame(rows, "name string, b0 double, b1 double, b2 double, a1 double, a2 double, k double"), *names, places=9)

@@ -72,6 +72,8 @@ def finished(stream: DataFrame, spark: SparkSession, mode: str = "append", conf:
 @query(f"""WITH {S_TYPE}, w AS (SELECT series, us - us % {HOUR} AS a, value FROM s), m AS (SELECT max(us) AS top FROM s)
 SELECT series, a AS start_us, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM w, m WHERE a + {HOUR} <= top - 10000000 GROUP BY series, a""")
 def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly epochs that a stream has closed. The hour that is not over when the events end, and what the watermark has not
+    passed yet, stay open, as in any stream: they are in neither result."""
     out = finished(live.epoch_stream(events_stream(spark, sf_dir, "event_type"), "1 hour"), spark)
     # an hour that the last watermark closes may or may not have been put out: only those well before it are compared
     top = table(spark, sf_dir, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("top"))
@@ -92,12 +94,17 @@ def stream_hrv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(finished(live.hrv_stream(beats(events_stream(spark, sf_dir, "user_id"))), spark).select("series", "event_id", "hrv"), "hrv")
 
 
-@query(f"WITH {S_TYPE} SELECT series, value, false AS repeated FROM s")
+#: Readings are repeated every ten minutes until they are an hour old.
+BEAT, STALE = 600, 3600
+
+
+@query(f"""WITH {S_TYPE}, n AS (SELECT *, lead(us) OVER (PARTITION BY series ORDER BY us, event_id) AS after FROM s)
+SELECT series, us, value, false AS repeated FROM s
+UNION ALL SELECT series, us + i * {BEAT}000000, value, true FROM n, (SELECT unnest(range(1, {STALE // BEAT} + 1)) AS i) WHERE us + i * {BEAT}000000 < after""")
 def stream_keepalive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # processing-time timers would ask for one more batch for ever: without new data there is none here
+    """Readings and their repeats by the readings' own times; after a series' last one there are none yet, for no time has passed."""
     conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    out = finished(live.keep_alive(events_stream(spark, sf_dir, "event_type")), spark, conf=conf)
-    return out.where("not repeated")  # repeats depend on the clock
+    return finished(live.keep_alive(events_stream(spark, sf_dir, "event_type"), STALE, BEAT, late="1 hour"), spark, conf=conf)
 
 
 @query(TIMELINE_SQL["epoch_records"].replace("CAST(greatest(-32768", "round(0.0 + (CAST(greatest(-32768", 1).replace(" AS INTEGER) AS digital, value IS NULL AS is_filled", " AS INTEGER) + 32768) * 500.0 / 65535.0, 6) + 0.0 AS value", 1).replace("SELECT d.series, d.record, d.k,", "SELECT d.series, CAST(d.record AS BIGINT) AS record, CAST(d.record * 12 + d.k AS BIGINT) AS seq,", 1))

@@ -51,45 +51,82 @@ def hrv_stream(samples: DataFrame, window: int = 30) -> DataFrame:
     return samples.groupBy("series").applyInPandasWithState(step, f"series {kind}, us bigint, event_id bigint, hrv double", "kept array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_alive_processor(stale: float) -> StatefulProcessor:
-    """The processor's class is made here so that it travels whole: its runner starts before the package has been shipped."""
+def keep_alive_processor(stale: float = 60.0, beat: float = 1.0, event_time: bool = False) -> StatefulProcessor:
+    """The processor's class is made here so that it travels whole: its runner starts before the package has been shipped.
+
+    With event_time the readings' own times are the clock, and the watermark after the last one of a key.
+    """
 
     class KeepAlive(StatefulProcessor):
-        """Passes every reading on and repeats the last one each second until it is `stale` seconds old."""
+        """Passes every reading on and repeats the last one each `beat` seconds until the next, or until it is `stale` seconds old."""
 
-        def __init__(self, stale: float = 60.0) -> None:
-            self.stale_ms = int(stale * 1000)
+        def __init__(self, stale: float, beat: float, event_time: bool) -> None:
+            self.stale_us, self.beat_us, self.event_time = int(stale * 1_000_000), int(beat * 1_000_000), event_time
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "seen_ms bigint, value double")
+            self.last = handle.getValueState("last", "seen_us bigint, value double, sent bigint")
+
+        def now(self, timerValues) -> int:
+            return 1000 * (timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
+
+        def repeats(self, key: tuple, until: int) -> list[pd.DataFrame]:
+            """What is due up to `until`; the state remembers it."""
+            if not self.last.exists():
+                return []
+            seen, value, sent = self.last.get()
+            due = min(until - seen, self.stale_us) // self.beat_us
+            if due <= sent:
+                return []
+            self.last.update((seen, value, due))
+            return [pd.DataFrame({"series": key[0], "us": [seen + i * self.beat_us for i in range(sent + 1, due + 1)], "value": value, "repeated": True})]
+
+        def wait(self) -> None:
+            """A timer for the next repeat, and no other."""
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            seen, _, sent = self.last.get()
+            if (sent + 1) * self.beat_us <= self.stale_us:
+                self.handle.registerTimer(-(-(seen + (sent + 1) * self.beat_us) // 1000))
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            for frame in rows:
-                if len(frame):
-                    now = timerValues.getCurrentProcessingTimeInMs()
-                    newest = frame.sort_values("us").iloc[-1]
-                    self.last.update((now, float(newest["value"])))
-                    for timer in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(timer)
-                    self.handle.registerTimer(now + 1000)
-                    yield pd.DataFrame({"series": key[0], "value": frame["value"].astype(float), "repeated": False})
+            frames = [f for f in rows if len(f)]
+            if not frames:
+                return
+            frame = pd.concat(frames)
+            frame = frame.sort_values(["us", *(["event_id"] if "event_id" in frame.columns else [])], kind="stable")
+            times, values = frame["us"].to_numpy(np.int64), frame["value"].to_numpy(float)
+            if self.event_time:
+                yield from self.repeats(key, int(times[0]) - 1)
+                # between readings of this batch: so many beats fit before the next one, or until the reading is stale
+                gaps = np.minimum(np.diff(times) - 1, self.stale_us) // self.beat_us
+                which = np.repeat(np.arange(len(gaps)), np.maximum(gaps, 0))
+                if len(which):
+                    beats = np.arange(len(which)) - np.searchsorted(which, which) + 1
+                    yield pd.DataFrame({"series": key[0], "us": times[which] + beats * self.beat_us, "value": values[which], "repeated": True})
+            self.last.update((int(times[-1]) if self.event_time else self.now(timerValues), float(values[-1]), 0))
+            self.wait()
+            yield pd.DataFrame({"series": key[0], "us": times, "value": values, "repeated": False})
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.last.exists():
-                seen, value = self.last.get()
-                now = timerValues.getCurrentProcessingTimeInMs()
-                if now - seen <= self.stale_ms:
-                    self.handle.registerTimer(now + 1000)
-                    yield pd.DataFrame({"series": [key[0]], "value": [value], "repeated": [True]})
+            due = self.repeats(key, self.now(timerValues))
+            if due:
+                self.wait()
+                yield from due
 
         def close(self) -> None:
             pass
 
-    return KeepAlive(stale)
+    return KeepAlive(stale, beat, event_time)
+
 
+def keep_alive(samples: DataFrame, stale: float = 60.0, beat: float = 1.0, late: str | None = None) -> DataFrame:
+    """series, us, value, repeated from (series, us, value); needs the RocksDB state store.
 
-def keep_alive(samples: DataFrame, stale: float = 60.0) -> DataFrame:
-    """series, value, repeated from (series, us, value); needs the RocksDB state store."""
+    Repeats follow the clock of the machine; with `late`, how late readings may come, they follow the readings' times ts and
+    are the same whenever the stream is run.
+    """
     kind = samples.schema["series"].dataType.simpleString()
-    return samples.groupBy("series").transformWithStateInPandas(keep_alive_processor(stale), f"series {kind}, value double, repeated boolean", "append", "processingTime")
+    rows = samples if late is None else samples.withWatermark("ts", late)
+    processor = keep_alive_processor(stale, beat, late is not None)
+    return rows.groupBy("series").transformWithStateInPandas(processor, f"series {kind}, us bigint, value double, repeated boolean", "append", "processingTime" if late is None else "eventTime")

@@ -12,6 +12,9 @@ class Clock:
     def getCurrentProcessingTimeInMs(self):  # noqa: N802
         return self.now
 
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
 
 class Handle:
     """State and timers of one key."""
@@ -46,11 +49,32 @@ def test_last_value_repeats_until_stale():
     processor.init(handle)
     frame = pd.DataFrame({"series": ["t", "t"], "us": [2, 1], "value": [36.5, 36.0]})
     out = list(processor.handleInputRows(("t",), iter([frame]), Clock(10_000)))
-    assert out[0]["value"].tolist() == [36.5, 36.0] and handle.timers == {11_000}
+    assert out[0]["value"].tolist() == [36.0, 36.5] and handle.timers == {11_000}
     repeats = []
     for now in (11_000, 12_000, 13_000, 14_000):
         handle.timers.clear()
-        repeats += [f["value"][0] for f in processor.handleExpiredTimer(("t",), Clock(now), None)]
-    assert repeats == [36.5] * 3 and not handle.timers
+        repeats += [(f["us"][0], f["value"][0]) for f in processor.handleExpiredTimer(("t",), Clock(now), None)]
+    assert repeats == [(11_000_000, 36.5), (12_000_000, 36.5), (13_000_000, 36.5)] and not handle.timers
     list(processor.handleInputRows(("t",), iter([frame.head(0)]), Clock(20_000)))
     assert not handle.timers
+
+
+def test_repeats_by_event_time_do_not_depend_on_batches():
+    second = 1_000_000
+    readings = [(0, 1.0), (2 * second, 2.0), (2 * second, 2.5), (12 * second, 3.0), (12 * second + 1, 4.0)]
+
+    def run(batches, watermarks):
+        handle, processor, out = Handle(), keep_alive_processor(3.0, 1.0, True), []
+        processor.init(handle)
+        for batch, mark in zip(batches, watermarks):
+            frame = pd.DataFrame({"us": [u for u, _ in batch], "event_id": range(len(batch)), "value": [v for _, v in batch]})
+            out += list(processor.handleInputRows(("t",), iter([frame]), Clock(mark)))
+            while any(t <= mark for t in handle.timers):
+                handle.timers = {t for t in handle.timers if t > mark}
+                out += list(processor.handleExpiredTimer(("t",), Clock(mark), None))
+        return sorted((int(r.us), r.value, bool(r.repeated)) for f in out for r in f.itertuples())
+
+    want = sorted([(u, v, False) for u, v in readings] + [(second, 1.0, True)] + [(i * second, 2.5, True) for i in (3, 4, 5)])
+    assert run([readings], [0]) == want
+    assert run([readings[:1], readings[1:2], readings[2:3], readings[3:]], [0, 0, 4_000, 4_000]) == want
+    assert run([readings[:3], readings[3:]], [1_000, 9_000]) == want
