@@ -15,20 +15,42 @@ def by_time(series: str = "series", *order: str) -> "Window":
     return Window.partitionBy(series).orderBy(*(order or ("us", "event_id")))
 
 
+#: A series is cut into so many stretches of time for each shuffle partition, which are worked on by themselves.
+STRETCHES = 4
+
+
+def stretched(df: DataFrame, time: str) -> DataFrame:
+    """df with _part, the stretch of time that a row is in: equal stretches of the table's whole span, in order.
+
+    The stretch follows from the row alone, so it is the same wherever and whenever the row is read.
+    """
+    first, last = df.agg(F.min(time), F.max(time)).first()
+    parts = STRETCHES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if first is None or first == last:
+        return df.withColumn("_part", F.lit(0).cast("bigint"))
+    part = F.floor((F.col(time) - F.lit(first)) / F.lit(last - first) * parts)
+    return df.withColumn("_part", F.coalesce(F.least(part, F.lit(parts - 1)), F.lit(-1)).cast("bigint"))
+
+
+def with_carry(df: DataFrame, totals: DataFrame, carry: Column, series: str) -> DataFrame:
+    """df (series, _part, ...) with what `carry` makes of the totals (series, _part, _total) of all parts before, as _carry."""
+    before = Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col(series).alias("_s"), F.col("_part").alias("_p"), carry.over(before).alias("_carry"))
+    return df.join(starts, F.col(series).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).drop("_s", "_p")
+
+
 def numbered(df: DataFrame, series: str = "series", *order: str) -> DataFrame:
     """df with seq, the row's place in its series from 0.
 
-    Rows are range-partitioned by series and order, counted in each partition, and offset by what partitions before
-    hold of the series; so a series that is most of the table is numbered by many tasks.
+    Rows are numbered in stretches of time (of the first order column, a number), and offset by what stretches before hold of the
+    series; so a series that is most of the table is numbered by many tasks.
     """
     order = order or ("us", "event_id")
-    placed = df.repartitionByRange(series, *order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part", series).orderBy(*order)
-    local = placed.withColumn("_rank", F.row_number().over(own))
-    counts = placed.groupBy(series, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(series, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return local.join(starts, [series, "_part"]).withColumn("seq", F.col("_rank") - 1 + F.col("_start")).drop("_part", "_rank", "_start")
+    placed = stretched(df, order[0])
+    local = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(series, "_part").orderBy(*order)))
+    counts = placed.groupBy(series, "_part").agg(F.count(F.lit(1)).alias("_total"))
+    out = with_carry(local, counts, F.sum("_total"), series)
+    return out.withColumn("seq", F.col("_rank") - 1 + F.coalesce("_carry", F.lit(0))).drop("_part", "_rank", "_carry")
 
 
 def viewport(df: DataFrame, x0: int, x1: int, us: str = "us") -> DataFrame:
@@ -39,13 +61,18 @@ def viewport(df: DataFrame, x0: int, x1: int, us: str = "us") -> DataFrame:
 def asof(probes: DataFrame, samples: DataFrame, series: str = "series", us: str = "us", order: str = "event_id") -> DataFrame:
     """probes with value and found_us of the last sample at or before each (the last of equal times), null if none.
 
-    Both sides go through one sort by series and time; nothing is broadcast or compared pairwise.
+    Both sides go through one sort by series and stretch of time, and each stretch takes over what was last seen before it;
+    nothing is broadcast or compared pairwise, and a long series is many tasks.
     """
     a = samples.select(series, us, F.lit(0).alias("_probe"), F.col(order).alias("_order"), F.struct(F.col("value"), F.col(us).alias("found_us")).alias("_seen"))
     b = probes.withColumn("_probe", F.lit(1))
-    both = b.unionByName(a, allowMissingColumns=True)
-    frame = Window.partitionBy(series).orderBy(us, "_probe", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_seen", F.last("_seen", ignorenulls=True).over(frame)).where("_probe = 1")
+    both = stretched(b.unionByName(a, allowMissingColumns=True), us)
+    frame = Window.partitionBy(series, "_part").orderBy(us, "_probe", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    totals = both.where("_probe = 0").groupBy(series, "_part").agg(F.max_by("_seen", F.struct(us, "_order")).alias("_total"))
+    # parts without a sample are in the list too, for what they take over
+    every = both.select(series, "_part").distinct().join(totals.select(F.col(series).alias("_s"), F.col("_part").alias("_p"), "_total"), F.col(series).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")), "left").drop("_s", "_p")
+    local = both.withColumn("_local", F.last("_seen", ignorenulls=True).over(frame)).where("_probe = 1")
+    seen = with_carry(local, every, F.last("_total", ignorenulls=True), series).withColumn("_seen", F.coalesce("_local", "_carry"))
     return seen.select(*probes.columns, F.col("_seen.value").alias("value"), F.col("_seen.found_us").alias("found_us"))
 
 
@@ -106,8 +133,13 @@ def carried(df: DataFrame, grid_us: int, stale_us: int, series: str = "series")
 
 
 def monotonic(df: DataFrame, us: str, series: str = "series", *order: str) -> DataFrame:
-    """df with guarded_us: no time before one already seen."""
-    return df.withColumn("guarded_us", F.max(us).over(by_time(series, *order).rowsBetween(Window.unboundedPreceding, 0)))
+    """df with guarded_us: no time before one already seen. Stretches of the first order column are guarded by themselves, and
+    by the latest time of those before."""
+    order = order or ("us", "event_id")
+    placed = stretched(df, order[0])
+    local = placed.withColumn("_local", F.max(us).over(Window.partitionBy(series, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = placed.groupBy(series, "_part").agg(F.max(us).alias("_total"))
+    return with_carry(local, totals, F.max("_total"), series).withColumn("guarded_us", F.greatest("_local", "_carry")).drop("_part", "_local", "_carry")
 
 
 def audio_clock(frames: DataFrame, rate: float, series: str = "series", *order: str) -> DataFrame:

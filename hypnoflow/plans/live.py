@@ -122,7 +122,7 @@ def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = filled.select("series").distinct()
     # a recording's signals are a few thousand at most: four digits in its header
     index = names.select("series", (F.row_number().over(Window.orderBy("series")) - 1).alias("signal_index"))
-    rows = filled.join(F.broadcast(index), "series")
+    rows = filled.join(index, "series")
     return rows.select(F.lit("night").alias("recording"), "signal_index", F.col("series").alias("label"), "record", "k", F.round("value", 6).alias("value"), F.lit(0.0).alias("physical_min"), F.lit(500.0).alias("physical_max"), F.lit(first).alias("start_us"))
 
 

@@ -249,3 +249,34 @@ def test_epochs_over_the_whole_span(spark):
     got = {(r.series, r.record, r.value) for r in resample.epochs(df, 1000, 1).collect()}
     assert got == {(s, r, {("a", 0): 1.0, ("b", 4): 2.0}.get((s, r), 0.0)) for s in "ab" for r in range(5)}
     assert resample.epochs(df.limit(0), 1000, 1).count() == 0
+
+
+def test_long_series_in_many_stretches(spark):
+    """Numbers, as-of look-ups and guarded times of a series that most rows belong to, over many partitions."""
+    rng = np.random.default_rng(11)
+    n = 60_000
+    us = np.sort(rng.integers(0, 5_000_000, n))
+    who = np.where(rng.random(n) < 0.8, "hot", np.where(rng.random(n) < 0.5, "a", None))
+    rows = [(w, int(u), i, float(i)) for i, (w, u) in enumerate(zip(who, us))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.createDataFrame(rows, S).repartition(7)
+        got = {r.event_id: r.seq for r in series.numbered(df).collect()}
+        want, count = {}, {}
+        for w, _, i, _ in rows:
+            want[i] = count[w] = count.get(w, -1) + 1
+        assert got == want
+        late = df.withColumn("late", F.col("us") - F.pmod(F.xxhash64("event_id"), F.lit(900_000)))
+        top, expected = {}, {}
+        for r in sorted(late.collect(), key=lambda r: (r.us, r.event_id)):
+            expected[r.event_id] = top[r.series] = max(top.get(r.series, -(1 << 62)), r.late)
+        assert {r.event_id: r.guarded_us for r in series.monotonic(late, "late").collect()} == expected
+        probes = spark.createDataFrame([(w, int(u)) for w in ("hot", "a", None, "none") for u in rng.integers(-100_000, 5_100_000, 400)], "series string, us bigint")
+        found = {(r.series, r.us): (r.value, r.found_us) for r in series.asof(probes, df).collect()}
+        own = {w: [(u, v) for x, u, _, v in rows if x == w] for w in ("hot", "a", None, "none")}
+        for (w, u), answer in found.items():
+            at = np.searchsorted([x for x, _ in own[w]], u, side="right") - 1
+            assert answer == ((own[w][at][1], own[w][at][0]) if at >= 0 else (None, None))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
