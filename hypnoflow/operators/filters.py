@@ -29,7 +29,7 @@ def _doubles(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _filtered(packed: DataFrame, stages: Sequence[Biquad], initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """packed with the chunks' outputs y, and the (series, chunks, n, state) after each series; initial: (series, state)."""
+    """packed with the chunks' outputs y, and the (series, n, state) after each series; initial: (series, state)."""
     kind = packed.schema["series"].dataType.simpleString()
     index = packed.schema["chunk"].dataType.simpleString()
     a, _, _, _ = state_space(stages)
@@ -42,29 +42,43 @@ def _filtered(packed: DataFrame, stages: Sequence[Biquad], initial: DataFrame |
     ends = packed.mapInArrow(ended, f"series {kind}, chunk {index}, n bigint, state array<double>")
     begun = ends.withColumn("first", F.lit(None).cast("array<double>")) if initial is None else ends.join(initial.select("series", F.col("state").alias("first")), "series")
 
-    def chained(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        z = np.array(table["first"][0].as_py() or np.zeros(len(a)), float)
-        starts, total = [], 0
-        for n, own in zip(table["n"].to_pylist(), table["state"].to_pylist()):
-            starts.append(z.tolist())
-            z = np.linalg.matrix_power(a, n) @ z + np.array(own) if len(a) else z
-            total += n
-        starts.append(z.tolist())
-        count = len(starts)
-        key = table["series"].combine_chunks()
-        return pa.table({"series": pa.concat_arrays([key, key[:1]]), "chunk": pa.array([*table["chunk"].to_pylist(), None], pa.int64()), "chunks": pa.array([count - 1] * count), "total": pa.array([total] * count), "start": pa.array(starts, pa.list_(pa.float64()))})
-
-    chain = begun.groupBy("series").applyInArrow(chained, f"series {kind}, chunk bigint, chunks bigint, total bigint, start array<double>")
+    # the few numbers of each chunk stream in order: the state before it, and whether it is the last of its series
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["chunk", "start", "last", "n", "state"], [pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.list_(pa.float64())]
+        now, held, z, total = object(), None, None, 0
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            key = pa.concat_arrays([r[0] for r in rows])
+            return pa.RecordBatch.from_arrays([key, *(pa.array(c, k) for c, k in zip(zip(*(r[1:] for r in rows)), kinds))], ["series", *names])
+
+        for batch in batches:
+            rows = []
+            for i, (who, chunk, n, own, first) in enumerate(zip(batch["series"].to_pylist(), batch["chunk"].to_pylist(), batch["n"].to_pylist(), batch["state"].to_pylist(), batch["first"].to_pylist())):
+                begins = held is None or who != now
+                if held is not None:
+                    rows.append((*held[:3], begins, *held[3:]))
+                if begins:
+                    now, z, total = who, np.array(first or np.zeros(len(a)), float), 0
+                start = z
+                z = (np.linalg.matrix_power(a, n) @ z if z.any() else z) + np.array(own)
+                total += n
+                held = (batch["series"].slice(i, 1), chunk, start.tolist(), total, z.tolist())
+            if rows:
+                yield out(rows)
+        if held is not None:
+            yield out([(*held[:3], True, *held[3:])])
+
+    ordered = begun.repartition("series").sortWithinPartitions("series", "chunk")
+    chain = ordered.mapInArrow(chained, f"series {kind}, chunk bigint, start array<double>, last boolean, n bigint, state array<double>")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [iir_kernel(stages, x, z)[0] for x, z in zip(_doubles(batch["values"]), _doubles(batch["start"]))]
             yield pa.RecordBatch.from_arrays([batch["series"], batch["chunk"], batch["values"], pa.array(out, pa.list_(pa.float64()))], ["series", "chunk", "values", "y"])
 
-    started = packed.join(chain.where("chunk is not null").select("series", "chunk", "start"), ["series", "chunk"])
+    started = packed.join(chain.select("series", "chunk", "start"), ["series", "chunk"])
     out = started.mapInArrow(filtered, f"series {kind}, chunk {index}, values array<double>, y array<double>")
-    return out, chain.where("chunk is null").select("series", "chunks", F.col("total").alias("n"), F.col("start").alias("state"))
+    return out, chain.where("last").select("series", "n", "state")
 
 
 def iir(df: DataFrame, stages: Sequence[Biquad], series: str = "series", initial: DataFrame | None = None, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
