@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 PART_CHARS = 1 << 20
 #: Code points of formatted text that are put out together.
 BATCH_CHARS = 1 << 23
+#: Turns that are segments at the same time.
+TURNS = 512
 
 
 @dataclass(frozen=True)
@@ -97,26 +99,27 @@ def in_order(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+def _turns(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
+    """Turns in order as segments, with the machine's state; what format_turns gives for each batch."""
+    now, index, state, ok = object(), 0, "", True
+    kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
+    for batch in batches:
+        indices, oks, segments = [], [], []
+        for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist()):
+            if conv != now:
+                now, index, state, ok = conv, 0, "", True
+            ok = ok and role in template.follows.get(state, ())
+            segments.append([{"text": t, "loss": loss} for t, loss in template.segments(role, text)])
+            indices.append(index)
+            oks.append(ok)
+            index, state = index + 1, role
+        yield pa.RecordBatch.from_arrays([batch["conv_id"], pa.array(indices, pa.int64()), pa.array(segments, kind), pa.array(oks, pa.bool_())], ["conv_id", "turn_index", "segments", "state_ok"])
+
+
 def format_turns(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """A row per turn, in order: conv_id, turn_index (from 0), segments (text, loss), state_ok (no bad turn so far)."""
     template = template or Template()
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, state, ok = object(), 0, "", True
-        for batch in batches:
-            indices, oks, segments = [], [], []
-            for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist()):
-                if conv != now:
-                    now, index, state, ok = conv, 0, "", True
-                ok = ok and role in template.follows.get(state, ())
-                segments.append([{"text": t, "loss": loss} for t, loss in template.segments(role, text)])
-                indices.append(index)
-                oks.append(ok)
-                index, state = index + 1, role
-            kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch["conv_id"], pa.array(indices, pa.int64()), pa.array(segments, kind), pa.array(oks, pa.bool_())], ["conv_id", "turn_index", "segments", "state_ok"])
-
-    return in_order(conversations).mapInArrow(of, "conv_id bigint, turn_index bigint, segments array<struct<text: string, loss: boolean>>, state_ok boolean")
+    return in_order(conversations).mapInArrow(lambda batches: _turns(batches, template), "conv_id bigint, turn_index bigint, segments array<struct<text: string, loss: boolean>>, state_ok boolean")
 
 
 PARTS = "conv_id bigint, part bigint, text string, loss array<struct<start: bigint, end: bigint>>, first_bad_turn bigint"
@@ -152,7 +155,8 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
             rows, held = [], 0
             return out
 
-        for batch in batches:
+        small = (batch.slice(i, TURNS) for batch in batches for i in range(0, batch.num_rows, TURNS))
+        for batch in _turns(small, template):
             for conv, index, segments, ok in zip(batch["conv_id"].to_pylist(), batch["turn_index"].to_pylist(), batch["segments"], batch["state_ok"].to_pylist()):
                 if conv != now:
                     put()
@@ -184,7 +188,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
         if rows:
             yield batch_of()
 
-    return format_turns(conversations, template).mapInArrow(of, PARTS)
+    return in_order(conversations).mapInArrow(of, PARTS)
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
