@@ -104,30 +104,51 @@ def filtfilt(df: DataFrame, stages: Sequence[Biquad], series: str = "series", ch
     return each.select(F.col("series").alias(series), (F.col("at") - F.col("chunk") * chunk).alias("seq"), "y")
 
 
-def fir(df: DataFrame, taps: Sequence[float], series: str = "series", order: str = "seq", compat: bool = False) -> DataFrame:
-    """df with y, the dot product of the taps and the samples up to each row; samples before the first are zero.
+def fir(df: DataFrame, taps: Sequence[float], series: str = "series", compat: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """series, seq, value, y from (series, seq, value): the dot product of the taps and the samples up to each; those that are not
+    there, as before the first, are zero.
+
+    A series is cut into chunks that have a filter's length of the samples before them too, so the longest one is filtered by
+    as many tasks as it has chunks.
 
     compat: all taps but the last, the newest sample meeting the first tap and the one before it the last but one, then
     backwards from there, as a ring of one slot less than the taps makes it.
     """
-    h = list(taps)
+    h = [float(x) for x in taps]
     if compat:
         h = [h[0], *h[-2:0:-1]] if len(h) > 1 else []
+    kind = df.schema[series].dataType.simpleString()
+    own = df.select(F.col(series).alias("series"), F.col("seq").cast("bigint").alias("seq"), F.col("value").cast("double").alias("value"))
     if not h:
-        return df.withColumn("y", F.lit(0.0))
-    frame = Window.partitionBy(series).orderBy(order).rowsBetween(-(len(h) - 1), 0)
-    recent = F.reverse(F.collect_list("value").over(frame))
-    weights = F.slice(F.array(*[F.lit(float(x)) for x in h]), F.lit(1), F.size(recent))
-    return df.withColumn("y", F.aggregate(F.zip_with(recent, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+        return own.select(F.col("series").alias(series), "seq", "value", F.lit(0.0).alias("y"))
+    halo = len(h) - 1
+    in_chunks = F.sequence(F.floor(F.col("seq") / chunk), F.floor((F.col("seq") + halo) / chunk))
+    rows = own.withColumn("chunk", F.explode(in_chunks))
+    packed = rows.groupBy("series", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("rows"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (which, inputs) in enumerate(zip(batch["chunk"].to_pylist(), batch["rows"])):
+                seq, value = inputs.values.field("seq").to_numpy(), inputs.values.field("value").to_numpy()
+                first = int(seq[0])
+                x = np.zeros(int(seq[-1]) - first + 1)
+                x[seq - first] = value
+                new = seq >= which * chunk
+                y = np.convolve(x, h)[seq[new] - first]
+                key = batch["series"].take(pa.array(np.full(len(y), i)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(seq[new]), pa.array(value[new]), pa.array(y)], ["series", "seq", "value", "y"])
+
+    out = packed.mapInArrow(of, f"series {kind}, seq bigint, value double, y double")
+    return out.select(F.col("series").alias(series), "seq", "value", "y")
 
 
 def fir_filtfilt(df: DataFrame, taps: Sequence[float], series: str = "series", compat: bool = False) -> DataFrame:
     """series, seq, y: filtered forwards, then backwards with the forward pass's last samples still in the ring."""
     length = df.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    forward = fir(df.select(series, "seq", "value"), taps, series, compat=compat).join(length, series)
-    ring = forward.where(F.col("seq") >= F.col("n") - len(taps)).select(series, (F.col("seq") - F.col("n")).alias("seq"), "value", "n")
-    turned = forward.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), F.col("y").alias("value"), "n")
-    back = fir(ring.unionByName(turned), taps, series, compat=compat).where("seq >= 0")
+    forward = fir(df, taps, series, compat=compat).join(length, series)
+    ring = forward.where(F.col("seq") >= F.col("n") - len(taps)).select(series, (F.col("seq") - F.col("n")).alias("seq"), "value")
+    turned = forward.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), F.col("y").alias("value"))
+    back = fir(ring.unionByName(turned), taps, series, compat=compat).where("seq >= 0").join(length, series)
     return back.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), "y")
 
 

@@ -180,3 +180,15 @@ def test_filtfilt_turns_chunks(spark):
     forward, z = kernels.iir(stages, x)
     back, _ = kernels.iir(stages, forward[::-1], z)
     assert len(got) == 333 and np.allclose([got[i] for i in range(333)], back[::-1], atol=1e-9)
+
+
+def test_fir_by_chunks(spark):
+    rng = np.random.default_rng(7)
+    x = {"a": rng.standard_normal(205), "b/c": rng.standard_normal(3)}
+    h = design.fir_lowpass(20, 100.0, 10.0)
+    df = spark.createDataFrame([(s, i, float(v)) for s, values in x.items() for i, v in enumerate(values)], "series string, seq bigint, value double").repartition(3)
+    got = {(r.series, r.seq): (r.value, r.y) for r in filters.fir(df, h, chunk=16).collect()}
+    assert len(got) == 208
+    for s, values in x.items():
+        want = np.convolve(values, h)[: len(values)]
+        assert np.allclose([got[s, i] for i in range(len(values))], np.stack([values, want], axis=1), atol=1e-12)
