@@ -101,6 +101,8 @@ def read_header(f: pa.NativeFile, size: int) -> Header:
     for s in signals:
         for name in ("physical_min", "physical_max", "digital_min", "digital_max", "samples_per_record"):
             number = _number(s[name], float if name.startswith("physical") else int)
+            if number is None and name != "samples_per_record" and ANNOTATIONS in s["label"]:
+                number = 0  # the ranges of annotations say nothing
             if number is None:
                 raise ValueError(f"{name} of signal {s['label']!r} is {s[name]!r}, which is no number")
             s[name] = number

@@ -98,6 +98,13 @@ def test_unreadable_numbers_are_errors(tmp_path, field):
         edf.read_header(f, 516)
 
 
+def test_ranges_of_annotations_may_be_blank(spark, tmp_path):
+    notes = {"label": edf.ANNOTATIONS, "physical_min": "", "digital_max": "", "samples_per_record": 16}
+    by_hand(tmp_path / "n.edf", 1, [notes], [b"+0\x14\x14\x00+2\x14Lights out\x14\x00".ljust(32, b"\x00")])
+    assert [(r.onset, r.text) for r in edf.read_recordings(spark, str(tmp_path / "n.edf"), "annotations").collect()] == [(2.0, "Lights out")]
+    assert edf.read_recordings(spark, str(tmp_path / "n.edf")).count() == 0
+
+
 def test_quantising():
     s = {"physical_min": -10, "physical_max": 10, "digital_min": -100, "digital_max": 100}
     assert edf.to_digital(np.array([0.25, -0.25, 99, -99, np.nan]), s).tolist() == [3, -2, 100, -100, 0]
@@ -154,3 +161,15 @@ def test_all_annotations_are_written(spark, tmp_path):
     assert edf.read_recordings(spark, str(tmp_path / "n")).count() == 12
     with pytest.raises(ValueError, match="record 7"):
         edf.write_recordings(df, str(tmp_path / "m"), 2.0, spark.createDataFrame([("x", 7, 1.0, None, "a")], schema))
+
+
+def test_folders_off_one_machine_must_be_named(monkeypatch):
+    from types import SimpleNamespace
+
+    from hypnoflow.plans import live
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://elsewhere:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        live.shared_dir(spark)
+    spark.conf.get = lambda key, default: "hdfs://a/b"
+    assert live.shared_dir(spark).startswith("hdfs://a/b/")
