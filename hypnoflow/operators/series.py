@@ -153,9 +153,15 @@ def audio_clock(frames: DataFrame, rate: float, series: str = "series", *order:
 
 
 def rmssd(df: DataFrame, series: str = "series", value: str = "value", *order: str) -> DataFrame:
-    """Root mean square of successive differences; null for series of one sample."""
-    step = df.withColumn("_d", F.col(value) - F.lag(value).over(by_time(series, *order)))
-    return step.groupBy(series).agg(F.sqrt(F.avg(F.pow("_d", 2.0))).alias("rmssd"))
+    """Root mean square of successive differences; null for series of one sample. A stretch's first row follows the last one before it."""
+    order = order or ("us", "event_id")
+    placed = stretched(df, order[0])
+    w = Window.partitionBy(series, "_part").orderBy(*order)
+    local = placed.select(series, "_part", F.col(value).alias("_v"), F.lag(value).over(w).alias("_before"), F.row_number().over(w).alias("_i"))
+    totals = placed.groupBy(series, "_part").agg(F.max_by(value, F.struct(*order)).alias("_total"))
+    step = with_carry(local, totals, F.last("_total"), series)
+    before = F.when(F.col("_i") == 1, F.col("_carry")).otherwise(F.col("_before"))
+    return step.groupBy(series).agg(F.sqrt(F.avg(F.pow(F.col("_v") - before, F.lit(2.0)))).alias("rmssd"))
 
 
 def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "series", *order: str) -> DataFrame:

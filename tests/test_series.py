@@ -267,6 +267,9 @@ def test_long_series_in_many_stretches(spark):
         for w, _, i, _ in rows:
             want[i] = count[w] = count.get(w, -1) + 1
         assert got == want
+        for r in series.rmssd(df).collect():
+            v = np.array([x for w, _, _, x in rows if w == r.series])
+            assert abs(r.rmssd - math.sqrt((np.diff(v) ** 2).mean())) < 1e-9
         late = df.withColumn("late", F.col("us") - F.pmod(F.xxhash64("event_id"), F.lit(900_000)))
         top, expected = {}, {}
         for r in sorted(late.collect(), key=lambda r: (r.us, r.event_id)):
