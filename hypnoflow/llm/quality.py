@@ -84,11 +84,15 @@ class Space:
         cosine = np.round(self.project(counts) @ self.vectors.T, 12)
         k = min(NEIGHBOURS, len(self.labels))
         least = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
-        nearer, equal = cosine > least, cosine == least
-        near = nearer | equal & (equal.cumsum(axis=1) <= k - nearer.sum(axis=1, keepdims=True))
-        weight = np.where(near, np.maximum(cosine, 0), 0.0) ** SHARPNESS
-        total = weight.sum(axis=1)
-        return np.where((total > 0) & (counts.sum(axis=1) > 0), np.clip(weight @ self.labels / np.maximum(total, 1e-300), 0, 1), self.prior)
+        near = cosine >= least
+        tied = near.sum(axis=1) > k
+        if tied.any():
+            nearer, equal = cosine[tied] > least[tied], cosine[tied] == least[tied]
+            near[tied] = nearer | equal & (equal.cumsum(axis=1) <= k - nearer.sum(axis=1, keepdims=True))
+        row, which = np.nonzero(near)
+        weight = np.maximum(cosine[row, which], 0) ** SHARPNESS
+        total, vote = np.bincount(row, weight, len(cosine)), np.bincount(row, weight * self.labels[which], len(cosine))
+        return np.where((total > 0) & (counts.sum(axis=1) > 0), np.clip(vote / np.maximum(total, 1e-300), 0, 1), self.prior)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -97,6 +97,16 @@ def test_quality(spark, docs, none, rows):
         assert abs(sum(x * space.labels[i] for x, i in zip(w, near)) / sum(w) - s) < 1e-6
 
 
+def test_quality_of_tied_neighbours():
+    vectors = np.eye(4)[[0] * 30 + [1] * 5]  # more equal ones than vote
+    labels = np.array([1.0] * 10 + [0.0] * 20 + [1.0] * 5)
+    space = quality.Space(np.ones(quality.FEATURES, np.float32), np.zeros((quality.FEATURES, 4), np.float32), vectors, labels, 0.5)
+    space.project = lambda counts: np.array([[1.0, 0, 0, 0], [0.6, 0.8, 0, 0], [0, 0, 1.0, 0]])
+    w = [0.8**4] * 5 + [0.6**4] * 20
+    want = [10 / 25, sum(x * y for x, y in zip(w, [1.0] * 5 + [1.0] * 10 + [0.0] * 10)) / sum(w), 0.5]
+    assert np.allclose(space.score(np.ones((3, quality.FEATURES), np.float32)), want, atol=1e-12)
+
+
 def test_quality_learns_no_more_than_its_bound(spark):
     rng = random.Random(8)
     rows = [(1, f"{sentence(rng, 'en', 6)} {i}") for i in range(3000)] + [(2, "the same")] * 3000 + [(i, sentence(rng, "de", 9)) for i in range(3, 400)]
