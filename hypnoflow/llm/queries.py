@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, htmltext, langid, mixing, quality, sharding, simhash, warc
+from . import ann, chat, clustering, decontam, htmltext, langid, mixing, quality, sharding, simhash, urlfilter, warc, whitening
 from .common import crc_of, shared_dir, table
 
 #: Half of the mix for the one source that holds a third of the rows here would be too much: it gets a tenth.
@@ -128,6 +128,63 @@ WITH RECURSIVE counts AS (SELECT source, count(*) AS n, CASE WHEN source = 'src0
 SELECT doc_id, source, mix_row, mix_copy, md5('20/order:' || name || ':' || mix_copy) AS mix_key, text_md5 FROM copies
 """
 
+#: Which addresses are allowed or blocked whatever their words.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _words_sql(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _rule_sql(rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}'"
+
+
+#: Words between boundaries are the pieces between characters that are no letters or digits.
+OP11_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+     w AS (SELECT *, regexp_split_to_array(lower(url_decode(host || path)), '[^\p{{L}}\p{{N}}]+') AS words,
+             CASE {" ".join(_rule_sql(r) for _, r in sorted(URL_RULES, key=lambda x: -len(x[1])))} END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule {" ".join(f"WHEN '{r}' THEN '{v}'" for v, r in URL_RULES)}
+  ELSE CASE WHEN len(list_intersect(words, {_words_sql(urlfilter.STRICT)})) >= 1 OR len(list_intersect(words, {_words_sql(urlfilter.SOFT)})) >= {urlfilter.REJECT} THEN 'block' ELSE 'allow' END END AS verdict FROM w
+"""
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return clustering.cluster(rows, k=16, rounds=3, dim=64, scale=64.0, seed=1).drop("embedding")
+
+
+def _lloyd_sql(i: int) -> str:
+    """Round i: assignment to the centroids c{i}, and the centroids c{i + 1}."""
+    return f"""d{i} AS (SELECT r, q, c, list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, (SELECT c, q AS m FROM c{i})),
+     a{i} AS (SELECT r, q, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+     s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j),
+     c{i + 1} AS (SELECT c, coalesce(m, q) AS q FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM s{i} GROUP BY c) USING (c))"""
+
+
+OP12_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+       WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+     c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT 16)),
+     {", ".join(_lloyd_sql(i) for i in range(4))}
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN c3 ON c3.c = a3.c
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32, scale=64.0, shift=1_000_000)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -139,5 +196,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "op11_url_filter": op11_url_filter,
+    "op12_clustering": op12_clustering,
+    "op13_whitening": op13_whitening,
 }
-SQL = {"op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_url_filter": OP11_SQL, "op12_clustering": OP12_SQL}
