@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 
@@ -59,14 +63,60 @@ def iir(stages: Sequence[Biquad], x: np.ndarray, state: np.ndarray | None = None
     return np.concatenate([*out, tail]), z
 
 
-def lttb_bounds(size: int, n: int) -> list[int]:
-    """Where the n - 2 inner buckets of a series begin, and two ends more; 3 <= n < size."""
-    return np.minimum(np.floor(np.arange(n) * ((size - 2) / (n - 2))).astype(np.int64) + 1, size).tolist()
-
-
 def largest_triangle(t0: float, v0: float, t: np.ndarray, v: np.ndarray, mean_t: float, mean_v: float) -> int:
     """Which of the points (t, v) makes the largest triangle with (t0, v0) and the mean of the bucket after; the first of equals."""
-    return int(np.argmax(np.abs((t0 - mean_t) * (v - v0) - (t0 - t) * (mean_v - v0))))
+    side_t, side_v = mean_t - t0, mean_v - v0
+    return int(np.argmax(np.abs(side_v * (t - t0) - side_t * (v - v0))))
+
+
+#: How far under a chord a point must lie, beside the products that say so, to be under it for certain.
+SURE = 1e-14
+
+
+def _under_chords(t: np.ndarray, v: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Which points are left when those under the chord of their neighbours are taken away again and again; t is rising.
+
+    Points on a chord stay, but for those between two of the same value. After so many rounds more points may be left than need be.
+    """
+    left = np.arange(len(t))
+    for _ in range(rounds):
+        a, m, b = left[:-2], left[1:-1], left[2:]
+        chord, own = (t[m] - t[a]) * (v[b] - v[a]), (t[b] - t[a]) * (v[m] - v[a])
+        go = (chord - own > SURE * (np.abs(chord) + np.abs(own))) | (v[a] == v[m]) & (v[m] == v[b])
+        if not go.any():
+            break
+        left = left[np.concatenate([[True], ~go, [True]])]
+    return left
+
+
+def hull(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places, in order, of points that hold every corner of the convex hull; (t, v) is sorted by t, then v.
+
+    The height of a point over a line through two others is linear in the point, so whichever the line, the highest and the lowest are among
+    these, the first of equally high ones with them.
+    """
+    if len(t) < 4:
+        return np.arange(len(t))
+    new = np.concatenate([[True], np.diff(t) > 0])
+    low = np.flatnonzero(new)
+    # of one time, the last place has the largest value; the first place that has it is wanted
+    last = np.concatenate([low[1:], [len(t)]]) - 1
+    equal = np.concatenate([[False], ~new[1:] & (np.diff(v) == 0)])
+    first_of = np.maximum.accumulate(np.where(equal, 0, np.arange(len(t))))
+    top = first_of[last]
+    return np.unique(np.concatenate([top[_under_chords(t[top], v[top])], low[_under_chords(t[low], -v[low])]]))
+
+
+#: Plausible beat intervals in ms, and how much one may differ from the last accepted one.
+SHORTEST, LONGEST, JUMP = 300, 2000, 250
+
+
+def beat_ms(seconds: float | None) -> int | None:
+    """An interval in whole ms; None where it is not plausible, or no finite number."""
+    if seconds is None or not math.isfinite(seconds):
+        return None
+    ms = math.floor(seconds * 1000 + 0.5)
+    return ms if SHORTEST <= ms <= LONGEST else None
 
 
 class HrvWindow:
@@ -75,11 +125,56 @@ class HrvWindow:
     def __init__(self, window: int = 30, kept: Sequence[int] = ()) -> None:
         if window < 2:
             raise ValueError("the window must hold at least two intervals")
-        self.window, self.kept = window, list(kept)
+        self.window, self.kept = window, deque(kept)
+        self.squares = sum((b - a) ** 2 for a, b in pairwise(self.kept))
 
-    def push(self, intervals: Sequence[float]) -> float | None:
+    def push(self, intervals: Sequence[float | None]) -> float | None:
+        kept = self.kept
         for seconds in intervals:
-            ms = int(np.floor(seconds * 1000 + 0.5))
-            if 300 <= ms <= 2000 and (not self.kept or abs(ms - self.kept[-1]) <= 250):
-                self.kept = [*self.kept, ms][-self.window :]
-        return float(np.sqrt(np.mean(np.diff(self.kept) ** 2.0))) if len(self.kept) >= 2 else None
+            ms = beat_ms(seconds)
+            if ms is not None and (not kept or abs(ms - kept[-1]) <= JUMP):
+                if kept:
+                    self.squares += (ms - kept[-1]) ** 2
+                kept.append(ms)
+                if len(kept) > self.window:
+                    self.squares -= (kept[1] - kept.popleft()) ** 2
+        return math.sqrt(self.squares / (len(kept) - 1)) if len(kept) >= 2 else None
+
+
+class BeatMap:
+    """What a stretch of beats makes of any state before it: the state is the last accepted interval, or none.
+
+    States that have accepted nothing are free; those that accept the same beats from one beat on are a class with one tail, the last
+    `window` accepted intervals. A beat is accepted by the free states near it, which become a class, so there are soon a few classes and
+    nothing free. Maps compose: that of two stretches is the second's of what the first makes.
+    """
+
+    def __init__(self, window: int) -> None:
+        self.owner = np.full(LONGEST - SHORTEST + 2, -1, np.int32)  # state 0 is none
+        self.free, self.tails, self.window = len(self.owner), [], window
+
+    def push(self, ms: int) -> None:
+        for tail in self.tails:
+            if abs(ms - tail[-1]) <= JUMP:
+                tail.append(ms)
+        if self.free:
+            first = max(ms - JUMP, SHORTEST) - SHORTEST + 1
+            near = self.owner[first : min(ms + JUMP, LONGEST) - SHORTEST + 2]
+            fresh = np.flatnonzero(near < 0) + first
+            if self.owner[0] < 0 or len(fresh):
+                self.free -= len(fresh) + int(self.owner[0] < 0)
+                self.owner[fresh] = len(self.tails)
+                self.owner[0] = len(self.tails) if self.owner[0] < 0 else self.owner[0]
+                self.tails.append(deque([ms], self.window))
+
+    def packed(self) -> tuple[list[int], list[int], list[list[int]]]:
+        """Where runs of states of one class begin, the classes of the runs (-1: free), and the classes' tails."""
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(self.owner)) + 1])
+        return begin.tolist(), self.owner[begin].tolist(), [list(x) for x in self.tails]
+
+
+def beats_after(tail: list[int], packed: tuple[list[int], list[int], list[list[int]]], window: int) -> list[int]:
+    """The last accepted intervals after a stretch with this map, from those before it."""
+    begin, owner, tails = packed
+    which = owner[bisect_right(begin, tail[-1] - SHORTEST + 1 if tail else 0) - 1]
+    return tail if which < 0 else [*tail, *tails[which]][-window:]

@@ -28,6 +28,15 @@ def _doubles(column: pa.Array) -> Iterator[np.ndarray]:
     return (x.values.to_numpy(zero_copy_only=False) for x in column)
 
 
+def _by_series(df: DataFrame, more: DataFrame, how: str = "inner", *on: str, series: str = "series") -> DataFrame:
+    """df joined by series, null ones too, and by other columns."""
+    renamed = more.withColumnsRenamed({c: f"_{c}" for c in (series, *on)})
+    same = F.col(series).eqNullSafe(F.col(f"_{series}"))
+    for c in on:
+        same &= F.col(c) == F.col(f"_{c}")
+    return df.join(renamed, same, how).drop(*(f"_{c}" for c in (series, *on)))
+
+
 def _filtered(packed: DataFrame, stages: Sequence[Biquad], initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """packed with the chunks' outputs y, and the (series, n, state) after each series; initial: (series, state)."""
     kind = packed.schema["series"].dataType.simpleString()
@@ -40,7 +49,7 @@ def _filtered(packed: DataFrame, stages: Sequence[Biquad], initial: DataFrame |
             yield pa.RecordBatch.from_arrays([batch["series"], batch["chunk"], batch["values"].value_lengths().cast(pa.int64()), pa.array(states, pa.list_(pa.float64()))], ["series", "chunk", "n", "state"])
 
     ends = packed.mapInArrow(ended, f"series {kind}, chunk {index}, n bigint, state array<double>")
-    begun = ends.withColumn("first", F.lit(None).cast("array<double>")) if initial is None else ends.join(initial.select("series", F.col("state").alias("first")), "series")
+    begun = ends.withColumn("first", F.lit(None).cast("array<double>")) if initial is None else _by_series(ends, initial.select("series", F.col("state").alias("first")), "left")
 
     # the few numbers of each chunk stream in order: the state before it, and whether it is the last of its series
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +85,7 @@ def _filtered(packed: DataFrame, stages: Sequence[Biquad], initial: DataFrame |
             out = [iir_kernel(stages, x, z)[0] for x, z in zip(_doubles(batch["values"]), _doubles(batch["start"]))]
             yield pa.RecordBatch.from_arrays([batch["series"], batch["chunk"], batch["values"], pa.array(out, pa.list_(pa.float64()))], ["series", "chunk", "values", "y"])
 
-    started = packed.join(chain.select("series", "chunk", "start"), ["series", "chunk"])
+    started = _by_series(packed, chain.select("series", "chunk", "start"), "inner", "chunk")
     out = started.mapInArrow(filtered, f"series {kind}, chunk {index}, values array<double>, y array<double>")
     return out, chain.where("last").select("series", "n", "state")
 
@@ -145,10 +154,10 @@ def fir(df: DataFrame, taps: Sequence[float], series: str = "series", compat: bo
 def fir_filtfilt(df: DataFrame, taps: Sequence[float], series: str = "series", compat: bool = False) -> DataFrame:
     """series, seq, y: filtered forwards, then backwards with the forward pass's last samples still in the ring."""
     length = df.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    forward = fir(df, taps, series, compat=compat).join(length, series)
+    forward = _by_series(fir(df, taps, series, compat=compat), length, series=series)
     ring = forward.where(F.col("seq") >= F.col("n") - len(taps)).select(series, (F.col("seq") - F.col("n")).alias("seq"), "value")
     turned = forward.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), F.col("y").alias("value"))
-    back = fir(ring.unionByName(turned), taps, series, compat=compat).where("seq >= 0").join(length, series)
+    back = _by_series(fir(ring.unionByName(turned), taps, series, compat=compat).where("seq >= 0"), length, series=series)
     return back.select(series, (F.col("n") - 1 - F.col("seq")).alias("seq"), "y")
 
 

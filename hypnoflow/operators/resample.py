@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,21 +11,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.design import Polyphase
-from ..functions.kernels import largest_triangle, lttb_bounds
+from ..functions.kernels import hull, largest_triangle
+from .series import parts_before, so_far, stretched, with_starts
 
 
-def linear(df: DataFrame, n: int, series: str = "series", order: tuple[str, ...] = ("ms", "event_id")) -> DataFrame:
+def _in_windows(df: DataFrame, series: str, order: tuple[str, ...]) -> DataFrame:
+    """df with what `linear` needs to know of a row's series, by a window over each series."""
+    w, whole = Window.partitionBy(series).orderBy(*order), Window.partitionBy(series)
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+    return rows.withColumn("_t0", F.min("ms").over(whole)).withColumn("_t1", F.max("ms").over(whole)).withColumn("_t", F.lead("ms").over(w)).withColumn("_v", F.lead("value").over(w))
+
+
+def _in_stretches(df: DataFrame, series: str, order: tuple[str, ...], splits: Sequence[float] | None) -> DataFrame:
+    """The same by stretches of time: a stretch's last row is followed by the first of the series' next one."""
+    placed = stretched(df, order[0], splits)
+    first = F.min_by(F.struct("ms", "value"), F.struct(*order))
+    totals = placed.groupBy(series, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("ms").alias("_a"), F.max("ms").alias("_b"), first.alias("_first"))
+    whole, after = Window.partitionBy(series), Window.partitionBy(series).orderBy("_part")
+    known = F.struct(
+        F.coalesce(F.sum("_c").over(parts_before(series)), F.lit(0)).alias("before"), F.sum("_c").over(whole).alias("n"), F.min("_a").over(whole).alias("t0"), F.max("_b").over(whole).alias("t1"),
+        F.lead("_first").over(after).alias("next"),
+    )
+    both, w = with_starts(placed, totals, series, {"_known": known}, order)
+    both = both.withColumn("_known", F.first("_known").over(so_far(w))).withColumn("_i", F.row_number().over(w) - 2 + F.col("_known.before"))
+    both = both.withColumn("_ends", F.lead("_row").over(w).isNull()).withColumn("_t", F.lead("ms").over(w)).withColumn("_v", F.lead("value").over(w)).where("_row = 1")
+    follows = lambda own, next: F.when(F.col("_ends"), F.col(f"_known.next.{next}")).otherwise(F.col(own))
+    return both.select(*df.columns, "_i", *[F.col(f"_known.{x}").alias(f"_{x}") for x in ("n", "t0", "t1")], follows("_t", "ms").alias("_t"), follows("_v", "value").alias("_v"))
+
+
+def linear(df: DataFrame, n: int, series: str = "series", order: tuple[str, ...] = ("ms", "event_id"), long: bool = True, splits: Sequence[float] | None = None) -> DataFrame:
     """series, k, ms, value: n points evenly over each series' span (ms, value), by linear interpolation.
 
     In this order: n samples stay as they are; n = 1 takes the middle one (the earlier of two); a series without duration
     gives its first sample n times; otherwise the ends are the first and last sample and inner times are cut to whole ms.
-    Every segment between neighbours puts out the grid points that it covers, so there is no join and no state.
+    Every segment between neighbours puts out the grid points that it covers, so there is no join and no state. Long series are worked
+    on in stretches of time, each by itself; for many short ones (long=False) one sort by series does.
     """
     if n < 1:
         return df.select(series, F.lit(0).cast("bigint").alias("k"), F.col("ms").cast("double").alias("ms"), "value").limit(0)
-    w, whole = Window.partitionBy(series).orderBy(*order), Window.partitionBy(series)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
-    rows = rows.withColumn("_t0", F.min("ms").over(whole)).withColumn("_t1", F.max("ms").over(whole)).withColumn("_t", F.lead("ms").over(w)).withColumn("_v", F.lead("value").over(w))
+    rows = _in_stretches(df, series, order, splits) if long else _in_windows(df, series, order)
     step = (F.col("_t1") - F.col("_t0")) / float(max(n - 1, 1))
     same, flat = F.col("_n") == n, F.col("_t1") == F.col("_t0")
     middle, last = F.col("_i") == F.floor((F.col("_n") - 1) / 2), F.col("_i") == F.col("_n") - 1
@@ -59,93 +84,177 @@ def whole_epochs(df: DataFrame, epoch_us: int, start_us: int, stop_us: int) -> D
     return df.withColumn("record", record).where((F.col("us") >= start_us) & (F.col("record") < records))
 
 
-def epochs(df: DataFrame, epoch_us: int, samples: int, start_us: int | None = None, end_us: int | None = None, series: str = "series") -> DataFrame:
+def epochs(df: DataFrame, epoch_us: int, samples: int, start_us: int | None = None, end_us: int | None = None, series: str = "series", own_span: bool = False) -> DataFrame:
     """series, record, k, value, is_filled: each epoch of each series as exactly `samples` points, zeros where it has none.
 
-    Each (series, epoch) is resampled by itself; the dense grid of records is made from the list of series. Start and end
-    are those of all rows by default; rows outside those given are left out.
+    Each (series, epoch) is resampled by itself; epochs without rows are made from the list of series and meet those with rows as
+    (series, record), not sample by sample. Start and end are those of all rows by default; rows outside those given are left out. own_span: a
+    series has the epochs from its own first to its own last row only (records are numbered from the common start all the
+    same), so that many short series over a long time do not fill it with zeros.
     """
     if start_us is None or end_us is None:
         first, after = span(df, epoch_us)
         start_us, end_us = first if start_us is None else start_us, after if end_us is None else end_us
     own = df.where((F.col("us") >= start_us) & (F.col("us") < end_us)).withColumn("record", F.floor((F.col("us") - start_us) / epoch_us))
     keyed = own.select(F.struct(series, "record").alias("series"), (F.col("us") / 1000.0).alias("ms"), "event_id", "value")
-    points = linear(keyed, samples).select(F.col(f"series.{series}").alias(series), F.col("series.record").alias("record"), "k", "value")
-    records = -(-(end_us - start_us) // epoch_us)
-    grid = df.where(F.lit(records > 0)).select(series).distinct().select(series, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(records - 1).cast("bigint"))).alias("record"))
-    grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
-    full = grid.join(points, [series, "record", "k"], "left")
+    points = linear(keyed, samples, long=False).select(F.col(f"series.{series}").alias(series), F.col("series.record").alias("record"), "k", "value")
+    there = own.groupBy(series, "record").agg(F.lit(1).alias("there"))
+    if own_span:
+        spans = there.groupBy(series).agg(F.min("record").alias("a"), F.max("record").alias("b"))
+    else:
+        records = -(-(end_us - start_us) // epoch_us)
+        spans = df.where(F.lit(records > 0)).select(series).distinct().select(series, F.lit(0).cast("bigint").alias("a"), F.lit(records - 1).cast("bigint").alias("b"))
+    grid = spans.select(F.col(series).alias("_s"), F.explode(F.sequence("a", "b")).alias("_r"))
+    empty = grid.join(there, F.col("_s").eqNullSafe(F.col(series)) & (F.col("_r") == F.col("record")), "left_anti")
+    zeros = empty.select(F.col("_s").alias(series), F.col("_r").alias("record"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))).alias("k"), F.lit(None).cast("double").alias("value"))
+    full = points.withColumn("value", F.col("value").cast("double")).unionByName(zeros)
     return full.withColumn("is_filled", F.col("value").isNull()).withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us") -> DataFrame:
+#: Runs of fewer rows than this are not worth a hull.
+SHORT_RUN = 16
+
+
+def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us", splits: Sequence[float] | None = None) -> DataFrame:
     """series, time, value of the n points that show each series' shape best (largest triangle, three buckets).
 
-    Which point a bucket gives depends on the one before, so a series' rows stream in order through one task, which holds
-    two buckets and an Arrow batch. All points where the series has no more than n, or n < 3.
+    Which point a bucket gives depends on the one before, so buckets must be gone through in order. But with the point before and
+    the mean of the bucket after given, a triangle's area is the absolute value of a linear form in the point, so the largest belongs
+    to a corner of the convex hull of the bucket, or of a part of it. Rows are numbered in stretches of time, the tasks reduce every run of a bucket to
+    its hull, count and sums, and only hulls, a few points each, stream through the chain of a series. Points on an edge of a hull stay, so that the
+    first of equal triangles still wins; all points of a curve without noise are corners, and it is reduced no further than its rows.
+
+    All points where the series has no more than n, or n < 3. Rows without a number go. The null series is one like others.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = df.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col(series).alias("series"), F.col(time).alias("t"), F.col("value").cast("double").alias("value"))
-    sizes = rows.groupBy("series").agg(F.count(F.lit(1)).alias("size"))
-    sized = rows.join(sizes, "series")
-    names = ["series", "t", "value"]
+    names = lambda out: out.select(F.col("series").alias(series), F.col("t").alias(time), "value")
+    if n < 3:
+        return names(rows)
+    placed = stretched(rows, "t", splits)
+    totals = placed.groupBy("series", "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("t").alias("_a"))
+    whole = Window.partitionBy("series")
+    known = F.struct(F.coalesce(F.sum("_c").over(parts_before("series")), F.lit(0)).alias("before"), F.sum("_c").over(whole).alias("size"), F.min("_a").over(whole).alias("base"))
+    both, w = with_starts(placed, totals, "series", {"_known": known}, ("t", "value"))
+    both = both.withColumn("_known", F.first("_known").over(so_far(w))).withColumn("seq", F.row_number().over(w) - 2 + F.col("_known.before")).where("_row = 1")
+    sized = both.select("series", "t", "value", "seq", F.col("_known.size").alias("size"), F.col("_known.base").alias("base"))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reduced = object(), None
-        for batch in batches:
-            who = batch["series"].to_pylist()
-            bounds = [0, *(i for i in range(1, len(who)) if who[i] != who[i - 1])]
-            kept: list[pa.RecordBatch] = []
-            for a, b in zip(bounds, [*bounds[1:], len(who)]):
-                if who[a] != now:
-                    now, reduced = who[a], LargestTriangles(batch["size"][a].as_py(), n)
-                part = batch.slice(a, b - a).select(names)
-                kept += reduced.push(part)
-            if kept:
-                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
-
-    ordered = sized.repartition("series").sortWithinPartitions("series", "t", "value")
-    out = ordered.mapInArrow(of, f"series {kinds[series]}, t {kinds[time]}, value double")
-    return out.select(F.col("series").alias(series), F.col("t").alias(time), "value")
-
-
-class LargestTriangles:
-    """Takes a series of `size` rows (series, t, value) a batch at a time and gives back the rows that are kept."""
-
-    def __init__(self, size: int, n: int) -> None:
-        self.size, self.whole = size, n >= size or n < 3
-        self.bounds = None if self.whole else lttb_bounds(size, n)
-        self.bucket, self.first, self.last = 0, 0, (0.0, 0.0)
-        self.held: list[pa.RecordBatch] = []
-        self.count = 0
-
-    def push(self, rows: pa.RecordBatch) -> list[pa.RecordBatch]:
-        if self.whole:
-            return [rows]
-        out = []
-        if not self.first and not self.count:
-            out.append(rows.slice(0, 1))
-            self.last = (float(rows["t"][0].as_py()), rows["value"][0].as_py())
-        self.held.append(rows)
-        self.count += rows.num_rows
-        buckets = len(self.bounds) - 2
-        after = lambda i: min(self.bounds[i + 2], self.size) if i + 2 < len(self.bounds) else self.size
-        if self.bucket < buckets and self.first + self.count >= after(self.bucket):
-            table = pa.Table.from_batches(self.held).combine_chunks()
-            t, v = table["t"].to_numpy().astype(np.float64), table["value"].to_numpy()
-            while self.bucket < buckets and self.first + self.count >= after(self.bucket):
-                lo, hi, end = (x - self.first for x in (self.bounds[self.bucket], self.bounds[self.bucket + 1], after(self.bucket)))
-                kept = lo + largest_triangle(*self.last, t[lo:hi], v[lo:hi], t[hi:end].mean(), v[hi:end].mean())
-                self.last = (t[kept], v[kept])
-                out += table.slice(kept, 1).to_batches()
-                self.bucket += 1
-            drop = (self.bounds[self.bucket] if self.bucket < buckets else self.size - 1) - self.first
-            drop = min(drop, self.count)
-            self.held = table.slice(drop).to_batches()
-            self.first, self.count = self.first + drop, self.count - drop
-        if self.first + self.count == self.size:
-            out.append(self.held[-1].slice(self.held[-1].num_rows - 1))
-        return out
+    # bucket j begins at floor(j * width) + 1; the first row is before all of them, the last after
+    width = F.when(F.col("size") > n, (F.col("size") - 2) / float(n - 2))
+    begins = lambda j: F.floor(j * width) + 1
+    guess = F.floor((F.col("seq") - 1) / width)
+    bucket = F.when(begins(guess + 1) <= F.col("seq"), guess + 1).when(begins(guess) > F.col("seq"), guess - 1).otherwise(guess)
+    bucket = F.when(F.col("seq") == 0, F.lit(-1)).otherwise(F.least(bucket, F.lit(n - 2)))
+    key, kind = (rows.schema[c].dataType.simpleString() for c in ("series", "t"))
+    points = f"array<struct<seq:bigint,t:{kind},value:double>>"
+    hulls = sized.withColumn("bucket", bucket.cast("bigint")).mapInArrow(lambda batches: _hulls(batches, n), f"series {key}, bucket bigint, base {kind}, size bigint, n bigint, st double, sv double, points {points}")
+    ordered = hulls.repartition("series").sortWithinPartitions("series", "bucket")
+    return names(ordered.mapInArrow(lambda batches: _chained(batches, n), f"series {key}, t {kind}, value double"))
+
+
+def _hulls(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A row for each run of rows of one bucket: their number, the sums of time (from the series' first) and value, and the points of the hull.
+
+    Rows of a series come in order as a rule, but nothing depends on it: any parts of a bucket will do.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, seq = batch["bucket"].to_numpy(), batch["seq"].to_numpy()
+        value, t = batch["value"].to_numpy(), batch["t"].to_numpy()
+        since = (t - batch["base"].to_numpy()).astype(np.float64)
+        # a series' numbers go on by one within it
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(seq) != 1)) + 1
+        first, after = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seq)]])
+        whole = batch["size"].to_numpy()[first] <= n
+        kept = [np.arange(a, b) if all_of or b - a < SHORT_RUN else a + hull(since[a:b], value[a:b]) for a, b, all_of in zip(first.tolist(), after.tolist(), whole.tolist())]
+        flat, ends = np.concatenate(kept), np.cumsum([0, *map(len, kept)])
+        points = pa.StructArray.from_arrays([batch["seq"].take(pa.array(flat)), batch["t"].take(pa.array(flat)), batch["value"].take(pa.array(flat))], ["seq", "t", "value"])
+        head = pa.array(first)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["series"].take(head), batch["bucket"].take(head), batch["base"].take(head), batch["size"].take(head), pa.array(after - first),
+                pa.array(np.add.reduceat(since, first)), pa.array(np.add.reduceat(value, first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), points),
+            ],
+            ["series", "bucket", "base", "size", "n", "st", "sv", "points"],
+        )
+
+
+@dataclass
+class Bucket:
+    """The points of a bucket's hulls, their places in the series, and what its mean is made of."""
+
+    which: int
+    whole: bool
+    n: int
+    st: float
+    sv: float
+    seq: list[np.ndarray]
+    since: list[np.ndarray]
+    value: list[np.ndarray]
+    rows: list[pa.StructArray]
+
+    def pick(self, place: int) -> pa.StructArray:
+        """The point at this place of all hulls together."""
+        for rows in self.rows:
+            if place < len(rows):
+                return rows.slice(place, 1)
+            place -= len(rows)
+        raise IndexError(place)
+
+
+def _chained(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The points that are kept, from the hulls of each series in the order of its buckets; two buckets' hulls are held: one is all there,
+    the other, which may still grow, gives the mean for it."""
+    now, key, last = object(), None, None
+    held: Bucket | None = None
+    growing: Bucket | None = None
+    out: list[tuple[pa.Array, pa.StructArray]] = []
+
+    def chosen(b: Bucket, following: Bucket | None) -> None:
+        nonlocal last
+        if b.whole:
+            out.extend((key, rows) for rows in b.rows)
+            return
+        since, value, seq = np.concatenate(b.since), np.concatenate(b.value), np.concatenate(b.seq)
+        if b.which in (-1, n - 2):  # the first row, and the last of all
+            at = int(np.argmin(seq) if b.which < 0 else np.argmax(seq))
+        else:
+            order = np.argsort(seq, kind="stable")
+            at = int(order[largest_triangle(*last, since[order], value[order], following.st / following.n, following.sv / following.n)])
+        last = (since[at], value[at])
+        out.append((key, b.pick(at)))
+
+    def flushed() -> pa.RecordBatch:
+        keys = pa.concat_arrays([k.take(pa.array(np.zeros(len(r), np.int64))) for k, r in out])
+        rows = pa.concat_arrays([r for _, r in out])
+        out.clear()
+        return pa.RecordBatch.from_arrays([keys, rows.field("t"), rows.field("value")], ["series", "t", "value"])
+
+    for batch in batches:
+        who, columns = batch["series"].to_pylist(), {c: batch[c].to_pylist() for c in ("bucket", "size", "n", "st", "sv", "base")}
+        for i, name in enumerate(who):
+            points = batch["points"][i].values
+            t, which = points.field("t").to_numpy(), columns["bucket"][i]
+            since = (t - np.asarray(columns["base"][i], t.dtype)).astype(np.float64)
+            piece = Bucket(which, columns["size"][i] <= n, columns["n"][i], columns["st"][i], columns["sv"][i], [points.field("seq").to_numpy()], [since], [points.field("value").to_numpy()], [points])
+            if growing is not None and name == now and growing.which == which:
+                growing.n, growing.st, growing.sv = growing.n + piece.n, growing.st + piece.st, growing.sv + piece.sv
+                growing.seq, growing.since, growing.value, growing.rows = growing.seq + piece.seq, growing.since + piece.since, growing.value + piece.value, growing.rows + piece.rows
+                continue
+            if held is not None:
+                chosen(held, growing)
+            held, growing = growing, piece
+            if key is None or name != now:
+                if held is not None:
+                    chosen(held, None)  # the last bucket of the series before
+                now, key, held = name, batch["series"].slice(i, 1), None
+        if out:
+            yield flushed()
+    for b, following in ((held, growing), (growing, None)):
+        if b is not None:
+            chosen(b, following)
+    if out:
+        yield flushed()
 
 
 def chunked(df: DataFrame, size: int, series: str = "series") -> DataFrame:
@@ -172,7 +281,8 @@ def polyphase(df: DataFrame, filt: Polyphase, series: str = "series", chunk_samp
     # a chunk has the inputs of a filter's length before it too
     chunk = F.floor(F.col("seq") / chunk_samples)
     rows = own.select("series", "seq", "value", F.explode(F.sequence(chunk, F.floor((F.col("seq") + longest - 1) / chunk_samples))).alias("chunk"))
-    packed = rows.groupBy("series", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("rows")).join(last, "series")
+    chunks = rows.groupBy("series", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("rows"))
+    packed = chunks.join(last.withColumnRenamed("series", "_s"), F.col("series").eqNullSafe(F.col("_s"))).drop("_s")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

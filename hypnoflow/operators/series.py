@@ -2,77 +2,109 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.kernels import HrvWindow
+from ..functions.kernels import BeatMap, HrvWindow, beat_ms, beats_after
 
 
 def by_time(series: str = "series", *order: str) -> "Window":
     return Window.partitionBy(series).orderBy(*(order or ("us", "event_id")))
 
 
-#: A series is cut into so many stretches of time for each shuffle partition, which are worked on by themselves.
+#: A table is cut into so many stretches of time for each shuffle partition, which are worked on by themselves.
 STRETCHES = 4
 
 
-def stretched(df: DataFrame, time: str) -> DataFrame:
-    """df with _part, the stretch of time that a row is in: equal stretches of the table's whole span, in order.
+def splitters(df: DataFrame, time: str) -> list[float]:
+    """Times that cut df into stretches of about the same number of rows, wherever its rows lie in time: quantiles from a sketch.
 
-    The stretch follows from the row alone, so it is the same wherever and whenever the row is read.
+    They are found once, by an action, and are constants from then on. Operators on the same rows can share them.
     """
-    first, last = df.agg(F.min(time), F.max(time)).first()
     parts = STRETCHES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if first is None or first == last:
+    at = F.col(time).cast("double")
+    found = df.select(at.alias("t")).where(~F.isnan("t")).agg(F.percentile_approx("t", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
+    return sorted(set(found or ()))
+
+
+def stretched(df: DataFrame, time: str, splits: Sequence[float] | None = None) -> DataFrame:
+    """df with _part, the stretch of time that a row is in, in order; rows without a time come before all others.
+
+    The stretch follows from the row alone, so it is the same wherever and whenever the row is read. A stretch holds about an equal share
+    of the table's rows, so no series fills one task, however many rows it has; rows of one and the same time are in one stretch.
+    """
+    splits = splitters(df, time) if splits is None else sorted(set(splits))
+    if not splits:
         return df.withColumn("_part", F.lit(0).cast("bigint"))
-    part = F.floor((F.col(time) - F.lit(first)) / F.lit(last - first) * parts)
-    return df.withColumn("_part", F.coalesce(F.least(part, F.lit(parts - 1)), F.lit(-1)).cast("bigint"))
+    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep")
+    placed = cut.transform(df.withColumn("_at", F.col(time).cast("double")))
+    return placed.withColumn("_part", F.when(F.col("_at").isNull(), F.lit(-1)).otherwise(F.col("_cut")).cast("bigint")).drop("_at", "_cut")
+
+
+def parts_before(series: str) -> "Window":
+    return Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
 
+def with_starts(placed: DataFrame, totals: DataFrame, series: str, starts: Mapping[str, Column], order: Sequence[str]) -> tuple[DataFrame, "Window"]:
+    """placed (series, _part, ...), with a row before those of each part that holds the `starts`, and the window to work in.
+
+    starts are made of the totals (series, _part, ...) of all parts of a series, one row each. Such a row has _row = 0, the others 1; it is null in
+    all other columns. Rows and starts meet in the window's own shuffle, with no join.
+    """
+    first = totals.select(series, "_part", F.lit(0).alias("_row"), *[c.alias(k) for k, c in starts.items()])
+    both = placed.withColumn("_row", F.lit(1)).unionByName(first, allowMissingColumns=True)
+    return both, Window.partitionBy(series, "_part").orderBy("_row", *order)
 
-def with_carry(df: DataFrame, totals: DataFrame, carry: Column, series: str) -> DataFrame:
-    """df (series, _part, ...) with what `carry` makes of the totals (series, _part, _total) of all parts before, as _carry."""
-    before = Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col(series).alias("_s"), F.col("_part").alias("_p"), carry.over(before).alias("_carry"))
-    return df.join(starts, F.col(series).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).drop("_s", "_p")
 
+def so_far(w: "Window") -> "Window":
+    return w.rowsBetween(Window.unboundedPreceding, 0)
 
-def numbered(df: DataFrame, series: str = "series", *order: str) -> DataFrame:
+
+def numbered(df: DataFrame, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
     """df with seq, the row's place in its series from 0.
 
     Rows are numbered in stretches of time (of the first order column, a number), and offset by what stretches before hold of the
     series; so a series that is most of the table is numbered by many tasks.
     """
     order = order or ("us", "event_id")
-    placed = stretched(df, order[0])
-    local = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(series, "_part").orderBy(*order)))
+    placed = stretched(df, order[0], splits)
     counts = placed.groupBy(series, "_part").agg(F.count(F.lit(1)).alias("_total"))
-    out = with_carry(local, counts, F.sum("_total"), series)
-    return out.withColumn("seq", F.col("_rank") - 1 + F.coalesce("_carry", F.lit(0))).drop("_part", "_rank", "_carry")
+    both, w = with_starts(placed, counts, series, {"_before": F.coalesce(F.sum("_total").over(parts_before(series)), F.lit(0))}, order)
+    out = both.withColumn("seq", F.row_number().over(w) - 2 + F.first("_before").over(so_far(w))).where("_row = 1")
+    return out.drop("_part", "_row", "_before")
 
 
 def viewport(df: DataFrame, x0: int, x1: int, us: str = "us") -> DataFrame:
-    """Samples in (x0, x1]: the lower bound is outside, the upper inside."""
-    return df.where((F.col(us) > x0) & (F.col(us) <= x1))
+    """Samples in (x0, x1], in epoch microseconds: the lower bound is outside, the upper inside.
 
+    us is a number of microseconds or a timestamp; bounds on a column as it is stored reach the scan.
+    """
+    kind = df.schema[us].dataType.simpleString()
+    lo, hi = (F.lit(x) for x in (x0, x1))
+    if kind.startswith("timestamp"):
+        text = [(datetime(1970, 1, 1) + timedelta(microseconds=x)).isoformat(" ") for x in (x0, x1)]
+        lo, hi = (F.lit(t).cast("timestamp_ntz") if kind == "timestamp_ntz" else F.lit(f"{t}+00:00").cast("timestamp") for t in text)
+    return df.where((F.col(us) > lo) & (F.col(us) <= hi))
 
-def asof(probes: DataFrame, samples: DataFrame, series: str = "series", us: str = "us", order: str = "event_id") -> DataFrame:
+
+def asof(probes: DataFrame, samples: DataFrame, series: str = "series", us: str = "us", order: str = "event_id", splits: Sequence[float] | None = None) -> DataFrame:
     """probes with value and found_us of the last sample at or before each (the last of equal times), null if none.
 
     Both sides go through one sort by series and stretch of time, and each stretch takes over what was last seen before it;
     nothing is broadcast or compared pairwise, and a long series is many tasks.
     """
     a = samples.select(series, us, F.lit(0).alias("_probe"), F.col(order).alias("_order"), F.struct(F.col("value"), F.col(us).alias("found_us")).alias("_seen"))
-    b = probes.withColumn("_probe", F.lit(1))
-    both = stretched(b.unionByName(a, allowMissingColumns=True), us)
-    frame = Window.partitionBy(series, "_part").orderBy(us, "_probe", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    totals = both.where("_probe = 0").groupBy(series, "_part").agg(F.max_by("_seen", F.struct(us, "_order")).alias("_total"))
-    # parts without a sample are in the list too, for what they take over
-    every = both.select(series, "_part").distinct().join(totals.select(F.col(series).alias("_s"), F.col("_part").alias("_p"), "_total"), F.col(series).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")), "left").drop("_s", "_p")
-    local = both.withColumn("_local", F.last("_seen", ignorenulls=True).over(frame)).where("_probe = 1")
-    seen = with_carry(local, every, F.last("_total", ignorenulls=True), series).withColumn("_seen", F.coalesce("_local", "_carry"))
+    both = stretched(probes.withColumn("_probe", F.lit(1)).unionByName(a, allowMissingColumns=True), us, splits)
+    totals = both.groupBy(series, "_part").agg(F.max_by("_seen", F.when(F.col("_probe") == 0, F.struct(us, "_order"))).alias("_total"))
+    rows, w = with_starts(both, totals, series, {"_seen": F.last("_total", ignorenulls=True).over(parts_before(series))}, (us, "_probe", "_order"))
+    seen = rows.withColumn("_seen", F.last("_seen", ignorenulls=True).over(so_far(w))).where("_row = 1 AND _probe = 1")
     return seen.select(*probes.columns, F.col("_seen.value").alias("value"), F.col("_seen.found_us").alias("found_us"))
 
 
@@ -82,33 +114,95 @@ def extent(df: DataFrame, us: str = "us") -> DataFrame:
     return own.unionByName(own.agg(F.lit(None).cast("string").alias("series"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")))
 
 
-def ranked_values(df: DataFrame, group: str, value: str = "value") -> DataFrame:
-    """group, value, first, last: every distinct value with the ranks from 1 that it fills. Equal values are counted before
-    they meet, and the running sum is over distinct values only."""
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(group, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(group).orderBy("value")
-    run = counts.withColumn("last", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("_n").over(Window.partitionBy(group)))
-    return run.withColumn("first", F.col("last") - F.col("_n") + 1).drop("_n")
+#: Bits of a key that one round of selection looks at, and a bound of the table of series that is broadcast.
+DIGIT_BITS = 16
+BROADCAST_SERIES = 200_000
+#: A series with more than this share of the rows is heavy; there are at most so many.
+HEAVY = 1024
+
+
+def sort_keys(rows: DataFrame, value: str = "value") -> DataFrame:
+    """rows with _key, a long that is in the order of the values when taken as unsigned; -0.0 is 0.0. Rows without a number go."""
+    kind = rows.schema[value].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return rows.where(F.col(value).isNotNull()).withColumn("_key", F.col(value).cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
+    double = rows.withColumn(value, F.col(value).cast("double") + F.lit(0.0)).where(F.col(value).isNotNull() & ~F.isnan(value))
+    names = [*double.columns, "_key"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch[value].to_numpy(zero_copy_only=False).view(np.int64)
+            # negative numbers are turned round, the others get the highest bit
+            key = np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names)
+
+    return double.mapInArrow(of, StructType([*double.schema.fields, StructField("_key", LongType())]))
+
+
+def met(rows: DataFrame, table: DataFrame, on: str, heavy: list, small: bool) -> DataFrame:
+    """rows joined with a table of one row for each series: broadcast where it is small, else only the rows of heavy series."""
+    table = table.withColumnRenamed(on, "_on")
+    same = F.col(on).eqNullSafe(F.col("_on"))
+    if small:
+        return rows.join(F.broadcast(table), same).drop("_on")
+    listed = lambda c: F.coalesce(F.col(c).isin([x for x in heavy if x is not None]), F.lit(None in heavy))
+    few = rows.where(listed(on)).join(F.broadcast(table.where(listed("_on"))), same)
+    return few.unionByName(rows.where(~listed(on)).join(table.where(~listed("_on")), same)).drop("_on")
+
+
+def selected(df: DataFrame, group: str, rank: Callable[[Column], Column], value: str = "value") -> DataFrame:
+    """group, value: of each group the sample of the rank from 1 that `rank` gives for its size; groups without such a rank have no row.
+
+    Radix selection: values become keys of 64 bits, and each of four rounds counts the rows of every group by 16 bits more and keeps
+    those that share the bits of the one looked for. Counts are added up before they are shuffled, at most 65,536 of them for a group come
+    together, and no task sorts or holds a group's samples. The counts of groups (a key and a few numbers each) are broadcast if
+    there are BROADCAST_SERIES at most; beyond, the rows of groups larger than 1 / HEAVY of all, HEAVY at most, still stay where they are.
+    """
+    kind = df.schema[value].dataType
+    rows = sort_keys(df.select(F.col(group).alias("_group"), F.col(value).alias("value")))
+    held = rows.schema["value"].dataType
+    sizes = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
+    small = seen.groups <= BROADCAST_SERIES
+    heavy = [] if small else [r._group for r in sizes.where(F.col("_n") * HEAVY > seen.rows).select("_group").collect()]
+    # what is known of a group: the first bits of the key that is looked for, and its rank among the keys that share them
+    state = sizes.select("_group", F.lit(0).cast("bigint").alias("_prefix"), rank(F.col("_n")).cast("bigint").alias("_rank")).where("_rank >= 1")
+    start = F.struct(F.lit(None).cast("bigint").alias("digit"), F.col("_rank").alias("left"), F.lit(None).cast(held).alias("value"))
+
+    def step(at: Column, x: Column) -> Column:
+        """Goes past the digits that hold fewer than are left."""
+        found = F.struct(x["_digit"].alias("digit"), at["left"].alias("left"), x["_value"].alias("value"))
+        past = F.struct(at["digit"].alias("digit"), (at["left"] - x["_n"]).alias("left"), at["value"].alias("value"))
+        return F.when(at["digit"].isNotNull(), at).when(at["left"] <= x["_n"], found).otherwise(past)
+
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+        inside = met(rows, state, "_group", heavy, small)
+        if shift < 64 - DIGIT_BITS:
+            inside = inside.where(F.shiftrightunsigned("_key", shift + DIGIT_BITS) == F.col("_prefix"))
+        counts = inside.groupBy("_group", "_prefix", "_rank", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_value"))
+        table = counts.groupBy("_group", "_prefix", "_rank").agg(F.array_sort(F.collect_list(F.struct("_digit", "_n", "_value"))).alias("_counts"))
+        found = table.select("_group", "_prefix", F.aggregate("_counts", start, step).alias("_at")).where("_at.digit IS NOT NULL")
+        state = found.select("_group", (F.shiftleft("_prefix", DIGIT_BITS) + F.col("_at.digit")).alias("_prefix"), F.col("_at.left").alias("_rank"), F.col("_at.value").alias("value"))
+        value_of, state = state, state.drop("value")
+    return value_of.select(F.col("_group").alias(group), F.col("value").cast(kind))
 
 
 def percentile(df: DataFrame, group: str, p: float, method: str = "nearest_rank", value: str = "value") -> DataFrame:
     """group, value: the sample at rank ceil(p n) ("nearest_rank", at least 1) or floor(p (n - 1)) + 1 ("lower")."""
     p = min(max(p, 0.0), 1.0)
-    total = F.col("total")
-    if method == "nearest_rank":
-        rank = F.greatest(F.ceil(F.lit(p) * total), F.lit(1))
-    elif method == "lower":
-        rank = F.floor(F.lit(p) * (total - 1)) + 1
-    else:
+    if method not in ("nearest_rank", "lower"):
         raise ValueError(f"no percentile method {method}")
-    return ranked_values(df, group, value).where((F.col("first") <= rank) & (rank <= F.col("last"))).select(group, "value")
+    nearest = lambda n: F.greatest(F.ceil(F.lit(p) * n), F.lit(1))
+    lower = lambda n: F.floor(F.lit(p) * (n - 1)) + 1
+    return selected(df, group, nearest if method == "nearest_rank" else lower, value).withColumnRenamed(value, "value")
 
 
 def kth_smallest(df: DataFrame, group: str, k: int, value: str = "value") -> DataFrame:
     """group, value: the k-th smallest from 0; groups of k or fewer samples give no row."""
     if k < 0:
         raise ValueError("k is from 0")
-    return ranked_values(df, group, value).where((F.col("first") <= k + 1) & (F.col("last") >= k + 1)).select(group, "value")
+    return selected(df, group, lambda n: F.lit(k + 1), value)
 
 
 def last_n(df: DataFrame, n: int | Column, series: str = "series", *order: str) -> DataFrame:
@@ -132,60 +226,110 @@ def carried(df: DataFrame, grid_us: int, stale_us: int, series: str = "series")
     return found.where(F.col("us") - F.col("found_us") <= stale_us).select(series, "us", "value", (F.col("us") - F.col("found_us")).alias("age_us"))
 
 
-def monotonic(df: DataFrame, us: str, series: str = "series", *order: str) -> DataFrame:
+def monotonic(df: DataFrame, us: str, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
     """df with guarded_us: no time before one already seen. Stretches of the first order column are guarded by themselves, and
     by the latest time of those before."""
     order = order or ("us", "event_id")
-    placed = stretched(df, order[0])
-    local = placed.withColumn("_local", F.max(us).over(Window.partitionBy(series, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = stretched(df, order[0], splits).withColumn("_guard", F.col(us))
     totals = placed.groupBy(series, "_part").agg(F.max(us).alias("_total"))
-    return with_carry(local, totals, F.max("_total"), series).withColumn("guarded_us", F.greatest("_local", "_carry")).drop("_part", "_local", "_carry")
+    both, w = with_starts(placed, totals, series, {"_guard": F.max("_total").over(parts_before(series))}, order)
+    return both.withColumn("guarded_us", F.max("_guard").over(so_far(w))).where("_row = 1").drop("_part", "_row", "_guard")
 
 
 def audio_clock(frames: DataFrame, rate: float, series: str = "series", *order: str) -> DataFrame:
     """frames (series, arrived_us, first_frame, samples: array) as samples with us: each chunk starts where the sound card's clock
     puts it relative to the series' first chunk, never before an earlier chunk, and its samples follow at the fixed rate."""
-    w = by_time(series, *(order or ("first_frame",)))
-    start = F.first("arrived_us").over(w) + F.round((F.col("first_frame") - F.first("first_frame").over(w)) * (1e6 / rate)).cast("bigint")
-    guarded = monotonic(frames.withColumn("_start", start), "_start", series, *(order or ("first_frame",)))
+    order = order or ("first_frame",)
+    splits = splitters(frames, order[0])
+    placed = stretched(frames, order[0], splits)
+    # the series' first chunk is that of its first stretch
+    totals = placed.groupBy(series, "_part").agg(F.min_by(F.struct("arrived_us", "first_frame"), F.struct(*order)).alias("_total"))
+    whole = Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    both, w = with_starts(placed, totals, series, {"_first": F.first("_total").over(whole)}, order)
+    begun = both.withColumn("_first", F.first("_first").over(so_far(w))).where("_row = 1").drop("_part", "_row")
+    start = F.col("_first.arrived_us") + F.round((F.col("first_frame") - F.col("_first.first_frame")) * (1e6 / rate)).cast("bigint")
+    guarded = monotonic(begun.withColumn("_start", start), "_start", series, *order, splits=splits)
     each = guarded.select(series, "first_frame", "guarded_us", F.posexplode("samples").alias("i", "value"))
     return each.select(series, (F.col("first_frame") + F.col("i")).alias("frame"), (F.col("guarded_us") + F.round(F.col("i") * (1e6 / rate)).cast("bigint")).alias("us"), "value")
 
 
-def rmssd(df: DataFrame, series: str = "series", value: str = "value", *order: str) -> DataFrame:
+def rmssd(df: DataFrame, series: str = "series", value: str = "value", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
     """Root mean square of successive differences; null for series of one sample. A stretch's first row follows the last one before it."""
     order = order or ("us", "event_id")
-    placed = stretched(df, order[0])
-    w = Window.partitionBy(series, "_part").orderBy(*order)
-    local = placed.select(series, "_part", F.col(value).alias("_v"), F.lag(value).over(w).alias("_before"), F.row_number().over(w).alias("_i"))
-    totals = placed.groupBy(series, "_part").agg(F.max_by(value, F.struct(*order)).alias("_total"))
-    step = with_carry(local, totals, F.last("_total"), series)
-    before = F.when(F.col("_i") == 1, F.col("_carry")).otherwise(F.col("_before"))
-    return step.groupBy(series).agg(F.sqrt(F.avg(F.pow(F.col("_v") - before, F.lit(2.0)))).alias("rmssd"))
+    placed = stretched(df.select(series, *order, F.col(value).alias("_v")), order[0], splits)
+    totals = placed.groupBy(series, "_part").agg(F.max_by("_v", F.struct(*order)).alias("_total"))
+    both, w = with_starts(placed, totals, series, {"_v": F.last("_total").over(parts_before(series))}, order)
+    step = both.withColumn("_before", F.lag("_v").over(w)).where("_row = 1")
+    return step.groupBy(series).agg(F.sqrt(F.avg(F.pow(F.col("_v") - F.col("_before"), F.lit(2.0)))).alias("rmssd"))
 
 
-def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "series", *order: str) -> DataFrame:
+def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
     """Every measurement (series, us, event_id, intervals: array of seconds) with hrv, null until two intervals are accepted.
 
-    An interval is judged against the last accepted one, so this is a fold: rows stream through their task in order and only
-    the window is kept.
+    An interval is judged against the last accepted one, which looks like a fold over the whole series. But what a stretch of beats does
+    depends on that one number only, so each stretch gives a map from the interval accepted before it to those accepted last in it; the maps,
+    a few numbers each, are applied one after the other along the series, and every stretch is then judged from its true start. So the longest series
+    is worked on by as many tasks as it has stretches. Null, NaN and infinite intervals are never accepted.
     """
+    HrvWindow(window)
     order = order or ("us", "event_id")
-    rows = df.select(series, *order, F.col("intervals").cast("array<double>").alias("intervals")).repartition(series).sortWithinPartitions(series, *order)
+    rows = stretched(df.select(series, *order, F.col("intervals").cast("array<double>").alias("intervals")), order[0], splits)
+    key = rows.schema[series].dataType.simpleString()
     names = [series, *order]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), HrvWindow(window)
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = None, None
         for batch in batches:
             out = []
-            for s, intervals in zip(batch[series].to_pylist(), batch["intervals"].to_pylist()):
-                if s != now:
-                    now, state = s, HrvWindow(window)
-                out.append(state.push(intervals or ()))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.float64())], [*names, "hrv"])
-
-    return rows.mapInArrow(of, ", ".join(f"{c} {kinds[c]}" for c in names) + ", hrv double")
+            for i, (*at, intervals) in enumerate(zip(batch[series].to_pylist(), batch["_part"].to_pylist(), batch["intervals"].to_pylist())):
+                if held is None or at != now:
+                    out += [(*now, *held.packed())] if held is not None else []
+                    now, held = at, BeatMap(window)
+                for seconds in intervals or ():
+                    ms = beat_ms(seconds)
+                    if ms is not None:
+                        held.push(ms)
+            if out:
+                yield table(out, batch.schema.field(series).type)
+            kind = batch.schema.field(series).type
+        if held is not None:
+            yield table([(*now, *held.packed())], kind)
+
+    def table(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [series, "_part", "begin", "owner", "tails"])
+
+    parts = rows.repartition(series, "_part").sortWithinPartitions(series, "_part", *order).mapInArrow(maps, f"`{series}` {key}, _part bigint, begin array<int>, owner array<int>, tails array<array<int>>")
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tail = object(), []
+        for batch in batches:
+            starts = []
+            for who, *packed in zip(*(batch[c].to_pylist() for c in (series, "begin", "owner", "tails"))):
+                if who != now:
+                    now, tail = who, []
+                starts.append(tail)
+                tail = beats_after(tail, packed, window)
+            yield pa.RecordBatch.from_arrays([batch[series], batch["_part"], pa.array(starts, pa.list_(pa.int32()))], [series, "_part", "_tail"])
+
+    starts = parts.repartition(series).sortWithinPartitions(series, "_part").mapInArrow(chained, f"`{series}` {key}, _part bigint, _tail array<int>")
+    both = rows.withColumn("_row", F.lit(1)).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            out, real = [], batch["_row"].to_numpy() == 1
+            for mark, tail, intervals in zip(real.tolist(), batch["_tail"].to_pylist(), batch["intervals"].to_pylist()):
+                if mark:
+                    out.append(state.push(intervals or ()))
+                else:
+                    state = HrvWindow(window, tail or ())
+            kept = pa.array(np.flatnonzero(real))
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(kept) for c in names), pa.array(out, pa.float64())], [*names, "hrv"])
+
+    ordered = both.repartition(series, "_part").sortWithinPartitions(series, "_part", "_row", *order)
+    return ordered.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", hrv double")
 
 
 def first_by_label(signals: DataFrame, label: str = "label", index: str = "signal_index") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import EPOCH_MS
 from .resample import lttb
-from .series import percentile, viewport
+from .series import viewport
 
 PLOT_POINTS = 4000
 AUTOSCALE_POINTS = 5000
@@ -64,8 +64,9 @@ def scaled(signals: DataFrame, scalings: DataFrame) -> DataFrame:
 
 def autoscale(df: DataFrame, p_min: float, p_max: float, points: int = AUTOSCALE_POINTS) -> DataFrame:
     """series, lo, hi, midpoint, halfrange, y_low, y_high from the 1st and 99th percentiles of each series' plot points."""
-    shown = lttb(df, points)
-    lo = percentile(shown, "series", 0.01).withColumnRenamed("value", "lo")
-    hi = percentile(shown, "series", 0.99).withColumnRenamed("value", "hi")
-    clamped = lo.join(hi, "series").select("series", *[F.greatest(F.lit(p_min), F.least(F.lit(p_max), F.col(c))).alias(c) for c in ("lo", "hi")]).where("lo < hi")
+    # `points` values a series at most, so its percentiles come from one sorted array
+    shown = lttb(df, points).groupBy("series").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    at = lambda p: F.col("v")[(F.greatest(F.ceil(F.lit(p) * F.size("v")), F.lit(1)) - 1).cast("int")]
+    both = shown.select("series", at(0.01).alias("lo"), at(0.99).alias("hi"))
+    clamped = both.select("series", *[F.greatest(F.lit(p_min), F.least(F.lit(p_max), F.col(c))).alias(c) for c in ("lo", "hi")]).where("lo < hi")
     return clamped.select("series", "lo", "hi", ((F.col("lo") + F.col("hi")) / 2.0).alias("midpoint"), (1.1 * (F.col("hi") - F.col("lo")) / 2.0).alias("halfrange"), (F.col("lo") * 0.95).alias("y_low"), (F.col("hi") * 1.05).alias("y_high"))

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {S_TYPE} SELECT series, us, value FROM s WHERE us > {X0} AND us <= {X1}")
 def viewport_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.viewport(series_by(spark, sf_dir, "event_type"), X0, X1).select("series", "us", "value")
+    return series_by(spark, sf_dir, "event_type", (X0, X1)).select("series", "us", "value")
 
 
 @query(f"""WITH {S_TYPE}, {SPAN}, p AS (SELECT series, unnest(range(first, after + 1, {HOUR})) AS us FROM (SELECT DISTINCT series FROM s), b)
@@ -186,7 +186,7 @@ def lttb_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {S_TYPE}, v AS (SELECT * FROM s WHERE us > {X0} AND us <= {X0 + 216 * HOUR}), {lttb_sql('v', 50)} SELECT series, us, value FROM l")
 def viewport_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.traces(series_by(spark, sf_dir, "event_type"), X0, X0 + 216 * HOUR, points=50)
+    return view.traces(series_by(spark, sf_dir, "event_type", (X0, X0 + 216 * HOUR)), X0, X0 + 216 * HOUR, points=50)
 
 
 @query(f"""WITH RECURSIVE {S_USER}, {lttb_sql('s', 24)}, q AS (SELECT series, list_sort(list(value)) AS x, count(*) AS n FROM l GROUP BY series),

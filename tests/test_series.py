@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hypnoflow.functions import design, kernels
 from hypnoflow.functions import signal as sig
-from hypnoflow.operators import resample, series, view
+from hypnoflow.operators import filters, resample, series, view
 
 S = "series string, us bigint, event_id bigint, value double"
 
@@ -41,6 +41,34 @@ def test_percentiles(spark, p):
     assert series.kth_smallest(df, "series", k).first().value == sorted(x)[k]
 
 
+def test_selection_of_odd_values(spark):
+    """Zeros of both signs, infinities, nulls, NaN, equal values, longs beyond doubles, and a null group."""
+    inf = float("inf")
+    x = {"a": [0.0, -0.0, 3.5, -inf, inf, -1e-300, 1e-300, float("nan"), None], "b": [2.25] * 40, None: [-3.0, -7.5, 1e308], "c": [None], "d": [float("nan")]}
+    df = spark.createDataFrame([(g, v) for g, vs in x.items() for v in vs], "g string, value double").repartition(3)
+    for k in (0, 3, 6):
+        want = {g: sorted(v for v in vs if v is not None and v == v)[k] for g, vs in x.items() if len([v for v in vs if v is not None and v == v]) > k}
+        assert {r.g: r.value for r in series.kth_smallest(df, "g", k).collect()} == want
+    big = spark.createDataFrame([(1, 2**62 + 1), (1, 2**62 + 2), (1, -(2**63)), (2, 5), (2, None)], "g int, value bigint")
+    got = series.percentile(big, "g", 1.0)
+    assert {(r.g, r.value) for r in got.collect()} == {(1, 2**62 + 2), (2, 5)} and got.schema["value"].dataType.simpleString() == "bigint"
+    assert {(r.g, r.value) for r in series.kth_smallest(big, "g", 0).collect()} == {(1, -(2**63)), (2, 5)}
+
+
+def test_selection_without_broadcast(spark, monkeypatch):
+    """Groups too many to be broadcast, with one of half of all rows."""
+    monkeypatch.setattr(series, "BROADCAST_SERIES", 0)
+    monkeypatch.setattr(series, "HEAVY", 4)
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 2 else f"s{i % 30}", float(v)) for i, v in enumerate(rng.standard_normal(3000))]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(4)
+    for p in (0.0, 0.5, 0.9):
+        own = {g: sorted(v for x, v in rows if x == g) for g, _ in rows}
+        assert {r.g: r.value for r in series.percentile(df, "g", p).collect()} == {g: v[max(math.ceil(p * len(v)), 1) - 1] for g, v in own.items()}
+    plan = series.percentile(df, "g", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_percentile_edges(spark):
     assert series.kth_smallest(frame(spark, [1, 2]), "series", 2).count() == 0
     assert series.percentile(frame(spark, []), "series", 0.5).count() == 0
@@ -97,26 +125,51 @@ def plain_lttb(t, v, n):
     return [*kept, size - 1]
 
 
-def streamed_lttb(t, v, n, step):
-    reduced, out = resample.LargestTriangles(len(t), n), []
-    batch = pa.record_batch({"series": ["x"] * len(t), "t": t, "value": v})
-    for at in range(0, len(t), step):
-        out += [r for b in reduced.push(batch.slice(at, step)) for r in b["t"].to_pylist()]
-        assert n >= len(t) or n < 3 or reduced.count <= 3 * (len(t) / (n - 2) + 2) + step
-    return out
-
-
-def test_lttb_in_a_stream():
+def test_hull_holds_every_winner():
+    """Whatever the base and the mean after, the first of the largest triangles is among the points that are kept."""
     rng = np.random.default_rng(3)
     for size in (1, 2, 3, 4, 5, 17, 100, 1000):
-        t, v = np.cumsum(rng.integers(1, 9, size)).astype(float), rng.standard_normal(size)
-        for n in (2, 3, 4, 7, 50, 99, 2000):
-            want = [t[i] for i in plain_lttb(t, v, n)]
-            for step in (1, 3, 64, 5000):
-                assert streamed_lttb(t, v, n, step) == want
-    t, v = np.arange(100.0), np.zeros(100)
-    v[37] = 50
-    assert 37 in streamed_lttb(t, v, 10, 7)
+        for v in (rng.standard_normal(size), rng.integers(0, 4, size).astype(float), np.zeros(size), np.arange(size) ** 2.0, np.minimum(np.arange(size), 7.0), np.sin(np.arange(size) / 9)):
+            t = np.cumsum(rng.integers(0, 3, size)).astype(float)  # times that repeat
+            order = np.lexsort((v, t))
+            t, v = t[order], v[order]
+            kept = kernels.hull(t, v)
+            assert (np.diff(kept) > 0).all() and kept[0] == 0
+            for _ in range(40):
+                base, mean = rng.integers(-9, 9, 2), (t[-1] + rng.integers(0, 9), float(rng.integers(-3, 4)))
+                best = kernels.largest_triangle(*base, t, v, *mean)
+                assert kept[kernels.largest_triangle(*base, t[kept], v[kept], *mean)] == best
+    assert len(kernels.hull(np.arange(1e5), rng.standard_normal(100_000))) < 100
+    assert kernels.hull(np.arange(50.0), np.full(50, 2.5)).tolist() == [0, 49]
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 7, 50, 400])
+def test_lttb_by_hulls(spark, n):
+    """Equal times and values, flat and sloping stretches, a null series, series of n rows and one more, over stretches and runs."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for s, m in ((None, 5000), ("a", 3000), ("b", n), ("c", n + 1), ("d", 2), ("e", 64)):
+        t, v = np.sort(rng.integers(0, 4 * m, m)), np.where(rng.random(m) < 0.5, rng.integers(0, 3, m), rng.integers(-50, 50, m)).astype(float)
+        v[m // 3 : m // 2] = 1.0
+        rows += [(s, int(x), float(y)) for x, y in zip(t, v)]
+    df = spark.createDataFrame(rows + [("a", 7, float("nan")), ("a", 7, None)], "series string, us bigint, value double").repartition(5)
+    got = {}
+    for r in resample.lttb(df, n).collect():
+        got.setdefault(r.series, []).append((r.us, r.value))
+    for s in (None, "a", "b", "c", "d", "e"):
+        own = sorted((u, v) for x, u, v in rows if x == s)
+        t, v = (np.array(x, float) for x in zip(*own))
+        assert sorted(got[s]) == [own[i] for i in plain_lttb(t - t[0], v, n)], s
+
+
+def test_lttb_of_one_long_series(spark):
+    """Many tasks reduce it, and few points go through the chain."""
+    df = spark.range(400_000).select(F.lit("a").alias("series"), F.col("id").alias("us"), (F.sin(F.col("id") / 5000) * 40 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("value"))
+    got = sorted((r.us, r.value) for r in resample.lttb(df, 200).collect())
+    t, v = np.array(df.orderBy("us").select("us").toPandas().us, float), np.array(df.orderBy("us").select("value").toPandas().value)
+    assert [u for u, _ in got] == plain_lttb(t, v, 200)
+    placed = series.stretched(df, "us")
+    assert placed.select("_part").distinct().count() == series.STRETCHES * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_lttb_of_many_series(spark):
@@ -188,6 +241,105 @@ def test_hrv(spark):
     assert [r.hrv for r in series.heart_rate_variability(df).orderBy("us").collect()] == [None, 100.0, 100.0]
 
 
+def test_hrv_of_odd_intervals(spark):
+    bad = [None, float("nan"), float("inf"), -float("inf"), 1e300, -1.0, 0.2995, 2.0005]
+    assert kernels.HrvWindow(4).push([1.0, *bad, 1.1]) == 100 and [kernels.beat_ms(x) for x in (0.2996, 2.0004)] == [300, 2000]
+    df = spark.createDataFrame([("a", i, i, x) for i, x in enumerate(([1.0, None], None, [], bad, [1.1]))] + [(None, 0, 9, [0.5]), (None, 1, 10, [0.6])], "series string, us bigint, event_id bigint, intervals array<double>")
+    got = {(r.series, r.us): r.hrv for r in series.heart_rate_variability(df).collect()}
+    assert got == {("a", 0): None, ("a", 1): None, ("a", 2): None, ("a", 3): None, ("a", 4): 100.0, (None, 0): None, (None, 1): 100.0}
+    assert series.heart_rate_variability(df.limit(0)).count() == 0
+
+
+def test_beats_of_a_stretch_compose():
+    """For every state before a stretch, its map gives what going through it beat by beat gives."""
+    rng = np.random.default_rng(9)
+    for size, spread in ((0, 1), (1, 400), (5, 900), (40, 300), (300, 60), (300, 900)):
+        beats = np.clip(1000 + np.cumsum(rng.integers(-spread, spread + 1, size)) % 1700, 300, 2000).tolist()
+        held = kernels.BeatMap(6)
+        for x in beats:
+            held.push(x)
+        packed = held.packed()
+        assert len(packed[0]) < 60 or size > 40
+        for state in [None, *range(300, 2001, 7)]:
+            before = [] if state is None else [310, state]
+            plain = kernels.HrvWindow(6, before)
+            plain.push([x / 1000 for x in beats])
+            assert kernels.beats_after(before, packed, 6) == list(plain.kept)
+
+
+def test_hrv_over_many_stretches(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for s, m in (("hot", 6000), (None, 900), ("b", 1), ("c", 40)):
+        beats = np.clip(0.9 + np.cumsum(rng.normal(0, 0.06, m)) % 1.2, 0.2, 2.2)
+        rows += [(s, int(u), i, [] if i % 7 == 0 else [float(x), float("nan")] if i % 5 == 0 else [float(x)]) for i, (u, x) in enumerate(zip(np.sort(rng.integers(0, 10**6, m)), beats))]
+    df = spark.createDataFrame(rows, "series string, us bigint, event_id bigint, intervals array<double>").repartition(6)
+    got = {(r.series, r.event_id): r.hrv for r in series.heart_rate_variability(df).collect()}
+    assert len(got) == len(rows)
+    for s in ("hot", None, "b", "c"):
+        w = kernels.HrvWindow()
+        for _, _, i, x in sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[2])):
+            assert got[s, i] == w.push(x)
+
+
+def test_stretches_hold_equal_shares(spark):
+    """Wherever rows lie in time: one row of 1970 among those of a month, rows without a time, an empty table."""
+    df = spark.range(20_000).select(F.lit("a").alias("series"), (F.col("id") * 130_000_000 + 1_704_067_200_000_000).alias("us"), F.col("id").alias("event_id"), F.lit(1.0).alias("value"))
+    odd = df.unionByName(spark.createDataFrame([("a", 0, -1, 1.0), ("a", None, -2, 1.0)], S))
+    counts = [r["count"] for r in series.stretched(odd, "us").groupBy("_part").count().collect()]
+    assert max(counts) <= 2 * 20_000 / (len(counts) - 1) and len(counts) == series.STRETCHES * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    got = {r.event_id: r.seq for r in series.numbered(odd).collect()}
+    assert got[-2] == 0 and got[-1] == 1 and got[19_999] == 20_001
+    assert series.numbered(odd.limit(0)).count() == 0 and series.splitters(df.limit(0), "us") == []
+    same = [r._part for r in series.stretched(df, "us", [1.0, 1.0]).select("_part").distinct().collect()]
+    assert same == [1]
+
+
+def test_null_series_is_a_series(spark):
+    """Every operator gives the null series what it gives another one with the same rows."""
+    rng = np.random.default_rng(7)
+    values = rng.standard_normal(40).tolist()
+    df = spark.createDataFrame([(s, i * 500_000, i, v) for s in (None, "a") for i, v in enumerate(values)], S)
+    stages = design.cascade("lowpass", "butterworth", 1, 100.0, 12.0)
+    placed = series.numbered(df)
+    filt = design.polyphase(100.0, 40.0, 8)
+    runs = {
+        "epochs": resample.epochs(df, 1_000_000, 3), "own epochs": resample.epochs(df, 1_000_000, 3, own_span=True), "lttb": resample.lttb(df, 7), "linear": resample.linear(df.withColumn("ms", F.col("us") / 1000.0), 11),
+        "iir": filters.iir(placed, stages)[0], "state": filters.iir(placed, stages)[1], "filtfilt": filters.filtfilt(placed, stages), "fir": filters.fir(placed, [0.5, 0.25]), "fir_filtfilt": filters.fir_filtfilt(placed, [0.5, 0.25, 0.1]),
+        "polyphase": resample.polyphase(placed, filt), "percentile": series.percentile(df, "series", 0.3), "rmssd": series.rmssd(df), "monotonic": series.monotonic(df, "us"), "numbered": placed, "autoscale": view.autoscale(df, -9.0, 9.0),
+    }
+    for name, out in runs.items():
+        rest = [c for c in out.columns if c != "series"]
+        own = {s: sorted(tuple(r[c] for c in rest) for r in out.collect() if r.series == s) for s in (None, "a")}
+        assert own["a"] and own[None] == own["a"], name
+    assert not any(r.is_filled for r in runs["epochs"].collect())
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    for kind in ("timestamp", "timestamp_ntz"):
+        path = f"{tmp_path}/{kind}"
+        spark.range(10).select(F.timestamp_micros(F.col("id") * 1_000_000).cast(kind).alias("ts"), "id").write.parquet(path)
+        got = series.viewport(spark.read.parquet(path), 2_000_000, 5_000_000, "ts")
+        assert sorted(r.id for r in got.collect()) == [3, 4, 5]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan(ts" in plan and "LessThanOrEqual(ts" in plan
+
+
+def test_linear_over_many_stretches(spark):
+    rng = np.random.default_rng(6)
+    t, v = np.cumsum(rng.integers(1, 50, 3000)).astype(float), rng.standard_normal(3000)
+    for n in (1, 2, 7, 3000, 5000):
+        df = spark.createDataFrame([("a", float(a), i, float(b)) for i, (a, b) in enumerate(zip(t, v))], "series string, ms double, event_id bigint, value double").repartition(4)
+        long, short = (sorted((r.k, r.ms, r.value) for r in resample.linear(df, n, long=x).collect()) for x in (True, False))
+        assert long == short and len(long) == n
+
+
+def test_own_spans_of_epochs(spark):
+    df = spark.createDataFrame([("a", 5_500, 1, 1.0), ("a", 8_500, 2, 3.0), ("b", 99_100, 3, 2.0)], S)
+    got = sorted((r.series, r.record, r.value, r.is_filled) for r in resample.epochs(df, 1000, 1, own_span=True).collect())
+    assert got == [("a", 0, 1.0, False), ("a", 1, 0.0, True), ("a", 2, 0.0, True), ("a", 3, 3.0, False), ("b", 94, 2.0, False)]
+
+
 def test_quantise(spark):
     args = [F.lit(x) for x in (-100.0, 100.0, -100.0, 100.0)]
     cases = {-2.5: -2, 2.5: 3, 1e9: 100, -1e9: -100, float("nan"): 0, None: 0}
