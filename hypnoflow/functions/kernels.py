@@ -11,7 +11,7 @@ from itertools import pairwise
 
 import numpy as np
 
-from .design import Biquad
+from .design import Biquad, Polyphase
 
 BLOCK = 64
 
@@ -69,6 +69,47 @@ def largest_triangle(t0: float, v0: float, t: np.ndarray, v: np.ndarray, mean_t:
     return int(np.argmax(np.abs(side_v * (t - t0) - side_t * (v - v0))))
 
 
+def linear_points(ms: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of n points evenly over a series in order, as `linear` gives them; the series has a sample at least."""
+    size = len(ms)
+    if size == n:
+        return ms, value
+    if n == 1:
+        return ms[(size - 1) // 2 :][:1], value[(size - 1) // 2 :][:1]
+    if ms[-1] == ms[0]:
+        return np.full(n, ms[0]), np.full(n, value[0])
+    step = (ms[-1] - ms[0]) / (n - 1)
+    k = np.arange(1, n - 1)
+    # a segment has the points after its first sample's place on the grid, up to its last sample's
+    at, left = ms[0] + k * step, np.searchsorted(np.floor((ms - ms[0]) / step), k, side="left") - 1
+    inner = value[left] + (value[left + 1] - value[left]) * (at - ms[left]) / (ms[left + 1] - ms[left])
+    return np.concatenate([ms[:1], np.floor(at), ms[-1:]]), np.concatenate([value[:1], inner, value[-1:]])
+
+
+def polyphase_taps(filt: Polyphase) -> tuple[np.ndarray, np.ndarray]:
+    """The phases' taps as one matrix, and how many each has."""
+    length = np.array([len(h) for h in filt.phases])
+    taps = np.zeros((filt.up, length.max()))
+    for i, h in enumerate(filt.phases):
+        taps[i, : len(h)] = h
+    return taps, length
+
+
+def polyphase_outputs(taps: np.ndarray, length: np.ndarray, up: int, down: int, x: np.ndarray, there: np.ndarray, start: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The outputs n of a rational resampling, and which of them met any input. x[i] is input start + i, and there[i] whether it is one;
+    the inputs of a filter's length before the newest one of each output are in x."""
+    longest = taps.shape[1]
+    y, w, met = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
+    for a in range(0, len(n), 1 << 14):
+        cut = slice(a, a + (1 << 14))
+        phase = n[cut] * down % up
+        place = (n[cut] * down // up - start)[:, None] - np.arange(longest)
+        weighed = taps[phase] * there[place]
+        y[cut], w[cut], met[cut] = (weighed * x[place]).sum(axis=1), weighed.sum(axis=1), (there[place] * (np.arange(longest) < length[phase, None])).sum(axis=1)
+    full = np.abs(w) > 1e-12
+    return np.where(full, y / np.where(full, w, 1.0), 0.0), met > 0
+
+
 #: How far under a chord a point must lie, beside the products that say so, to be under it for certain.
 SURE = 1e-14
 

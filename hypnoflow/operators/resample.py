@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.design import Polyphase
-from ..functions.kernels import hull, largest_triangle
+from ..functions.kernels import hull, largest_triangle, polyphase_outputs, polyphase_taps
 from .series import parts_before, so_far, stretched, with_starts
 
 
@@ -271,10 +271,8 @@ def polyphase(df: DataFrame, filt: Polyphase, series: str = "series", chunk_samp
     first, are left out and the taps that remain are weighed up.
     """
     up, down = filt.up, filt.down
-    longest = max(map(len, filt.phases))
-    taps, length = np.zeros((up, longest)), np.array([len(h) for h in filt.phases])
-    for i, h in enumerate(filt.phases):
-        taps[i, : len(h)] = h
+    taps, length = polyphase_taps(filt)
+    longest = taps.shape[1]
     kind = df.schema[series].dataType.simpleString()
     own = df.select(F.col(series).alias("series"), "seq", F.col("value").cast("double").alias("value"))
     last = own.groupBy("series").agg(F.floor((F.max("seq") * up + up - 1) / down).alias("last"))
@@ -294,15 +292,8 @@ def polyphase(df: DataFrame, filt: Polyphase, series: str = "series", chunk_samp
                 x[at], there[at] = inputs.values.field("value").to_numpy(), 1.0
                 # outputs n with the newest input floor(n M / L) in this chunk
                 n = np.arange(-(-which * chunk_samples * up // down), min(-(-(which + 1) * chunk_samples * up // down) - 1, end) + 1)
-                y, w, met = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
-                for a in range(0, len(n), 1 << 14):
-                    cut = slice(a, a + (1 << 14))
-                    phase = n[cut] * down % up
-                    place = (n[cut] * down // up - start)[:, None] - np.arange(longest)
-                    weighed = taps[phase] * there[place]
-                    y[cut], w[cut], met[cut] = (weighed * x[place]).sum(axis=1), weighed.sum(axis=1), (there[place] * (np.arange(longest) < length[phase, None])).sum(axis=1)
-                good = met > 0
-                value = np.where(np.abs(w) > 1e-12, y / np.where(np.abs(w) > 1e-12, w, 1.0), 0.0)[good]
+                y, good = polyphase_outputs(taps, length, up, down, x, there, start, n)
+                value = y[good]
                 key = batch["series"].take(pa.array(np.full(len(value), i)))
                 yield pa.RecordBatch.from_arrays([key, pa.array(n[good]), pa.array(value)], ["series", "n", "value"])
 

@@ -7,6 +7,8 @@ import posixpath
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import design
 from ..functions.sensors import signals_of
-from ..functions.signal import recording_name
+from ..functions.signal import physical_to_digital, recording_name
 from ..operators import filters, resample
 from ..sources import edf
 from ..streaming import live
-from .filtering import N_USER, step_sql
+from .filtering import N_USER, NOTCH, SQL as FILTERING_SQL, SRC, step_sql
 from .tables import S_TYPE, S_USER, rounded, series_by, table
 from .timeline import HOUR, SPAN, SQL as TIMELINE_SQL, beats
 
@@ -47,38 +49,60 @@ def shared_dir(spark: SparkSession) -> str:
     return posixpath.join(folder, uuid.uuid4().hex)
 
 
-def events_stream(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
-    """The events as a stream of series, us, event_id, value, ts."""
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(sf_dir)
-    ts = F.col("ts").cast("timestamp")
-    return source.select(F.col(column).cast("string").alias("series"), F.unix_micros(ts).alias("us"), "event_id", "value", ts.alias("ts"))
+#: How late rows may come in the streams below, and in how many pieces they come.
+LATE_US, PIECES = 10 * 24 * HOUR, 2
+LATE = f"{LATE_US // 1_000_000} seconds"
 
 
-def finished(stream: DataFrame, spark: SparkSession, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+def staged(rows: DataFrame, end_us: int, key: str = "series", pieces: int = PIECES, late_us: int = LATE_US, delayed: bool = True) -> DataFrame:
+    """rows (key, us, event_id, value) as a stream with their time ts: pieces of the whole span, one after the other, each a micro-batch.
+
+    delayed: every seventh row comes a piece late. A last row, which has no key, moves the watermark to end_us.
+    """
+    spark = rows.sparkSession
+    folder = shared_dir(spark)
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    first, last = (first, last) if first is not None else (0, 0)
+    length = max(-(-(last + 1 - first) // pieces), 1)
+    piece = F.floor((F.col("us") - first) / length) + F.when(F.lit(delayed) & (F.col("event_id") % 7 == 0), 1).otherwise(0)
+    cut = rows.withColumn("ts", F.timestamp_micros("us")).withColumn("_piece", F.least(piece, F.lit(pieces - 1)))
+    for i in range(pieces):
+        cut.where(F.col("_piece") == i).drop("_piece").repartition(4).write.mode("append").parquet(folder)
+    end = spark.range(1).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit(end_us + late_us).cast("bigint").alias("us"))
+    end = end.withColumn("ts", F.timestamp_micros("us"))
+    end.select(*[c if c in end.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in [*rows.columns, "ts"]]).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What the stream has written once it has read all there is."""
     folder = shared_dir(spark)
-    before = {k: spark.conf.get(k, None) for k in conf or {}}
-    for k, v in (conf or {}).items():
-        spark.conf.set(k, v)
-    try:
+    with configured(spark, live.CONF):
         started = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
         started.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query(f"""WITH {S_TYPE}, w AS (SELECT series, us - us % {HOUR} AS a, value FROM s), m AS (SELECT max(us) AS top FROM s)
-SELECT series, a AS start_us, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM w, m WHERE a + {HOUR} <= top - 10000000 GROUP BY series, a""")
+@query(f"""WITH {S_TYPE}, w AS (SELECT series, us - us % {HOUR} AS a, value FROM s)
+SELECT series, a AS start_us, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM w GROUP BY series, a""")
 def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly epochs that a stream has closed. The hour that is not over when the events end, and what the watermark has not
-    passed yet, stay open, as in any stream: they are in neither result."""
-    out = finished(live.epoch_stream(events_stream(spark, sf_dir, "event_type"), "1 hour"), spark)
-    # an hour that the last watermark closes may or may not have been put out: only those well before it are compared
-    top = table(spark, sf_dir, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("top"))
-    closed = out.withColumn("start_us", F.unix_micros("start")).crossJoin(F.broadcast(top)).where(F.col("start_us") + HOUR <= F.col("top") - 10_000_000)
-    return rounded(closed.select("series", "start_us", "n", "mean", "low", "high"), "mean")
+    """Hourly means that a stream has closed: all of them, for time goes on after the last event."""
+    rows = series_by(spark, sf_dir, "event_type")
+    _, after = resample.span(rows, HOUR)
+    out = finished(live.epoch_stream(staged(rows, after), "1 hour", LATE), spark).where("series IS NOT NULL")
+    return rounded(out.select("series", F.unix_micros("start").alias("start_us"), "n", "mean", "low", "high"), "mean")
 
 
 STREAM_LOW = design.cascade("lowpass", "butterworth", 1, 100.0, 12.0)
@@ -86,12 +110,16 @@ STREAM_LOW = design.cascade("lowpass", "butterworth", 1, 100.0, 12.0)
 
 @query(f"WITH RECURSIVE {N_USER}, {step_sql('f1', 'n', STREAM_LOW[0])}, k AS (SELECT series, event_id, row_number() OVER (PARTITION BY series ORDER BY us, event_id) - 1 AS i FROM s) SELECT series, event_id, round(y, 6) + 0.0 AS y FROM f1 JOIN k USING (series, i)")
 def stream_iir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(finished(live.iir_stream(events_stream(spark, sf_dir, "user_id"), STREAM_LOW), spark).select("series", "event_id", "y"), "y")
+    rows = series_by(spark, sf_dir, "user_id")
+    out = finished(live.iir_stream(staged(rows, resample.span(rows, HOUR)[1]), STREAM_LOW, LATE), spark)
+    return rounded(out.where("series IS NOT NULL").select("series", "event_id", "y"), "y")
 
 
 @query(TIMELINE_SQL["hrv_rolling"])
 def stream_hrv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(finished(live.hrv_stream(beats(events_stream(spark, sf_dir, "user_id"))), spark).select("series", "event_id", "hrv"), "hrv")
+    rows = series_by(spark, sf_dir, "user_id")
+    out = finished(live.hrv_stream(beats(staged(rows, resample.span(rows, HOUR)[1])), late=LATE), spark)
+    return rounded(out.where("series IS NOT NULL").select("series", "event_id", "hrv"), "hrv")
 
 
 #: Readings are repeated every ten minutes until they are an hour old.
@@ -100,11 +128,47 @@ BEAT, STALE = 600, 3600
 
 @query(f"""WITH {S_TYPE}, n AS (SELECT *, lead(us) OVER (PARTITION BY series ORDER BY us, event_id) AS after FROM s)
 SELECT series, us, value, false AS repeated FROM s
-UNION ALL SELECT series, us + i * {BEAT}000000, value, true FROM n, (SELECT unnest(range(1, {STALE // BEAT} + 1)) AS i) WHERE us + i * {BEAT}000000 < after""")
+UNION ALL SELECT series, us + i * {BEAT}000000, value, true FROM n, (SELECT unnest(range(1, {STALE // BEAT} + 1)) AS i) WHERE after IS NULL OR us + i * {BEAT}000000 < after""")
 def stream_keepalive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings and their repeats by the readings' own times; after a series' last one there are none yet, for no time has passed."""
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    return finished(live.keep_alive(events_stream(spark, sf_dir, "event_type"), STALE, BEAT, late="1 hour"), spark, conf=conf)
+    """Readings and their repeats by the readings' own times; time goes on after a series' last reading until that is stale."""
+    rows = series_by(spark, sf_dir, "event_type")
+    out = finished(live.keep_alive(staged(rows, resample.span(rows, HOUR)[1] + STALE * 1_000_000), STALE, BEAT, LATE), spark)
+    return out.where("series IS NOT NULL")
+
+
+@query(TIMELINE_SQL["epoch_records"])
+def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly records of every event type as a stream closes them: a recording for each type, with one signal."""
+    rows = series_by(spark, sf_dir, "event_type")
+    first, after = resample.span(rows, HOUR)
+    samples = staged(rows.withColumnRenamed("series", "recording").withColumn("signal", F.lit("value")), after, "recording")
+    out = finished(live.record_stream(samples, [("value", 12)], HOUR, first, LATE), spark).where("recording IS NOT NULL")
+    each = out.select(F.col("recording").alias("series"), "record", F.posexplode("values").alias("k", "value"), "is_filled")
+    digital = physical_to_digital(F.round("value", 6), *[F.lit(x) for x in (0.0, 500.0, -32768.0, 32767.0)])
+    return each.select("series", "record", F.col("k").cast("bigint").alias("k"), digital.alias("digital"), "is_filled")
+
+
+RING = 16
+
+
+@query(f"""WITH {S_USER}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us, event_id) - 1 AS n, count(*) OVER (PARTITION BY series) AS total FROM s)
+SELECT series, n, us, event_id, value, n < total - {RING} AS evicted FROM r""")
+def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ring buffer of every user pushes out, and what it holds in the end. Rows come in the order of time here."""
+    rows = series_by(spark, sf_dir, "user_id")
+    _, after = resample.span(rows, HOUR)
+    out = finished(live.ring_stream(staged(rows, after, delayed=False), RING, LATE, drain_us=after), spark)
+    return out.where("series IS NOT NULL")
+
+
+@query(FILTERING_SQL["snore_chain"])
+def stream_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound as it is recorded, live: notch, rate reduction and chunks go on from piece to piece."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("series"), F.posexplode("embedding").alias("seq", "value"))
+    rows = e.select("series", ((F.col("seq").cast("bigint") + 1) * 10_000).alias("us"), F.col("seq").cast("bigint").alias("event_id"), F.col("value").cast("double").alias("value"))
+    end = (rows.agg(F.max("us")).first()[0] or 0) + 1_000_000
+    out = finished(live.sound_stream(staged(rows, end), SRC, NOTCH, 4, LATE, drain_us=end), spark).where("series IS NOT NULL")
+    return rounded(out.select("series", "chunk", "t", "samples", F.element_at("values", -1).alias("last")), "t", "last")
 
 
 @query(TIMELINE_SQL["epoch_records"].replace("CAST(greatest(-32768", "round(0.0 + (CAST(greatest(-32768", 1).replace(" AS INTEGER) AS digital, value IS NULL AS is_filled", " AS INTEGER) + 32768) * 500.0 / 65535.0, 6) + 0.0 AS value", 1).replace("SELECT d.series, d.record, d.k,", "SELECT d.series, CAST(d.record AS BIGINT) AS record, CAST(d.record * 12 + d.k AS BIGINT) AS seq,", 1))

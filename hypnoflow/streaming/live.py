@@ -1,4 +1,12 @@
-"""The live forms: 30-second epochs with a watermark, stateful filters, and keeping slow sensors alive."""
+"""The live forms: epochs, records of epochs, filters, beat variability, sound at a lower rate, ring buffers, and keeping slow sensors alive.
+
+All but the means of epochs and the ring buffers take their rows in order: rows are held in state until the watermark has passed them, however they
+are dealt to batches and files, and then go through a fold (`folds`). So the results are those of the batch operators, whenever and in whatever
+pieces the stream is run. Rows that are later than `late` allows are dropped by the watermark, as everywhere in Spark, and so are rows without a
+time, and those from before 1970, where watermarks begin. A series (or a
+recording, in `record_stream`) is one key: what a task holds of it are the rows that the watermark has not passed and the fold's state.
+The processors need the RocksDB state store (`CONF`).
+"""
 
 from __future__ import annotations
 
@@ -9,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.design import Biquad
-from ..functions.kernels import HrvWindow, iir
+from ..functions.design import Biquad, Polyphase
+
+#: Stands for a row without an event_id while it is held; such rows come before others of their time.
+NO_ID = -(1 << 63)
+CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def epoch_stream(samples: DataFrame, epoch: str = "30 seconds", late: str = "10 seconds") -> DataFrame:
@@ -22,70 +32,206 @@ def epoch_stream(samples: DataFrame, epoch: str = "30 seconds", late: str = "10
     return out.select(F.col("window.start").alias("start"), "series", "n", "mean", "low", "high")
 
 
-def iir_stream(samples: DataFrame, stages: Sequence[Biquad]) -> DataFrame:
-    """series, us, event_id, value, y: the batch filter's kernel with its state kept from batch to batch."""
+def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[str, str]) -> StatefulProcessor:
+    """The processor's class is made here so that it travels whole: its runner starts before the package has been shipped."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        z = np.array(state.get[0]) if state.exists else None
-        # a batch may come in several frames, none of them sorted
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"], kind="stable")
-        y, z = iir(stages, rows["value"].to_numpy(np.float64), z)
-        state.update((z.tolist(),))
-        yield pd.DataFrame({"series": key[0], "us": rows["us"], "event_id": rows["event_id"], "value": rows["value"], "y": y})
+    class InOrder(StatefulProcessor):
+        """Holds rows (us, event_id and the columns) until the watermark has passed them, and gives them to the fold in order."""
 
-    kind = samples.schema["series"].dataType.simpleString()
-    return samples.groupBy("series").applyInPandasWithState(step, f"series {kind}, us bigint, event_id bigint, value double, y double", "z array<double>", "append", GroupStateTimeout.NoTimeout)
+        def __init__(self, fold: str, arguments: tuple, state: str, columns: dict[str, str]) -> None:
+            self.name, self.arguments, self.schema = fold, arguments, state
+            self.columns = {"us": "bigint", "event_id": "bigint", **columns}
+            self.loaded = None
 
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.held = handle.getListState("held", ", ".join(f"{c} array<{kind}>" for c, kind in self.columns.items()))
+            self.state = handle.getValueState("state", self.schema)
 
-def hrv_stream(samples: DataFrame, window: int = 30) -> DataFrame:
-    """series, us, event_id, hrv of every measurement with (series, us, event_id, intervals)."""
+        @property
+        def fold(self):
+            if self.loaded is None:
+                from hypnoflow.streaming import folds
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = HrvWindow(window, state.get[0] if state.exists else ())
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"], kind="stable")
-        out = [kept.push(x) for x in rows["intervals"]]
-        state.update(([int(x) for x in kept.kept],))
-        yield pd.DataFrame({"series": key[0], "us": rows["us"], "event_id": rows["event_id"], "hrv": np.array(out, dtype=float)})
+                self.loaded = getattr(folds, self.name)(*self.arguments)
+            return self.loaded
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            first = None
+            for frame in rows:
+                if len(frame):
+                    self.held.appendValue(tuple([None if x is None else [float(v) for v in x] for x in frame[c]] if kind.startswith("array") else frame[c].tolist() for c, kind in self.columns.items()))
+                    first = min(x for x in (first, int(frame["us"].min())) if x is not None)
+            if first is not None:
+                self.handle.registerTimer(-(-first // 1000))
+            yield from ()
+
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            until = 1000 * timerValues.getCurrentWatermarkInMs()
+            chunks = list(self.held.get()) if self.held.exists() else []
+            rows = {}
+            for i, (c, kind) in enumerate(self.columns.items()):
+                values = [v for chunk in chunks for v in chunk[i]]
+                rows[c] = np.empty(len(values), object if kind.startswith(("array", "string")) else np.int64 if kind == "bigint" else float)
+                rows[c][:] = values
+            order = np.lexsort((rows["event_id"], rows["us"]))
+            ready = int(np.searchsorted(rows["us"][order], self.fold.cut(until), side="right"))
+            state = self.state.get() if self.state.exists() else None
+            state, out = self.fold.rows(key, state, {c: v[order[:ready]] for c, v in rows.items()}, until)
+            if state is not None:
+                self.state.update(state)
+            rest = order[ready:]
+            if ready and len(rest):
+                self.held.put([tuple(v[rest].tolist() for v in rows.values())])
+            elif ready:
+                self.held.clear()
+            due = self.fold.next(state, int(rows["us"][rest[0]]) if len(rest) else None)
+            if due is not None:
+                self.handle.registerTimer(max(-(-due // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            yield from out
+
+        def close(self) -> None:
+            pass
+
+    return InOrder(fold, arguments, state, columns)
 
-    kind = samples.schema["series"].dataType.simpleString()
-    return samples.groupBy("series").applyInPandasWithState(step, f"series {kind}, us bigint, event_id bigint, hrv double", "kept array<int>", "append", GroupStateTimeout.NoTimeout)
 
+def _in_order(samples: DataFrame, late: str, fold: str, arguments: tuple, state: str, columns: dict[str, str], out: str, key: str = "series") -> DataFrame:
+    # pandas has no whole numbers that are null
+    told = F.coalesce(F.col("event_id").cast("bigint"), F.lit(NO_ID)).alias("event_id")
+    rows = samples.where("us IS NOT NULL AND ts IS NOT NULL").select(key, "us", told, *columns, "ts").withWatermark("ts", late)
+    kind = samples.schema[key].dataType.simpleString()
+    done = rows.groupBy(key).transformWithStateInPandas(in_order_processor(fold, arguments, state, columns), f"{key} {kind}, {out}", "append", "eventTime")
+    return done.withColumn("event_id", F.when(F.col("event_id") != NO_ID, F.col("event_id"))) if "event_id" in done.columns else done
 
-def keep_alive_processor(stale: float = 60.0, beat: float = 1.0, event_time: bool = False) -> StatefulProcessor:
-    """The processor's class is made here so that it travels whole: its runner starts before the package has been shipped.
 
-    With event_time the readings' own times are the clock, and the watermark after the last one of a key.
+def iir_stream(samples: DataFrame, stages: Sequence[Biquad], late: str = "10 seconds") -> DataFrame:
+    """series, us, event_id, value, y from (series, us, event_id, value, ts): the batch filter's kernel, its state kept from batch to batch."""
+    return _in_order(samples, late, "Filter", (tuple(stages),), "z array<double>", {"value": "double"}, "us bigint, event_id bigint, value double, y double")
+
+
+def hrv_stream(samples: DataFrame, window: int = 30, late: str = "10 seconds") -> DataFrame:
+    """series, us, event_id, hrv of every measurement (series, us, event_id, intervals, ts)."""
+    return _in_order(samples, late, "Beats", (window,), "kept array<int>", {"intervals": "array<double>"}, "us bigint, event_id bigint, hrv double")
+
+
+def record_stream(samples: DataFrame, signals: Sequence[tuple[str, int]], epoch_us: int, start_us: int, late: str = "10 seconds") -> DataFrame:
+    """recording, signal_index, label, record, values, is_filled of each epoch that is over, from (recording, signal, us, event_id, value, ts).
+
+    What a recorder writes every epoch: each of the signals (label, samples a record) resampled to its number of samples, zeros where it had
+    none. Epochs count from start_us. A recording begins when its first sample comes, with all records since the start, and gives a record for every epoch
+    from then on, samples or not.
     """
+    out = "signal_index int, label string, record bigint, values array<double>, is_filled boolean"
+    return _in_order(samples, late, "Epochs", (tuple(signals), epoch_us, start_us), "record bigint", {"signal": "string", "value": "double"}, out, "recording")
 
-    class KeepAlive(StatefulProcessor):
-        """Passes every reading on and repeats the last one each `beat` seconds until the next, or until it is `stale` seconds old."""
 
-        def __init__(self, stale: float, beat: float, event_time: bool) -> None:
-            self.stale_us, self.beat_us, self.event_time = int(stale * 1_000_000), int(beat * 1_000_000), event_time
+def sound_stream(samples: DataFrame, polyphase: Polyphase, stages: Sequence[Biquad] = (), chunk: int = 50, late: str = "10 seconds", drain_us: int | None = None) -> DataFrame:
+    """series, chunk, t, samples, values from (series, us, event_id: the sample's number, value, ts): sound at the filter's rate, `chunk` samples at a time.
+
+    Filter length and state go on from batch to batch, so the samples are those of the batch operators. The last chunk, which may not be full, is put
+    out when the watermark passes drain_us.
+    """
+    state = "z array<double>, tail array<double>, there array<double>, begun bigint, n bigint, rest array<double>, rest_n array<bigint>, drained boolean"
+    return _in_order(samples, late, "Sound", (polyphase, tuple(stages), chunk, drain_us), state, {"value": "double"}, "chunk bigint, t double, samples bigint, values array<double>")
+
+
+def ring_processor(capacity: int, retain_us: int | None, drain_us: int | None) -> StatefulProcessor:
+    """A ring buffer for each key; the class is made here so that it travels whole."""
+
+    class Ring(StatefulProcessor):
+        """Chunks of rows by number, the newest last: a push appends one chunk, and what is pushed out is read from the oldest ones."""
+
+        def __init__(self, capacity: int, retain_us: int | None, drain_us: int | None) -> None:
+            self.capacity, self.retain_us, self.drain_us = capacity, retain_us, drain_us
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "seen_us bigint, value double, sent bigint")
+            self.chunks = handle.getMapState("chunks", "chunk bigint", "us array<bigint>, event_id array<bigint>, value array<double>")
+            # the oldest chunk, how many of its rows are gone, the number of the next chunk, rows held, rows ever pushed, the newest time
+            self.state = handle.getValueState("state", "head bigint, gone bigint, tail bigint, size bigint, pushed bigint, newest bigint")
 
-        def now(self, timerValues) -> int:
-            return 1000 * (timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
+        def frame(self, key: tuple, rows: list[tuple], first: int, evicted: bool) -> pd.DataFrame:
+            us, ids, values = (list(x) for x in zip(*rows))
+            return pd.DataFrame({"series": key[0], "n": range(first, first + len(rows)), "us": us, "event_id": ids, "value": values, "evicted": evicted})
 
-        def repeats(self, key: tuple, until: int) -> list[pd.DataFrame]:
-            """What is due up to `until`; the state remembers it."""
-            if not self.last.exists():
-                return []
-            seen, value, sent = self.last.get()
-            due = min(until - seen, self.stale_us) // self.beat_us
-            if due <= sent:
-                return []
-            self.last.update((seen, value, due))
-            return [pd.DataFrame({"series": key[0], "us": [seen + i * self.beat_us for i in range(sent + 1, due + 1)], "value": value, "repeated": True})]
+        def taken(self, head: int, gone: int, tail: int, most: int, before: int | None) -> tuple[list[tuple], int, int]:
+            """Up to `most` rows from the oldest on, and those older than `before` after them; the chunks that are used up go."""
+            rows: list[tuple] = []
+            while head < tail:
+                chunk = list(zip(*self.chunks.getValue((head,))))[gone:]
+                n = max(min(most - len(rows), len(chunk)), 0)
+                while before is not None and n < len(chunk) and chunk[n][0] < before:
+                    n += 1
+                rows += chunk[:n]
+                if n < len(chunk):
+                    return rows, head, gone + n
+                self.chunks.removeKey((head,))
+                head, gone = head + 1, 0
+            return rows, head, gone
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            frames = [f for f in rows if len(f)]
+            if not frames:
+                return
+            batch = pd.concat(frames).sort_values(["us", "event_id"], kind="stable")
+            head, gone, tail, size, pushed, newest = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, None)
+            if newest is None and self.drain_us is not None:
+                self.handle.registerTimer(-(-self.drain_us // 1000))
+            self.chunks.updateValue((tail,), tuple(batch[c].tolist() for c in ("us", "event_id", "value")))
+            tail, size, pushed = tail + 1, size + len(batch), pushed + len(batch)
+            newest = max(x for x in (newest, int(batch["us"].max())) if x is not None)
+            out, head, gone = self.taken(head, gone, tail, max(size - self.capacity, 0), None if self.retain_us is None else newest - self.retain_us)
+            first, size = pushed - size, size - len(out)
+            self.state.update((head, gone, tail, size, pushed, newest))
+            if out:
+                yield self.frame(key, out, first, True)
+
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            head, gone, tail, size, pushed, newest = self.state.get()
+            out, head, gone = self.taken(head, gone, tail, size, None)
+            self.state.update((head, gone, tail, 0, pushed, newest))
+            if out:
+                yield self.frame(key, out, pushed - size, False)
+
+        def close(self) -> None:
+            pass
+
+    return Ring(capacity, retain_us, drain_us)
+
+
+def ring_stream(samples: DataFrame, capacity: int, late: str = "10 seconds", retain_us: int | None = None, drain_us: int | None = None) -> DataFrame:
+    """series, n, us, event_id, value, evicted from (series, us, event_id, value, ts): what a ring buffer of a capacity pushes out.
+
+    Rows are pushed as they come, those of a batch by time; n counts a series' pushes from 0. With retain_us, rows older than the newest one by more
+    go too, as soon as they are the oldest. When the watermark passes drain_us, a series' contents are put out, not marked as evicted, and its buffer is empty.
+    """
+    if isinstance(capacity, bool) or not isinstance(capacity, int) or capacity < 1:
+        raise ValueError(f"a ring buffer holds a whole number of rows, one at least, not {capacity}")
+    rows = samples.select("series", "us", "event_id", "value", "ts").withWatermark("ts", late)
+    kind = samples.schema["series"].dataType.simpleString()
+    return rows.groupBy("series").transformWithStateInPandas(ring_processor(capacity, retain_us, drain_us), f"series {kind}, n bigint, us bigint, event_id bigint, value double, evicted boolean", "append", "eventTime")
+
+
+def keep_alive_processor(stale_us: int, beat_us: int) -> StatefulProcessor:
+    """By the clock of the machine; the class is made here so that it travels whole."""
+
+    class KeepAlive(StatefulProcessor):
+        """Passes every reading on and repeats the newest one each beat until the next, or until it is stale."""
+
+        def __init__(self, stale_us: int, beat_us: int) -> None:
+            self.stale_us, self.beat_us = stale_us, beat_us
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            # the newest reading's own time, when it came, its value, and how often it has been repeated
+            self.last = handle.getValueState("last", "us bigint, seen_us bigint, value double, sent bigint")
 
         def wait(self) -> None:
             """A timer for the next repeat, and no other."""
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            seen, _, sent = self.last.get()
+            _, seen, _, sent = self.last.get()
             if (sent + 1) * self.beat_us <= self.stale_us:
                 self.handle.registerTimer(-(-(seen + (sent + 1) * self.beat_us) // 1000))
 
@@ -96,37 +242,37 @@ def keep_alive_processor(stale: float = 60.0, beat: float = 1.0, event_time: boo
             frame = pd.concat(frames)
             frame = frame.sort_values(["us", *(["event_id"] if "event_id" in frame.columns else [])], kind="stable")
             times, values = frame["us"].to_numpy(np.int64), frame["value"].to_numpy(float)
-            if self.event_time:
-                yield from self.repeats(key, int(times[0]) - 1)
-                # between readings of this batch: so many beats fit before the next one, or until the reading is stale
-                gaps = np.minimum(np.diff(times) - 1, self.stale_us) // self.beat_us
-                which = np.repeat(np.arange(len(gaps)), np.maximum(gaps, 0))
-                if len(which):
-                    beats = np.arange(len(which)) - np.searchsorted(which, which) + 1
-                    yield pd.DataFrame({"series": key[0], "us": times[which] + beats * self.beat_us, "value": values[which], "repeated": True})
-            self.last.update((int(times[-1]) if self.event_time else self.now(timerValues), float(values[-1]), 0))
-            self.wait()
+            # a reading that is older than the one repeated now is passed on and changes nothing
+            if not self.last.exists() or self.last.get()[0] <= times[-1]:
+                self.last.update((int(times[-1]), 1000 * timerValues.getCurrentProcessingTimeInMs(), float(values[-1]), 0))
+                self.wait()
             yield pd.DataFrame({"series": key[0], "us": times, "value": values, "repeated": False})
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            due = self.repeats(key, self.now(timerValues))
-            if due:
+            if not self.last.exists():
+                return
+            us, seen, value, sent = self.last.get()
+            due = min(1000 * timerValues.getCurrentProcessingTimeInMs() - seen, self.stale_us) // self.beat_us
+            if due > sent:
+                self.last.update((us, seen, value, due))
                 self.wait()
-                yield from due
+                yield pd.DataFrame({"series": key[0], "us": [seen + i * self.beat_us for i in range(sent + 1, due + 1)], "value": value, "repeated": True})
 
         def close(self) -> None:
             pass
 
-    return KeepAlive(stale, beat, event_time)
+    return KeepAlive(stale_us, beat_us)
 
 
 def keep_alive(samples: DataFrame, stale: float = 60.0, beat: float = 1.0, late: str | None = None) -> DataFrame:
-    """series, us, value, repeated from (series, us, value); needs the RocksDB state store.
+    """series, us, value, repeated from (series, us, event_id, value, ts): every reading, and the last one again each `beat` seconds until it is `stale`.
 
-    Repeats follow the clock of the machine; with `late`, how late readings may come, they follow the readings' times ts and
-    are the same whenever the stream is run.
+    Repeats follow the clock of the machine, and readings are passed on at once. With `late`, how late readings may come, repeats follow the readings'
+    times: readings and repeats come when the watermark has passed them, the same whatever the batches. Readings later than that are dropped.
     """
+    stale_us, beat_us = int(stale * 1_000_000), int(beat * 1_000_000)
+    out = "us bigint, value double, repeated boolean"
+    if late is not None:
+        return _in_order(samples, late, "KeepAlive", (stale_us, beat_us), "us bigint, value double, sent bigint", {"value": "double"}, out)
     kind = samples.schema["series"].dataType.simpleString()
-    rows = samples if late is None else samples.withWatermark("ts", late)
-    processor = keep_alive_processor(stale, beat, late is not None)
-    return rows.groupBy("series").transformWithStateInPandas(processor, f"series {kind}, us bigint, value double, repeated boolean", "append", "processingTime" if late is None else "eventTime")
+    return samples.groupBy("series").transformWithStateInPandas(keep_alive_processor(stale_us, beat_us), f"series {kind}, {out}", "append", "processingTime")

@@ -1,8 +1,13 @@
-"""The keep-alive processor with a clock of our own."""
+"""The live processors with state and timers of our own, dealt to batches at random, against the batch operators' rules."""
 
+import numpy as np
 import pandas as pd
+import pytest
 
-from hypnoflow.streaming.live import keep_alive_processor
+from hypnoflow.functions import design, kernels
+from hypnoflow.streaming import folds, live
+
+SECOND = 1_000_000
 
 
 class Clock:
@@ -16,14 +21,9 @@ class Clock:
         return self.now
 
 
-class Handle:
-    """State and timers of one key."""
-
+class Value:
     def __init__(self):
-        self.timers, self.value = set(), None
-
-    def getValueState(self, name, schema):  # noqa: N802
-        return self
+        self.value = None
 
     def exists(self):
         return self.value is not None
@@ -34,6 +34,46 @@ class Handle:
     def update(self, value):
         self.value = value
 
+
+class Listed:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+
+    def clear(self):
+        self.rows = []
+
+
+class Mapped(dict):
+    getValue, removeKey, updateValue = dict.get, dict.pop, dict.__setitem__  # noqa: N815
+
+
+class Handle:
+    """State and timers of one key."""
+
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, Value())
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, Listed())
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        return self.states.setdefault(name, Mapped())
+
     def listTimers(self):  # noqa: N802
         return iter(sorted(self.timers))
 
@@ -44,37 +84,166 @@ class Handle:
         self.timers.discard(at)
 
 
-def test_last_value_repeats_until_stale():
-    handle, processor = Handle(), keep_alive_processor(3.0)
+def run(make, batches, key=("t",)):
+    """What a processor puts out for batches of (rows, watermark in ms after them); it is made anew for every batch, as after a restart."""
+    handle, out = Handle(), []
+    for frame, mark in batches:
+        processor = make()
+        processor.init(handle)
+        if len(frame):
+            out += list(processor.handleInputRows(key, iter([frame[: len(frame) // 2], frame[len(frame) // 2 :]]), Clock(mark)))
+        while any(t <= mark for t in handle.timers):
+            handle.timers -= {t for t in handle.timers if t <= mark}
+            out += list(processor.handleExpiredTimer(key, Clock(mark), None))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+
+
+def dealt(rows, rng, n=6, late_us=20 * SECOND, end_us=10**12):
+    """rows in n batches, none later than the watermark, each batch in no order, with the watermark after it."""
+    rows = rows.assign(seen=rows["us"] + rng.integers(0, late_us, len(rows)))
+    cuts = np.sort(rng.integers(0, int(rows["seen"].max()) + 1, n - 1)).tolist()
+    out, newest, done = [], 0, -1
+    for hi in [*cuts, int(rows["seen"].max())]:
+        part = rows[(rows["seen"] > done) & (rows["seen"] <= hi)]
+        newest, done = max(newest, int(part["us"].max()) if len(part) else 0), hi
+        out.append((part.drop(columns="seen").sample(frac=1, random_state=1), max(newest - late_us, 0) // 1000))
+    return [*out, (rows.drop(columns="seen").head(0), end_us // 1000)]
+
+
+def processor(fold, state, columns, *arguments):
+    return lambda: live.in_order_processor(fold, arguments, state, columns)
+
+
+def test_filters_and_beats_in_order():
+    rng = np.random.default_rng(1)
+    stages = design.cascade("lowpass", "butterworth", 2, 100.0, 12.0)
+    for seed in range(5):
+        n = 300
+        rows = pd.DataFrame({"us": np.sort(rng.integers(1, 200 * SECOND, n)), "event_id": np.arange(n), "value": rng.standard_normal(n)})
+        rows.loc[10:14, "us"] = rows.loc[10, "us"]  # equal times go by event_id
+        rows = rows.sort_values(["us", "event_id"])
+        got = run(processor("Filter", "z array<double>", {"value": "double"}, stages), dealt(rows, np.random.default_rng(seed)))
+        assert got["event_id"].tolist() == rows["event_id"].tolist()
+        assert np.allclose(got["y"], kernels.iir(stages, rows["value"].to_numpy())[0], atol=1e-9)
+        beats = rows.assign(intervals=[None if i % 9 == 0 else np.array([0.7 + 0.01 * (i % 50), float("nan")]) for i in range(n)]).drop(columns="value")
+        got = run(processor("Beats", "kept array<int>", {"intervals": "array<double>"}, 30), dealt(beats, np.random.default_rng(seed)))
+        w = kernels.HrvWindow()
+        want = [w.push(() if x is None else x) for x in beats["intervals"]]
+        assert got["event_id"].tolist() == beats["event_id"].tolist() and np.allclose(got["hrv"], np.array(want, float), equal_nan=True)
+
+
+def plain_repeats(readings, stale, beat, until):
+    out = [(u, v, False) for u, v in readings]
+    for i, (u, v) in enumerate(readings):
+        end = readings[i + 1][0] if i + 1 < len(readings) else until + 1
+        out += [(u + k * beat, v, True) for k in range(1, stale // beat + 1) if u + k * beat < end]
+    return sorted(out)
+
+
+def test_repeats_do_not_depend_on_batches():
+    readings = [(SECOND, 1.0), (3 * SECOND, 2.0), (6 * SECOND, 3.0), (6 * SECOND + 1, 4.0), (20 * SECOND, 5.0)]
+    rows = pd.DataFrame({"us": [u for u, _ in readings], "event_id": range(5), "value": [v for _, v in readings]})
+    made = processor("KeepAlive", "us bigint, value double, sent bigint", {"value": "double"}, 3 * SECOND, SECOND)
+    for seed in range(8):
+        for end in (20, 21, 22, 40):
+            got = run(made, dealt(rows, np.random.default_rng(seed), end_us=end * SECOND))
+            assert sorted(got.itertuples(index=False, name=None), key=lambda r: r[1:]) == [("t", *r) for r in plain_repeats(readings, 3 * SECOND, SECOND, end * SECOND)]
+    # the reading of 2 s comes after that of 5 s
+    late = [(rows.iloc[[0]].assign(us=0 + SECOND // 2, value=1.0), 0), (rows.iloc[[0]].assign(us=5 * SECOND, value=3.0), 0), (rows.iloc[[0]].assign(us=2 * SECOND, value=2.0), 1000), (rows.head(0), 30_000)]
+    got = run(made, late)
+    assert sorted((u, v, r) for _, u, v, r in got.itertuples(index=False, name=None)) == plain_repeats([(SECOND // 2, 1.0), (2 * SECOND, 2.0), (5 * SECOND, 3.0)], 3 * SECOND, SECOND, 30 * SECOND)
+
+
+def test_repeats_by_the_clock():
+    handle, processor = Handle(), live.keep_alive_processor(3 * SECOND, SECOND)
     processor.init(handle)
     frame = pd.DataFrame({"series": ["t", "t"], "us": [2, 1], "value": [36.5, 36.0]})
     out = list(processor.handleInputRows(("t",), iter([frame]), Clock(10_000)))
     assert out[0]["value"].tolist() == [36.0, 36.5] and handle.timers == {11_000}
+    # an older reading is passed on and changes nothing
+    assert list(processor.handleInputRows(("t",), iter([frame.tail(1)]), Clock(10_500)))[0]["value"].tolist() == [36.0]
     repeats = []
     for now in (11_000, 12_000, 13_000, 14_000):
         handle.timers.clear()
         repeats += [(f["us"][0], f["value"][0]) for f in processor.handleExpiredTimer(("t",), Clock(now), None)]
     assert repeats == [(11_000_000, 36.5), (12_000_000, 36.5), (13_000_000, 36.5)] and not handle.timers
-    list(processor.handleInputRows(("t",), iter([frame.head(0)]), Clock(20_000)))
-    assert not handle.timers
-
-
-def test_repeats_by_event_time_do_not_depend_on_batches():
-    second = 1_000_000
-    readings = [(0, 1.0), (2 * second, 2.0), (2 * second, 2.5), (12 * second, 3.0), (12 * second + 1, 4.0)]
-
-    def run(batches, watermarks):
-        handle, processor, out = Handle(), keep_alive_processor(3.0, 1.0, True), []
-        processor.init(handle)
-        for batch, mark in zip(batches, watermarks):
-            frame = pd.DataFrame({"us": [u for u, _ in batch], "event_id": range(len(batch)), "value": [v for _, v in batch]})
-            out += list(processor.handleInputRows(("t",), iter([frame]), Clock(mark)))
-            while any(t <= mark for t in handle.timers):
-                handle.timers = {t for t in handle.timers if t > mark}
-                out += list(processor.handleExpiredTimer(("t",), Clock(mark), None))
-        return sorted((int(r.us), r.value, bool(r.repeated)) for f in out for r in f.itertuples())
-
-    want = sorted([(u, v, False) for u, v in readings] + [(second, 1.0, True)] + [(i * second, 2.5, True) for i in (3, 4, 5)])
-    assert run([readings], [0]) == want
-    assert run([readings[:1], readings[1:2], readings[2:3], readings[3:]], [0, 0, 4_000, 4_000]) == want
-    assert run([readings[:3], readings[3:]], [1_000, 9_000]) == want
+    assert not list(processor.handleInputRows(("t",), iter([frame.head(0)]), Clock(20_000))) and not handle.timers
+
+
+def test_linear_points_are_those_of_the_operator(spark):
+    from hypnoflow.operators import resample
+
+    rng = np.random.default_rng(4)
+    for size, n in ((1, 1), (1, 4), (2, 2), (2, 7), (5, 1), (6, 1), (6, 2), (40, 12), (12, 40), (3, 5)):
+        t = np.sort(rng.integers(0, 30_000, size)) / 1000.0
+        t[: size // 3] = t[0]
+        v = rng.standard_normal(size)
+        df = spark.createDataFrame([("a", float(a), i, float(b)) for i, (a, b) in enumerate(zip(t, v))], "series string, ms double, event_id bigint, value double")
+        want = sorted((r.k, r.ms, r.value) for r in resample.linear(df, n, long=False).collect())
+        ms, value = kernels.linear_points(t, v, n)
+        assert [(i, a, b) for i, (a, b) in enumerate(zip(ms.tolist(), value.tolist()))] == want
+
+
+def test_records_of_epochs_that_are_over():
+    """Two signals of two samples, an epoch without samples, rows before the start and of other signals, time that goes on."""
+    rows = pd.DataFrame([(5, 0, "a", 9.0), (10, 1, "a", 1.0), (15, 2, "a", 3.0), (19, 3, "b", 4.0), (31, 4, "a", 5.0), (33, 5, "a", 7.0), (34, 6, "c", 1.0)], columns=["us", "event_id", "signal", "value"])
+    rows["us"] *= SECOND
+    made = processor("Epochs", "record bigint", {"signal": "string", "value": "double"}, (("a", 2), ("b", 2)), 10 * SECOND, 10 * SECOND)
+    want = [(0, 0, [1.0, 3.0], False), (0, 1, [4.0, 4.0], False), (1, 0, [0.0, 0.0], True), (1, 1, [0.0, 0.0], True), (2, 0, [5.0, 7.0], False), (2, 1, [0.0, 0.0], True), (3, 0, [0.0, 0.0], True), (3, 1, [0.0, 0.0], True)]
+    for seed in range(6):
+        got = run(made, dealt(rows, np.random.default_rng(seed), end_us=50 * SECOND - 1000))
+        assert [(r.record, r.signal_index, r.values, r.is_filled) for r in got.itertuples(index=False)] == want[:6]
+        got = run(made, dealt(rows, np.random.default_rng(seed), end_us=50 * SECOND))
+        assert [(r.record, r.signal_index, r.values, r.is_filled) for r in got.itertuples(index=False)] == want
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 7, 1000])
+def test_sound_goes_on_from_batch_to_batch(spark, chunk):
+    from hypnoflow.operators import resample
+
+    rng = np.random.default_rng(8)
+    filt, stages = design.polyphase(100.0, 40.0, 8), design.cascade("lowpass", "butterworth", 1, 100.0, 30.0)
+    seq = np.setdiff1d(np.arange(400), np.arange(150, 260))
+    rows = pd.DataFrame({"us": (seq + 1) * 10_000, "event_id": seq, "value": rng.standard_normal(len(seq))})
+    y, _ = kernels.iir(stages, rows["value"].to_numpy())
+    slow = resample.polyphase(spark.createDataFrame([("t", int(i), float(v)) for i, v in zip(seq, y)], "series string, seq bigint, value double"), filt)
+    want = {r.chunk: r for r in resample.chunked(slow, chunk).collect()}
+    made = processor("Sound", "z array<double>", {"value": "double"}, filt, tuple(stages), chunk, 10 * SECOND)
+    for seed in range(4):
+        got = run(made, dealt(rows, np.random.default_rng(seed), late_us=SECOND, end_us=10 * SECOND))
+        assert sorted(got["chunk"]) == sorted(want) and len(got) == len(want)
+        for r in got.itertuples(index=False):
+            assert r.samples == want[r.chunk].samples and abs(r.t - want[r.chunk].t) < 1e-9 and np.allclose(r.values, want[r.chunk].values, atol=1e-9)
+
+
+def test_ring_pushes_out_the_oldest():
+    rng = np.random.default_rng(2)
+    for capacity in (1, 2, 7, 100):
+        rows = pd.DataFrame({"us": np.sort(rng.integers(0, 10**9, 60)), "event_id": np.arange(60), "value": rng.standard_normal(60)})
+        cuts = [0, *sorted(rng.integers(0, 61, 5).tolist()), 60]
+        batches = [(rows.iloc[a:b].sample(frac=1, random_state=3), 0) for a, b in zip(cuts, cuts[1:])]
+        got = run(lambda: live.ring_processor(capacity, None, 10**10), [*batches, (rows.head(0), 10**7)])
+        assert got["event_id"].tolist() == list(range(60)) and got["n"].tolist() == list(range(60)) and got["us"].tolist() == rows["us"].tolist()
+        assert got["evicted"].tolist() == [i < 60 - capacity for i in range(60)]
+        without = run(lambda: live.ring_processor(capacity, None, None), batches)
+        assert len(without) == max(60 - capacity, 0)
+
+
+def test_ring_lets_old_rows_go():
+    rows = pd.DataFrame({"us": [0, 10, 20, 100, 105, 300], "event_id": range(6), "value": 1.0})
+    batches = [(rows.iloc[[0, 1, 2]], 0), (rows.iloc[[3]], 0), (rows.iloc[[4, 5]], 0)]
+    got = run(lambda: live.ring_processor(4, 85, 1_000_000), [*batches, (rows.head(0), 2_000)])
+    assert got["us"].tolist() == [0, 10, 20, 100, 105, 300] and got["evicted"].tolist() == [True] * 5 + [False]
+
+
+@pytest.mark.parametrize("capacity", [0, -1, 1.5, float("nan"), True, None])
+def test_ring_capacity(spark, capacity):
+    with pytest.raises(ValueError):
+        live.ring_stream(spark.range(1), capacity)
+
+
+def test_rows_without_values(spark):
+    """A fold with nothing to do yet puts nothing out, and waits for what it holds."""
+    keep = folds.KeepAlive(3, 1)
+    assert keep.rows(("t",), None, {"us": np.array([], np.int64), "value": np.array([])}, 5) == (None, [])
+    assert folds.Epochs([("a", 1)], 10, 100).cut(50) == 99 and folds.Epochs([("a", 1)], 10, 100).cut(109) == 109
