@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, clustering, decontam, htmltext, langid, mixing, quality, sharding, simhash, urlfilter, warc, whitening
-from .common import crc_of, shared_dir, table
+from .common import crc_of, durable, shared_dir, table
 
 #: Half of the mix for the one source that holds a third of the rows here would be too much: it gets a tenth.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -86,10 +86,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # two passes with pushed predicates: responses with their payloads, and revisits, for which no payload is read
     read = functools.partial(warc.read_archive, spark, path)
     own = [F.col("page_id").cast("bigint").alias("page_id")]
-    responses = read().where("warc_type = 'response'").select(*own, F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.col("warc_type").alias("record_type"))
+    # what is kept of a response is narrow, and needed twice: written once, so that payloads are read once
+    responses = durable(read().where("warc_type = 'response'").select(*own, F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.col("warc_type").alias("record_type")))
     revisits = read().where("warc_type = 'revisit'").select(*own, F.col("payload_digest").alias("said"), F.col("refers_to").cast("bigint").alias("refers_to"), F.col("warc_type").alias("record_type"))
     # a revisit's payload is that of the response it names: the digests must agree, or it has none
-    named = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said"), "payload_bytes").distinct()
+    named = responses.where(F.col("payload_bytes") >= warc.REVISIT_BYTES).select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said"), "payload_bytes").distinct()
     again = revisits.join(named, ["refers_to", "said"], "left")
     told = again.select("page_id", "payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("said")).alias("payload_digest"), "record_type", "refers_to")
     return responses.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(told)

@@ -2,18 +2,24 @@
 
 Writing: every task writes gzip members, one a record, to files of its own of about FILE_BYTES each; only the names in a
 manifest, written when the whole job has succeeded, belong to the archive, so retried and lost tasks leave nothing in it.
-A member's gzip header says how long the member is (extra field `sl`).
+A member's gzip header says how long the member and what it holds are (extra field `sl`).
 
 Reading: a partition is a file, of the manifest or, where there is none, any .warc or .warc.gz below the path. Filters on
 warc_type and on header columns are pushed down: a record's headers are parsed first, and a record that they exclude is
 passed over by seeking to the next: its payload is not read, decoded or kept. With option payload=false no payload is.
-Members of other writers, which do not say their length, must be inflated to be passed over, but nothing of them is kept.
-Spark asks for spark.sql.python.filterPushdown.enabled; read_archive sets it. Spark keeps what was pushed with the loaded
-source, so a query that filters an archive in two ways must load it twice.
+In members of other writers, which do not say their length or hold several records, what is not wanted must be inflated to be
+passed over, but nothing of it is kept. Spark asks for spark.sql.python.filterPushdown.enabled; read_archive sets it. Spark keeps what
+was pushed with the loaded source, so a query that filters an archive in two ways must load it twice.
 
 Payloads are what follows the HTTP headers in responses, and the whole block of records that are not HTTP; encodings of
 the HTTP message are left as they are. Revisits have none.
 
+Archives of other writers: a member may hold any number of records, or a part of one may be missing. Blank lines before a record are passed over.
+A record that has no end of headers within HEADERS_MOST bytes, no WARC version or no length, or is cut short, and a member that cannot be inflated, are
+malformed: an error, or, with option malformed=row, a row of warc_type `malformed` whose target_uri says which file, at which byte, and what is
+wrong; reading goes on with the next member that begins with a record, or the next line of a plain file that does. Records of the same member before the
+malformed one are kept.
+
 Defined results: a null payload is an empty one; a null url is an empty one; equal payloads of at least REVISIT_BYTES
 are written once, as the response of the largest page_id, and referred to by the others (rows that repeat this page_id
 are responses too, a null page_id is always a revisit unless all are null); record ids are unique whatever the rows; an empty
@@ -43,6 +49,8 @@ from .common import broadcastable, durable
 REVISIT_BYTES = 1000
 #: Bytes read from a file at once, and of a record at first, for its headers.
 BLOCK, HEAD = 1 << 18, 1 << 10
+#: Headers longer than this are none.
+HEADERS_MOST = 1 << 20
 #: What a row of the revisits' table takes when it is broadcast.
 REVISIT_ROW = 128
 FILE_BYTES = 64 << 20
@@ -77,17 +85,17 @@ def member_bytes(record: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, *lengths) + body
 
 
-def member_length(start: bytes) -> int:
-    """The length of the gzip member that starts so; 0 where it does not say."""
+def member_lengths(start: bytes) -> tuple[int, int]:
+    """The lengths of the gzip member that starts so and of what it holds; 0 where it does not say."""
     if len(start) < 12 or not start[3] & 4:
-        return 0
+        return 0, 0
     at, end = 12, 12 + struct.unpack_from("<H", start, 10)[0]
     while at + 4 <= min(end, len(start)):
         name, size = struct.unpack_from("<2sH", start, at)
         if name == b"sl" and size == 8 and at + 12 <= len(start):
-            return struct.unpack_from("<I", start, at + 4)[0]
+            return struct.unpack_from("<II", start, at + 4)
         at += 4 + size
-    return 0
+    return 0, 0
 
 
 def record_bytes(row: dict, record_id: str) -> bytes:
@@ -127,15 +135,15 @@ class WarcWriter(DataSourceArrowWriter):
         system.create_dir(path, recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                for row in part.to_pylist():
-                    if out is None or size >= FILE_BYTES:
-                        if out is not None:
-                            out.close()
-                        files.append(f"{uuid.uuid4().hex}.warc.gz")
-                        out, size = system.open_output_stream(posixpath.join(path, files[-1]), compression=None), 0
-                    record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{files[-1]}/{size}")
-                    size += out.write(member_bytes(record_bytes(row, str(record_id))))
+            for i in range(batch.num_rows):  # one row at a time: payloads may be large
+                row = {c: batch[c][i].as_py() for c in batch.schema.names}
+                if out is None or size >= FILE_BYTES:
+                    if out is not None:
+                        out.close()
+                    files.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(posixpath.join(path, files[-1]), compression=None), 0
+                record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{files[-1]}/{size}")
+                size += out.write(member_bytes(record_bytes(row, str(record_id))))
         if out is not None:
             out.close()
         return Written(files)
@@ -171,52 +179,128 @@ class Window:
         return self.data[at - self.start : at - self.start + n]
 
 
+class Malformed(ValueError):
+    """What is read is no record."""
+
+
 class Plain:
-    """The bytes of a record that lies in the file as it is."""
+    """The bytes of a file as they are, from a place on."""
 
     def __init__(self, window: Window, at: int) -> None:
-        self.window, self.at = window, at
+        self.window, self.start, self.at = window, at, at
 
     def read(self, n: int) -> bytes:
         piece = self.window.get(self.at, n)
         self.at += len(piece)
         return piece
 
-    def after(self, rest: int) -> int:
-        """Where the next record begins, if `rest` bytes of this one have not been read."""
-        return self.at + rest
+    def skip(self, n: int) -> bool:
+        """Passes over n bytes; False if there are not so many."""
+        self.at += n
+        return self.at <= self.window.size
+
+    def last(self, end: int) -> bool:
+        return False
+
+    def after(self) -> int:
+        return self.window.size
 
 
 class Member:
-    """The bytes of a gzip member."""
+    """What a gzip member holds."""
 
     def __init__(self, window: Window, at: int) -> None:
         self.window, self.start, self.at = window, at, at
-        self.length, self.inflate = member_length(window.get(at, 64)), zlib.decompressobj(31)
+        self.length, self.holds = member_lengths(window.get(at, 64))
+        self.inflate = zlib.decompressobj(31)
 
     def read(self, n: int) -> bytes:
         while not self.inflate.eof:
             rest = self.inflate.unconsumed_tail or self.window.get(self.at, 1 << 14)
             if not rest:
-                raise ValueError("a gzip member ends too early")
+                raise Malformed("a gzip member ends too early")
             self.at += 0 if self.inflate.unconsumed_tail else len(rest)
-            piece = self.inflate.decompress(rest, n)
+            try:
+                piece = self.inflate.decompress(rest, n)
+            except zlib.error as wrong:
+                raise Malformed(f"a gzip member cannot be inflated: {wrong}") from None
             self.window.inflated += len(piece)
             if piece:
                 return piece
         return b""
 
-    def after(self, rest: int) -> int:
-        if self.length:
-            return self.start + self.length
-        while self.read(1 << 16):
-            pass
-        return self.at - len(self.inflate.unused_data)
+    def skip(self, n: int) -> bool:
+        while n:
+            piece = self.read(min(n, 1 << 16))
+            if not piece:
+                return False
+            n -= len(piece)
+        return True
+
+    def last(self, end: int) -> bool:
+        """Whether nothing comes after a record that ends there, as far as the member says what it holds."""
+        return self.length > 0 and end == self.holds
+
+    def after(self) -> int:
+        """Where the next member begins; this one has been read to its end, or says how long it is."""
+        return self.at - len(self.inflate.unused_data) if self.inflate.eof else self.start + self.length
+
+
+class Feed:
+    """A source with what has been read from it but not been used."""
+
+    def __init__(self, source: Plain | Member) -> None:
+        self.source, self.held, self.used, self.begun = source, b"", 0, 0  # begun: where the record that is read begins
+
+    def more(self, n: int) -> bool:
+        piece = self.source.read(n)
+        self.held += piece
+        return bool(piece)
+
+    def take(self, n: int) -> bytes:
+        """n bytes, fewer at the end."""
+        pieces, have = [self.held[:n]], min(len(self.held), n)
+        self.held = self.held[n:]
+        while have < n:
+            piece = self.source.read(n - have)
+            if not piece:
+                break
+            pieces.append(piece)
+            have += len(piece)
+        self.used += have
+        return b"".join(pieces)
+
+    def skip(self, n: int) -> bool:
+        self.used += n
+        here = min(len(self.held), n)
+        self.held = self.held[here:]
+        return here == n or self.source.skip(n - here)
+
+    def head(self) -> bytes | None:
+        """The next record's headers, without the blank lines before them; None at the end."""
+        while True:
+            if not self.held and not self.more(HEAD):
+                return None
+            rest = self.held.lstrip(b"\r\n")
+            self.used += len(self.held) - len(rest)
+            self.held, self.begun = rest, self.used
+            if rest:
+                break
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", seen)) < 0:
+            if not self.held.startswith(b"WARC/"[: len(self.held)]):
+                raise Malformed("no WARC version where a record should begin")
+            seen = max(len(self.held) - 3, 0)
+            if len(self.held) > HEADERS_MOST or not self.more(HEAD):
+                raise Malformed("a record without the end of its headers")
+        return self.take(end + 4)
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool) -> None:
-        self.path, self.payload = path, payload
+    def __init__(self, path: str, payload: bool, malformed: str = "fail") -> None:
+        if malformed not in ("fail", "row"):
+            raise ValueError(f"malformed is fail or row, not {malformed}")
+        self.path, self.payload, self.malformed = path, payload, malformed
         self.wanted: dict[str, set[str]] = {}
         self.present: set[str] = set()
 
@@ -247,59 +331,98 @@ class WarcReader(DataSourceReader):
         if partition.path:
             system, path = located(partition.path)
             with system.open_input_file(path) as f:
-                yield from self.batches(Window(f))
+                yield from self.batches(Window(f), partition.path)
 
-    def batches(self, window: Window) -> Iterator[pa.RecordBatch]:
+    def batches(self, window: Window, name: str = "") -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.string()) for c in HEADERS] + [("payload", pa.binary())])
-        rows, held, at = [], 0, 0
-        while at < window.size:
-            source = Member(window, at) if window.get(at, 2) == b"\x1f\x8b" else Plain(window, at)
-            row, at = self.record(source)
-            if row is not None:
-                rows.append(row)
-                held += len(row["payload"] or b"")
+        rows, held = [], 0
+        for row in self.rows(window, name):
+            rows.append(row)
+            held += len(row["payload"] or b"")
             if len(rows) >= 1000 or held >= 8 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def record(self, source: Plain | Member) -> tuple[dict | None, int]:
-        """The record's columns, or None where its headers exclude it, and where the next record begins."""
-        head = source.read(HEAD)
-        while b"\r\n\r\n" not in head:
-            piece = source.read(HEAD)
-            if not piece:
-                raise ValueError("a record without the end of its headers")
-            head += piece
-        head, _, start = head.partition(b"\r\n\r\n")
-        first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    def rows(self, window: Window, name: str) -> Iterator[dict]:
+        at = 0
+        while at < window.size:
+            if window.get(at, 1) in (b"\r", b"\n", b"\0"):
+                at += 1
+                continue
+            zipped = window.get(at, 2) == b"\x1f\x8b"
+            source = Member(window, at) if zipped else Plain(window, at)
+            feed = Feed(source)
+            try:
+                while True:
+                    head = feed.head()
+                    if head is None:
+                        break
+                    row, ends = self.record(feed, head)
+                    if row is not None:
+                        yield row
+                    if ends:
+                        break
+                at = source.after()
+            except Malformed as wrong:
+                begun = at if zipped else at + feed.begun
+                if self.malformed == "fail":
+                    raise ValueError(f"{name}, byte {begun}: {wrong}") from None
+                told = {c: None for c in (*HEADERS, "payload")} | {"warc_type": "malformed", "target_uri": f"{name}:{begun}: {wrong}"}
+                if self.wants(told):
+                    yield told
+                at = next_record(window, begun + 1)
+
+    def wants(self, row: dict) -> bool:
+        return all(row[c] in values for c, values in self.wanted.items()) and all(row[c] is not None for c in self.present)
+
+    def record(self, feed: Feed, head: bytes) -> tuple[dict | None, bool]:
+        """The record's columns, or None where its headers exclude it, and whether its member is known to end with it."""
+        first, *lines = head[:-4].decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError("not a WARC record")
+            raise Malformed("no WARC version where a record should begin")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        if not fields.get("content-length", "").isdecimal():
+            raise Malformed("a record without its length")
         length = int(fields["content-length"])
         row = {c: fields.get(h.lower()) or None for c, h in HEADERS.items()}
         row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
         row["record_id"] = row["record_id"] and row["record_id"].removeprefix("<").removesuffix(">")
-        wanted = all(row[c] in values for c, values in self.wanted.items()) and all(row[c] is not None for c in self.present)
         row["payload"] = None
+        ends = feed.source.last(feed.used + length + 4)
+        wanted = self.wants(row)
         if wanted and self.payload and row["warc_type"] != "revisit":
-            pieces, have = [start], len(start)
-            while have < length + 4:
-                piece = source.read(length + 4 - have)
-                if not piece:
-                    break
-                pieces.append(piece)
-                have += len(piece)
-            block, start = b"".join(pieces)[:length], b" " * have
+            block = feed.take(length)
             if len(block) < length:
-                raise ValueError("a record shorter than it says")
+                raise Malformed("a record shorter than it says")
             row["payload"] = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-        return row if wanted else None, source.after(length + 4 - len(start))
+        elif not ends and not feed.skip(length):
+            raise Malformed("a record shorter than it says")
+        return row if wanted else None, ends
+
+
+def next_record(window: Window, at: int) -> int:
+    """The first place from `at` on where a gzip member that begins with a record, or a line with a record's version, begins; the file's end if none does."""
+    while at < window.size:
+        piece = window.get(at, BLOCK)
+        for m in re.finditer(rb"\x1f\x8b\x08|\nWARC/", piece):
+            here = at + m.start()
+            if m[0] == b"\nWARC/":
+                return here + 1
+            try:
+                if zlib.decompressobj(31).decompress(window.get(here, 1 << 12), 5) == b"WARC/":
+                    return here
+            except zlib.error:
+                pass
+        if at + len(piece) >= window.size:
+            break
+        at += max(len(piece) - 8, 1)
+    return window.size
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (true: payloads of responses are read)."""
+    """Options: path; payload (true: payloads of responses are read); malformed (fail, or row)."""
 
     @classmethod
     def name(cls) -> str:
@@ -309,7 +432,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", self.options.get("malformed", "fail"))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -334,8 +457,8 @@ def write_archive(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> No
     records(pages, least).write.format("warc").mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, malformed: str = "fail") -> DataFrame:
     """The records of the archive or file at path; to be loaded anew for each set of filters in one query."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("malformed", malformed).load(path)

@@ -256,6 +256,61 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert len(got) == 1 and inflated == 0
 
 
+def warc_record(i, kind="resource", block=b"block", extra=b""):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" + extra
+
+
+def test_warc_members_of_many_records(spark, tmp_path):
+    """Any number of records in a member, with blank lines between them and after the member; unwanted ones among them."""
+    a = tmp_path / "m"
+    a.mkdir()
+    big = bytes(random.Random(1).randbytes(300_000))
+    first = gzip.compress(b"".join(warc_record(i, block=big if i == 1 else b"x" * i, extra=b"\r\n" * (i % 3)) for i in range(9)))
+    (a / "a.warc.gz").write_bytes(first + b"\r\n\r\n" + gzip.compress(warc_record(9)) + b"\0\0" + gzip.compress(b"\r\n" + warc_record(10, "metadata") + warc_record(11)) + gzip.compress(b""))
+    (a / "b.warc").write_bytes(b"\r\n" + warc_record(12) + b"\r\n\r\n" + warc_record(13)[:-4])
+    got, _ = reading(a)
+    assert [r["record_id"] for r in got] == [f"urn:x:{i}" for i in range(14)] and [len(r["payload"]) for r in got[:9]] == [0, 300_000, 2, 3, 4, 5, 6, 7, 8]
+    got, _ = reading(a, {"record_id": {"urn:x:3", "urn:x:11", "urn:x:13"}})
+    assert [r["payload"] for r in got] == [b"xxx", b"block", b"block"]
+    assert warc.read_archive(spark, str(a)).where("warc_type = 'metadata'").count() == 1
+    # a member of ours that says how long it is, with a second record in it
+    two = warc_record(1) + warc_record(2)
+    (a / "c.warc.gz").write_bytes(warc.member_bytes(two) + warc.member_bytes(warc_record(3)))
+    got, _ = reading(a / "c.warc.gz", {"record_id": {"urn:x:2", "urn:x:3"}})
+    assert [r["record_id"] for r in got] == ["urn:x:2", "urn:x:3"]
+
+
+def test_warc_malformed(spark, tmp_path):
+    good = [warc_record(i) for i in range(4)]
+    broken = {
+        "no version": b"HTTP/1.1 200\r\n\r\n", "no length": b"WARC/1.0\r\nWARC-Type: x\r\n\r\nabc\r\n\r\n", "length": b"WARC/1.0\r\nContent-Length: -4\r\n\r\nabc\r\n\r\n", "no end": b"WARC/1.0\r\n" + b"a: b\r\n" * 90,
+    }
+    for name, bad in broken.items():
+        (tmp_path / "z.warc.gz").write_bytes(gzip.compress(good[0]) + gzip.compress(good[1] + bad) + gzip.compress(good[2]) + gzip.compress(good[3]))
+        (tmp_path / "p.warc").write_bytes(good[0] + good[1] + (bad if name != "no end" else b"") + b"\r\n" + good[2] + good[3])
+        for file in ("z.warc.gz", "p.warc"):
+            reader = warc.WarcReader(str(tmp_path / file), True, "row")
+            rows = [r for b in reader.batches(warc.Window(pa.OSFile(str(tmp_path / file))), file) for r in b.to_pylist()]
+            ids = [r["record_id"] for r in rows if r["warc_type"] != "malformed"]
+            assert ids == [f"urn:x:{i}" for i in range(4)], (name, file)
+            assert [r["target_uri"].startswith(f"{file}:") for r in rows if r["warc_type"] == "malformed"] == [True] * ((name, file) != ("no end", "p.warc"))
+    with pytest.raises(ValueError, match="byte"):
+        reading(tmp_path / "z.warc.gz")
+    # cut short, and damaged in the middle
+    whole = [gzip.compress(x) for x in good]
+    for bad in (whole[1][:-9], whole[1][:20] + b"\xff" * 8 + whole[1][28:]):
+        (tmp_path / "t.warc.gz").write_bytes(whole[0] + bad + whole[2] + whole[3])
+        got = warc.read_archive(spark, str(tmp_path / "t.warc.gz"), malformed="row").collect()
+        assert {"urn:x:0", "urn:x:2", "urn:x:3"} <= {r.record_id for r in got} and [r.warc_type for r in got].count("malformed") == 1
+    (tmp_path / "t.warc.gz").write_bytes(whole[0] + whole[1][:-9])
+    assert [r.warc_type for r in warc.read_archive(spark, str(tmp_path / "t.warc.gz"), malformed="row").collect()][-1] == "malformed"
+    assert warc.read_archive(spark, str(tmp_path / "t.warc.gz"), malformed="row").where("warc_type = 'resource'").count() >= 1
+    (tmp_path / "t.warc").write_bytes(good[0] + good[1][:-7])
+    assert [r.warc_type for r in warc.read_archive(spark, str(tmp_path / "t.warc"), malformed="row").collect()] == ["resource", "malformed"]
+    with pytest.raises(ValueError):
+        warc.WarcReader("x", True, "drop")
+
+
 def test_warc_rows_without_or_with_repeated_ids(spark, tmp_path):
     big = "b" * 2000
     rows = [(None, "u", big)] * 3 + [(4, "u", big)] * 2 + [(None, "v", "c" * 2000)] * 2 + [(5, "w", "d" * 10)] * 2
