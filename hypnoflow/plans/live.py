@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import design
 from ..functions.sensors import signals_of
 from ..functions.signal import physical_to_digital, recording_name
-from ..operators import filters, resample
+from ..operators import filters, resample, series
 from ..sources import edf
 from ..streaming import live
 from .filtering import N_USER, NOTCH, SQL as FILTERING_SQL, SRC, step_sql
@@ -54,24 +54,36 @@ LATE_US, PIECES = 10 * 24 * HOUR, 2
 LATE = f"{LATE_US // 1_000_000} seconds"
 
 
-def staged(rows: DataFrame, end_us: int, key: str = "series", pieces: int = PIECES, late_us: int = LATE_US, delayed: bool = True) -> DataFrame:
-    """rows (key, us, event_id, value) as a stream with their time ts: pieces of the whole span, one after the other, each a micro-batch.
+def in_pieces(rows: DataFrame, end_us: int, key: str = "series", pieces: int = PIECES, late_us: int = LATE_US, delayed: bool = True) -> list[DataFrame]:
+    """rows (key, us, event_id, value) with their time ts, in pieces of the whole span.
 
-    delayed: every seventh row comes a piece late. A last row, which has no key, moves the watermark to end_us.
+    delayed: every seventh row comes a piece late, if it is not so old then that the watermark has passed it. A last piece is one row, which has no key and moves the watermark to end_us.
     """
     spark = rows.sparkSession
-    folder = shared_dir(spark)
     first, last = rows.agg(F.min("us"), F.max("us")).first()
     first, last = (first, last) if first is not None else (0, 0)
     length = max(-(-(last + 1 - first) // pieces), 1)
-    piece = F.floor((F.col("us") - first) / length) + F.when(F.lit(delayed) & (F.col("event_id") % 7 == 0), 1).otherwise(0)
-    cut = rows.withColumn("ts", F.timestamp_micros("us")).withColumn("_piece", F.least(piece, F.lit(pieces - 1)))
-    for i in range(pieces):
-        cut.where(F.col("_piece") == i).drop("_piece").repartition(4).write.mode("append").parquet(folder)
+    piece = F.floor((F.col("us") - first) / length)
+    allowed = F.lit(delayed) & (F.col("event_id") % 7 == 0) & (F.col("us") > first + (piece + 1) * length - late_us)
+    cut = rows.withColumn("ts", F.timestamp_micros("us")).withColumn("_piece", F.least(piece + F.when(allowed, 1).otherwise(0), F.lit(pieces - 1)))
+    out = [cut.where(F.col("_piece") == i).drop("_piece").repartition(4) for i in range(pieces)]
     end = spark.range(1).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit(end_us + late_us).cast("bigint").alias("us"))
     end = end.withColumn("ts", F.timestamp_micros("us"))
-    end.select(*[c if c in end.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in [*rows.columns, "ts"]]).write.mode("append").parquet(folder)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    return [*out, end.select(*[c if c in end.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in [*rows.columns, "ts"]])]
+
+
+def stream_of(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The files below a folder as a stream, four of them, which are a piece, in each micro-batch."""
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+def staged(rows: DataFrame, end_us: int, key: str = "series", **how) -> DataFrame:
+    """rows (key, us, event_id, value) as a stream with their time ts: its pieces are written one after the other, and each is a micro-batch."""
+    folder = shared_dir(rows.sparkSession)
+    pieces = in_pieces(rows, end_us, key, **how)
+    for piece in pieces:
+        piece.write.mode("append").parquet(folder)
+    return stream_of(rows.sparkSession, folder, pieces[0])
 
 
 def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
@@ -199,6 +211,85 @@ def edf_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edf.read_recordings(spark, path, "signals").select("signal_index", "label", "physical_min", "physical_max", "samples_per_record", "byte_offset")
 
 
+#: Beds that are recorded at once.
+BEDS = 4
+BED_SQL = TIMELINE_SQL["epoch_records"].replace(S_TYPE, f"s AS (SELECT 'bed' || user_id % {BEDS} || '/' || event_type AS series, epoch_us(ts) AS us, event_id, value FROM events)", 1)
+BED_SQL = BED_SQL.replace("CAST(greatest(-32768", "round(0.0 + (CAST(greatest(-32768", 1).replace(" AS INTEGER) AS digital, value IS NULL AS is_filled", " AS INTEGER) + 32768) * 500.0 / 65535.0, 6) + 0.0 AS value", 1)
+BED_SQL = BED_SQL.replace("SELECT d.series, d.record, d.k,", "SELECT split_part(d.series, '/', 1) AS recording, split_part(d.series, '/', 2) AS label, CAST(d.record AS BIGINT) AS record, CAST(d.record * 12 + d.k AS BIGINT) AS seq,", 1)
+
+
+class Beds:
+    """The events of each bed as a recording with a signal for every event type, in pieces, recorded as they come."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.base = spark, shared_dir(spark)
+        events = series_by(spark, sf_dir, "event_type")
+        users = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("bed"), (F.col("user_id") % BEDS).cast("string")).alias("recording"))
+        rows = events.join(users, "event_id").select("recording", F.col("series").alias("signal"), "us", "event_id", "value")
+        self.first, after = resample.span(events, HOUR)
+        # what a recorder records is configured: a few signals
+        self.labels = sorted(r.series for r in events.select("series").distinct().collect())
+        self.pieces = in_pieces(rows, after, "recording")
+        self.path = f"{self.base}/recordings"
+
+    def come(self, piece: DataFrame) -> None:
+        piece.write.mode("append").parquet(f"{self.base}/events")
+
+    def record(self) -> None:
+        """Records what has come since it was called before."""
+        records = live.record_stream(stream_of(self.spark, f"{self.base}/events", self.pieces[0]), [(label, 12) for label in self.labels], HOUR, self.first, LATE)
+        signals = [{"label": label, "physical_min": 0.0, "physical_max": 500.0, "samples_per_record": 12} for label in self.labels]
+        rounded_ = records.where("recording IS NOT NULL").withColumn("values", F.transform("values", lambda v: F.round(v, 6)))
+        with configured(self.spark, live.CONF):
+            edf.record_to(rounded_, self.path, f"{self.base}/recorder", signals, self.first, 3600.0).trigger(availableNow=True).start().awaitTermination()
+
+
+def of_beds(samples: DataFrame) -> DataFrame:
+    return rounded(samples.select(F.regexp_extract("path", "/(bed[0-9]+)-[^/]*$", 1).alias("recording"), "label", "record", "seq", "value"), "value")
+
+
+@query(BED_SQL)
+def edf_live_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beds recorded live, by a recorder that is stopped and started again, then stopped for good and read."""
+    beds = Beds(spark, sf_dir)
+    beds.come(beds.pieces[0])
+    beds.record()
+    for piece in beds.pieces[1:]:
+        beds.come(piece)
+    beds.record()
+    edf.stop_recordings(spark, beds.path)
+    return of_beds(edf.read_recordings(spark, beds.path))
+
+
+@query(BED_SQL)
+def edf_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings read as a stream while they grow; the reader is stopped and started again as well."""
+    beds = Beds(spark, sf_dir)
+    out, reader = f"{beds.base}/read", f"{beds.base}/reader"
+    for pieces in (beds.pieces[:1], beds.pieces[1:]):
+        for piece in pieces:
+            beds.come(piece)
+        beds.record()
+        samples = edf.stream_recordings(spark, beds.path)
+        samples.writeStream.format("parquet").option("path", out).option("checkpointLocation", reader).trigger(availableNow=True).start().awaitTermination()
+    return of_beds(spark.read.parquet(out))
+
+
+@query(f"""WITH {S_TYPE}, {SPAN}, h AS (SELECT DISTINCT series, (us - first) // {HOUR} AS hour FROM s, b)
+SELECT series, CAST(row_number() OVER (PARTITION BY series ORDER BY hour) - 1 AS BIGINT) AS record, CAST(hour * 3600 AS DOUBLE) AS start_s, CAST(first + hour * {HOUR} AS BIGINT) AS start_us FROM h, b""")
+def edf_record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording of every event type that has the hours with events only: where its records begin."""
+    rows = series_by(spark, sf_dir, "event_type")
+    first, after = resample.span(rows, HOUR)
+    own = resample.epochs(rows, HOUR, 12, first, after, own_span=True).where("NOT is_filled")
+    hours = series.numbered(own.where("k = 0").select("series", F.col("record").alias("hour")), "series", "hour").withColumnRenamed("seq", "record")
+    samples = own.withColumnRenamed("record", "hour").join(hours, ["series", "hour"])
+    kept = samples.select(F.col("series").alias("recording"), F.lit(0).alias("signal_index"), F.lit("value").alias("label"), "record", "k", "value", F.lit(0.0).alias("physical_min"), F.lit(500.0).alias("physical_max"), F.lit(first).alias("start_us"))
+    path = shared_dir(spark)
+    edf.write_recordings(kept, path, 3600.0, starts=hours.select(F.col("series").alias("recording"), "record", (F.col("hour") * 3600.0).alias("start_s")))
+    return edf.read_recordings(spark, path, "records").select(F.regexp_extract("path", "/([^/-]+)-[^/]*$", 1).alias("series"), "record", "start_s", "start_us")
+
+
 @query("""SELECT * FROM (VALUES ('heart', '', 0, 'HR', 'bpm', CAST(0 AS DOUBLE), CAST(240 AS DOUBLE), 30), ('heart', '', 1, 'HRV', 'ms', 0, 500, 30), ('temperature', '', 0, 'Skin', 'degC', -50, 150, 30), ('snore', '', 0, 'Snore', '', -1, 1, 15000),
 ('motion', 'movement', 0, 'Wrist', 'g', 0, 16, 300), ('motion', 'position', 0, 'Wrist Roll', 'deg', -180, 180, 300), ('motion', 'position', 1, 'Wrist Incl', 'deg', 0, 90, 300),
 ('motion', 'raw', 0, 'Wrist Accel X', 'g', -16, 16, 300), ('motion', 'raw', 1, 'Wrist Accel Y', 'g', -16, 16, 300), ('motion', 'raw', 2, 'Wrist Accel Z', 'g', -16, 16, 300),

@@ -7,9 +7,16 @@ annotation it starts at its number times the record duration. Option `signals` (
 decoded, and filters on signal_index and record are pushed down. kind=annotations, kind=records, kind=signals and kind=header
 give the other parts of a file. Spark keeps what was pushed with the loaded source: load anew for other filters in one query.
 
-Writing takes rows (recording, signal_index, label, record, k, value, physical_min, physical_max, start) already complete for each
-recording and record, sorted by recording, record, signal_index, k in one partition a recording (`write_recordings` sees to that); one
-record is held at a time. A file counts once its name is in the manifest.
+A recording that still grows can be read as a stream (`stream_recordings`): an offset is how many whole records each file has, so every sample
+comes once, whenever the stream is stopped and started again.
+
+Writing (`write_recordings`): records are of one size, so every record has a known place in its file. A recording is cut into shares of records that
+many tasks write, each in its own place of the one file, however often a task is run; the header comes with the first share, whose task is told
+how many records there are. On a store whose files cannot be changed in place, shares are files of their own and are put together by a task for each
+recording. The commit sees that all records are there and of one layout; a file counts once its name is in the manifest.
+
+Recording live (`record_to`, a streaming sink): records are written to their places as they come, so a batch that is repeated changes nothing, and the
+count in the header stays -1, which readers take from the file's size, until `stop_recordings` fills it in.
 
 A physical or digital range, a count or a duration that is no number is an error, not zero.
 """
@@ -17,19 +24,25 @@ A physical or digital range, a count or a duration that is no number is an error
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage,
+)
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from ..functions.signal import build_tal
@@ -45,6 +58,10 @@ RUN_BYTES, BATCH_SAMPLES = 1 << 20, 1 << 16
 #: Widths of the fields that each signal has, in the order of the header.
 SIGNAL_FIELDS = (("label", 16), ("transducer_type", 80), ("physical_dimension", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefiltering", 80), ("samples_per_record", 8), ("reserved", 32))
 HEADER_FIELDS = (("version", 8), ("patient_id", 80), ("recording_id", 80), ("day", 8), ("clock", 8), ("header_bytes", 8), ("reserved", 44), ("data_records", 8), ("record_duration", 8), ("signal_count", 4))
+#: Where the header says how many records there are.
+COUNT_AT = 236
+#: Bytes of records that one task writes, at most.
+SHARE_BYTES = 32 << 20
 SCHEMAS = {
     "samples": "path string, signal_index int, label string, record bigint, seq bigint, ts_us bigint, value double",
     "records": "path string, record bigint, start_s double, start_us bigint",
@@ -266,99 +283,358 @@ class EdfReader(DataSourceReader):
 
 
 @dataclass
-class Written(WriterCommitMessage):
-    files: list[str]
+class RecordShare(InputPartition):
+    """Records from `first` to before `after` of a file."""
+
+    path: str
+    first: int
+    after: int
+
+
+class EdfStreamReader(DataSourceStreamReader):
+    """Whole records that have been added to files since the offset before; new files are read from their first record on."""
+
+    def __init__(self, options: dict) -> None:
+        self.batch = EdfReader(options)
+        self.heads: dict[str, tuple[int, int]] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        offset = {}
+        for path, size in self.batch._files():
+            if path not in self.heads:
+                if size < 256:
+                    continue  # not even begun
+                system, own = located(path)
+                with system.open_input_file(own) as f:
+                    n = f.read(256)[252:256].decode("ascii", "replace").strip()
+                    if not n.isdecimal() or size < 256 * (int(n) + 1):
+                        continue
+                    f.seek(0)
+                    head = read_header(f, size)
+                self.heads[path] = (head.fields["header_bytes"], head.record_bytes)
+            start, record = self.heads[path]
+            offset[path] = max(size - start, 0) // record if record else 0
+        return offset
+
+    def partitions(self, start: dict, end: dict) -> list[RecordShare]:
+        parts = []
+        for path, after in sorted(end.items()):
+            system, own = located(path)
+            with system.open_input_file(own) as f:
+                step = max(1, PARTITION_BYTES // max(read_header(f, f.size()).record_bytes, 1))
+            first = start.get(path, 0)
+            parts += [RecordShare(path, r, min(r + step, after)) for r in range(first, after, step)]
+        return parts
+
+    def read(self, part: RecordShare) -> Iterator[pa.RecordBatch]:
+        system, own = located(part.path)
+        with system.open_input_file(own) as f:
+            yield from getattr(self.batch, f"_{self.batch.kind}")(part.path, read_header(f, f.size()), f, part.first, part.after)
 
 
 def padded(text: object, width: int) -> bytes:
     return str(text).encode("ascii", "replace")[:width].ljust(width)
 
 
-def build_header(start_us: int, signals: list[dict], data_records: int, duration: float = RECORD_SECONDS, patient: str = "X X X X", recording: str = "Startdate X X X X") -> bytes:
+def build_header(start_us: int, signals: list[dict], data_records: int, duration: float = RECORD_SECONDS, patient: str = "X X X X", recording: str = "Startdate X X X X", kind: str = "EDF+C") -> bytes:
     when = datetime.fromtimestamp(start_us / 1e6, tz=timezone.utc)
-    out = padded("0", 8) + padded(patient, 80) + padded(recording, 80) + when.strftime("%d.%m.%y%H.%M.%S").encode() + padded(256 * (len(signals) + 1), 8) + padded("EDF+C", 44)
+    out = padded("0", 8) + padded(patient, 80) + padded(recording, 80) + when.strftime("%d.%m.%y%H.%M.%S").encode() + padded(256 * (len(signals) + 1), 8) + padded(kind, 44)
     out += padded(data_records, 8) + padded(f"{duration:.6f}", 8) + padded(len(signals), 4)
     return out + b"".join(padded(s.get(name, ""), width) for name, width in SIGNAL_FIELDS for s in signals)
 
 
+def all_to_digital(v: np.ndarray, signals: list[dict]) -> np.ndarray:
+    """Whole records (rows of samples, signal after signal) as integers."""
+    across = lambda name: np.concatenate([np.full(s["samples_per_record"], float(s[name])) for s in signals])
+    low, high, least, most = (across(c) for c in ("physical_min", "physical_max", "digital_min", "digital_max"))
+    flat = high == low
+    d = np.floor((v - low) * (most - least) / np.where(flat, 1.0, high - low) + least + 0.5)
+    return np.where(flat, 0.0, np.nan_to_num(np.clip(d, least, most), nan=0.0)).astype("<i2")
+
+
+def time_kept(start_s: float) -> bytes:
+    return f"+{start_s:.3f}\x14\x14\x00".encode()
+
+
+def file_name(recording: str) -> str:
+    """A recording's own file name, without the ending: no two recordings share one."""
+    return f"{re.sub(r'[^A-Za-z0-9._-]', '_', recording)[:80]}-{zlib.crc32(recording.encode()):08x}"
+
+
+@dataclass
+class Share:
+    """What has been written of a recording: records from first to before after, or only its header's count where there are none."""
+
+    file: str
+    share: int
+    layout: str
+    first: int
+    after: int
+    records: int | None
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    shares: list[Share]
+
+
 class EdfWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, duration: float, patient: str, recording: str, annotation_samples: int | None = None) -> None:
-        self.path, self.duration, self.patient, self.recording = path, duration, patient, recording
+    """Rows are sorted by recording, share, record, signal_index, k. A row with signal_index -1 comes before its record's samples: it has the record's
+    annotations and start, or, with record -1, the number of all records."""
+
+    def __init__(self, path: str, duration: float, patient: str, recording: str, annotation_samples: int | None = None, gaps: bool = False, in_place: bool | None = None) -> None:
+        self.path, self.duration, self.patient, self.recording, self.gaps = path, duration, patient, recording, gaps
         self.annotation_samples = annotation_samples or ANNOTATION_SAMPLES
+        self.in_place = isinstance(located(path)[0], fs.LocalFileSystem) if in_place is None else in_place
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = located(self.path)
         system.create_dir(path, recursive=True)
-        files: list[str] = []
-        name, out, signals, records, size, start = None, None, [], 0, 0, 0
-        rest: pa.Table | None = None
-
-        def record(rows: pa.Table) -> None:
-            """Puts out one whole record of a recording."""
-            nonlocal name, out, signals, records, size, start
-            rows = rows.combine_chunks()
-            index = rows["signal_index"].to_numpy()
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1, [len(index)]])
-            own = rows["recording"][0].as_py()
-            if own != name:
-                finish()
-                name, records, size = own, 0, 0
-                start = rows["start_us"][0].as_py()
-                signals = [{"label": rows["label"][a].as_py(), "physical_min": rows["physical_min"][a].as_py(), "physical_max": rows["physical_max"][a].as_py(), "digital_min": -32768, "digital_max": 32767, "samples_per_record": int(b - a)} for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                signals.append({"label": ANNOTATIONS, "physical_min": -1, "physical_max": 1, "digital_min": -32768, "digital_max": 32767, "samples_per_record": self.annotation_samples})
-                files.append(f"{re.sub(r'[^A-Za-z0-9._-]', '_', str(own))}-{uuid.uuid4().hex}.edf.part")
-                out = system.open_output_stream(posixpath.join(path, files[-1]), compression=None)
-            if [int(b - a) for a, b in zip(bounds[:-1], bounds[1:])] != [s["samples_per_record"] for s in signals[:-1]]:
-                raise ValueError(f"record {records} of {own} does not have the samples of the first")
-            value = rows["value"].to_numpy()
-            for s, a, b in zip(signals, bounds[:-1].tolist(), bounds[1:].tolist()):
-                out.write(to_digital(value[a:b], s).tobytes())
-            kept = f"+{records * self.duration:.3f}\x14\x14\x00".encode()
-            kept += "".join(rows["tals"][0].as_py() or ()).encode()
-            if len(kept) > 2 * self.annotation_samples:
-                raise ValueError(f"the annotations of record {records} of {own} do not fit {2 * self.annotation_samples} bytes")
-            out.write(kept.ljust(2 * self.annotation_samples, b"\x00"))
-            records += 1
-
-        def finish() -> None:
-            """The header is known only now, and not every store lets a file be changed: it goes before the records."""
-            nonlocal out
-            if out is None:
+        done: list[Share] = []
+        open_file: tuple[str, object] | None = None
+        signals: list[dict] = []
+        pattern = np.zeros(0, np.int32)
+
+        def put(share: Share, at: int, data: bytes) -> None:
+            """Writes data to its place, or to the end of the share's own file."""
+            nonlocal open_file
+            name = posixpath.join(path, f"{share.file}.part" if self.in_place else f"{share.file}.{share.share:08d}.part")
+            if open_file is None or open_file[0] != name:
+                close()
+                open_file = (name, os.open(name, os.O_RDWR | os.O_CREAT, 0o644) if self.in_place else system.open_output_stream(name, compression=None))
+            if not self.in_place:
+                open_file[1].write(data)
                 return
-            out.close()
-            part, whole = posixpath.join(path, files[-1]), posixpath.join(path, files[-1].removesuffix(".part"))
-            with system.open_input_stream(part, compression=None) as f, system.open_output_stream(whole, compression=None) as g:
-                g.write(build_header(start, signals, records, self.duration, self.patient, self.recording))
-                while piece := f.read(8 << 20):
-                    g.write(piece)
-            system.delete_file(part)
-            files[-1] = files[-1].removesuffix(".part")
-            out = None
-
-        for batch in iterator:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            rec, who = rows["record"].to_numpy(), np.array(rows["recording"].to_pylist(), object)
-            new = np.flatnonzero((np.diff(rec) != 0) | (who[1:] != who[:-1])) + 1
-            bounds = [0, *new.tolist()]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                record(rows.slice(a, b - a))
-            rest = rows.slice(bounds[-1])
-        if rest is not None and rest.num_rows:
-            record(rest)
-        finish()
-        return Written(files)
+            view = memoryview(data)
+            while view:
+                n = os.pwrite(open_file[1], view, at)
+                view, at = view[n:], at + n
+
+        def close() -> None:
+            nonlocal open_file
+            if open_file is not None:
+                os.close(open_file[1]) if self.in_place else open_file[1].close()
+            open_file = None
+
+        def run(rows: pa.Table) -> None:
+            """Puts out whole records of one share."""
+            nonlocal signals, pattern
+            own, number = rows["recording"][0].as_py(), rows["share"][0].as_py()
+            name = f"{file_name(own)}-{self.job}.edf"
+            if not done or (done[-1].file, done[-1].share) != (name, number):
+                done.append(Share(name, number, "", 0, 0, None))
+                signals = []
+            share = done[-1]
+            mark = rows["signal_index"].to_numpy() < 0
+            told = rows.filter(pa.array(mark)).select(["record", "records", "start_s", "tals"]).to_pylist()
+            notes = {t["record"]: t for t in told if t["record"] >= 0}
+            share.records = next((t["records"] for t in told if t["record"] < 0), share.records)
+            rows = rows.filter(pa.array(~mark))
+            index, record, value = (rows[c].to_numpy() for c in ("signal_index", "record", "value"))
+            if not signals and len(index):
+                first = record == record[0]
+                pattern = index[first]
+                bounds = np.flatnonzero(np.diff(pattern, prepend=-1, append=-2)).tolist()
+                signals = [{"label": rows["label"][a].as_py(), "physical_min": rows["physical_min"][a].as_py(), "physical_max": rows["physical_max"][a].as_py(), "digital_min": -32768, "digital_max": 32767, "samples_per_record": b - a} for a, b in zip(bounds[:-1], bounds[1:])]
+                share.layout, share.first, share.after = json.dumps(signals), int(record[0]), int(record[0])
+            width = len(pattern)
+            which = record[::width] if width else record
+            wrong = next(iter(sorted(set(notes) - set(record.tolist()))), None)
+            if wrong is not None:
+                raise ValueError(f"annotations of record {wrong} of {own}, which has no samples")
+            if len(record) != len(which) * width or (record != np.repeat(which, width)).any() or (index != np.tile(pattern, len(which))).any():
+                raise ValueError(f"a record of {own} from {which[0]} on does not have the samples of the share's first")
+            if (which != share.after + np.arange(len(which))).any():
+                raise ValueError(f"record {share.after} of {own} is missing")
+            if not len(which):
+                return  # a recording's number of records, without its first one
+            count, samples = len(which), 2 * width
+            header, size = 256 * (len(signals) + 2), samples + 2 * self.annotation_samples
+            if share.records is not None and share.first == share.after == 0:
+                every = [*signals, {"label": ANNOTATIONS, "physical_min": -1, "physical_max": 1, "digital_min": -32768, "digital_max": 32767, "samples_per_record": self.annotation_samples}]
+                put(share, 0, build_header(rows["start_us"][0].as_py(), every, share.records, self.duration, self.patient, self.recording, "EDF+D" if self.gaps else "EDF+C"))
+            out = np.zeros((count, size), np.uint8)
+            out[:, :samples] = all_to_digital(value.reshape(count, width), signals).view(np.uint8)
+            for i, r in enumerate(which.tolist()):
+                note = notes.get(r, {})
+                kept = time_kept(r * self.duration if note.get("start_s") is None else note["start_s"]) + "".join(note.get("tals") or ()).encode()
+                if len(kept) > 2 * self.annotation_samples:
+                    raise ValueError(f"the annotations of record {r} of {own} do not fit {2 * self.annotation_samples} bytes")
+                out[i, samples : samples + len(kept)] = np.frombuffer(kept, np.uint8)
+            put(share, header + share.after * size, out.tobytes())
+            share.after += count
+
+        def cuts(rows: pa.Table, names: list[str]) -> np.ndarray:
+            """The rows at which any of the columns changes."""
+            new = np.zeros(max(rows.num_rows - 1, 0), bool)
+            for c in names:
+                column = rows[c].combine_chunks()
+                new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            return np.flatnonzero(new) + 1
+
+        rest: pa.Table | None = None
+        try:
+            for batch in iterator:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if rest is None else pa.concat_tables([rest, rows])
+                # the last record may go on in the next batch
+                ends = cuts(rows, ["recording", "share", "record"])
+                whole = int(ends[-1]) if len(ends) else 0
+                rest = rows.slice(whole)
+                whole = rows.slice(0, whole)
+                bounds = [0, *cuts(whole, ["recording", "share"]).tolist(), whole.num_rows] if whole.num_rows else []
+                for a, b in zip(bounds, bounds[1:]):
+                    run(whole.slice(a, b - a))
+            if rest is not None and rest.num_rows:
+                run(rest)
+        finally:
+            close()
+        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Sees that every recording is whole, and makes its file count."""
+        of: dict[str, list[Share]] = {}
+        for share in (x for m in messages if m for x in m.shares):
+            of.setdefault(share.file, []).append(share)
+        for name, shares in of.items():
+            shares.sort(key=lambda x: x.share)
+            written = [x for x in shares if x.after > x.first]
+            at = 0
+            for x in written:
+                if x.first != at:
+                    raise ValueError(f"record {at} of {name} is missing")
+                if x.layout != written[0].layout:
+                    raise ValueError(f"record {x.first} of {name} does not have the samples of the first")
+                at = x.after
+            if at != next((x.records for x in shares if x.records is not None), None):
+                raise ValueError(f"record {at} of {name} is missing")
         system, path = located(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(posixpath.join(path, MANIFEST)) as out:
-            out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        if not self.in_place:
+            parts = {name: [f"{name}.{x.share:08d}.part" for x in shares if x.after > x.first] for name, shares in of.items()}
+            with system.open_output_stream(posixpath.join(path, f"{self.job}{SHARES}")) as out:
+                out.write(json.dumps(parts).encode())
+            return
+        for name in of:
+            system.move(posixpath.join(path, f"{name}.part"), posixpath.join(path, name))
+        publish(self.path, sorted(of))
 
     def abort(self, messages: list[Written | None]) -> None:
         system, path = located(self.path)
-        for name in (f for m in messages if m for f in m.files):
-            system.delete_file(posixpath.join(path, name))
+        for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if self.job in info.base_name and info.base_name.endswith(".part"):
+                system.delete_file(info.path)
+
+
+#: The ending of the list of shares that are still to be put together.
+SHARES = ".shares.json"
+
+
+def publish(where: str, names: list[str]) -> None:
+    """Writes the manifest."""
+    system, path = located(where)
+    with system.open_output_stream(posixpath.join(path, MANIFEST)) as out:
+        out.write(json.dumps(names).encode())
+
+
+def put_together(spark: SparkSession, where: str) -> None:
+    """Recordings whose shares are files of their own, each by one task, copied a few megabytes at a time."""
+    system, path = located(where)
+    lists = [i for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(SHARES)]
+    if not lists:
+        return
+    parts: dict[str, list[str]] = {}
+    for info in lists:
+        with system.open_input_stream(info.path) as f:
+            parts |= json.loads(f.read())
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = located(where)
+        for batch in batches:
+            for name, shares in zip(batch["name"].to_pylist(), batch["shares"].to_pylist()):
+                with system.open_output_stream(posixpath.join(path, name), compression=None) as out:
+                    for share in shares:
+                        with system.open_input_stream(posixpath.join(path, share), compression=None) as f:
+                            while piece := f.read(8 << 20):
+                                out.write(piece)
+            yield pa.RecordBatch.from_arrays([batch["name"]], ["name"])
+
+    todo = spark.createDataFrame(list(parts.items()), "name string, shares array<string>").repartition(max(len(parts), 1), "name")
+    publish(where, sorted(r.name for r in todo.mapInArrow(copied, "name string").collect()))
+    for name in [x for shares in parts.values() for x in shares] + [i.base_name for i in lists]:
+        system.delete_file(posixpath.join(path, name))
+
+
+class EdfRecorder(DataSourceStreamArrowWriter):
+    """Writes rows (recording, signal_index, record, values) to their places; a recording's rows of a record are in one task, in order."""
+
+    def __init__(self, path: str, duration: float, start_us: int, signals: list[dict], patient: str, recording: str) -> None:
+        if not isinstance(located(path)[0], fs.LocalFileSystem):
+            raise ValueError(f"a recording grows in place, which files of {path} cannot")
+        self.path, self.duration, self.start_us, self.patient, self.recording = path, duration, start_us, patient, recording
+        notes = {"label": ANNOTATIONS, "physical_min": -1, "physical_max": 1, "samples_per_record": ANNOTATION_SAMPLES}
+        self.signals = [{"digital_min": -32768, "digital_max": 32767} | s for s in [*signals, notes]]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        _, path = located(self.path)
+        os.makedirs(path, exist_ok=True)
+        offsets = np.cumsum([0, *(2 * s["samples_per_record"] for s in self.signals)]).tolist()
+        header, size = build_header(self.start_us, self.signals, -1, self.duration, self.patient, self.recording), offsets[-1]
+        files: dict[str, int] = {}
+        try:
+            for batch in iterator:
+                rows = sorted(zip(*(batch[c].to_pylist() for c in ("recording", "record", "signal_index", "values"))), key=lambda r: r[:3] if r[0] is not None else ("",))
+                for i, (who, record, index, values) in enumerate(rows):
+                    if who is None:
+                        continue
+                    if who not in files:
+                        files[who] = os.open(posixpath.join(path, f"{file_name(who)}.edf"), os.O_RDWR | os.O_CREAT, 0o644)
+                        if os.fstat(files[who]).st_size < len(header):
+                            os.pwrite(files[who], header, 0)
+                    s, at = self.signals[index], len(header) + record * size
+                    if len(values) != s["samples_per_record"]:
+                        raise ValueError(f"record {record} of {who} does not have the samples of {s['label']}")
+                    os.pwrite(files[who], to_digital(np.array(values, float), s).tobytes(), at + offsets[index])
+                    if i + 1 == len(rows) or rows[i + 1][:2] != (who, record):
+                        # the annotations are a record's end: with them it is whole
+                        os.pwrite(files[who], time_kept(record * self.duration).ljust(2 * ANNOTATION_SAMPLES, b"\x00"), at + offsets[-2])
+            for f in files.values():
+                os.fsync(f)
+        finally:
+            for f in files.values():
+                os.close(f)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list, batchId: int) -> None:
+        """Nothing is left to do: what a batch writes has its place, and comes there again if the batch is repeated."""
+
+    def abort(self, messages: list, batchId: int) -> None:
+        """Records that a batch has left are written again when it is repeated."""
+
+
+def stop_recordings(spark: SparkSession, where: str) -> None:
+    """Fills in how many records the recordings below a folder have; what a record that is not whole has left goes."""
+    system, path = located(where)
+    names = [i.path for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(".edf")]
+
+    def stopped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                size = os.path.getsize(name)
+                with pa.OSFile(name) as f:
+                    head = read_header(f, size)
+                records = (size - head.fields["header_bytes"]) // head.record_bytes
+                with open(name, "r+b") as f:
+                    f.truncate(head.fields["header_bytes"] + records * head.record_bytes)
+                    f.seek(COUNT_AT)
+                    f.write(padded(records, 8))
+            yield batch
+
+    spark.createDataFrame([(n,) for n in names], "name string").repartition(8, "name").mapInArrow(stopped, "name string").count()
 
 
 class EdfSource(DataSource):
@@ -372,41 +648,84 @@ class EdfSource(DataSource):
     def reader(self, schema: StructType) -> EdfReader:
         return EdfReader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> EdfStreamReader:
+        return EdfStreamReader(dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool) -> EdfWriter:
-        return EdfWriter(self.options["path"], float(self.options.get("record_seconds", RECORD_SECONDS)), self.options.get("patient", "X X X X"), self.options.get("recording", "Startdate X X X X"), int(self.options["annotation_samples"]) if "annotation_samples" in self.options else None)
+        o = self.options
+        in_place = {"true": True, "false": False}.get(o.get("in_place", ""))
+        return EdfWriter(o["path"], float(o.get("record_seconds", RECORD_SECONDS)), o.get("patient", "X X X X"), o.get("recording", "Startdate X X X X"), int(o["annotation_samples"]) if "annotation_samples" in o else None, o.get("gaps") == "true", in_place)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> EdfRecorder:
+        o = self.options
+        return EdfRecorder(o["path"], float(o.get("record_seconds", RECORD_SECONDS)), int(o["start_us"]), json.loads(o["signals"]), o.get("patient", "X X X X"), o.get("recording", "Startdate X X X X"))
 
 
-def write_recordings(rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X") -> None:
+def write_recordings(
+    rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X", starts: DataFrame | None = None, in_place: bool | None = None
+) -> None:
     """One file a recording from (recording, signal_index, label, record, k, value, physical_min, physical_max, start_us).
 
+    Records are numbered from 0 without a gap, and have the samples of the first one; anything else is an error. A null recording is named "null".
     annotations: (recording, record, onset, duration, text). The annotation signal is as wide as the fullest record needs,
-    2 * ANNOTATION_SAMPLES bytes at least; annotations of a record that does not exist are an error. patient, recording: the
-    header's identification fields.
+    2 * ANNOTATION_SAMPLES bytes at least; annotations of a record that does not exist are an error, as is one without a text; control characters that
+    annotations are told apart by become blanks. starts: (recording, record, start_s) of records that do not follow the one before at once; the files are
+    EDF+D then. patient, recording: the header's identification fields. in_place: whether files can be changed in place (None: local ones can).
     """
-    rows.sparkSession.dataSource.register(EdfSource)
+    spark = rows.sparkSession
+    spark.dataSource.register(EdfSource)
+    who = lambda df: F.coalesce(df["recording"].cast("string"), F.lit("null")).alias("recording")
+    kept = rows.select(who(rows), F.col("signal_index").cast("int").alias("signal_index"), "label", F.col("record").cast("bigint").alias("record"), F.col("k").cast("bigint").alias("k"), F.col("value").cast("double").alias("value"), "physical_min", "physical_max", "start_us")
+    sizes = kept.groupBy("recording").agg((F.max("record") + 1).alias("records"), F.count(F.lit(1)).alias("samples"))
+    total = sizes.agg(F.sum("records").alias("records"), F.sum("samples").alias("samples")).first()
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # shares for all tasks, none of more than SHARE_BYTES
+    step = max(1, min(-(-(total.records or 0) // tasks), SHARE_BYTES * (total.records or 0) // max(2 * (total.samples or 1), 1)))
+    marks = [sizes.select("recording", F.lit(-1).cast("bigint").alias("record"), "records")]
     samples = None
-    kept = rows.select("recording", F.col("signal_index").cast("int").alias("signal_index"), "label", F.col("record").cast("bigint").alias("record"), "k", "value", "physical_min", "physical_max", "start_us")
-    if annotations is None:
-        kept = kept.withColumn("tals", F.lit(None).cast("array<string>"))
-    else:
-        tal = F.struct("onset", build_tal(F.col("onset"), F.col("duration"), F.col("text")).alias("tal"))
-        blocks = annotations.groupBy("recording", "record").agg(F.array_sort(F.collect_list(tal))["tal"].alias("tals"))
-        # a block goes to the first row of its record only: it would be repeated for every sample
-        heads = kept.groupBy("recording", "record").agg(F.min(F.struct("signal_index", "k")).alias("head"))
-        placed = blocks.join(heads, ["recording", "record"], "left").select("recording", "record", "head.signal_index", "head.k", "tals")
-        lost = placed.where("signal_index is null").first()
+    if annotations is not None:
+        text = F.when(F.col("text").isNull(), F.raise_error(F.lit("an annotation without a text"))).otherwise(F.translate("text", "\x14\x15\x00", "   "))
+        tal = F.struct("onset", build_tal(F.col("onset"), F.col("duration"), text).alias("tal"))
+        blocks = annotations.select(who(annotations), F.col("record").cast("bigint").alias("record"), tal.alias("tal")).groupBy("recording", "record").agg(F.array_sort(F.collect_list("tal"))["tal"].alias("tals"))
+        lost = blocks.join(sizes, "recording", "left").where("records IS NULL OR record IS NULL OR record < 0 OR record >= records").select("recording", "record").first()
         if lost is not None:
             raise ValueError(f"annotations of record {lost.record} of {lost.recording}, which has no samples")
-        size = F.octet_length(F.concat_ws("", "tals")) + F.length(F.format_string("+%.3f", F.col("record") * float(record_seconds))) + 3
+        size = F.octet_length(F.concat_ws("", "tals")) + F.length(F.format_string("+%.3f", F.col("record") * float(record_seconds))) + (3 if starts is None else 12)
         samples = max(ANNOTATION_SAMPLES, -(-(blocks.agg(F.max(size)).first()[0] or 0) // 2))
         if samples >= 10**8:
             raise ValueError(f"{samples} samples of annotations a record are more than the header's field can say")
-        kept = kept.join(placed, ["recording", "record", "signal_index", "k"], "left")
-    ordered = kept.repartition("recording").sortWithinPartitions("recording", "record", "signal_index", "k")
-    writer = ordered.write.format("edf").option("record_seconds", str(record_seconds)).option("patient", patient).option("recording", recording)
-    if samples is not None:
-        writer = writer.option("annotation_samples", str(samples))
+        marks.append(blocks)
+    if starts is not None:
+        marks.append(starts.select(who(starts), F.col("record").cast("bigint").alias("record"), F.col("start_s").cast("double").alias("start_s")))
+    told = marks[0]
+    for more in marks[1:]:
+        told = told.unionByName(more, allowMissingColumns=True)
+    told = told.select("recording", "record", *[(F.col(c) if c in told.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("records", "bigint"), ("start_s", "double"), ("tals", "array<string>"))])
+    if len(marks) > 2:  # a record's annotations and start are one row
+        told = told.groupBy("recording", "record").agg(*[F.max(c).alias(c) for c in ("records", "start_s", "tals")])
+    both = kept.unionByName(told.withColumn("signal_index", F.lit(-1)), allowMissingColumns=True).withColumn("share", F.floor(F.greatest("record", F.lit(0)) / step).cast("bigint"))
+    ordered = both.repartition("recording", "share").sortWithinPartitions("recording", "share", "record", "signal_index", "k")
+    writer = ordered.write.format("edf").option("record_seconds", str(record_seconds)).option("patient", patient).option("recording", recording).option("gaps", str(starts is not None).lower())
+    for name, value in (("annotation_samples", samples), ("in_place", in_place if in_place is None else str(in_place).lower())):
+        writer = writer if value is None else writer.option(name, str(value))
     writer.mode("append").save(path)
+    put_together(spark, path)
+
+
+def record_to(records: DataFrame, path: str, checkpoint: str, signals: list[dict], start_us: int, record_seconds: float = RECORD_SECONDS) -> DataStreamWriter:
+    """A stream of records (recording, signal_index, record, values), to be started: one growing file a recording.
+
+    signals: label, physical_min, physical_max, samples_per_record of each, in order.
+    """
+    records.sparkSession.dataSource.register(EdfSource)
+    rows = records.select(F.col("recording").cast("string").alias("recording"), F.col("signal_index").cast("int").alias("signal_index"), F.col("record").cast("bigint").alias("record"), "values")
+    return rows.writeStream.format("edf").option("path", path).option("checkpointLocation", checkpoint).option("record_seconds", str(record_seconds)).option("start_us", str(start_us)).option("signals", json.dumps(signals)).outputMode("append")
+
+
+def stream_recordings(spark: SparkSession, path: str, kind: str = "samples") -> DataFrame:
+    """The recordings below a folder as they grow."""
+    spark.dataSource.register(EdfSource)
+    return spark.readStream.format("edf").option("kind", kind).load(path)
 
 
 def read_recordings(spark: SparkSession, path: str, kind: str = "samples", signals: str | None = None) -> DataFrame:

@@ -127,6 +127,149 @@ def test_annotations_are_written(spark, tmp_path):
     assert edf.read_recordings(spark, str(tmp_path / "n"), "header").first().patient_id == "P1 F X Ann"
 
 
+def files_of(path):
+    return {f.name.rsplit("-", 1)[0]: f.read_bytes() for f in path.iterdir() if f.suffix == ".edf"}
+
+
+def test_shares_make_the_file_that_one_task_makes(spark, tmp_path):
+    """Whatever the shares and the store: the same bytes, with annotations, several recordings, ranges and widths."""
+    notes = spark.createDataFrame([("one", r, r * 2.0 + 0.5, None, f"n{r}") for r in range(0, 97, 3)] + [("a b", 2, 4.0, 1.0, "x")], "recording string, record bigint, onset double, duration double, text string")
+    data = rows("one", ["EEG", "ECG"], 97, 8) + rows("two", ["EEG"], 3, 5) + rows("a b", ["A", "B", "C"], 4, 2) + rows("a_b", ["A"], 4, 2)
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, partitions, in_place in (("many", "16", None), ("one", "1", None), ("parts", "16", False)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            edf.write_recordings(df, str(tmp_path / name), 2.0, notes, in_place=in_place)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    made = [files_of(tmp_path / name) for name in ("many", "one", "parts")]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 4
+    assert not [f for name in ("many", "one", "parts") for f in (tmp_path / name).iterdir() if f.suffix == ".part" or "shares" in f.name]
+    again = [edf.read_recordings(spark, str(tmp_path / name), "annotations").count() for name in ("many", "parts")]
+    assert again == [34, 34] and edf.read_recordings(spark, str(tmp_path / "many")).count() == len(data)
+
+
+def test_repeated_tasks_change_nothing(tmp_path):
+    """A share that is written twice, by two tasks, leaves the file as it is."""
+    import pyarrow as pa
+
+    writer = edf.EdfWriter(str(tmp_path), 1.0, "X X X X", "Startdate X X X X")
+    names = ["recording", "share", "record", "signal_index", "k", "value", "label", "physical_min", "physical_max", "start_us", "records", "start_s", "tals"]
+    mark = ("n", 0, -1, -1, None, None, None, None, None, None, 6, None, None)
+    shares = [[mark]] + [[]] * 2
+    shares = [s + [("n", i, r, 0, k, float(r * 3 + k), "A", -100.0, 100.0, 0, None, None, None) for r in (2 * i, 2 * i + 1) for k in range(3)] for i, s in enumerate(shares)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*s), kinds)], names) for s in shares]
+    messages = [writer.write(iter([batches[i].slice(j, 2) for j in range(0, batches[i].num_rows, 2)])) for i in (2, 0, 1)]
+    first = next(tmp_path.glob("*.part")).read_bytes()
+    writer.write(iter([batches[1], batches[2]]))
+    assert next(tmp_path.glob("*.part")).read_bytes() == first
+    with pytest.raises(ValueError, match="record 2"):
+        writer.commit([messages[0], messages[1]])
+    with pytest.raises(ValueError, match="record 4"):
+        writer.commit(messages[1:])
+    writer.commit(messages)
+    head = next(tmp_path.glob("*.edf")).read_bytes()
+    assert head[edf.COUNT_AT : edf.COUNT_AT + 8] == b"6       " and len(head) == 768 + 6 * (6 + 128)
+    writer.abort([])
+
+
+def test_recordings_that_are_not_whole(spark, tmp_path):
+    for i, (bad, what) in enumerate([([r for r in rows("x", ["A"], 5, 4) if r[3] != 2], "record 2"), (rows("x", ["A"], 2, 4) + [("x", 1, "B", 1, 0, 1.0, -1.0, 1.0, 0)], "samples"), ([r for r in rows("x", ["A"], 3, 4) if r[3]], "record 0")]):
+        with pytest.raises(Exception, match=what):
+            edf.write_recordings(spark.createDataFrame(bad, SCHEMA), str(tmp_path / f"b{i}"))
+        assert not list((tmp_path / f"b{i}").glob("*.edf"))
+    notes = spark.createDataFrame([("x", 0, 0.0, None, None)], "recording string, record bigint, onset double, duration double, text string")
+    with pytest.raises(Exception, match="without a text"):
+        edf.write_recordings(spark.createDataFrame(rows("x", ["A"], 1, 4), SCHEMA), str(tmp_path / "t"), annotations=notes)
+    odd = spark.createDataFrame([("x", 0, 0.0, None, "a\x14b\x15c\x00d")], notes.schema)
+    edf.write_recordings(spark.createDataFrame(rows("x", ["A"], 1, 4) + [(None, *r[1:]) for r in rows("", ["A"], 2, 4)], SCHEMA), str(tmp_path / "o"), annotations=odd)
+    assert [r.text for r in edf.read_recordings(spark, str(tmp_path / "o"), "annotations").collect()] == ["a b c d"]
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in (r.path for r in edf.read_recordings(spark, str(tmp_path / "o"), "header").collect())} == {"x", "null"}
+    edf.write_recordings(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"))
+    assert edf.read_recordings(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_starts_of_records(spark, tmp_path):
+    starts = spark.createDataFrame([("x", 1, 7.25), ("x", 2, 3600.0)], "recording string, record bigint, start_s double")
+    notes = spark.createDataFrame([("x", 1, 7.5, None, "here")], "recording string, record bigint, onset double, duration double, text string")
+    edf.write_recordings(spark.createDataFrame(rows("x", ["A"], 3, 2), SCHEMA), str(tmp_path / "g"), 2.0, notes, starts=starts)
+    got = edf.read_recordings(spark, str(tmp_path / "g"), "records").orderBy("record").collect()
+    assert [r.start_s for r in got] == [0.0, 7.25, 3600.0]
+    assert next((tmp_path / "g").glob("*.edf")).read_bytes()[192:197] == b"EDF+D"
+    samples = edf.read_recordings(spark, str(tmp_path / "g")).orderBy("seq").collect()
+    assert [r.ts_us - 1_700_000_000_000_000 for r in samples] == [0, 1_000_000, 7_250_000, 8_250_000, 3_600_000_000, 3_601_000_000]
+    assert [r.text for r in edf.read_recordings(spark, str(tmp_path / "g"), "annotations").collect()] == ["here"]
+
+
+LIVE = [{"label": "A", "physical_min": -10.0, "physical_max": 10.0, "samples_per_record": 2}, {"label": "B", "physical_min": 0.0, "physical_max": 1.0, "samples_per_record": 1}]
+
+
+def come(folder, batch, records, who=("n",)):
+    """A file of records for the stream to find."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    data = [(w, i, r, [float(r), -float(r)] if i == 0 else [r / 100]) for w in who for r in records for i in (1, 0)]
+    kinds = [("recording", pa.string()), ("signal_index", pa.int32()), ("record", pa.int64()), ("values", pa.list_(pa.float64()))]
+    folder.mkdir(exist_ok=True)
+    pq.write_table(pa.table([pa.array(c, k) for c, (_, k) in zip(zip(*data), kinds)], names=[n for n, _ in kinds]), folder / f"{batch}.parquet")
+
+
+def test_recorder_and_reader_that_stop_and_start(spark, tmp_path):
+    """Records come in batches; recorder and reader are new queries each time; the reader sees every sample once."""
+    schema = "recording string, signal_index int, record bigint, values array<double>"
+
+    def recorded():
+        records = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        edf.record_to(records, str(tmp_path / "out"), str(tmp_path / "c1"), LIVE, 1_700_000_000_000_000, 1.0).trigger(availableNow=True).start().awaitTermination()
+
+    def read():
+        edf.stream_recordings(spark, str(tmp_path / "out")).writeStream.format("parquet").option("path", str(tmp_path / "read")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / "read")).count()
+
+    come(tmp_path / "in", "a", range(3))
+    recorded()
+    assert read() == 9 and read() == 9
+    head = edf.read_recordings(spark, str(tmp_path / "out"), "header").first()
+    assert head.data_records == 3 and next((tmp_path / "out").glob("*.edf")).read_bytes()[edf.COUNT_AT : edf.COUNT_AT + 8] == b"-1      "
+    come(tmp_path / "in", "b", range(3, 5), ("n", "m/1"))
+    come(tmp_path / "in", "c", range(0, 3), ("m/1",))
+    recorded()
+    # half a record at the end, as a writer leaves it that is killed
+    (name,) = [f for f in (tmp_path / "out").glob("n-*.edf")]
+    with open(name, "ab") as f:
+        f.write(b"xxx")
+    assert read() == 30
+    come(tmp_path / "in", "d", range(5, 6))
+    recorded()
+    assert read() == 33
+    edf.stop_recordings(spark, str(tmp_path / "out"))
+    got = edf.read_recordings(spark, str(tmp_path / "out")).collect()
+    assert {r.data_records for r in edf.read_recordings(spark, str(tmp_path / "out"), "header").collect()} == {6, 5}
+    once = spark.read.parquet(str(tmp_path / "read")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, once)) and len(once) == 33
+    assert all(abs(r.value - (r.record * (1 - 2 * (r.seq % 2)) if r.label == "A" else r.record / 100)) < 1e-3 for r in got)
+
+
+def test_recorder_repeats_a_batch(tmp_path):
+    import pyarrow as pa
+
+    recorder = edf.EdfRecorder(str(tmp_path), 1.0, 0, LIVE, "X X X X", "Startdate X X X X")
+    data = [("n", i, r, [1.0 * r] * (2 - i)) for r in range(4) for i in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*data)], ["recording", "signal_index", "record", "values"])
+    recorder.write(iter([batch.slice(0, 4)]))
+    recorder.write(iter([batch]))
+    first = next(tmp_path.glob("*.edf")).read_bytes()
+    recorder.write(iter([batch]))
+    assert next(tmp_path.glob("*.edf")).read_bytes() == first and len(first) == 1024 + 4 * (6 + 128)
+    with pytest.raises(ValueError, match="samples of B"):
+        recorder.write(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(("n", 1, 0, [1.0, 2.0]))], batch.schema.names)]))
+    with pytest.raises(Exception):
+        edf.EdfRecorder("s3://bucket/x", 1.0, 0, LIVE, "", "")
+
+
 def test_sensor_signals(spark):
     from hypnoflow.functions.sensors import signals_of
 
