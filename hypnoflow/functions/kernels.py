@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Sequence
 from functools import lru_cache
@@ -219,3 +219,63 @@ def beats_after(tail: list[int], packed: tuple[list[int], list[int], list[list[i
     begin, owner, tails = packed
     which = owner[bisect_right(begin, tail[-1] - SHORTEST + 1 if tail else 0) - 1]
     return tail if which < 0 else [*tail, *tails[which]][-window:]
+
+
+def _ends(t: np.ndarray, wait: int, start: np.ndarray) -> np.ndarray:
+    """Where one comes to from each start by going on to the first time at least `wait` later, as long as there is one."""
+    jumps = [np.append(np.maximum(np.searchsorted(t, t + wait, side="left"), np.arange(1, len(t) + 1)), len(t))]
+    while (jumps[-1] < len(t)).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    at = start.copy()
+    for jump in reversed(jumps):
+        at = np.where(jump[at] < len(t), jump[at], at)
+    return at
+
+
+def thinned(t: np.ndarray, wait: int, last: int | None) -> np.ndarray:
+    """Which of the times, in order, a throttle lets through that let one through at `last` before them."""
+    through = np.zeros(len(t) + 1, bool)
+    jump = np.append(np.maximum(np.searchsorted(t, t + wait, side="left"), np.arange(1, len(t) + 1)), len(t))
+    reached = np.array([0 if last is None else int(np.searchsorted(t, last + wait, side="left"))])
+    # the rows reached from these, then twice as many, and so on
+    while (reached < len(t)).any():
+        through[reached] = True
+        reached, jump = np.concatenate([reached, jump[reached]]), jump[jump]
+        if through[reached[reached < len(t)]].all():
+            break
+    return through[: len(t)]
+
+
+class ThinMap:
+    """What a stretch of times makes of the time let through before it: the first one let through in it is one of the first `wait`, or the one
+    after them, and each of these leads to a last one."""
+
+    def __init__(self, wait: int) -> None:
+        self.wait = wait
+        self.begin, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.open = True  # more may come that can be the first
+
+    def push(self, t: np.ndarray) -> None:
+        if not len(t):
+            return
+        start = np.searchsorted(t, self.last + self.wait, side="left")
+        on = start < len(t)
+        self.last[on] = t[_ends(t, self.wait, start[on])]
+        if self.open:
+            first = self.begin[0] if len(self.begin) else t[0]
+            beyond = int(np.searchsorted(t, first + self.wait, side="left"))
+            fresh = np.arange(min(beyond + 1, len(t)))
+            self.open = beyond >= len(t)
+            self.begin, self.last = np.concatenate([self.begin, t[fresh]]), np.concatenate([self.last, t[_ends(t, self.wait, fresh)]])
+
+    def packed(self) -> tuple[list[int], list[int]]:
+        """By runs of the same last time: the latest time to begin with, and that last time."""
+        ends = np.append(self.last[1:] != self.last[:-1], True) if len(self.last) else np.zeros(0, bool)
+        return self.begin[ends].tolist(), self.last[ends].tolist()
+
+
+def last_after(last: int | None, packed: tuple[list[int], list[int]], wait: int) -> int | None:
+    """When the last time of all was let through after a stretch with this map, from that before it."""
+    begin, ends = packed
+    at = 0 if last is None else bisect_left(begin, last + wait)
+    return ends[at] if at < len(ends) else last

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime, timedelta
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.kernels import BeatMap, HrvWindow, beat_ms, beats_after
+from ..functions.kernels import BeatMap, HrvWindow, ThinMap, beat_ms, beats_after, last_after, thinned
 
 
 def by_time(series: str = "series", *order: str) -> "Window":
@@ -263,73 +264,156 @@ def rmssd(df: DataFrame, series: str = "series", value: str = "value", *order: s
     return step.groupBy(series).agg(F.sqrt(F.avg(F.pow(F.col("_v") - F.col("_before"), F.lit(2.0)))).alias("rmssd"))
 
 
-def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
-    """Every measurement (series, us, event_id, intervals: array of seconds) with hrv, null until two intervals are accepted.
+class Step(Protocol):
+    """What a stretch of rows makes of any state before it; `packed` says so in a few numbers."""
 
-    An interval is judged against the last accepted one, which looks like a fold over the whole series. But what a stretch of beats does
-    depends on that one number only, so each stretch gives a map from the interval accepted before it to those accepted last in it; the maps,
-    a few numbers each, are applied one after the other along the series, and every stretch is then judged from its true start. So the longest series
-    is worked on by as many tasks as it has stretches. Null, NaN and infinite intervals are never accepted.
+    def push(self, rows: pa.RecordBatch) -> None: ...
+
+    def packed(self) -> tuple: ...
+
+
+class Judge(Protocol):
+    """Goes through rows from a known state."""
+
+    def push(self, rows: pa.RecordBatch) -> pa.Array: ...
+
+
+def composed(
+    rows: DataFrame, series: str, order: Sequence[str], step: Callable[[], Step], packed: Mapping[str, tuple[pa.DataType, str]], after: Callable[[object, tuple], object], state: tuple[pa.DataType, str], judge: Callable[[object], Judge], out: tuple[str, str]
+) -> DataFrame:
+    """rows (series, _part, ...) with a column `out` that seems to need a fold over the whole series, by many tasks.
+
+    Each stretch gives, as `packed` columns, the map from the state before it to the state after it (`step`); the maps, small ones, are applied
+    along each series one after the other (`after`, from None); and every stretch is then gone through from its true start (`judge`). Rows are
+    shuffled twice by series and stretch, the maps once by series.
     """
-    HrvWindow(window)
-    order = order or ("us", "event_id")
-    rows = stretched(df.select(series, *order, F.col("intervals").cast("array<double>").alias("intervals")), order[0], splits)
-    key = rows.schema[series].dataType.simpleString()
-    names = [series, *order]
+    names = [c for c in rows.columns if c != "_part"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
+    def runs(batch: pa.RecordBatch, *marks: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """The batch's rows by series, stretch and marks."""
+        keys = list(zip(*(batch[c].to_pylist() for c in (series, "_part", *marks))))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield keys[a], batch.slice(a, b - a)
+
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = None, None
+        now, held, kind = None, None, None
+        columns = [series, "_part", *packed]
+
+        def table(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), [kind, pa.int64(), *(k for k, _ in packed.values())])], columns)
+
         for batch in batches:
-            out = []
-            for i, (*at, intervals) in enumerate(zip(batch[series].to_pylist(), batch["_part"].to_pylist(), batch["intervals"].to_pylist())):
+            kind, found = batch.schema.field(series).type, []
+            for at, part in runs(batch):
                 if held is None or at != now:
-                    out += [(*now, *held.packed())] if held is not None else []
-                    now, held = at, BeatMap(window)
-                for seconds in intervals or ():
-                    ms = beat_ms(seconds)
-                    if ms is not None:
-                        held.push(ms)
-            if out:
-                yield table(out, batch.schema.field(series).type)
-            kind = batch.schema.field(series).type
+                    found += [(*now, *held.packed())] if held is not None else []
+                    now, held = at, step()
+                held.push(part)
+            if found:
+                yield table(found)
         if held is not None:
-            yield table([(*now, *held.packed())], kind)
-
-    def table(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        kinds = [kind, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [series, "_part", "begin", "owner", "tails"])
-
-    parts = rows.repartition(series, "_part").sortWithinPartitions(series, "_part", *order).mapInArrow(maps, f"`{series}` {key}, _part bigint, begin array<int>, owner array<int>, tails array<array<int>>")
+            yield table([(*now, *held.packed())])
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tail = object(), []
+        now, value = object(), None
         for batch in batches:
             starts = []
-            for who, *packed in zip(*(batch[c].to_pylist() for c in (series, "begin", "owner", "tails"))):
+            for who, *told in zip(*(batch[c].to_pylist() for c in (series, *packed))):
                 if who != now:
-                    now, tail = who, []
-                starts.append(tail)
-                tail = beats_after(tail, packed, window)
-            yield pa.RecordBatch.from_arrays([batch[series], batch["_part"], pa.array(starts, pa.list_(pa.int32()))], [series, "_part", "_tail"])
-
-    starts = parts.repartition(series).sortWithinPartitions(series, "_part").mapInArrow(chained, f"`{series}` {key}, _part bigint, _tail array<int>")
-    both = rows.withColumn("_row", F.lit(1)).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+                    now, value = who, None
+                starts.append(value)
+                value = after(value, tuple(told))
+            yield pa.RecordBatch.from_arrays([batch[series], batch["_part"], pa.array(starts, state[0])], [series, "_part", "_start"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        now = None
         for batch in batches:
-            out, real = [], batch["_row"].to_numpy() == 1
-            for mark, tail, intervals in zip(real.tolist(), batch["_tail"].to_pylist(), batch["intervals"].to_pylist()):
+            for (*_, mark), part in runs(batch, "_row"):
                 if mark:
-                    out.append(state.push(intervals or ()))
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in names), now.push(part)], [*names, out[0]])
                 else:
-                    state = HrvWindow(window, tail or ())
-            kept = pa.array(np.flatnonzero(real))
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(kept) for c in names), pa.array(out, pa.float64())], [*names, "hrv"])
+                    now = judge(part["_start"][0].as_py())
+
+    ordered = rows.repartition(series, "_part").sortWithinPartitions(series, "_part", *order)
+    parts = ordered.mapInArrow(maps, ", ".join([f"`{series}` {kinds[series]}", "_part bigint", *(f"{c} {kind}" for c, (_, kind) in packed.items())]))
+    starts = parts.repartition(series).sortWithinPartitions(series, "_part").mapInArrow(chained, f"`{series}` {kinds[series]}, _part bigint, _start {state[1]}")
+    both = rows.withColumn("_row", F.lit(1)).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    told = both.repartition(series, "_part").sortWithinPartitions(series, "_part", "_row", *order)
+    return told.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {out[0]} {out[1]}")
+
+
+class BeatStep(BeatMap):
+    def push(self, rows: pa.RecordBatch) -> None:
+        for intervals in rows["intervals"].to_pylist():
+            for seconds in intervals or ():
+                ms = beat_ms(seconds)
+                if ms is not None:
+                    super().push(ms)
 
-    ordered = both.repartition(series, "_part").sortWithinPartitions(series, "_part", "_row", *order)
-    return ordered.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", hrv double")
+
+class BeatJudge:
+    def __init__(self, window: int, tail: list[int] | None) -> None:
+        self.kept = HrvWindow(window, tail or ())
+
+    def push(self, rows: pa.RecordBatch) -> pa.Array:
+        return pa.array([self.kept.push(x or ()) for x in rows["intervals"].to_pylist()], pa.float64())
+
+
+def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
+    """Every measurement (series, us, event_id, intervals: array of seconds) with hrv, null until two intervals are accepted.
+
+    An interval is judged against the last accepted one, which looks like a fold over the whole series. But what a stretch of beats does
+    depends on that one number only: it is a map from the interval accepted before it to those accepted last in it, so the longest series
+    is worked on by as many tasks as it has stretches (`composed`). Null, NaN and infinite intervals are never accepted.
+    """
+    HrvWindow(window)
+    order = order or ("us", "event_id")
+    rows = stretched(df.select(series, *order, F.col("intervals").cast("array<double>").alias("intervals")), order[0], splits)
+    ints = (pa.list_(pa.int32()), "array<int>")
+    packed = {"begin": ints, "owner": ints, "tails": (pa.list_(pa.list_(pa.int32())), "array<array<int>>")}
+    out = composed(rows, series, order, lambda: BeatStep(window), packed, lambda tail, told: beats_after(tail or [], told, window), ints, lambda tail: BeatJudge(window, tail), ("hrv", "double"))
+    return out.drop("intervals")
+
+
+class ThinStep:
+    def __init__(self, wait: int) -> None:
+        self.held = ThinMap(wait)
+
+    def push(self, rows: pa.RecordBatch) -> None:
+        self.held.push(rows["_time"].to_numpy())
+
+    def packed(self) -> tuple[list[int], list[int]]:
+        return self.held.packed()
+
+
+class ThinJudge:
+    def __init__(self, wait: int, last: int | None) -> None:
+        self.wait, self.last = wait, last
+
+    def push(self, rows: pa.RecordBatch) -> pa.Array:
+        at = rows["_time"].to_numpy()
+        through = thinned(at, self.wait, self.last)
+        if through.any():
+            self.last = int(at[np.flatnonzero(through)[-1]])
+        return pa.array(through)
+
+
+def throttled(df: DataFrame, wait_us: int, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
+    """The rows of df that a throttle lets through: of each series the first, and then always the first that comes wait_us or more after the
+    last one let through. Rows without a time (the first order column, whole microseconds) are not let through.
+
+    What a stretch does depends on when the last row before it went through, and only on rows near its beginning: it is a map with a few
+    values (`composed`); within it, each row points to the first one that is late enough, and the rows that are reached are found by doubling.
+    """
+    if wait_us < 0:
+        raise ValueError("a throttle does not wait for less than nothing")
+    order = order or ("us", "event_id")
+    rows = stretched(df.where(F.col(order[0]).isNotNull()).withColumn("_time", F.col(order[0]).cast("bigint")), order[0], splits)
+    longs = (pa.list_(pa.int64()), "array<bigint>")
+    out = composed(rows, series, order, lambda: ThinStep(wait_us), {"begin": longs, "last": longs}, lambda last, told: last_after(last, told, wait_us), (pa.int64(), "bigint"), lambda last: ThinJudge(wait_us, last), ("_through", "boolean"))
+    return out.where("_through").select(*df.columns)
 
 
 def first_by_label(signals: DataFrame, label: str = "label", index: str = "signal_index") -> DataFrame:

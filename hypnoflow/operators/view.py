@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import EPOCH_MS
 from .resample import lttb
-from .series import viewport
+from .series import monotonic, viewport
 
 PLOT_POINTS = 4000
 AUTOSCALE_POINTS = 5000
@@ -25,6 +25,16 @@ def follow_window(end_ms: Column, length_ms: int = EPOCH_MS) -> tuple[Column, Co
     return end - length_ms, end
 
 
+def followed(df: DataFrame, end_ms: str, length_ms: int = EPOCH_MS, series: str = "series", *order: str) -> DataFrame:
+    """df with lo, hi: the window of a viewer that follows, after each row in order. It moves on only when an end comes that lies after its own.
+
+    A window's end is never before the end that moved it, so the state is the latest end so far, rounded up.
+    """
+    latest = monotonic(df, end_ms, series, *order).withColumnRenamed("guarded_us", "_latest")
+    lo, hi = follow_window(F.col("_latest"), length_ms)
+    return latest.withColumn("lo", lo).withColumn("hi", hi).drop("_latest")
+
+
 def clamp_range(lo: Column, hi: Column, first: Column, last: Column) -> tuple[Column, Column]:
     """Each bound moved into the recording by itself."""
     return F.greatest(first, F.least(last, lo)), F.greatest(first, F.least(last, hi))

@@ -187,10 +187,18 @@ def stream_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly epochs of every event type over the whole span, written as one recording and read back."""
     path = shared_dir(spark)
-    edf.write_recordings(recording(spark, sf_dir), path, 3600.0)
+    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, sizes=sizes_of(spark, sf_dir))
     return rounded(edf.read_recordings(spark, path).select(F.col("label").alias("series"), "record", "seq", "value"), "value")
 
 
+def sizes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `recording` holds, without making it."""
+    rows = series_by(spark, sf_dir, "event_type")
+    first, after = resample.span(rows, HOUR)
+    records = (after - first) // HOUR
+    return rows.agg((F.count_distinct("series") * records * 12).alias("samples")).select(F.lit("night").alias("recording"), F.lit(records).cast("bigint").alias("records"), "samples").where("records > 0")
+
+
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series_by(spark, sf_dir, "event_type")
     first, after = resample.span(rows, HOUR)
@@ -207,7 +215,7 @@ SELECT CAST(i AS INTEGER) AS signal_index, label, CAST(0 AS DOUBLE) AS physical_
 UNION ALL SELECT CAST(count(*) AS INTEGER), 'EDF Annotations', CAST(-1 AS DOUBLE), CAST(1 AS DOUBLE), 64, CAST(24 * count(*) AS BIGINT) FROM l""")
 def edf_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
-    edf.write_recordings(recording(spark, sf_dir), path, 3600.0)
+    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, sizes=sizes_of(spark, sf_dir))
     return edf.read_recordings(spark, path, "signals").select("signal_index", "label", "physical_min", "physical_max", "samples_per_record", "byte_offset")
 
 
@@ -309,7 +317,7 @@ def edf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, _ = resample.span(series_by(spark, sf_dir, "event_type"), HOUR)
     since = F.col("us") - first
     notes = series_by(spark, sf_dir, "event_type").select(F.lit("night").alias("recording"), F.floor(since / HOUR).alias("record"), (F.floor(since / 1000) / 1000.0).alias("onset"), F.when(F.col("event_id") % 2 == 0, 2.5).alias("duration"), F.concat_ws(" ", F.lit("Note"), "event_id", "series").alias("text"))
-    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes)
+    edf.write_recordings(recording(spark, sf_dir), path, 3600.0, notes, sizes=sizes_of(spark, sf_dir))
     return edf.read_recordings(spark, path, "annotations").select("record", "onset", "duration", "text")
 
 

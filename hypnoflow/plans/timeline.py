@@ -206,6 +206,24 @@ def follow_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", lo.alias("lo"), hi.alias("hi"))
 
 
+@query(f"""WITH {S_USER}, e AS (SELECT *, us // 1000 - CAST(value * 60000 AS BIGINT) AS end_ms FROM s), l AS (SELECT *, max(end_ms) OVER (PARTITION BY series ORDER BY us, event_id) AS latest FROM e)
+SELECT series, event_id, CAST(ceil(latest / 30000.0) * 30000 AS BIGINT) - 30000 AS lo, CAST(ceil(latest / 30000.0) * 30000 AS BIGINT) AS hi FROM l""")
+def followed_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A viewer of each user that follows ends which go back now and then."""
+    ends = series_by(spark, sf_dir, "user_id").withColumn("end_ms", F.floor(F.col("us") / 1000) - F.round(F.col("value") * 60_000).cast("bigint"))
+    return view.followed(ends, "end_ms").select("series", "event_id", "lo", "hi")
+
+
+#: Events of the same type within ten minutes after one that was let through are not.
+THROTTLE = HOUR // 6
+
+
+@query(f"""WITH RECURSIVE {S_TYPE}, f AS (SELECT series, min(us) AS us FROM s GROUP BY series UNION ALL SELECT f.series, (SELECT min(s.us) FROM s WHERE s.series = f.series AND s.us >= f.us + {THROTTLE}) AS us FROM f WHERE us IS NOT NULL)
+SELECT series, us, min(event_id) AS event_id FROM f JOIN s USING (series, us) GROUP BY series, us""")
+def throttled_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.throttled(series_by(spark, sf_dir, "event_type"), THROTTLE).select("series", "us", "event_id")
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_custkey * 10 AS lo, o_custkey * 10 + 300 AS hi FROM orders)
 SELECT o_orderkey, greatest(500, least(9000, lo)) AS clamped_lo, greatest(500, least(9000, hi)) AS clamped_hi,
   CASE WHEN lo + 30 < 500 OR hi + 30 > 9000 THEN lo ELSE lo + 30 END AS right_lo, CASE WHEN lo + 30 < 500 OR hi + 30 > 9000 THEN hi ELSE hi + 30 END AS right_hi,

@@ -662,7 +662,8 @@ class EdfSource(DataSource):
 
 
 def write_recordings(
-    rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X", starts: DataFrame | None = None, in_place: bool | None = None
+    rows: DataFrame, path: str, record_seconds: float = RECORD_SECONDS, annotations: DataFrame | None = None, patient: str = "X X X X", recording: str = "Startdate X X X X", starts: DataFrame | None = None, in_place: bool | None = None,
+    sizes: DataFrame | None = None,
 ) -> None:
     """One file a recording from (recording, signal_index, label, record, k, value, physical_min, physical_max, start_us).
 
@@ -671,12 +672,14 @@ def write_recordings(
     2 * ANNOTATION_SAMPLES bytes at least; annotations of a record that does not exist are an error, as is one without a text; control characters that
     annotations are told apart by become blanks. starts: (recording, record, start_s) of records that do not follow the one before at once; the files are
     EDF+D then. patient, recording: the header's identification fields. in_place: whether files can be changed in place (None: local ones can).
+    sizes: (recording, records, samples), where it is known what the rows hold; else they are counted first.
     """
     spark = rows.sparkSession
     spark.dataSource.register(EdfSource)
     who = lambda df: F.coalesce(df["recording"].cast("string"), F.lit("null")).alias("recording")
     kept = rows.select(who(rows), F.col("signal_index").cast("int").alias("signal_index"), "label", F.col("record").cast("bigint").alias("record"), F.col("k").cast("bigint").alias("k"), F.col("value").cast("double").alias("value"), "physical_min", "physical_max", "start_us")
-    sizes = kept.groupBy("recording").agg((F.max("record") + 1).alias("records"), F.count(F.lit(1)).alias("samples"))
+    if sizes is None:
+        sizes = kept.groupBy("recording").agg((F.max("record") + 1).alias("records"), F.count(F.lit(1)).alias("samples"))
     total = sizes.agg(F.sum("records").alias("records"), F.sum("samples").alias("samples")).first()
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # shares for all tasks, none of more than SHARE_BYTES

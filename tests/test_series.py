@@ -340,6 +340,59 @@ def test_own_spans_of_epochs(spark):
     assert got == [("a", 0, 1.0, False), ("a", 1, 0.0, True), ("a", 2, 0.0, True), ("a", 3, 3.0, False), ("b", 94, 2.0, False)]
 
 
+def plain_throttle(times, wait):
+    out, last = [], None
+    for i, t in enumerate(times):
+        if last is None or t >= last + wait:
+            out.append(i)
+            last = t
+    return out
+
+
+def test_throttle_of_a_stretch_composes():
+    rng = np.random.default_rng(14)
+    for size, top, wait in ((1, 5, 3), (40, 30, 7), (200, 1000, 100), (200, 1000, 3), (50, 10, 100), (30, 30, 0)):
+        t = np.sort(rng.integers(0, top, size)).astype(np.int64)
+        for pieces in (1, 2, 5):
+            held = kernels.ThinMap(wait)
+            for part in np.array_split(t, pieces):
+                held.push(part)
+            for last in [None, *range(-2 * wait - 2, int(t[0]))]:
+                ahead = [] if last is None else [last]
+                all_of = [*ahead, *t.tolist()]
+                kept = plain_throttle(all_of, wait)
+                assert kernels.last_after(last, held.packed(), wait) == all_of[kept[-1]]
+                assert (np.flatnonzero(kernels.thinned(t, wait, last)) + len(ahead)).tolist() == kept[len(ahead) :]
+
+
+def test_throttle_over_many_stretches(spark):
+    rng = np.random.default_rng(15)
+    rows = [(s, int(u), i, 0.0) for s, m, top in (("hot", 5000, 10**6), (None, 400, 10**6), ("b", 1, 10), ("c", 300, 20)) for i, u in enumerate(np.sort(rng.integers(0, top, m)))]
+    df = spark.createDataFrame([*rows, ("c", None, 999, 0.0)], S).repartition(5)
+    for wait in (0, 1, 700, 10**7):
+        got = series.throttled(df, wait)
+        assert got.columns == df.columns
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.series, []).append(r.event_id)
+        for s in ("hot", None, "b", "c"):
+            own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[2]))
+            assert sorted(found[s]) == [own[i][2] for i in plain_throttle([r[1] for r in own], wait)], (s, wait)
+    with pytest.raises(ValueError):
+        series.throttled(df, -1)
+
+
+def test_window_that_follows(spark):
+    ends = [5, 31_000, 29_000, 60_000, 60_001, 10]
+    df = spark.createDataFrame([(None, i, i, e) for i, e in enumerate(ends)], "series string, us bigint, event_id bigint, end_ms bigint")
+    got = [(r.lo, r.hi) for r in view.followed(df, "end_ms").orderBy("us").collect()]
+    end, want = 0, []
+    for e in ends:
+        end = -(-e // 30_000) * 30_000 if e > end else end
+        want.append((end - 30_000, end))
+    assert got == want
+
+
 def test_quantise(spark):
     args = [F.lit(x) for x in (-100.0, 100.0, -100.0, 100.0)]
     cases = {-2.5: -2, 2.5: 3, 1e9: 100, -1e9: -100, float("nan"): 0, None: 0}
