@@ -2,7 +2,10 @@
 
 A page becomes a tree of elements. With `clean` (the default), parts that say what they are not (menus, footers, asides,
 forms, and elements whose class, id or role names an advert, a notice, a comment section and the like) are marked and
-never put out; a form or a class is no reason to drop what holds the article. Scripts, styles and the head never count.
+never put out; a form or a class is no reason to drop what holds the article. A class or id marks an element if one of its names consists of
+marking words (and words like "box") only; it never marks inline elements, headings, paragraphs, code, items or cells, and within an article
+element words that may name a part of the article as well ("related", "notice") count only where the part is less dense than the page.
+Scripts, styles and the head never count.
 
 Densities are those of the whole page, marked parts included. A node's composite density is its characters per tag,
 weighed by the characters and tags outside links, relative to the body's share of links; every count of zero is taken
@@ -12,8 +15,8 @@ as one. A block's density sum is that of its child blocks, a run of text of its
 2. the path from the core to the body sets two thresholds: the core is widened to an outer node for as long as that is
    at least CLIMB times as dense as the core, for where menus and notices come in, density falls; and the least density
    on the path is that of the page as a whole;
-3. in the content, blocks with fewer characters outside links than in them, two links at least and a density under the
-   page's are menus of their own and go; beside it, within an article element around it, blocks at least as dense as
+3. in the content, but not in an article element, blocks with fewer characters outside links than in them, two links at least
+   and a density under the page's are menus of their own and go; beside it, within an article element around it, blocks at least as dense as
    the page belong to it, and so does the last heading before it if it has none.
 
 The plain rule, by which every node of the page's density gives its own densest subtree, lets short notices through:
@@ -51,12 +54,21 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
+#: Elements that are never dropped for a class or id: a paragraph of a class of its own is still one of the article's.
+TEXTUAL = INLINE | HEADINGS | frozenset("p pre blockquote li dt dd td th tr caption figcaption".split())
 #: Words of a class or id that mark what is not the article.
 NOT_CONTENT = frozenset(
     "ad ads adbox adslot advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget toolbar footer masthead share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login comment comments commentlist respond disqus replies pagination pager skip".split()
 )
+#: Words that say nothing beside these: a name is a mark if all its words are marks or such words, so "ad-box" is one and "ad-hoc" is not.
+BESIDE = frozenset(
+    "container wrapper wrap box block area bar slot unit list item items link links button buttons icon icons inner outer top bottom left right site global primary secondary main form section "
+    "panel post posts article articles story stories media text sticky fixed mobile desktop policy message dialog us".split()
+)
+#: Marks that may as well name a part of the article: within it they count only where the part is less dense than the page.
+AMBIGUOUS = frozenset("overlay notice notification promotion related share sharing social skip widget banner toolbar aside comment".split())
 #: An outer node is content too if it is at least this share as dense as the core.
 CLIMB = 0.7
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+)>""")
@@ -71,9 +83,11 @@ class Tree:
     def __init__(self) -> None:
         self.tag, self.parent, self.drop, self.in_article = ["#root"], [0], [False], [False]
         self.marked: list[bool] = [False]  # said to be no content by class or id only, or a form
+        self.doubtful: list[bool] = [False]  # marked only by words that may name a part of the article as well
         self.pieces: list[tuple[int, str]] = []  # (element, text); an empty text is a block boundary
 
-    def add(self, tag: str, parent: int, drop: bool, marked: bool) -> int:
+    def add(self, tag: str, parent: int, drop: bool, marked: bool, doubtful: bool) -> int:
+        self.doubtful.append(doubtful)
         self.tag.append(tag)
         self.parent.append(parent)
         self.drop.append(drop)
@@ -82,28 +96,36 @@ class Tree:
         return len(self.tag) - 1
 
 
-def _named(value: str) -> bool:
-    return not NOT_CONTENT.isdisjoint(re.split(r"[^a-z]+", value.lower()))
+def _named(value: str) -> set[str]:
+    """The words by which a class or id marks what is no content: those of its names that have no other words."""
+    found: set[str] = set()
+    for name in value.lower().split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words <= NOT_CONTENT | BESIDE:
+            found |= words & NOT_CONTENT
+    return found
 
 
-def _unwanted(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether the element goes for certain, and whether it is marked as what goes unless it holds the article."""
+def _unwanted(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, bool]:
+    """Whether the element goes for certain, whether it is marked as what goes unless it holds the article, and whether by doubtful words only."""
     if tag in DROPPED and tag != "form" or tag == "header" and not in_content:
-        return True, False
-    marked = tag == "form"
+        return True, False, False
+    marked, doubtful = tag == "form", tag != "form"
     if not attributes or tag in ("html", "body", "main"):
-        return False, marked
+        return False, marked, False
     if tag == "article":
-        return False, any(name.lower() in ("class", "id") and _named(" ".join(values)) for name, *values in _MARKS.findall(attributes))
+        return False, any(name.lower() in ("class", "id") and _named(" ".join(values)) for name, *values in _MARKS.findall(attributes)), False
     if _HIDDEN.search(attributes):
-        return True, False
+        return True, False, False
     for name, *values in _MARKS.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES - {"form"}:
-            return True, False
-        if name in ("class", "id") and _named(value) or name == "role" and value == "form":
-            marked = True
-    return False, marked
+            return True, False, False
+        if name == "role" and value == "form":
+            marked, doubtful = True, False
+        words = _named(value) if name in ("class", "id") and tag not in TEXTUAL else set()
+        marked, doubtful = marked or bool(words), doubtful and words <= AMBIGUOUS
+    return False, marked, marked and doubtful
 
 
 def _upward(tree: Tree, values: list[int]) -> list[int]:
@@ -144,9 +166,12 @@ def _drop_marked(tree: Tree) -> None:
     for i in range(1, n):
         inside[i] = inside[i] or inside[tree.parent[i]]
     held = _upward(tree, [c if x else 0 for c, x in zip(own, inside)])
+    d = densities(tree) if any(x and y for x, y in zip(tree.doubtful, tree.in_article)) else None
+    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
     for i in range(1, n):
         wrapper = longest > 0 and 2 * held[i] >= longest
-        tree.drop[i] = tree.drop[i] or tree.drop[tree.parent[i]] or tree.marked[i] and not wrapper and tree.tag[i] not in ("article", "main")
+        kept = d is not None and tree.doubtful[i] and tree.in_article[i] and d.density[i] >= d.density[body]
+        tree.drop[i] = tree.drop[i] or tree.drop[tree.parent[i]] or tree.marked[i] and not wrapper and not kept and tree.tag[i] not in ("article", "main")
 
 
 def parse(page: str, clean: bool = True) -> Tree:
@@ -214,8 +239,8 @@ def parse(page: str, clean: bool = True) -> Tree:
                 close_to(depth)
         if tag not in INLINE:
             tree.pieces.append((stack[-1], ""))
-        drop, marked = _unwanted(tag, m[3], tree.in_article[stack[-1]]) if clean else (False, False)
-        node = tree.add(tag, stack[-1], tree.drop[stack[-1]] or drop or tag in NO_TEXT, marked)
+        drop, marked, doubtful = _unwanted(tag, m[3], tree.in_article[stack[-1]]) if clean else (False, False, False)
+        node = tree.add(tag, stack[-1], tree.drop[stack[-1]] or drop or tag in NO_TEXT, marked, doubtful)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*+>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n  # their content is never article text
@@ -330,7 +355,7 @@ def main_text(page: str | None, clean: bool = True) -> str:
         own_block = tag[i] not in INLINE
         content[i] = content[i] or content[parent[i]] or held[i] and own_block and d.density[i] >= threshold
         low = own_block and d.density[i] < threshold and 2 * d.links[i] > d.chars[i] and d.link_tags[i] > 1
-        menu[i] = menu[parent[i]] or low and i not in path
+        menu[i] = menu[parent[i]] or low and i not in path and not tree.in_article[i]
     return " ".join("".join(" " if not p or tag[i] == "br" else p for i, p in tree.pieces if not p or content[i] and not drop[i] and not menu[i]).split())
 
 

@@ -149,3 +149,87 @@ def test_hostile_pages_take_linear_time(name):
 def test_quotes_outside_values():
     assert htmltext.main_text("<body><p title=it's>One</p><p>don't</p></body>") == "One don't"
     assert htmltext.main_text("<body><p title='a > b'>One</p></body>") == "One"
+
+
+INSIDE = [
+    '<p class="ad-hoc">{}</p>', '<pre><code><span class="token comment">{}</span></code></pre>', '<p class="share-price">{}</p>', '<section id="related-work"><p>{}</p></section>', '<div class="notice-period">{}</div>',
+    '<h2 id="promotion-of-health">{}</h2>', '<h2 id="comments-on-the-data">{}</h2>', '<div class="overlay-networks">{}</div>', '<ul><li><a href="/1">{}</a></li><li><a href="/2">Second reference of the list</a></li></ul>',
+    '<ol class="references"><li><a href="/1">{}</a></li><li><a href="/2">Another one</a></li></ol>', '<table><tr><td class="ad">{}</td></tr></table>', '<div class="related"><p>{}</p><p>It is told here at some length, without any link.</p></div>',
+    '<blockquote class="notice">{}</blockquote>', '<em class="comment">{}</em>', '<div class="token sponsor-list-of-2020">{}</div>',
+]
+OUTSIDE = [
+    '<div class="ad">{}</div>', '<div class="adbox ad-box">{}</div>', '<div id="cookie-banner">{}</div>', '<section class="comments-section"><p>{}</p></section>', '<div class="related-posts"><a href="/1">{}</a><a href="/2">two</a></div>',
+    '<div class="newsletter-signup-form">{}</div>', '<ul class="main-nav"><li><a href="/1">{}</a></li></ul>', '<div class="share-buttons"><a href="/1">{}</a></div>', '<div class="post sponsored">{}</div>', '<div class="notice"><a href="/1">{}</a><a href="/2">read it</a></div>',
+]
+PROSE = "".join(f"<p>Paragraph number {i} of the article says a thing or two about its matter, at no great length.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("part", INSIDE)
+def test_parts_of_the_article_stay_whatever_their_names(part):
+    page = f"<html><body><nav><a href='/'>Home</a><a href='/b'>Other</a></nav><article><h1>Title</h1>{PROSE}{part.format('These words belong to it.')}{PROSE}</article><footer>End</footer></body></html>"
+    text = htmltext.main_text(page)
+    assert "These words belong to it." in text and "Home" not in text and "End" not in text and text.count("Paragraph number") == 16
+
+
+@pytest.mark.parametrize("part", OUTSIDE)
+def test_marked_parts_go_inside_and_outside(part):
+    own = part.format("These words do not belong.")
+    for page in (f"<article><h1>Title</h1>{PROSE}{own}{PROSE}</article>", f"{own}<article><h1>Title</h1>{PROSE * 2}</article>", f"<div><h1>Title</h1>{PROSE}{own}{PROSE}</div>"):
+        text = htmltext.main_text(f"<html><body>{page}</body></html>")
+        assert "do not belong" not in text and text.count("Paragraph number") == 16
+
+
+def test_names_and_words():
+    assert htmltext._named("ad-hoc token notice-period") == set() and htmltext._named("x Ad-Slot_3") == {"ad"} and htmltext._named("cookie-consent-banner") == {"cookie", "consent", "banner"} and htmltext._named("box 3 -") == set()
+
+
+def plain_selection(tree, d):
+    """The text by the rules as the module's docstring has them, with ancestors looked up one by one."""
+    n, body = len(tree.tag), next((i for i, t in enumerate(tree.tag) if t == "body"), 0)
+
+    def up(i):
+        out = [i]
+        while out[-1]:
+            out.append(tree.parent[out[-1]])
+        return out
+
+    if any(p.strip() and body not in up(i) and not tree.drop[i] for i, p in tree.pieces):
+        body = 0
+    blocks = [i for i in range(n) if body in up(i) and not tree.drop[i] and tree.tag[i] not in htmltext.INLINE]
+    core = max(blocks, key=lambda i: (d.total[i], -i)) if blocks else body
+    path = up(core)[: up(core).index(body) + 1]
+    least = min(d.density[i] for i in path)
+    outer = path[max([k for k in range(len(path)) if all(d.density[i] >= htmltext.CLIMB * d.density[core] for i in path[: k + 1])], default=0)]
+    article = next((i for i in path[path.index(outer) :] if tree.tag[i] == "article"), None)
+    block = lambda i: tree.tag[i] not in htmltext.INLINE
+    content = {i for i in range(n) if outer in up(i)}
+    heads = [i for i in range(outer) if tree.tag[i] in htmltext.HEADINGS and not tree.drop[i] and tree.parent[i] in path[path.index(outer) :] and d.chars[i]]
+    tops = {outer} | ({heads[-1]} if heads and not any(tree.tag[i] in htmltext.HEADINGS for i in content) else set())
+    tops |= {i for i in range(1, n) if article is not None and article in up(i) and block(i) and d.density[i] >= least} if article is not None else set()
+    tops |= {i for i in content if i and block(i) and d.density[i] >= least}
+    menus = {i for i in range(1, n) if block(i) and i not in path and not tree.in_article[i] and d.density[i] < least and 2 * d.links[i] > d.chars[i] and d.link_tags[i] > 1}
+    shown = lambda i: tops & set(up(i)) and not tree.drop[i] and not menus & set(up(i))
+    return " ".join("".join(" " if not p or tree.tag[i] == "br" else p for i, p in tree.pieces if not p or shown(i)).split())
+
+
+def test_selection_against_a_plain_version():
+    rng = random.Random(17)
+    blocks, leaves = ["div", "section", "article", "ul", "main", "blockquote"], ["p", "h2", "li", "a", "span", "b"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            tag = rng.choice(leaves)
+            words = " ".join("".join(rng.choices("abcde", k=rng.randrange(1, 8))) for _ in range(rng.choice([1, 2, 4, 30])))
+            return f"<{tag}{' href=/x' if tag == 'a' else ''}>{words}</{tag}>"
+        tag = rng.choice(blocks)
+        name = rng.choice(["", "", "", ' class="ad"', ' class="related"', ' id="notice-period"'])
+        return f"<{tag}{name}>" + "".join(part(depth - 1) for _ in range(rng.randrange(1, 6))) + f"</{tag}>"
+
+    shown = 0
+    for _ in range(400):
+        page = "<html><body>" + "".join(part(4) for _ in range(rng.randrange(1, 4))) + "</body></html>"
+        tree = htmltext.parse(page)
+        want = plain_selection(tree, htmltext.densities(tree))
+        assert htmltext.main_text(page) == want
+        shown += bool(want)
+    assert shown > 300
