@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -106,6 +107,7 @@ def _poles(kind: str, n: int) -> np.ndarray:
     return -math.sinh(mu) * np.sin(angle) + 1j * math.cosh(mu) * np.cos(angle)
 
 
+@lru_cache(maxsize=1024)
 def prototype(kind: str, stages: int, drop_db: float = 10 * math.log10(2)) -> list[tuple[float, float]]:
     """a, b of each stage 1 / (1 + a s + b s^2), scaled so that the whole is down by drop_db from DC at s = j.
 

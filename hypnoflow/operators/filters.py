@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import design
 from ..functions.design import Biquad
 from ..functions.kernels import iir as iir_kernel
 from ..functions.kernels import state_space
@@ -167,6 +168,95 @@ def coefficient_rows(spark: SparkSession, stages: Sequence[Biquad], name: str =
     return spark.createDataFrame(rows, "name string, stage int, b0 double, b1 double, b2 double, a1 double, a2 double, k double")
 
 
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df's columns of these names and kinds, null where it has none."""
+    return df.select("name", *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def _rows_of(df: DataFrame, make: Callable[[dict], Iterator[tuple]], out: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
+    """A few rows for each row of df, with its name."""
+    kind = df.schema["name"].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(i, *x) for i, row in enumerate(batch.to_pylist()) for x in make(row)]
+            at, *columns = zip(*made) if made else [()] * (len(out) + 1)
+            yield pa.RecordBatch.from_arrays([batch["name"].take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, (k, _) in zip(columns, out.values()))], ["name", *out])
+
+    return df.mapInArrow(of, f"name {kind}, " + ", ".join(f"{c} {k}" for c, (_, k) in out.items()))
+
+
+DOUBLE, INT, STRING = (pa.float64(), "double"), (pa.int32(), "int"), (pa.string(), "string")
+
+
+def designed(settings: DataFrame) -> DataFrame:
+    """name, kind, stage, b0, b1, b2, a1, a2, k of the filter that each row of settings asks for.
+
+    settings: name, kind, fs, fc, and what the design needs of q, bw, gain, pre_gain; with characteristic, stages and perhaps transform ("matched_z")
+    the filter is a cascade, else one section. Rows without a kind, a rate or a frequency have no sections. Each row is designed by itself.
+    """
+    asked = _with(settings, {"kind": "string", "characteristic": "string", "stages": "int", "transform": "string", "fs": "double", "fc": "double", "q": "double", "bw": "double", "gain": "double", "pre_gain": "boolean"})
+
+    def made(r: dict) -> Iterator[tuple]:
+        if r["kind"] is None or r["fs"] is None or r["fc"] is None:
+            return
+        more = {"q": r["q"], "bw": r["bw"], "gain": r["gain"] or 0.0, "pre_gain": bool(r["pre_gain"])}
+        stages = [design.biquad(r["kind"], r["fs"], r["fc"], **more)] if r["characteristic"] is None else design.cascade(r["kind"], r["characteristic"], r["stages"] or 0, r["fs"], r["fc"], **more, transform=r["transform"] or "bilinear")
+        for i, s in enumerate(stages):
+            yield r["kind"], i, s.b0, s.b1, s.b2, s.a1, s.a2, s.k
+
+    return _rows_of(asked, made, {"kind": STRING, "stage": INT} | {c: DOUBLE for c in ("b0", "b1", "b2", "a1", "a2", "k")})
+
+
+def prototypes(settings: DataFrame) -> DataFrame:
+    """name, characteristic, stages, stage, a, b: the analogue sections that each row of settings (name, characteristic, stages) asks for."""
+    asked = _with(settings, {"characteristic": "string", "stages": "int"}).where("characteristic IS NOT NULL AND stages > 0")
+    made = lambda r: ((r["characteristic"], r["stages"], i, float(a), float(b)) for i, (a, b) in enumerate(design.prototype(r["characteristic"], r["stages"])))
+    return _rows_of(asked, made, {"characteristic": STRING, "stages": INT, "stage": INT, "a": DOUBLE, "b": DOUBLE})
+
+
+def polynomials(sections: DataFrame) -> DataFrame:
+    """name, k, c: the coefficients of s^k of the product of the sections 1 + a s + b s^2 of each name, from (name, stage, a, b)."""
+    grouped = sections.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("stage", "a", "b"))).alias("x"))
+    at = lambda p, k: F.coalesce(F.when(k >= 0, F.get(p, k)), F.lit(0.0))
+    times = lambda p, x: F.transform(F.sequence(F.lit(0), F.size(p) + 1), lambda k: at(p, k) + x["a"] * at(p, k - 1) + x["b"] * at(p, k - 2))
+    return grouped.select("name", F.posexplode(F.aggregate("x", F.array(F.lit(1.0)), times)).alias("k", "c"))
+
+
+def fir_designed(settings: DataFrame) -> DataFrame:
+    """name, kind, n, h: the taps that each row of settings (name, kind, taps, fs, f1, and f2 for bands) asks for.
+
+    kind: lowpass, highpass, bandstop, bandpass (Hamming windows; f1 is the frequency of the first two) or kaiser (a band, by default 100 dB).
+    Rows without a kind, a rate or a frequency have no taps.
+    """
+    asked = _with(settings, {"kind": "string", "taps": "int", "fs": "double", "f1": "double", "f2": "double", "attenuation": "double"})
+    makers = {"lowpass": design.fir_lowpass, "highpass": design.fir_highpass, "bandstop": design.fir_bandstop, "bandpass": design.fir_bandpass}
+
+    def made(r: dict) -> Iterator[tuple]:
+        if r["kind"] is None or r["fs"] is None or r["f1"] is None:
+            return
+        if r["kind"] == "kaiser":
+            h = design.fir_kaiser(r["fs"], r["f1"], r["f2"], r["taps"] or 51, r["attenuation"] or 100.0)
+        else:
+            h = makers[r["kind"]](r["taps"], r["fs"], *([r["f1"], r["f2"]] if r["kind"].startswith("band") else [r["f1"]]))
+        for i, x in enumerate(h):
+            yield r["kind"], i, float(x)
+
+    return _rows_of(asked, made, {"kind": STRING, "n": INT, "h": DOUBLE})
+
+
+def time_response(coefficients: DataFrame, n: int, step: bool = True) -> DataFrame:
+    """name, i, y: what each filter of (name, stage, b0, b1, b2, a1, a2, k) makes of a unit step, or a unit impulse, in n samples."""
+    grouped = coefficients.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("stage", "b0", "b1", "b2", "a1", "a2", "k"))).alias("stages"))
+    x = np.ones(n) if step else np.eye(1, n)[0]
+
+    def made(r: dict) -> Iterator[tuple]:
+        y, _ = iir_kernel([Biquad(*(s[c] for c in ("b0", "b1", "b2", "a1", "a2", "k"))) for s in r["stages"]], x)
+        yield from enumerate(y.tolist())
+
+    return _rows_of(grouped, made, {"i": (pa.int64(), "bigint"), "y": DOUBLE})
+
+
 def response(coefficients: DataFrame, resolution: int = 100) -> DataFrame:
     """name, i, magnitude, phase, db at the frequencies i / (2 resolution) of the sampling rate: the product of the stages'
     magnitudes and the sum of their phases."""
@@ -185,10 +275,11 @@ def response(coefficients: DataFrame, resolution: int = 100) -> DataFrame:
 
 
 def fir_response(taps: DataFrame, resolution: int = 100) -> DataFrame:
-    """i, magnitude, db of taps (n, h)."""
+    """i, magnitude, db of taps (n, h); by name, where taps have one."""
     w = -F.lit(math.pi) * F.col("i") * F.col("n") / float(resolution)
-    each = taps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).groupBy("i").agg(F.sum(F.col("h") * F.cos(w)).alias("re"), F.sum(F.col("h") * F.sin(w)).alias("im"))
-    return each.select("i", F.hypot("re", "im").alias("magnitude")).withColumn("db", F.when(F.col("magnitude") > 0, 20 * F.log10("magnitude")))
+    keys = [c for c in ("name",) if c in taps.columns]
+    each = taps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).groupBy(*keys, "i").agg(F.sum(F.col("h") * F.cos(w)).alias("re"), F.sum(F.col("h") * F.sin(w)).alias("im"))
+    return each.select(*keys, "i", F.hypot("re", "im").alias("magnitude")).withColumn("db", F.when(F.col("magnitude") > 0, 20 * F.log10("magnitude")))
 
 
 def unwrapped(points: DataFrame, resolution: int, name: str = "name") -> DataFrame:

@@ -9,13 +9,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import design
-from ..functions.sensors import signals_of
+from ..functions.sensors import signals_for
 from ..functions.signal import physical_to_digital, recording_name
 from ..operators import filters, resample, series
 from ..sources import edf
@@ -298,15 +297,24 @@ def edf_record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edf.read_recordings(spark, path, "records").select(F.regexp_extract("path", "/([^/-]+)-[^/]*$", 1).alias("series"), "record", "start_s", "start_us")
 
 
-@query("""SELECT * FROM (VALUES ('heart', '', 0, 'HR', 'bpm', CAST(0 AS DOUBLE), CAST(240 AS DOUBLE), 30), ('heart', '', 1, 'HRV', 'ms', 0, 500, 30), ('temperature', '', 0, 'Skin', 'degC', -50, 150, 30), ('snore', '', 0, 'Snore', '', -1, 1, 15000),
-('motion', 'movement', 0, 'Wrist', 'g', 0, 16, 300), ('motion', 'position', 0, 'Wrist Roll', 'deg', -180, 180, 300), ('motion', 'position', 1, 'Wrist Incl', 'deg', 0, 90, 300),
-('motion', 'raw', 0, 'Wrist Accel X', 'g', -16, 16, 300), ('motion', 'raw', 1, 'Wrist Accel Y', 'g', -16, 16, 300), ('motion', 'raw', 2, 'Wrist Accel Z', 'g', -16, 16, 300),
-('motion', 'raw', 3, 'Wrist Gyro X', 'deg/s', -2000, 2000, 300), ('motion', 'raw', 4, 'Wrist Gyro Y', 'deg/s', -2000, 2000, 300), ('motion', 'raw', 5, 'Wrist Gyro Z', 'deg/s', -2000, 2000, 300),
-('motion', 'raw', 6, 'Wrist Angle X', 'deg', -180, 180, 300), ('motion', 'raw', 7, 'Wrist Angle Y', 'deg', -180, 180, 300), ('motion', 'raw', 8, 'Wrist Angle Z', 'deg', -180, 180, 300))
-AS v(driver, mode, signal_order, label, physical_dimension, physical_min, physical_max, samples_per_record)""")
+#: SQL of the devices: every customer's, of a kind that follows from the market segment.
+DEVICES = """d AS (SELECT c_custkey AS device_id, CASE c_custkey % 6 WHEN 0 THEN 'heart' WHEN 1 THEN 'temperature' WHEN 2 THEN 'snore' ELSE 'motion' END AS driver, CASE c_custkey % 6 WHEN 3 THEN 'movement' WHEN 4 THEN 'position' WHEN 5 THEN 'raw' ELSE '' END AS mode, c_mktsegment AS name, c_nationkey % 12 AS rate FROM customer)"""
+
+
+@query(f"""WITH {DEVICES}, v AS (SELECT * FROM (VALUES ('heart', '', 0, 'HR', 'bpm', CAST(0 AS DOUBLE), CAST(240 AS DOUBLE)), ('heart', '', 1, 'HRV', 'ms', 0, 500), ('temperature', '', 0, '', 'degC', -50, 150), ('snore', '', 0, 'Snore', '', -1, 1),
+('motion', 'movement', 0, '', 'g', 0, 16), ('motion', 'position', 0, 'Roll', 'deg', -180, 180), ('motion', 'position', 1, 'Incl', 'deg', 0, 90),
+('motion', 'raw', 0, 'Accel X', 'g', -16, 16), ('motion', 'raw', 1, 'Accel Y', 'g', -16, 16), ('motion', 'raw', 2, 'Accel Z', 'g', -16, 16),
+('motion', 'raw', 3, 'Gyro X', 'deg/s', -2000, 2000), ('motion', 'raw', 4, 'Gyro Y', 'deg/s', -2000, 2000), ('motion', 'raw', 5, 'Gyro Z', 'deg/s', -2000, 2000),
+('motion', 'raw', 6, 'Angle X', 'deg', -180, 180), ('motion', 'raw', 7, 'Angle Y', 'deg', -180, 180), ('motion', 'raw', 8, 'Angle Z', 'deg', -180, 180)) AS t(driver, mode, signal_order, label, physical_dimension, physical_min, physical_max))
+SELECT device_id, driver, mode, signal_order, CASE WHEN driver IN ('motion', 'temperature') THEN trim(name || ' ' || label) ELSE label END AS label, physical_dimension, physical_min, physical_max,
+  CAST(30 * CASE driver WHEN 'motion' THEN rate WHEN 'snore' THEN 500 ELSE 1 END AS INTEGER) AS samples_per_record FROM d JOIN v USING (driver, mode) WHERE driver <> 'motion' OR rate IN (1, 2, 5, 10)""")
 def signal_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = [signals_of(spark, "heart"), signals_of(spark, "temperature", name="Skin"), signals_of(spark, "snore"), *[signals_of(spark, "motion", mode, "Wrist", 10.0) for mode in ("movement", "position", "raw")]]
-    return reduce(DataFrame.unionByName, made)
+    """The signals of every customer's device."""
+    kind = F.col("c_custkey") % 6
+    driver = F.when(kind == 0, "heart").when(kind == 1, "temperature").when(kind == 2, "snore").otherwise("motion")
+    mode = F.when(kind == 3, "movement").when(kind == 4, "position").when(kind == 5, "raw").otherwise("")
+    devices = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), driver.alias("driver"), mode.alias("mode"), F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") % 12).alias("rate"))
+    return signals_for(devices)
 
 
 @query(f"""WITH {S_TYPE}, {SPAN}

@@ -192,3 +192,66 @@ def test_fir_by_chunks(spark):
     for s, values in x.items():
         want = np.convolve(values, h)[: len(values)]
         assert np.allclose([got[s, i] for i in range(len(values))], np.stack([values, want], axis=1), atol=1e-12)
+
+
+def test_filters_designed_by_row(spark):
+    """Each row's sections are those of the design functions; rows that ask for nothing have none."""
+    rows = [
+        (1, "lowpass", None, None, None, 100.0, 12.0, 0.9, None, None, None), (2, "peak", None, None, None, 100.0, 7.0, 2.0, None, 6.0, None), (3, "bandstop", None, None, None, 200.0, 50.0, None, 1.0, None, None),
+        (4, "highpass", "butterworth", 3, None, 100.0, 5.0, None, None, None, True), (5, "lowpass", "chebyshev1", 2, "matched_z", 100.0, 5.0, None, None, None, None), (6, "lowpass", "bessel", 0, None, 100.0, 5.0, None, None, None, None),
+        (7, None, None, None, None, 100.0, 5.0, 1.0, None, None, None), (8, "lowpass", None, None, None, None, 5.0, 1.0, None, None, None), (None, "allpass", None, None, None, 100.0, 5.0, 1.0, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "name int, kind string, characteristic string, stages int, transform string, fs double, fc double, q double, bw double, gain double, pre_gain boolean")
+    got = {}
+    for r in filters.designed(df).orderBy("name", "stage").collect():
+        got.setdefault(r.name, []).append(design.Biquad(r.b0, r.b1, r.b2, r.a1, r.a2, r.k))
+    want = {
+        1: [design.biquad("lowpass", 100.0, 12.0, 0.9)], 2: [design.biquad("peak", 100.0, 7.0, 2.0, gain=6.0)], 3: [design.biquad("bandstop", 200.0, 50.0, bw=1.0)],
+        4: design.cascade("highpass", "butterworth", 3, 100.0, 5.0, pre_gain=True), 5: design.cascade("lowpass", "chebyshev1", 2, 100.0, 5.0, transform="matched_z"), None: [design.biquad("allpass", 100.0, 5.0, 1.0)],
+    }
+    assert got == want
+    assert filters.designed(df.limit(0)).count() == 0 and filters.designed(df.select("name")).count() == 0
+
+
+def test_time_responses(spark):
+    stages = {n: design.cascade("lowpass", "butterworth", n, 100.0, 8.0) for n in (1, 3)}
+    coefficients = filters.coefficient_rows(spark, stages[1], "one").unionByName(filters.coefficient_rows(spark, stages[3], "three"))
+    for step, x in ((True, np.ones(90)), (False, np.eye(1, 90)[0])):
+        got = {}
+        for r in filters.time_response(coefficients, 90, step).orderBy("name", "i").collect():
+            got.setdefault(r.name, []).append(r.y)
+        for n, name in ((1, "one"), (3, "three")):
+            assert np.allclose(got[name], recursion(stages[n], x)[0], atol=1e-9)
+
+
+def test_taps_designed_by_row(spark):
+    rows = [(1, "lowpass", 20, 100.0, 10.0, None), (2, "bandpass", 20, 100.0, 10.0, 20.0), (3, "kaiser", None, 100.0, 5.0, 20.0), (4, "highpass", 20, None, 10.0, None), (5, None, 20, 100.0, 1.0, None)]
+    got = {}
+    for r in filters.fir_designed(spark.createDataFrame(rows, "name int, kind string, taps int, fs double, f1 double, f2 double")).orderBy("name", "n").collect():
+        got.setdefault(r.name, []).append(r.h)
+    want = {1: design.fir_lowpass(20, 100.0, 10.0), 2: design.fir_bandpass(20, 100.0, 10.0, 20.0), 3: design.fir_kaiser(100.0, 5.0, 20.0)}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+    two = spark.createDataFrame([(n, i, float(h)) for n in ("a", "b") for i, h in enumerate(design.fir_lowpass(6, 100.0, 10.0 if n == "a" else 20.0))], "name string, n int, h double")
+    both = {(r.name, r.i): r.magnitude for r in filters.fir_response(two, 8).collect()}
+    for n in "ab":
+        alone = {r.i: r.magnitude for r in filters.fir_response(two.where(f"name = '{n}'").drop("name"), 8).collect()}
+        assert all(abs(both[n, i] - m) < 1e-12 for i, m in alone.items()) and len(alone) == 8
+
+
+def test_products_of_sections(spark):
+    df = spark.createDataFrame([("x", 0, 2.0, 3.0), ("x", 1, -1.0, 0.5), ("y", 0, 1.0, 0.0)], "name string, stage int, a double, b double")
+    got = {}
+    for r in filters.polynomials(df).orderBy("name", "k").collect():
+        got.setdefault(r.name, []).append(r.c)
+    assert got == {"x": [1.0, 1.0, 1.5, -2.0, 1.5], "y": [1.0, 1.0, 0.0]}
+
+
+def test_signals_of_devices(spark):
+    from hypnoflow.functions.sensors import signals_for, signals_of
+
+    devices = [(1, "heart", None, None, None), (2, "motion", "raw", "Arm", 5.0), (3, "motion", "raw", "Leg", 3.0), (4, "temperature", "", "Skin", None), (5, "odd", "", "", None), (6, "snore", "", "x", None), (7, None, None, None, None)]
+    got = {}
+    for r in signals_for(spark.createDataFrame(devices, "device_id int, driver string, mode string, name string, rate double")).orderBy("device_id", "signal_order").collect():
+        got.setdefault(r.device_id, []).append(tuple(r)[1:])
+    want = {1: signals_of(spark, "heart"), 2: signals_of(spark, "motion", "raw", "Arm", 5.0), 4: signals_of(spark, "temperature", name="Skin"), 6: signals_of(spark, "snore")}
+    assert got == {k: [tuple(r) for r in df.orderBy("signal_order").collect()] for k, df in want.items()}
