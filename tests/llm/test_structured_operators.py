@@ -78,12 +78,49 @@ def test_recall(spark, monkeypatch, shape, root):
         monkeypatch.setattr(ann, "CROWDED", 50)
         monkeypatch.setattr(ann, "PIECE", 400)
         monkeypatch.setattr(ann, "QUERY_PIECE", 20)
-        monkeypatch.setattr(ann, "calibrate", lambda *a: (12, 2))
+        monkeypatch.setattr(ann, "calibrate", lambda *a: (12, 2, 1.0))
         assert recall(spark, x.astype(np.float32)) > 0.3
     else:
         assert recall(spark, x.astype(np.float32)) >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["clustered", "near copies", "few dimensions", "mixed"])
+def test_recall_through_the_forest(spark, monkeypatch, shape):
+    """As it is, on vectors with structure: no query goes to the root."""
+    to_root = []
+    monkeypatch.setattr(ann, "rooted", lambda classes, queries, k, dim, of=ann.rooted: to_root.append(queries.count()) or of(classes, queries, k, dim))
+    rng = np.random.default_rng(15)
+    n, dim = 12_000, 32
+    if shape == "few dimensions":
+        x = rng.standard_normal((n, 4)) @ rng.standard_normal((4, dim)) + 0.02 * rng.standard_normal((n, dim))
+    else:
+        centres = rng.standard_normal((300, dim))
+        x = centres[rng.integers(0, 300, n)] + (0.2 if shape == "clustered" else 0.25) * rng.standard_normal((n, dim))
+        if shape == "near copies":
+            x = np.repeat(rng.standard_normal((n // 12, dim)), 12, axis=0) + 0.05 * rng.standard_normal((n, dim))
+        if shape == "mixed":
+            x[::3] *= 1000.0
+    assert recall(spark, x.astype(np.float32), step=60) >= 0.9 and not to_root
+
+
+def test_root_by_blocks_of_queries(spark, monkeypatch):
+    """Queries in several broadcasts, rows in several slices and tasks: the exact nearest, ties to the smaller id."""
+    monkeypatch.setattr(ann, "ROOT_BYTES", 700)
+    monkeypatch.setattr(ann, "ROOT_ROWS", 7)
+    rng = np.random.default_rng(16)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)
+    x[~x.any(axis=1)] = 1.0
+    rows = spark.createDataFrame([(i, i, [i], v.tolist()) for i, v in enumerate(x)], "key bigint, id bigint, ids array<bigint>, embedding array<double>").repartition(5)
+    got = {}
+    for r in ann.rooted(rows, rows.where("key % 10 = 0").select("key", "embedding"), 4, 6).collect():
+        got.setdefault(r.q, []).append((-round(r.score, 12), r.id))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == set(range(0, 300, 10))
+    for q, found in got.items():
+        assert sorted(found)[:5] == sorted((-round(float(c), 12), i) for i, c in enumerate(u @ u[q]))[:5]
+    assert ann.rooted(rows, rows.limit(0), 4, 6).count() == 0
+
+
 def test_double_vectors(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, 8))
