@@ -3,22 +3,28 @@
 Texts are lower-cased, everything but letters is taken as one space, and runs of 1 to 3 characters are hashed into
 FEATURES counts, scaled to length one. Linear support vector machines (hinge loss, dual coordinate descent) decide: one
 against the rest for each family, then one for each pair of languages in the winning family, whose votes are counted,
-margins breaking ties. Training uses at most SAMPLE distinct texts a language, those of the lowest hashes in the whole table. Every
-machine is trained by a task of its own on the sparse features of the languages it compares; only the weights (FEATURES
+margins breaking ties. Training uses at most SAMPLE distinct texts a language, and SAMPLE_IN_ALL of all, those of the lowest hashes in the whole table.
+The sample, which is bounded, goes to a few tasks, and each trains its share of the machines from it; only the weights (FEATURES
 floats a machine) go to the driver and from there to the executors.
 
+Families are those of the languages' codes, told by their first part ("pt-BR" and "pt_PT" are both Romance, and so told apart one against one);
+labels that are no known codes, and those of families of more than FAMILY_MOST labels, are grouped by the cosine of their mean features, at
+most FAMILY_MOST together. So machines grow with the number of labels, not with its square.
+
 Machines only compare languages and must name one of them for anything. So a model also knows how likely each language's own
 texts are (mean log-likelihood of a text's runs under the counts of the sample, each text without itself), and `usual` is
 false for what is far below that: letter junk, and languages that were not learned. It does not depend on how many there are.
 
 Defined results: `und` with score 0 where the text is null or has no letter; with nothing to learn from, every text is
 `und` (and usual, if it has a letter); with one language, all texts get it with score 1; a null label is not learned, an empty one is a
-language of that name; more than MOST_LANGUAGES labels are an error; whole texts count, however long; repeated rows are predicted alike; columns besides text are carried along.
+language of that name; of more than MOST_LANGUAGES labels those with the most distinct texts are learned (the first in the alphabet of equals);
+whole texts count, however long; repeated rows are predicted alike; columns besides text are carried along.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -32,10 +38,14 @@ from pyspark.sql import types as T
 from .common import durable, unit_hash
 
 FEATURES = 1 << 15
-#: At most so many texts a language are learned from.
-SAMPLE = 400
-#: Machines grow with the square of the languages of a family: more labels than this are taken for a mistake, and refused.
-MOST_LANGUAGES = 200
+#: At most so many texts a language are learned from, and so many of all languages, the same share of each.
+SAMPLE, SAMPLE_IN_ALL = 400, 20_000
+#: The model is bounded: at most so many labels are learned.
+MOST_LANGUAGES = 500
+#: At most so many labels are a family; labels that are no known codes are one if the cosine of their mean features is at least NEAR.
+FAMILY_MOST, NEAR = 12, 0.9
+#: Mean features are folded to so many numbers.
+FOLDED = 1 << 10
 PENALTY = 20.0
 #: Added to the counts of all features, so that an unseen one has a likelihood.
 SMOOTHING = 0.01
@@ -44,18 +54,49 @@ SMOOTHING = 0.01
 SLACK, SHORT_SLACK = 1.5, 8.0
 #: A long text counts as this many runs at most in its language's likelihoods, so that none of them is the language.
 RUNS_LIMIT = 3000.0
-#: Families of language codes; a code that is not here is a family of its own.
+#: Families of language codes of two and three letters.
 FAMILIES = {
-    "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la"),
-    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "sl", "hr", "sr", "bs", "bg", "mk"),
-    "uralic": ("fi", "et", "hu"),
-    "baltic": ("lt", "lv"),
-    "turkic": ("tr", "az", "kk", "uz", "ky"),
-    "indic": ("hi", "ur", "bn", "mr", "gu", "pa", "ne"),
-    "semitic": ("ar", "he", "mt", "am"),
+    "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi", "eng", "deu", "ger", "nld", "dut", "swe", "dan", "nor", "nob", "nno", "isl", "afr", "fry", "ltz", "yid"),
+    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la", "fra", "fre", "spa", "ita", "por", "ron", "rum", "cat", "glg", "oci", "lat"),
+    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "sl", "hr", "sr", "bs", "bg", "mk", "rus", "ukr", "bel", "pol", "ces", "cze", "slk", "slv", "hrv", "srp", "bos", "bul", "mkd"),
+    "uralic": ("fi", "et", "hu", "fin", "est", "hun"),
+    "baltic": ("lt", "lv", "lit", "lav"),
+    "turkic": ("tr", "az", "kk", "uz", "ky", "tur", "aze", "kaz", "uzb", "kir"),
+    "indic": ("hi", "ur", "bn", "mr", "gu", "pa", "ne", "hin", "urd", "ben", "mar", "guj", "pan", "nep"),
+    "semitic": ("ar", "he", "mt", "am", "ara", "heb", "mlt", "amh"),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
+
+
+def known_family(label: str) -> str | None:
+    """The family of a language code, by its first part; None where it is not known."""
+    return FAMILY_OF.get(re.split("[-_]", label.lower())[0])
+
+
+def families_of(means: dict[str, np.ndarray]) -> dict[str, str]:
+    """The family of each label, from the labels' mean features, which have length one."""
+    out: dict[str, str] = {}
+    named: dict[str | None, list[str]] = {}
+    for label in sorted(means):
+        named.setdefault(known_family(label), []).append(label)
+    for name, labels in named.items():
+        if name is not None and len(labels) <= FAMILY_MOST:
+            out |= dict.fromkeys(labels, name)
+            continue
+        near = np.stack([means[x] for x in labels]) @ np.stack([means[x] for x in labels]).T
+        # a family that is too large is cut around the labels that are furthest apart; among others, what is near enough is a family
+        seeds = [0]
+        while len(seeds) * FAMILY_MOST < len(labels) if name is not None else near[:, seeds].max(axis=1).min() < NEAR:
+            seeds.append(int(near[:, seeds].max(axis=1).argmin()))
+        size = dict.fromkeys(seeds, 0)
+        for i in sorted(range(len(labels)), key=lambda i: (i not in size, -near[i, seeds].max(), i)):
+            free = [s for s in size if size[s] < FAMILY_MOST and (name is not None or near[i, s] >= NEAR)]
+            best = max(free, key=lambda s: near[i, s], default=i)
+            size[best] = size.get(best, 0) + 1
+            out[labels[i]] = f"{name or ''}~{labels[best]}"
+    return out
+
+
 _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
 
 
@@ -118,16 +159,20 @@ def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, round
 
 @dataclass
 class Model:
-    """families: names; family_rows: their machines' rows in weights; pairs: by family, (row, first, second language)."""
+    """weights: a column for each machine, those of the families first; pairs: by family, (column, first, second language)."""
 
     languages: list[str] = field(default_factory=list)
-    families: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES), np.float32))
+    family_of: dict[str, str] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     pairs: dict[str, list[tuple[int, str, str]]] = field(default_factory=dict)
     #: By language: log-likelihood of each feature, and the least mean of a usual text.
     likelihood: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.families = sorted(set(self.family_of.values()))
+        self.members = {f: [x for x in self.languages if self.family_of[x] == f] for f in self.families}
+
     def predict(self, text: str | None) -> tuple[str, float]:
         return self._predict(*features(text))
 
@@ -142,29 +187,31 @@ class Model:
         own = [self.likelihood[lang], *(x for name, x in self.likelihood.items() if name != lang)]
         return lang, score, any(share @ log[at] >= least - slack for log, least in own)
 
+    def _margins(self, at: np.ndarray, value: np.ndarray, first: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+        margin = value @ self.weights[at, first:after] + self.bias[first:after]
+        return margin, 1 / (1 + np.exp(-2.0 * margin.astype(float)))
+
     def _predict(self, at: np.ndarray, value: np.ndarray) -> tuple[str, float]:
         if not len(at) or not self.languages:
             return "und", 0.0
-        margin = value @ self.transposed[at] + self.bias
-        sure = 1 / (1 + np.exp(-2.0 * margin.astype(float)))
         which, score = 0, 1.0
         if len(self.families) > 1:
-            shares = sure[: len(self.families)]
-            which = int(np.argmax(margin[: len(self.families)]))
-            score = float(shares[which] / shares.sum())
+            margin, sure = self._margins(at, value, 0, len(self.families))
+            which = int(np.argmax(margin))
+            score = float(sure[which] / sure.sum())
         family = self.families[which]
-        members = [x for x in self.languages if FAMILY_OF.get(x, x) == family]
+        members, pairs = self.members[family], self.pairs[family]
         if len(members) == 1:
             return members[0], score
+        first = pairs[0][0]  # a family's pairs stand together
+        margin, sure = self._margins(at, value, first, first + len(pairs))
         votes = dict.fromkeys(members, 0.0)
-        for row, a, b in self.pairs[family]:
-            votes[a if margin[row] >= 0 else b] += 1 + min(abs(float(margin[row])), 100.0) / 1000  # margins break ties
+        for column, a, b in pairs:
+            own = float(margin[column - first])
+            votes[a if own >= 0 else b] += 1 + min(abs(own), 100.0) / 1000  # margins break ties
         best = max(members, key=lambda x: votes[x])
-        own = [sure[row] if a == best else 1 - sure[row] for row, a, b in self.pairs[family] if best in (a, b)]
-        return best, float(score * min(own))
-
-    def __post_init__(self) -> None:
-        self.transposed = np.ascontiguousarray(self.weights.T)
+        shares = [sure[c - first] if a == best else 1 - sure[c - first] for c, a, b in pairs if best in (a, b)]
+        return best, float(score * min(shares))
 
 
 def learn_likelihood(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
@@ -184,9 +231,8 @@ def drawn_features(labelled: DataFrame, sample: int, seed: int) -> DataFrame:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("h"), unit_hash("text", seed=seed).alias("u"))
     # copies count once; the estimate, within a few hundredths, needs no shuffle
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} different values of lang")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sample = min(sample, max(SAMPLE_IN_ALL // max(len(counts), 1), 1))
     # a little more than asked for, so that chance leaves enough, then the lowest hashes of each language
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * sample / max(r["n"], 1))))])
     drawn = rows.where(F.col("u") < share[F.col("lang")]) if counts else rows.limit(0)
@@ -220,41 +266,52 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     """A model from rows with text and lang."""
     spark = labelled.sparkSession
     drawn = drawn_features(labelled, sample, seed)
-    languages = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())
-    if not languages:
-        return Model()
-    family_of = {x: FAMILY_OF.get(x, x) for x in languages}
-    families = sorted(set(family_of.values()))
-    roles: list[tuple[int, str, int]] = []  # machine, language, side
-    pairs: dict[str, list[tuple[int, str, str]]] = {f: [] for f in families}
-    count = len(families) if len(families) > 1 else 0
-    for m in range(count):
-        roles += [(m, x, 1 if family_of[x] == families[m] else -1) for x in languages]
-    for f in families:
-        for a, b in combinations([x for x in languages if family_of[x] == f], 2):
-            pairs[f].append((count, a, b))
-            roles += [(count, a, 1), (count, b, -1)]
-            count += 1
-
-    def machine(table: pa.Table) -> pa.Table:
-        table, rows = _sparse(table)
-        weights, bias = train_svm(rows, table["side"].to_numpy().astype(float))
-        return pa.table({"machine": table["machine"][:1], "weights": pa.array([weights.astype(np.float32).tobytes()]), "bias": pa.array([bias])})
 
     def usual(table: pa.Table) -> pa.Table:
         table, rows = _sparse(table)
         log, least = learn_likelihood(rows)
-        return pa.table({"lang": table["lang"][:1], "log": pa.array([log.tobytes()]), "least": pa.array([least])})
+        mean = np.zeros(FOLDED)
+        for at, value in rows:
+            np.add.at(mean, at % FOLDED, value)
+        return pa.table({"lang": table["lang"][:1], "log": pa.array([log.tobytes()]), "least": pa.array([least]), "mean": pa.array([(mean / np.linalg.norm(mean)).tobytes()])})
 
-    weights, bias = np.zeros((count, FEATURES), np.float32), np.zeros(count, np.float32)
-    if count:
-        table = spark.createDataFrame(roles, "machine int, lang string, side int")  # MOST_LANGUAGES squared rows at most
-        made = drawn.join(F.broadcast(table), "lang").repartition(count, "machine").groupBy("machine").applyInArrow(machine, "machine int, weights binary, bias double").toArrow()
+    told = drawn.groupBy("lang").applyInArrow(usual, "lang string, log binary, least double, mean binary").toArrow().to_pylist()  # MOST_LANGUAGES rows
+    if not told:
+        return Model()
+    languages = sorted(r["lang"] for r in told)
+    family_of = families_of({r["lang"]: np.frombuffer(r["mean"]) for r in told})
+    families = sorted(set(family_of.values()))
+    machines: list[tuple[list[str], list[str]]] = []  # the languages on either side
+    if len(families) > 1:
+        machines += [([x for x in languages if family_of[x] == f], [x for x in languages if family_of[x] != f]) for f in families]
+    pairs: dict[str, list[tuple[int, str, str]]] = {f: [] for f in families}
+    for f in families:
+        for a, b in combinations([x for x in languages if family_of[x] == f], 2):
+            pairs[f].append((len(machines), a, b))
+            machines.append(([a], [b]))
+
+    weights, bias = np.zeros((FEATURES, len(machines)), np.float32), np.zeros(len(machines), np.float32)
+    if machines:
+        shares = min(len(machines), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+        def trained(key: tuple, table: pa.Table) -> pa.Table:
+            table, rows = _sparse(table)
+            label = np.array(table["lang"].to_pylist(), object)
+            out = []
+            for m in range(key[0].as_py(), len(machines), shares):
+                side = np.where(np.isin(label, machines[m][0]), 1.0, 0.0) - np.isin(label, machines[m][1])
+                own = np.flatnonzero(side)
+                w, b = train_svm([rows[i] for i in own.tolist()], side[own])
+                out.append((m, w.astype(np.float32).tobytes(), b))
+            return pa.table({c: pa.array(x, k) for c, x, k in zip(("machine", "weights", "bias"), zip(*out), (pa.int32(), pa.binary(), pa.float64()))})
+
+        # each share of the machines gets the whole sample, which is bounded, once
+        every = drawn.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        made = every.repartition(shares, "share").groupBy("share").applyInArrow(trained, "machine int, weights binary, bias double").toArrow()
         for m, w, b in zip(made["machine"].to_pylist(), made["weights"], made["bias"].to_pylist()):
-            weights[m], bias[m] = np.frombuffer(w.as_py(), np.float32), b
-    told = drawn.groupBy("lang").applyInArrow(usual, "lang string, log binary, least double").toArrow()
-    likelihood = {x: (np.frombuffer(log.as_py(), np.float32), least) for x, log, least in zip(told["lang"].to_pylist(), told["log"], told["least"].to_pylist())}
-    return Model(languages, families, weights, bias, pairs, {x: likelihood[x] for x in languages})
+            weights[:, m], bias[m] = np.frombuffer(w.as_py(), np.float32), b
+    likelihood = {r["lang"]: (np.frombuffer(r["log"], np.float32), r["least"]) for r in sorted(told, key=lambda r: r["lang"])}
+    return Model(languages, family_of, weights, bias, pairs, likelihood)
 
 
 def identify(docs: DataFrame, model: Model, usual: str | None = None) -> DataFrame:

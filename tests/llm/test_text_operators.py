@@ -411,10 +411,43 @@ def test_twenty_languages(spark):
     assert np.mean([model.predict(t)[0] == c for t, c in make(5)]) > 0.98
 
 
-def test_too_many_languages(spark):
-    rows = [(f"text {i}", f"x{i}") for i in range(langid.MOST_LANGUAGES + 1)]
-    with pytest.raises(ValueError):
-        langid.train(spark.createDataFrame(rows, "text string, lang string"))
+def test_many_labels(spark, monkeypatch):
+    """More labels than are learned, copies not counted; a sample that is bounded in all; labels that are no codes."""
+    rng = random.Random(4)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(20)] for _ in range(130)]
+    make = lambda n: [(" ".join(rng.choices(words[i], k=15)), f"x{i:03}") for i in range(130) for _ in range(n)]
+    rows = make(5) + [(" ".join(words[3]), "rare")] * 50
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 130)
+    monkeypatch.setattr(langid, "SAMPLE_IN_ALL", 520)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert set(Counter(r.lang for r in langid.drawn_features(df, 400, 11).collect()).values()) == {4}
+    model = langid.train(df)
+    assert model.languages == [f"x{i:03}" for i in range(130)] and max(map(len, model.members.values())) <= langid.FAMILY_MOST
+    assert np.mean([model.predict(t)[0] == lang for t, lang in make(1)]) > 0.95
+
+
+def test_variants_are_told_apart_one_against_one(spark):
+    rng = random.Random(5)
+    made = []
+    for lang, extra in (("pt-BR", "você ônibus trem"), ("pt_PT", "autocarro comboio tu"), ("nor", "ikke og jeg"), ("zh-cn", "men le de"), ("q1", "zug zag"), ("q2", "zug zog")):
+        base = {"pt": "casa não mais uma para", "no": "hus en til som", "zh": "ni hao ma shi", "q1": "wuwu wawa zuzu", "q2": "wuwu wawa zuzu"}[lang[:2]].split() * 3
+        made += [(" ".join(rng.choices(base + extra.split(), k=30)), lang) for _ in range(40)]
+    model = langid.train(spark.createDataFrame(made, "text string, lang string"))
+    assert model.family_of["pt-BR"] == model.family_of["pt_PT"] == "romance" and model.family_of["nor"] == "germanic"
+    assert [x[1:] for x in model.pairs["romance"]] == [("pt-BR", "pt_PT")]
+    assert model.family_of["q1"] == model.family_of["q2"] != model.family_of["zh-cn"]
+    assert np.mean([model.predict(t)[0] == lang for t, lang in made]) > 0.95
+
+
+def test_families_by_mean_features():
+    unit = lambda *v: np.array(v) / np.linalg.norm(v)
+    means = {"a1": unit(1, 0, 0), "a2": unit(1, 0.1, 0), "b1": unit(0, 1, 0), "c1": unit(0, 0, 1), "c2": unit(0, 0.1, 1), "en": unit(1, 0, 0), "de-AT": unit(0, 1, 0), "": unit(0, 1, 1)}
+    got = langid.families_of(means)
+    assert got["a1"] == got["a2"] and got["c1"] == got["c2"] and len({got[x] for x in ("a1", "b1", "c1", "")}) == 4 and got["en"] == got["de-AT"] == "germanic"
+    many = {f"en-{i:03}": unit(math.cos(i), math.sin(i), 0.5) for i in range(40)} | {f"q{i:03}": unit(1, i / 10_000, 0) for i in range(40)}
+    got = langid.families_of(many)
+    sizes = Counter(got.values())
+    assert len(got) == 80 and max(sizes.values()) <= langid.FAMILY_MOST and sum(f.startswith("germanic~") for f in sizes) == 4
 
 
 def test_keep_one_of_repeated_rows(spark, monkeypatch):
