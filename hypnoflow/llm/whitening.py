@@ -66,13 +66,10 @@ def whole_numbers(df: DataFrame, dim: int, scale: float, shift: int, id: str, ve
 
 def fit(rows: DataFrame, dim: int) -> Fit | None:
     """The principal components of rows (x); None where there are no rows."""
-    n = rows.count()
-    if not n:
+    totals = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # dim rows
+    if not totals:
         return None
-    totals = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("s"))
-    sums = [0] * dim
-    for r in totals.collect():  # dim numbers
-        sums[r.i] = int(r.s)
+    n, sums = totals[0].n, [int(r.s) for r in sorted(totals, key=lambda r: r.i)]
     whole = F.array(*[F.lit(s).cast("decimal(38,0)") for s in sums]).cast("array<bigint>")
     centred = F.zip_with("x", whole, lambda x, s: (x * F.lit(n).cast("bigint") - s).cast("double") / F.lit(float(n)))
     vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(centred).alias("row")), "row")
