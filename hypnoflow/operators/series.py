@@ -123,7 +123,8 @@ HEAVY = 1024
 
 
 def sort_keys(rows: DataFrame, value: str = "value") -> DataFrame:
-    """rows with _key, a long that is in the order of the values when taken as unsigned; -0.0 is 0.0. Rows without a number go."""
+    """rows with _key, a long that is in the order of the values when taken as unsigned; -0.0 is 0.0, and numbers that are neither whole nor
+    floating are taken as doubles. Rows without a number go."""
     kind = rows.schema[value].dataType.simpleString()
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return rows.where(F.col(value).isNotNull()).withColumn("_key", F.col(value).cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
