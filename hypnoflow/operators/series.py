@@ -331,11 +331,15 @@ def composed(
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         for batch in batches:
+            told = []
             for (*_, mark), part in runs(batch, "_row"):
                 if mark:
-                    yield pa.RecordBatch.from_arrays([*(part[c] for c in names), now.push(part)], [*names, out[0]])
+                    told.append(now.push(part))
                 else:
                     now = judge(part["_start"][0].as_py())
+            if told:
+                kept = pa.array(np.flatnonzero(batch["_row"].to_numpy() == 1))
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(kept) for c in names), pa.concat_arrays(told)], [*names, out[0]])
 
     ordered = rows.repartition(series, "_part").sortWithinPartitions(series, "_part", *order)
     parts = ordered.mapInArrow(maps, ", ".join([f"`{series}` {kinds[series]}", "_part bigint", *(f"{c} {kind}" for c, (_, kind) in packed.items())]))
