@@ -268,7 +268,7 @@ def rmssd(df: DataFrame, series: str = "series", value: str = "value", *order: s
 class Step(Protocol):
     """What a stretch of rows makes of any state before it; `packed` says so in a few numbers."""
 
-    def push(self, rows: pa.RecordBatch) -> None: ...
+    def push(self, values: Sequence) -> None: ...
 
     def packed(self) -> tuple: ...
 
@@ -276,13 +276,13 @@ class Step(Protocol):
 class Judge(Protocol):
     """Goes through rows from a known state."""
 
-    def push(self, rows: pa.RecordBatch) -> pa.Array: ...
+    def push(self, values: Sequence) -> Sequence: ...
 
 
 def composed(
-    rows: DataFrame, series: str, order: Sequence[str], step: Callable[[], Step], packed: Mapping[str, tuple[pa.DataType, str]], after: Callable[[object, tuple], object], state: tuple[pa.DataType, str], judge: Callable[[object], Judge], out: tuple[str, str]
+    rows: DataFrame, series: str, order: Sequence[str], column: str, step: Callable[[], Step], packed: Mapping[str, tuple[pa.DataType, str]], after: Callable[[object, tuple], object], state: tuple[pa.DataType, str], judge: Callable[[object], Judge], out: tuple[str, pa.DataType, str]
 ) -> DataFrame:
-    """rows (series, _part, ...) with a column `out` that seems to need a fold over the whole series, by many tasks.
+    """rows (series, _part, ...) with a column `out`, made of the values of `column`, that seems to need a fold over the whole series, by many tasks.
 
     Each stretch gives, as `packed` columns, the map from the state before it to the state after it (`step`); the maps, small ones, are applied
     along each series one after the other (`after`, from None); and every stretch is then gone through from its true start (`judge`). Rows are
@@ -291,12 +291,14 @@ def composed(
     names = [c for c in rows.columns if c != "_part"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def runs(batch: pa.RecordBatch, *marks: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-        """The batch's rows by series, stretch and marks."""
+    def runs(batch: pa.RecordBatch, *marks: str) -> Iterator[tuple[tuple, int, Sequence]]:
+        """The batch's values by series, stretch and marks, and where they begin."""
         keys = list(zip(*(batch[c].to_pylist() for c in (series, "_part", *marks))))
+        nested = pa.types.is_nested(batch[column].type)
+        values = batch[column].to_pylist() if nested or batch[column].null_count else batch[column].to_numpy()
         cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else []
         for a, b in zip(cuts, cuts[1:]):
-            yield keys[a], batch.slice(a, b - a)
+            yield keys[a], a, values[a:b]
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, kind = None, None, None
@@ -307,7 +309,7 @@ def composed(
 
         for batch in batches:
             kind, found = batch.schema.field(series).type, []
-            for at, part in runs(batch):
+            for at, _, part in runs(batch):
                 if held is None or at != now:
                     found += [(*now, *held.packed())] if held is not None else []
                     now, held = at, step()
@@ -332,26 +334,26 @@ def composed(
         now = None
         for batch in batches:
             told = []
-            for (*_, mark), part in runs(batch, "_row"):
+            for (*_, mark), at, part in runs(batch, "_row"):
                 if mark:
-                    told.append(now.push(part))
+                    told.extend(now.push(part))
                 else:
-                    now = judge(part["_start"][0].as_py())
+                    now = judge(batch["_start"][at].as_py())
             if told:
                 kept = pa.array(np.flatnonzero(batch["_row"].to_numpy() == 1))
-                yield pa.RecordBatch.from_arrays([*(batch[c].take(kept) for c in names), pa.concat_arrays(told)], [*names, out[0]])
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(kept) for c in names), pa.array(told, out[1])], [*names, out[0]])
 
     ordered = rows.repartition(series, "_part").sortWithinPartitions(series, "_part", *order)
     parts = ordered.mapInArrow(maps, ", ".join([f"`{series}` {kinds[series]}", "_part bigint", *(f"{c} {kind}" for c, (_, kind) in packed.items())]))
     starts = parts.repartition(series).sortWithinPartitions(series, "_part").mapInArrow(chained, f"`{series}` {kinds[series]}, _part bigint, _start {state[1]}")
     both = rows.withColumn("_row", F.lit(1)).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
     told = both.repartition(series, "_part").sortWithinPartitions(series, "_part", "_row", *order)
-    return told.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {out[0]} {out[1]}")
+    return told.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {out[0]} {out[2]}")
 
 
 class BeatStep(BeatMap):
-    def push(self, rows: pa.RecordBatch) -> None:
-        for intervals in rows["intervals"].to_pylist():
+    def push(self, values: Sequence) -> None:
+        for intervals in values:
             for seconds in intervals or ():
                 ms = beat_ms(seconds)
                 if ms is not None:
@@ -362,8 +364,8 @@ class BeatJudge:
     def __init__(self, window: int, tail: list[int] | None) -> None:
         self.kept = HrvWindow(window, tail or ())
 
-    def push(self, rows: pa.RecordBatch) -> pa.Array:
-        return pa.array([self.kept.push(x or ()) for x in rows["intervals"].to_pylist()], pa.float64())
+    def push(self, values: Sequence) -> list[float | None]:
+        return [self.kept.push(x or ()) for x in values]
 
 
 def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
@@ -378,7 +380,7 @@ def heart_rate_variability(df: DataFrame, window: int = 30, series: str = "serie
     rows = stretched(df.select(series, *order, F.col("intervals").cast("array<double>").alias("intervals")), order[0], splits)
     ints = (pa.list_(pa.int32()), "array<int>")
     packed = {"begin": ints, "owner": ints, "tails": (pa.list_(pa.list_(pa.int32())), "array<array<int>>")}
-    out = composed(rows, series, order, lambda: BeatStep(window), packed, lambda tail, told: beats_after(tail or [], told, window), ints, lambda tail: BeatJudge(window, tail), ("hrv", "double"))
+    out = composed(rows, series, order, "intervals", lambda: BeatStep(window), packed, lambda tail, told: beats_after(tail or [], told, window), ints, lambda tail: BeatJudge(window, tail), ("hrv", pa.float64(), "double"))
     return out.drop("intervals")
 
 
@@ -386,8 +388,8 @@ class ThinStep:
     def __init__(self, wait: int) -> None:
         self.held = ThinMap(wait)
 
-    def push(self, rows: pa.RecordBatch) -> None:
-        self.held.push(rows["_time"].to_numpy())
+    def push(self, values: Sequence) -> None:
+        self.held.push(np.asarray(values, np.int64))
 
     def packed(self) -> tuple[list[int], list[int]]:
         return self.held.packed()
@@ -397,12 +399,12 @@ class ThinJudge:
     def __init__(self, wait: int, last: int | None) -> None:
         self.wait, self.last = wait, last
 
-    def push(self, rows: pa.RecordBatch) -> pa.Array:
-        at = rows["_time"].to_numpy()
+    def push(self, values: Sequence) -> list[bool]:
+        at = np.asarray(values, np.int64)
         through = thinned(at, self.wait, self.last)
         if through.any():
             self.last = int(at[np.flatnonzero(through)[-1]])
-        return pa.array(through)
+        return through.tolist()
 
 
 def throttled(df: DataFrame, wait_us: int, series: str = "series", *order: str, splits: Sequence[float] | None = None) -> DataFrame:
@@ -417,7 +419,7 @@ def throttled(df: DataFrame, wait_us: int, series: str = "series", *order: str,
     order = order or ("us", "event_id")
     rows = stretched(df.where(F.col(order[0]).isNotNull()).withColumn("_time", F.col(order[0]).cast("bigint")), order[0], splits)
     longs = (pa.list_(pa.int64()), "array<bigint>")
-    out = composed(rows, series, order, lambda: ThinStep(wait_us), {"begin": longs, "last": longs}, lambda last, told: last_after(last, told, wait_us), (pa.int64(), "bigint"), lambda last: ThinJudge(wait_us, last), ("_through", "boolean"))
+    out = composed(rows, series, order, "_time", lambda: ThinStep(wait_us), {"begin": longs, "last": longs}, lambda last, told: last_after(last, told, wait_us), (pa.int64(), "bigint"), lambda last: ThinJudge(wait_us, last), ("_through", pa.bool_(), "boolean"))
     return out.where("_through").select(*df.columns)
 
 
