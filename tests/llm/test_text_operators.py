@@ -208,7 +208,7 @@ def plain_shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_contained_items(spark, docs, none, rows):
+def test_contained_items(spark, docs, none, rows, monkeypatch):
     rng = random.Random(11)
     long = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
     items = [(i, long(rng.randrange(5, 60))) for i in range(30)] + [(40, None), (41, ""), (42, "Two words"), (43, rows[5][1]), (43, rows[5][1])]
@@ -233,6 +233,9 @@ def test_contained_items(spark, docs, none, rows):
                 want[d, i] = max(want.get((d, i), 0), len(s & have))
     got = {(r.doc_id, r.item_id): r.n_common for r in decontam.contained_items(all_docs, bench).collect()}
     assert got == want and len(want) > 20
+    with monkeypatch.context() as m:  # a table so small that all its bits are set lets all shingles through
+        m.setattr(decontam, "MOST_BITS", 64)
+        assert {(r.doc_id, r.item_id): r.n_common for r in decontam.contained_items(all_docs, bench).collect()} == want
     clean = decontam.clean_documents(docs, bench)
     assert clean.columns == docs.columns
     dirty = lambda t: any(plain_shingles(x) and len(plain_shingles(x) & plain_shingles(t)) >= 0.8 * len(plain_shingles(x)) - 1e-9 for _, x in items)
