@@ -13,8 +13,8 @@ six of eight bytes agree (28 buckets): there at most 2**16 different fingerprint
 neighbours in the two free bytes, without a pivot table. So nothing is left out, and no task holds more than the bound.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other; a text
-of fewer words than a shingle has its whole sequence as its one shingle; rows that repeat a doc_id share the class that
-either has; a null doc_id keeps its row and counts as larger than any other; columns besides doc_id and text are not used.
+of fewer words than a shingle has its whole sequence as its one shingle; rows that repeat a doc_id are one document, so
+their classes are one (not in `keep_one`, where each text counts by itself); a null doc_id keeps its row and counts as larger than any other; columns besides doc_id and text are not used.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, durable, unused
+from .common import BROADCAST_BYTES, broadcastable, durable, unused
 from .components import components
 
 SEED = 42
@@ -218,11 +218,25 @@ def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """doc_id, text_key, fp, root (the class as a fingerprint), component_id (its smallest doc_id) for every document."""
+def id_links(marked: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between the fingerprints of each doc_id that has several; None where there are none. marked should be cheap to read."""
+    seen = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("_last"))
+    many = durable(seen.where("b < _last").select("doc_id", "b"))
+    if many.isEmpty():
+        return None
+    return marked.join(broadcastable(many, KEY_BYTES), "doc_id").where("fp != b").select(F.col("fp").alias("a"), "b")
+
+
+def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, by_id: bool = True) -> DataFrame:
+    """doc_id, text_key, fp, root (the class as a fingerprint), component_id (its smallest doc_id) for every document.
+
+    by_id: texts that rows of one doc_id have are linked too, as a document reaches what any of its texts does.
+    """
     marked = durable(fingerprints(docs))
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), bucket_limit))
+    found = links(distinct.select("fp"), bucket_limit)
+    own = id_links(marked) if by_id else None
+    roots = components(found if own is None else found.union(own))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(named, "root").select("fp", "root", "component_id")
@@ -240,7 +254,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     them, before anything is shuffled; the others meet the list of kept rows by a key that each has alone.
     """
     names = [unused(docs, k) for k in ("k0", "k1", "k2")]
-    found = durable(near_duplicates(docs).select("root", *_row_key("doc_id", F.col("text_key"), names)))
+    found = durable(near_duplicates(docs, by_id=False).select("root", *_row_key("doc_id", F.col("text_key"), names)))
     order = F.struct(names[1], names[0], names[2])
     kept = found.groupBy("root").agg(F.min(order).alias("k")).select(*[F.col(f"k.{n}").alias(n) for n in names])
     many = durable(found.groupBy(*names).count().where("count > 1").select(*names))

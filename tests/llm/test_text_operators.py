@@ -155,6 +155,18 @@ def test_near_duplicates(docs, none, rows, limit):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("hypnoflow.llm.common.BROADCAST_BYTES", broadcast)
+    texts = ["one two three four", "the river by night", "sleep is far away", "a train in the fog", "no more", "last words here"]
+    # 5 has two texts, 7 shares one of them and has a third; null ids are no document of their own
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[1]), (7, texts[2]), (3, texts[2]), (9, texts[3]), (9, texts[3]), (None, texts[4]), (None, texts[5]), (8, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter([(5, 3), (5, 3), (7, 3), (7, 3), (3, 3), (9, 9), (9, 9), (None, None), (None, 8), (8, 8)])
+    assert Counter(r.text for r in simhash.keep_one(docs).collect()) == Counter(texts)
+
+
 @pytest.mark.parametrize("limit", [4096, 40])
 def test_links_of_close_fingerprints(spark, limit):
     rng = np.random.default_rng(4)
