@@ -124,13 +124,15 @@ def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us", splits
     its hull, count and sums, and only hulls, a few points each, stream through the chain of a series. Points on an edge of a hull stay, so that the
     first of equal triangles still wins; all points of a curve without noise are corners, and it is reduced no further than its rows.
 
-    All points where the series has no more than n, or n < 3. Rows without a number go. The null series is one like others.
+    All points where the series has no more than n, or n < 3. Rows without a number go. The null series is one like others. Rows without a time
+    are the series' last ones; a triangle with such a point is none, so a bucket whose triangles all have one gives its first point.
     """
     rows = df.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col(series).alias("series"), F.col(time).alias("t"), F.col("value").cast("double").alias("value"))
     names = lambda out: out.select(F.col("series").alias(series), F.col("t").alias(time), "value")
     if n < 3:
         return names(rows)
     placed = stretched(rows, "t", splits)
+    placed = placed.withColumn("_part", F.when(F.col("t").isNull(), F.lit(1 << 62)).otherwise(F.col("_part")))
     totals = placed.groupBy("series", "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("t").alias("_a"))
     whole = Window.partitionBy("series")
     known = F.struct(F.coalesce(F.sum("_c").over(parts_before("series")), F.lit(0)).alias("before"), F.sum("_c").over(whole).alias("size"), F.min("_a").over(whole).alias("base"))
@@ -146,13 +148,14 @@ def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us", splits
     bucket = F.when(F.col("seq") == 0, F.lit(-1)).otherwise(F.least(bucket, F.lit(n - 2)))
     key, kind = (rows.schema[c].dataType.simpleString() for c in ("series", "t"))
     points = f"array<struct<seq:bigint,t:{kind},value:double>>"
-    hulls = sized.withColumn("bucket", bucket.cast("bigint")).mapInArrow(lambda batches: _hulls(batches, n), f"series {key}, bucket bigint, base {kind}, size bigint, n bigint, st double, sv double, points {points}")
+    hulls = sized.withColumn("bucket", bucket.cast("bigint")).mapInArrow(lambda batches: _hulls(batches, n), f"series {key}, bucket bigint, base {kind}, size bigint, n bigint, timed bigint, st double, sv double, points {points}")
     ordered = hulls.repartition("series").sortWithinPartitions("series", "bucket")
     return names(ordered.mapInArrow(lambda batches: _chained(batches, n), f"series {key}, t {kind}, value double"))
 
 
 def _hulls(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A row for each run of rows of one bucket: their number, the sums of time (from the series' first) and value, and the points of the hull.
+    """A row for each run of rows of one bucket: their number, how many have a time, the sums of time (from the series' first) and value, and
+    the points of the hull; of rows without a time, the first and the last.
 
     Rows of a series come in order as a rule, but nothing depends on it: any parts of a bucket will do.
     """
@@ -160,25 +163,33 @@ def _hulls(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         if not batch.num_rows:
             continue
         bucket, seq = batch["bucket"].to_numpy(), batch["seq"].to_numpy()
-        value, t = batch["value"].to_numpy(), batch["t"].to_numpy()
-        since = (t - batch["base"].to_numpy()).astype(np.float64)
+        value, timed = batch["value"].to_numpy(), batch["t"].is_valid().to_numpy(zero_copy_only=False)
+        since = _since(batch["t"], batch["base"])
         # a series' numbers go on by one within it
-        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(seq) != 1)) + 1
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(seq) != 1) | np.diff(timed)) + 1
         first, after = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seq)]])
         whole = batch["size"].to_numpy()[first] <= n
-        kept = [np.arange(a, b) if all_of or b - a < SHORT_RUN else a + hull(since[a:b], value[a:b]) for a, b, all_of in zip(first.tolist(), after.tolist(), whole.tolist())]
+        reduced = lambda a, b: a + hull(since[a:b], value[a:b]) if timed[a] else np.array([a, b - 1])
+        kept = [np.arange(a, b) if all_of or b - a < SHORT_RUN else reduced(a, b) for a, b, all_of in zip(first.tolist(), after.tolist(), whole.tolist())]
         flat, ends = np.concatenate(kept), np.cumsum([0, *map(len, kept)])
         points = pa.StructArray.from_arrays([batch["seq"].take(pa.array(flat)), batch["t"].take(pa.array(flat)), batch["value"].take(pa.array(flat))], ["seq", "t", "value"])
         head = pa.array(first)
         yield pa.RecordBatch.from_arrays(
             [
-                batch["series"].take(head), batch["bucket"].take(head), batch["base"].take(head), batch["size"].take(head), pa.array(after - first),
-                pa.array(np.add.reduceat(since, first)), pa.array(np.add.reduceat(value, first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), points),
+                batch["series"].take(head), batch["bucket"].take(head), batch["base"].take(head), batch["size"].take(head), pa.array(after - first), pa.array(np.add.reduceat(timed.astype(np.int64), first)),
+                pa.array(np.add.reduceat(np.where(timed, since, 0.0), first)), pa.array(np.add.reduceat(value, first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), points),
             ],
-            ["series", "bucket", "base", "size", "n", "st", "sv", "points"],
+            ["series", "bucket", "base", "size", "n", "timed", "st", "sv", "points"],
         )
 
 
+def _since(t: pa.Array, base: pa.Array) -> np.ndarray:
+    """How long after the series' first time each is; NaN where there is none."""
+    zero = pa.scalar(0, t.type)
+    since = (t.fill_null(zero).to_numpy() - base.fill_null(zero).to_numpy()).astype(np.float64)
+    return np.where(t.is_valid().to_numpy(zero_copy_only=False), since, np.nan)
+
+
 @dataclass
 class Bucket:
     """The points of a bucket's hulls, their places in the series, and what its mean is made of."""
@@ -186,6 +197,7 @@ class Bucket:
     which: int
     whole: bool
     n: int
+    timed: int
     st: float
     sv: float
     seq: list[np.ndarray]
@@ -220,7 +232,10 @@ def _chained(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             at = int(np.argmin(seq) if b.which < 0 else np.argmax(seq))
         else:
             order = np.argsort(seq, kind="stable")
-            at = int(order[largest_triangle(*last, since[order], value[order], following.st / following.n, following.sv / following.n)])
+            timed = order[~np.isnan(since[order])]
+            at = int(order[0])
+            if len(timed) and following.timed and not np.isnan(last[0]):
+                at = int(timed[largest_triangle(*last, since[timed], value[timed], following.st / following.timed, following.sv / following.n)])
         last = (since[at], value[at])
         out.append((key, b.pick(at)))
 
@@ -231,14 +246,16 @@ def _chained(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([keys, rows.field("t"), rows.field("value")], ["series", "t", "value"])
 
     for batch in batches:
-        who, columns = batch["series"].to_pylist(), {c: batch[c].to_pylist() for c in ("bucket", "size", "n", "st", "sv", "base")}
-        for i, name in enumerate(who):
-            points = batch["points"][i].values
-            t, which = points.field("t").to_numpy(), columns["bucket"][i]
-            since = (t - np.asarray(columns["base"][i], t.dtype)).astype(np.float64)
-            piece = Bucket(which, columns["size"][i] <= n, columns["n"][i], columns["st"][i], columns["sv"][i], [points.field("seq").to_numpy()], [since], [points.field("value").to_numpy()], [points])
+        who, columns = batch["series"].to_pylist(), {c: batch[c].to_pylist() for c in ("bucket", "size", "n", "timed", "st", "sv")}
+        flat, lengths = batch["points"].flatten(), batch["points"].value_lengths().to_numpy()
+        ends = np.cumsum(lengths)
+        since = _since(flat.field("t"), batch["base"].take(pa.array(np.repeat(np.arange(len(who)), lengths))))
+        seq, value = flat.field("seq").to_numpy(), flat.field("value").to_numpy()
+        for i, (name, a, b) in enumerate(zip(who, (ends - lengths).tolist(), ends.tolist())):
+            which = columns["bucket"][i]
+            piece = Bucket(which, columns["size"][i] <= n, columns["n"][i], columns["timed"][i], columns["st"][i], columns["sv"][i], [seq[a:b]], [since[a:b]], [value[a:b]], [flat.slice(a, b - a)])
             if growing is not None and name == now and growing.which == which:
-                growing.n, growing.st, growing.sv = growing.n + piece.n, growing.st + piece.st, growing.sv + piece.sv
+                growing.n, growing.timed, growing.st, growing.sv = growing.n + piece.n, growing.timed + piece.timed, growing.st + piece.st, growing.sv + piece.sv
                 growing.seq, growing.since, growing.value, growing.rows = growing.seq + piece.seq, growing.since + piece.since, growing.value + piece.value, growing.rows + piece.rows
                 continue
             if held is not None:

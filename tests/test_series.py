@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,23 @@ def test_lttb_by_hulls(spark, n):
         assert sorted(got[s]) == [own[i] for i in plain_lttb(t - t[0], v, n)], s
 
 
+def test_lttb_of_rows_without_a_time(spark):
+    """As the SQL of the queries has it: they are a series' last rows."""
+    import duckdb
+
+    from hypnoflow.plans.timeline import lttb_sql
+
+    rng = np.random.default_rng(8)
+    rows = [(s, int(u) * 1_000_000, float(v)) for s, size in (("a", 90), ("b", 40), ("c", 5), ("e", 300)) for u, v in zip(range(size), rng.integers(0, 50, size))]
+    rows += [(s, None, float(v)) for s, size in (("a", 1), ("b", 30), ("c", 2), ("d", 30), ("e", 70)) for v in rng.permutation(size)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE s (series VARCHAR, us BIGINT, value DOUBLE)")
+    db.executemany("INSERT INTO s VALUES (?, ?, ?)", rows)
+    want = Counter(db.execute(f"WITH RECURSIVE {lttb_sql('s', 12)} SELECT series, us, value FROM l").fetchall())
+    got = resample.lttb(spark.createDataFrame(rows, "series string, us bigint, value double"), 12).collect()
+    assert Counter((r.series, r.us, r.value) for r in got) == want
+
+
 def test_lttb_of_one_long_series(spark):
     """Many tasks reduce it, and few points go through the chain."""
     df = spark.range(400_000).select(F.lit("a").alias("series"), F.col("id").alias("us"), (F.sin(F.col("id") / 5000) * 40 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("value"))
