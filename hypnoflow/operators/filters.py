@@ -17,6 +17,8 @@ from ..functions.kernels import state_space
 
 #: Samples of a series that one task filters at once.
 CHUNK = 1 << 16
+#: Rows of settings that are taken apart at once, and rows made of them that are put out at once.
+ROWS_READ, ROWS_MADE = 256, 8192
 
 
 def _packed(df: DataFrame, series: str, chunk: int) -> DataFrame:
@@ -174,14 +176,25 @@ def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def _rows_of(df: DataFrame, make: Callable[[dict], Iterator[tuple]], out: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
-    """A few rows for each row of df, with its name."""
+    """A few rows for each row of df, with its name. They are put out so many at a time, whatever a batch of df makes."""
     kind = df.schema["name"].dataType.simpleString()
 
+    def table(names: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*made)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, (k, _) in zip(columns, out.values()))], ["name", *out])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(i, *x) for i, row in enumerate(batch.to_pylist()) for x in make(row)]
-            at, *columns = zip(*made) if made else [()] * (len(out) + 1)
-            yield pa.RecordBatch.from_arrays([batch["name"].take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, (k, _) in zip(columns, out.values()))], ["name", *out])
+            made: list[tuple] = []
+            for first in range(0, batch.num_rows, ROWS_READ):
+                for i, row in enumerate(batch.slice(first, ROWS_READ).to_pylist()):
+                    for x in make(row):
+                        made.append((first + i, *x))
+                        if len(made) == ROWS_MADE:
+                            yield table(batch["name"], made)
+                            made = []
+            if made:
+                yield table(batch["name"], made)
 
     return df.mapInArrow(of, f"name {kind}, " + ", ".join(f"{c} {k}" for c, (_, k) in out.items()))
 
@@ -275,10 +288,27 @@ def response(coefficients: DataFrame, resolution: int = 100) -> DataFrame:
 
 
 def fir_response(taps: DataFrame, resolution: int = 100) -> DataFrame:
-    """i, magnitude, db of taps (n, h); by name, where taps have one."""
-    w = -F.lit(math.pi) * F.col("i") * F.col("n") / float(resolution)
+    """i, magnitude, db of taps (n, h); by name, where taps have one.
+
+    A filter's taps come together once; its frequencies are made in the tasks, a bounded number of filters at a time, and never shuffled.
+    """
     keys = [c for c in ("name",) if c in taps.columns]
-    each = taps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).groupBy(*keys, "i").agg(F.sum(F.col("h") * F.cos(w)).alias("re"), F.sum(F.col("h") * F.sin(w)).alias("im"))
+    own = taps.where("n IS NOT NULL AND h IS NOT NULL").select(*keys, F.struct(F.col("n").cast("double").alias("n"), F.col("h").cast("double").alias("h")).alias("tap"))
+    packed = own.groupBy(*keys).agg(F.array_sort(F.collect_list("tap")).alias("taps")).where(F.size("taps") > 0)
+    at, step = np.arange(resolution), max(ROWS_MADE // max(resolution, 1), 1)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows if resolution > 0 else 0, step):
+                part = batch.slice(first, step)
+                lengths, flat = part["taps"].value_lengths().to_numpy(), part["taps"].flatten()
+                w, h = -math.pi / resolution * np.outer(flat.field("n").to_numpy(), at), flat.field("h").to_numpy()[:, None]
+                begins = np.cumsum(lengths) - lengths
+                re, im = (np.add.reduceat(h * x, begins, axis=0).ravel() for x in (np.cos(w), np.sin(w)))
+                which = pa.array(np.repeat(np.arange(part.num_rows), resolution))
+                yield pa.RecordBatch.from_arrays([*(part[c].take(which) for c in keys), pa.array(np.tile(at, part.num_rows).astype(np.int32)), pa.array(re), pa.array(im)], [*keys, "i", "re", "im"])
+
+    each = packed.mapInArrow(of, ", ".join([*(f"{c} {taps.schema[c].dataType.simpleString()}" for c in keys), "i int, re double, im double"]))
     return each.select(*keys, "i", F.hypot("re", "im").alias("magnitude")).withColumn("db", F.when(F.col("magnitude") > 0, 20 * F.log10("magnitude")))
 
 

@@ -238,6 +238,34 @@ def test_taps_designed_by_row(spark):
         assert all(abs(both[n, i] - m) < 1e-12 for i, m in alone.items()) and len(alone) == 8
 
 
+def test_responses_are_not_shuffled(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, n, float(x)) for k in range(300) for n, x in enumerate(rng.standard_normal(k % 7 + 1))]
+    out = filters.fir_response(spark.createDataFrame([*rows, (0, None, 5.0), (1, 3, None)], "name int, n int, h double"), 50)
+    want = {}
+    for k, n, x in rows:
+        want[k] = want.get(k, 0) + x * np.exp(-1j * math.pi * np.arange(50) * n / 50)
+    got = {(r.name, r.i): (r.magnitude, r.db) for r in out.collect()}
+    assert len(got) == 300 * 50 and all(math.isclose(got[k, i][0], abs(want[k][i]), abs_tol=1e-12) for k in want for i in range(50))
+    # the groups that are shuffled are filters, not filters times frequencies
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_made_of_settings_come_in_bounded_batches():
+    batch = filters.pa.RecordBatch.from_pylist([{"name": i} for i in range(3000)])
+
+    class Settings:
+        schema = {"name": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "bigint"})()})()}
+
+        def mapInArrow(self, of, schema):
+            return list(of(iter([batch])))
+
+    made = filters._rows_of(Settings(), lambda r: ((r["name"] * 120 + i,) for i in range(120)), {"y": (filters.pa.int64(), "bigint")})
+    assert max(b.num_rows for b in made) <= filters.ROWS_MADE
+    assert [y for b in made for y in b["y"].to_pylist()] == list(range(3000 * 120))
+    assert [n for b in made for n in b["name"].to_pylist()] == [i // 120 for i in range(3000 * 120)]
+
+
 def test_products_of_sections(spark):
     df = spark.createDataFrame([("x", 0, 2.0, 3.0), ("x", 1, -1.0, 0.5), ("y", 0, 1.0, 0.0)], "name string, stage int, a double, b double")
     got = {}
