@@ -12,7 +12,7 @@ labels that are no known codes, and those of families of more than FAMILY_MOST l
 most FAMILY_MOST together. So machines grow with the number of labels, not with its square.
 
 Machines only compare languages and must name one of them for anything. So a model also knows how likely each language's own
-texts are (mean log-likelihood of a text's runs under the counts of the sample, each text without itself), and `usual` is
+texts are (mean log-likelihood of a text's runs under the counts of all of them, each text without itself), if asked for, and `usual` is
 false for what is far below that: letter junk, and languages that were not learned. It does not depend on how many there are.
 
 Defined results: `und` with score 0 where the text is null or has no letter; with nothing to learn from, every text is
@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, unit_hash
+from ..operators.series import percentile
+from .common import broadcastable, durable, unit_hash
 
 FEATURES = 1 << 15
 #: At most so many texts a language are learned from, and so many of all languages, the same share of each.
@@ -49,9 +50,11 @@ FOLDED = 1 << 10
 PENALTY = 20.0
 #: Added to the counts of all features, so that an unseen one has a likelihood.
 SMOOTHING = 0.01
-#: A text is usual down to so many nats a run under all but a hundredth of the sample, and short ones, which vary, to
+#: A text is usual down to so many nats a run under all but a hundredth of the texts, and short ones, which vary, to
 #: SHORT_SLACK / sqrt(distinct runs) further.
 SLACK, SHORT_SLACK = 1.5, 8.0
+#: The share of a language's texts that may be less likely than a usual one, counts' unit, and how many of them are shuffled together.
+USUAL, UNIT, BLOCK = 0.01, 1 << 20, 1 << 9
 #: A long text counts as this many runs at most in its language's likelihoods, so that none of them is the language.
 RUNS_LIMIT = 3000.0
 #: Families of language codes of two and three letters.
@@ -214,16 +217,65 @@ class Model:
         return best, float(score * min(shares))
 
 
-def learn_likelihood(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Log-likelihood of each feature in a language, and the least mean of a text that is usual in it."""
-    share = [value.astype(float) ** 2 for _, value in texts]
-    runs = [min(1 / s.min(), RUNS_LIMIT) for s in share]  # the rarest run of a text is mostly there once
-    counts = np.zeros(FEATURES)
-    for (at, _), s, n in zip(texts, share, runs):
-        counts[at] += s * n
-    total = counts.sum()
-    own = [s @ np.log((np.maximum(counts[at] - s * n, 0) + SMOOTHING) / (total - n + SMOOTHING * FEATURES)) for (at, _), s, n in zip(texts, share, runs)]
-    return np.log((counts + SMOOTHING) / (total + SMOOTHING * FEATURES)).astype(np.float32), float(np.quantile(own, 0.01)) - SLACK
+def runs_of(value: np.ndarray) -> tuple[np.ndarray, float]:
+    """The share of each feature in a text's runs, and how many runs the text counts as."""
+    share = value.astype(float) ** 2
+    return share, min(1 / share.min(), RUNS_LIMIT)  # the rarest run of a text is mostly there once
+
+
+def learn_likelihood(labelled: DataFrame, languages: list[str]) -> dict[str, tuple[np.ndarray, float]]:
+    """By language: log-likelihood of each feature, and the least mean of a text that is usual in it, from all rows with text and lang.
+
+    Every distinct text of a language counts once: a row with copies has its share of that. The tasks add up a vector of counts for each
+    language (the languages are bounded), which are shuffled in blocks; counts are whole multiples of 1 / UNIT, so their sums are exact. Then
+    each text's mean under the counts without itself is made, a number a text, and the threshold is their exact hundredth.
+    """
+    rows = labelled.where(F.col("lang").isin(languages) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("lang", "text").alias("h"))
+    many = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    weighed = rows.join(broadcastable(many, 48), "h", "left") if not many.isEmpty() else rows.withColumn("n", F.lit(None).cast("bigint"))
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, float]]:
+        for i, lang in enumerate(batch["lang"].to_pylist()):
+            at, value = features(batch["text"][i].as_py())
+            if len(at):
+                yield i, lang, at, *runs_of(value)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            copies = batch["n"].fill_null(1).to_numpy()
+            for i, lang, at, share, n in each(batch):
+                held.setdefault(lang, np.zeros(FEATURES, np.int64))[at] += np.rint(share * (n * UNIT / copies[i])).astype(np.int64)
+        for lang, counts in held.items():
+            blocks = counts.reshape(-1, BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks)), pa.array(range(len(blocks)), pa.int32()), pa.array(list(blocks), pa.list_(pa.int64()))], ["lang", "block", "counts"])
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(c.values.to_numpy() for c in table["counts"])
+        return pa.table({"lang": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    kind = "lang string, block int, counts array<bigint>"
+    parts = weighed.select("lang", "text", "n").mapInArrow(counted, kind).groupBy("lang", "block").applyInArrow(added, kind).toArrow()
+    counts: dict[str, np.ndarray] = {}
+    for lang, block, own in zip(parts["lang"].to_pylist(), parts["block"].to_pylist(), parts["counts"]):
+        counts.setdefault(lang, np.zeros(FEATURES))[block * BLOCK : (block + 1) * BLOCK] = own.values.to_numpy() / UNIT
+    spread = labelled.sparkSession.sparkContext.broadcast({lang: (c, c.sum()) for lang, c in counts.items()})  # FEATURES numbers for each language
+
+    def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = spread.value
+        for batch in batches:
+            found = []
+            for i, lang, at, share, n in each(batch):
+                own, total = known[lang]
+                found.append((i, share @ np.log((np.maximum(own[at] - share * n, 0) + SMOOTHING) / (total - n + SMOOTHING * FEATURES))))
+            kept = batch.select(["lang", "h"]).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for _, x in found], pa.float64())], ["lang", "h", "own"])
+
+    means = rows.select("lang", "h", "text").mapInArrow(without_itself, "lang string, h bigint, own double")
+    once = durable(means.groupBy("lang", "h").agg(F.min("own").alias("own")))
+    least = {r["lang"]: r["value"] for r in percentile(once, "lang", USUAL, "lower", "own").collect()}
+    spread.unpersist()
+    return {lang: (np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * FEATURES)).astype(np.float32), least[lang] - SLACK) for lang, c in sorted(counts.items())}
 
 
 def drawn_features(labelled: DataFrame, sample: int, seed: int) -> DataFrame:
@@ -262,20 +314,19 @@ def _sparse(table: pa.Table) -> tuple[pa.Table, list[tuple[np.ndarray, np.ndarra
     return table, [(at.values.to_numpy(), value.values.to_numpy()) for at, value in zip(table["at"], table["value"])]
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
-    """A model from rows with text and lang."""
+def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11, usual: bool = False) -> Model:
+    """A model from rows with text and lang. usual: it also knows what is usual in each language, which all rows are read for twice more."""
     spark = labelled.sparkSession
     drawn = drawn_features(labelled, sample, seed)
 
-    def usual(table: pa.Table) -> pa.Table:
+    def averaged(table: pa.Table) -> pa.Table:
         table, rows = _sparse(table)
-        log, least = learn_likelihood(rows)
         mean = np.zeros(FOLDED)
         for at, value in rows:
             np.add.at(mean, at % FOLDED, value)
-        return pa.table({"lang": table["lang"][:1], "log": pa.array([log.tobytes()]), "least": pa.array([least]), "mean": pa.array([(mean / np.linalg.norm(mean)).tobytes()])})
+        return pa.table({"lang": table["lang"][:1], "mean": pa.array([(mean / np.linalg.norm(mean)).tobytes()])})
 
-    told = drawn.groupBy("lang").applyInArrow(usual, "lang string, log binary, least double, mean binary").toArrow().to_pylist()  # MOST_LANGUAGES rows
+    told = drawn.groupBy("lang").applyInArrow(averaged, "lang string, mean binary").toArrow().to_pylist()  # MOST_LANGUAGES rows
     if not told:
         return Model()
     languages = sorted(r["lang"] for r in told)
@@ -310,8 +361,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
         made = every.repartition(shares, "share").groupBy("share").applyInArrow(trained, "machine int, weights binary, bias double").toArrow()
         for m, w, b in zip(made["machine"].to_pylist(), made["weights"], made["bias"].to_pylist()):
             weights[:, m], bias[m] = np.frombuffer(w.as_py(), np.float32), b
-    likelihood = {r["lang"]: (np.frombuffer(r["log"], np.float32), r["least"]) for r in sorted(told, key=lambda r: r["lang"])}
-    return Model(languages, family_of, weights, bias, pairs, likelihood)
+    return Model(languages, family_of, weights, bias, pairs, learn_likelihood(labelled, languages) if usual else {})
 
 
 def identify(docs: DataFrame, model: Model, usual: str | None = None) -> DataFrame:

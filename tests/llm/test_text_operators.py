@@ -394,6 +394,25 @@ def test_language_learns_distinct_texts(spark, monkeypatch):
     assert all(model.predict(t)[0] == lang for t, lang in few[:3])
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_likelihoods_come_from_all_distinct_texts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("hypnoflow.llm.common.BROADCAST_BYTES", broadcast)
+    rng = random.Random(21)
+    rows = [(sentence(rng, lang, rng.randrange(1, 40)), lang) for lang, n in (("en", 150), ("de", 90), ("fr", 1)) for _ in range(n)]
+    docs = spark.createDataFrame(rows + rows[:40] * 3 + [("12 34", "en"), (None, "de"), ("night", None)], "text string, lang string").repartition(5)
+    got = langid.train(docs, sample=20, usual=True).likelihood  # the machines' sample has no say in it
+    assert list(got) == ["de", "en", "fr"] and langid.train(docs, sample=20).likelihood == {}
+    for lang, (log, least) in got.items():
+        texts = [langid.features(t) for t in sorted({t for t, x in rows if x == lang})]
+        counts, size = np.zeros(langid.FEATURES), [min(1 / (v.astype(float) ** 2).min(), langid.RUNS_LIMIT) for _, v in texts]
+        for (at, v), n in zip(texts, size):
+            counts[at] += v.astype(float) ** 2 * n
+        smooth = langid.SMOOTHING
+        own = [v.astype(float) ** 2 @ np.log((np.maximum(counts[at] - v.astype(float) ** 2 * n, 0) + smooth) / (counts.sum() - n + smooth * langid.FEATURES)) for (at, v), n in zip(texts, size)]
+        assert np.allclose(log, np.log((counts + smooth) / (counts.sum() + smooth * langid.FEATURES)), atol=1e-3)
+        assert math.isclose(least, np.quantile(own, 0.01, method="lower") - langid.SLACK, abs_tol=1e-2)
+
+
 def test_machines_against_plain_svm():
     rng = np.random.default_rng(2)
     n, dim = 60, 12
