@@ -2,7 +2,7 @@
 
 All but the means of epochs and the ring buffers take their rows in order: rows are held in state until the watermark has passed them, however they
 are dealt to batches and files, and then go through a fold (`folds`). So the results are those of the batch operators, whenever and in whatever
-pieces the stream is run. Rows that are later than `late` allows are dropped by the watermark, as everywhere in Spark, and so are rows without a
+pieces the stream is run. Records of epochs hold their rows by epoch, so a task has one epoch's of a recording at a time. Rows that are later than `late` allows are dropped by the watermark, as everywhere in Spark, and so are rows without a
 time, and those from before 1970, where watermarks begin. A series (or a
 recording, in `record_stream`) is one key: what a task holds of it are the rows that the watermark has not passed and the fold's state.
 The processors need the RocksDB state store (`CONF`).
@@ -96,6 +96,101 @@ def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[st
     return InOrder(fold, arguments, state, columns)
 
 
+#: Rows that a task takes in before it deals them to the epochs that hold them, and records that it puts out at once.
+TAKEN, PUT_OUT = 100_000, 256
+
+
+def epochs_processor(signals: tuple, epoch_us: int, start_us: int, taken: int, put_out: int) -> StatefulProcessor:
+    """Rows held by epoch; the class is made here so that it travels whole."""
+
+    class ByEpoch(StatefulProcessor):
+        """Holds a recording's rows in the state, by the epoch that they are in, and gives one epoch's at a time to the fold: a task never has more of a
+        recording than an epoch and `taken` rows."""
+
+        def __init__(self, signals: tuple, epoch_us: int, start_us: int, taken: int, put_out: int) -> None:
+            self.signals, self.epoch_us, self.start_us, self.taken, self.put_out = signals, epoch_us, start_us, taken, put_out
+            self.loaded = None
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            # signal: its place in the list of signals, -1 for others
+            self.held = handle.getMapState("held", "record bigint, chunk bigint", "us array<bigint>, event_id array<bigint>, signal array<int>, value array<double>")
+            # of each epoch that rows are held of, how many chunks they are in
+            self.index = handle.getValueState("index", "record array<bigint>, chunks array<bigint>")
+            self.state = handle.getValueState("state", "record bigint")
+
+        @property
+        def fold(self):
+            if self.loaded is None:
+                from hypnoflow.streaming import folds
+
+                self.loaded = folds.Epochs(self.signals, self.epoch_us, self.start_us)
+            return self.loaded
+
+        def chunks(self) -> dict[int, int]:
+            return dict(zip(*self.index.get())) if self.index.exists() else {}
+
+        def deal(self, frames: list[pd.DataFrame], chunks: dict[int, int], first: int) -> None:
+            place = {label: i for i, (label, _) in enumerate(self.signals)}
+            us, event_id, value = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("us", "event_id", "value"))
+            signal = np.concatenate([f["signal"].map(place).fillna(-1).to_numpy(np.int32) for f in frames])
+            record = (us - self.start_us) // self.epoch_us
+            order = np.argsort(record, kind="stable")
+            order = order[np.searchsorted(record[order], first) :]  # what is before the start, or the next record, is left out
+            for own in np.split(order, np.flatnonzero(np.diff(record[order])) + 1) if len(order) else ():
+                r = int(record[own[0]])
+                self.held.updateValue((r, chunks.get(r, 0)), tuple(x[own].tolist() for x in (us, event_id, signal, value)))
+                chunks[r] = chunks.get(r, 0) + 1
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            chunks, first = self.chunks(), self.state.get()[0] if self.state.exists() else 0
+            earliest, frames, n = None, [], 0
+            for frame in rows:
+                if len(frame):
+                    earliest = min(x for x in (earliest, int(frame["us"].min())) if x is not None)
+                    frames, n = [*frames, frame], n + len(frame)
+                    if n >= self.taken:
+                        self.deal(frames, chunks, first)
+                        frames, n = [], 0
+            if frames:
+                self.deal(frames, chunks, first)
+            if earliest is not None:
+                self.index.update((list(chunks), list(chunks.values())))
+                self.handle.registerTimer(-(-earliest // 1000))
+            yield from ()
+
+        def rows_of(self, record: int, chunks: dict[int, int]) -> dict[str, np.ndarray]:
+            """The epoch's rows in order; they are not held any more."""
+            parts = [self.held.getValue((record, c)) for c in range(chunks.get(record, 0))]
+            for c in range(chunks.pop(record, 0)):
+                self.held.removeKey((record, c))
+            us, event_id, signal = (np.array([v for p in parts for v in p[i]], np.int64) for i in range(3))
+            value = np.array([v for p in parts for v in p[3]], float)
+            order = np.lexsort((event_id, us))
+            labels = np.array([*(label for label, _ in self.signals), None], object)
+            return {"us": us[order], "event_id": event_id[order], "signal": labels[signal[order]], "value": value[order]}
+
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            until, chunks, out = 1000 * timerValues.getCurrentWatermarkInMs(), self.chunks(), []
+            first = self.state.get()[0] if self.state.exists() else 0
+            after = max(self.fold.over(until), first)
+            for r in range(first, after):
+                out += self.fold.rows(key, (r,), self.rows_of(r, chunks), self.start_us + (r + 1) * self.epoch_us - 1)[1]
+                if len(out) == self.put_out:
+                    yield pd.concat(out)
+                    out = []
+            self.state.update((after,))
+            self.index.update((list(chunks), list(chunks.values())))
+            self.handle.registerTimer(max(-(-self.fold.next((after,), None) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            if out:
+                yield pd.concat(out)
+
+        def close(self) -> None:
+            pass
+
+    return ByEpoch(signals, epoch_us, start_us, taken, put_out)
+
+
 def _in_order(samples: DataFrame, late: str, fold: str, arguments: tuple, state: str, columns: dict[str, str], out: str, key: str = "series") -> DataFrame:
     # pandas has no whole numbers that are null
     told = F.coalesce(F.col("event_id").cast("bigint"), F.lit(NO_ID)).alias("event_id")
@@ -123,7 +218,10 @@ def record_stream(samples: DataFrame, signals: Sequence[tuple[str, int]], epoch_
     from then on, samples or not.
     """
     out = "signal_index int, label string, record bigint, values array<double>, is_filled boolean"
-    return _in_order(samples, late, "Epochs", (tuple(signals), epoch_us, start_us), "record bigint", {"signal": "string", "value": "double"}, out, "recording")
+    told = F.coalesce(F.col("event_id").cast("bigint"), F.lit(NO_ID)).alias("event_id")
+    rows = samples.where("us IS NOT NULL AND ts IS NOT NULL").select("recording", "us", told, "signal", "value", "ts").withWatermark("ts", late)
+    kind = samples.schema["recording"].dataType.simpleString()
+    return rows.groupBy("recording").transformWithStateInPandas(epochs_processor(tuple(signals), epoch_us, start_us, TAKEN, PUT_OUT), f"recording {kind}, {out}", "append", "eventTime")
 
 
 def sound_stream(samples: DataFrame, polyphase: Polyphase, stages: Sequence[Biquad] = (), chunk: int = 50, late: str = "10 seconds", drain_us: int | None = None) -> DataFrame:

@@ -197,6 +197,21 @@ def test_records_of_epochs_that_are_over():
         assert [(r.record, r.signal_index, r.values, r.is_filled) for r in got.itertuples(index=False)] == want
 
 
+@pytest.mark.parametrize("taken", [1, 50, 10**6])
+def test_records_hold_rows_by_epoch(monkeypatch, taken):
+    """The same records as from all rows at once, while no more than an epoch's rows go to the fold."""
+    rng = np.random.default_rng(taken)
+    n, signals, start = 900, (("a", 3), ("b", 2)), 10 * SECOND
+    rows = pd.DataFrame({"us": rng.integers(0, 300, n) * SECOND, "event_id": rng.permutation(n), "signal": rng.choice(["a", "b", "c", None], n), "value": rng.standard_normal(n)})
+    rows = rows[(rows["us"] < 100 * SECOND) | (rows["us"] >= 140 * SECOND)]  # four epochs without samples
+    whole = run(processor("Epochs", "record bigint", {"signal": "string", "value": "double"}, signals, 10 * SECOND, start), dealt(rows, rng, end_us=320 * SECOND))
+    seen, plain = [], folds.Epochs.rows
+    monkeypatch.setattr(folds.Epochs, "rows", lambda self, key, state, given, until: (seen.append(len(given["us"])), plain(self, key, state, given, until))[1])
+    got = run(lambda: live.epochs_processor(signals, 10 * SECOND, start, taken, 7), dealt(rows, rng, end_us=320 * SECOND))
+    assert got.to_dict("list") == whole.to_dict("list") and len(got) == 62
+    assert max(seen) < 60 and sum(seen) == (rows["us"] >= start).sum()
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 7, 1000])
 def test_sound_goes_on_from_batch_to_batch(spark, chunk):
     from hypnoflow.operators import resample
