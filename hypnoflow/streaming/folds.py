@@ -1,7 +1,7 @@
 """What live operators do with the rows of a series, given in order: plain classes, loaded in the tasks.
 
 A fold has `cut(until)`, the time up to which rows are to be given when no row at or before `until` can come any more; `rows(key, state, rows,
-until)`, which takes those rows (columns as arrays, in order) and puts out frames and the next state; and `next(state, waiting)`, the time at
+until)`, which takes those rows (columns as arrays, in order) and puts out columns (arrays by name) and the next state; and `next(state, waiting)`, the time at
 which it wants to be called again, where `waiting` is the time of the first row that is held back (None: never).
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from ..functions.design import Biquad, Polyphase
 from ..functions.kernels import HrvWindow, iir, linear_points, polyphase_outputs, polyphase_taps
@@ -19,6 +20,64 @@ Rows = Mapping[str, np.ndarray]
 State = tuple | None
 
 
+def packed(frame: pd.DataFrame | pa.Table) -> bytes:
+    table = frame if isinstance(frame, pa.Table) else pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(held: Sequence[bytes]) -> pa.Table:
+    """The rows of all that was packed; a column that had nothing but nulls in some of it has the others' type."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in held], promote_options="permissive")
+
+
+def named(series: object, n: int) -> np.ndarray:
+    out = np.empty(n, object)
+    out[:] = series
+    return out
+
+
+def together(parts: Sequence[Mapping]) -> pd.DataFrame | None:
+    """The columns of all parts as one frame."""
+    return pd.DataFrame({c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in parts[0]}) if parts else None
+
+
+def each_series(fold: Fold, columns: Sequence[str], held: Sequence[bytes], states: dict[object, tuple], until: int) -> tuple[pd.DataFrame | None, bytes | None, int | None]:
+    """What the fold makes of the rows (their columns but the series) that are certain, the rows that are held on, and when it is to be called again; `states`, by series, are changed in place."""
+    spans: dict[object, tuple[int, int]] = {}
+    rows = {c: np.zeros(0) for c in columns}
+    us = np.zeros(0, np.int64)
+    if held:
+        table = unpacked(held)
+        coded = table["series"].cast(pa.string()).combine_chunks().dictionary_encode(null_encoding="encode")
+        code, us = coded.indices.to_numpy(), table["us"].to_numpy()
+        order = np.lexsort((table["event_id"].to_numpy(), us, code))
+        code, us = code[order], us[order]
+        cuts = np.flatnonzero(np.diff(code, prepend=-1, append=len(coded.dictionary)))
+        spans = {name: (lo, hi) for name, lo, hi in zip(coded.dictionary.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist())}
+        rows = {c: table[c].to_numpy()[order] for c in columns}
+    cut, out, dues, waits = fold.cut(until), [], [], np.ones(len(us), bool)
+    for name in {**states, **spans}:
+        (lo, hi), state = spans.get(name, (0, 0)), states.get(name)
+        ready = lo + int(np.searchsorted(us[lo:hi], cut, side="right"))
+        due = fold.next(state, None) if state is not None else None
+        if lo < hi and us[lo] <= until or due is not None and due <= until:
+            state, put = fold.rows((name,), state, {c: v[lo:ready] for c, v in rows.items()}, until)
+            out += put
+            waits[lo:ready] = False
+            if state is not None:
+                states[name] = state
+            lo = ready
+        waiting = int(us[lo]) if lo < hi else None
+        due = waiting if state is None else fold.next(state, waiting)
+        if due is not None:
+            dues.append(due)
+    rest = packed(table.take(order[waits])) if waits.any() else None
+    return together(out), rest, min(dues, default=None)
+
+
 class Fold:
     """Takes every row as soon as it is certain, and waits for the next one."""
 
@@ -28,7 +87,7 @@ class Fold:
     def next(self, state: State, waiting: int | None) -> int | None:
         return waiting
 
-    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[pd.DataFrame]]:
+    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         raise NotImplementedError
 
 
@@ -38,10 +97,10 @@ class Filter(Fold):
     def __init__(self, stages: Sequence[Biquad]) -> None:
         self.stages = stages
 
-    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[pd.DataFrame]]:
+    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         value = rows["value"].astype(np.float64)
         y, z = iir(self.stages, value, np.array(state[0]) if state else None)
-        return (z.tolist(),), [pd.DataFrame({"series": key[0], "us": rows["us"], "event_id": rows["event_id"], "value": value, "y": y})]
+        return (z.tolist(),), [{"series": named(key[0], len(y)), "us": rows["us"], "event_id": rows["event_id"], "value": value, "y": y}]
 
 
 class Beats(Fold):
@@ -50,10 +109,10 @@ class Beats(Fold):
     def __init__(self, window: int) -> None:
         self.window = window
 
-    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[pd.DataFrame]]:
+    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         kept = HrvWindow(self.window, state[0] if state else ())
         out = [kept.push(x if x is not None else ()) for x in rows["intervals"]]
-        return (list(kept.kept),), [pd.DataFrame({"series": key[0], "us": rows["us"], "event_id": rows["event_id"], "hrv": np.array(out, dtype=float)})]
+        return (list(kept.kept),), [{"series": named(key[0], len(out)), "us": rows["us"], "event_id": rows["event_id"], "hrv": np.array(out, dtype=float)}]
 
 
 class KeepAlive(Fold):
@@ -67,7 +126,7 @@ class KeepAlive(Fold):
         due = us + (sent + 1) * self.beat_us if (sent + 1) * self.beat_us <= self.stale_us else None
         return min((t for t in (due, waiting) if t is not None), default=None)
 
-    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[pd.DataFrame]]:
+    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         first = [] if state is None else [state[:2]]
         us = np.array([t for t, _ in first] + rows["us"].tolist(), np.int64)
         value = np.array([v for _, v in first] + rows["value"].tolist(), float)
@@ -80,8 +139,9 @@ class KeepAlive(Fold):
         due = np.maximum(np.minimum(room, self.stale_us) // self.beat_us, sent)
         which = np.repeat(np.arange(len(us)), due - sent)
         beat = np.arange(len(which)) - np.searchsorted(which, which) + 1 + sent[which]
-        out = [pd.DataFrame({"series": key[0], "us": us[len(first) :], "value": value[len(first) :], "repeated": False}), pd.DataFrame({"series": key[0], "us": us[which] + beat * self.beat_us, "value": value[which], "repeated": True})]
-        return (int(us[-1]), float(value[-1]), int(due[-1])), [f for f in out if len(f)]
+        us_out, value_out = np.concatenate([us[len(first) :], us[which] + beat * self.beat_us]), np.concatenate([value[len(first) :], value[which]])
+        out = {"series": named(key[0], len(us_out)), "us": us_out, "value": value_out, "repeated": np.arange(len(us_out)) >= len(us) - len(first)}
+        return (int(us[-1]), float(value[-1]), int(due[-1])), [out] if len(us_out) else []
 
 
 class Epochs(Fold):
@@ -104,7 +164,7 @@ class Epochs(Fold):
     def next(self, state: State, waiting: int | None) -> int | None:
         return self.start_us + (state[0] + 1) * self.epoch_us - 1
 
-    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[pd.DataFrame]]:
+    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         first, after = state[0] if state else 0, self.over(until)
         record = (rows["us"] - self.start_us) // self.epoch_us
         given = {label: rows["signal"] == label for label, _ in self.signals}
@@ -134,7 +194,7 @@ class Sound(Fold):
     def next(self, state: State, waiting: int | None) -> int | None:
         return min((t for t in (waiting, None if state and state[7] else self.drain_us) if t is not None), default=None)
 
-    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[pd.DataFrame]]:
+    def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         longest, up, down = self.taps.shape[1], self.filter.up, self.filter.down
         z, tail, there, begun, n, rest, rest_n, drained = state or ([], [0.0] * (longest - 1), [0.0] * (longest - 1), 0, 0, [], [], False)
         seq, value = rows["event_id"].astype(np.int64), rows["value"].astype(float)

@@ -3,8 +3,8 @@
 All but the means of epochs and the ring buffers take their rows in order: rows are held in state until the watermark has passed them, however they
 are dealt to batches and files, and then go through a fold (`folds`). So the results are those of the batch operators, whenever and in whatever
 pieces the stream is run. Records of epochs hold their rows by epoch, so a task has one epoch's of a recording at a time. Rows that are later than `late` allows are dropped by the watermark, as everywhere in Spark, and so are rows without a
-time, and those from before 1970, where watermarks begin. A series (or a
-recording, in `record_stream`) is one key: what a task holds of it are the rows that the watermark has not passed and the fold's state.
+time, and those from before 1970, where watermarks begin. Series are dealt to groups (`GROUPS`), each of which is one key, as is a
+recording in `record_stream`: what a task holds of a group are the rows that the watermark has not passed and the folds' states.
 The processors need the RocksDB state store (`CONF`).
 """
 
@@ -32,21 +32,28 @@ def epoch_stream(samples: DataFrame, epoch: str = "30 seconds", late: str = "10
     return out.select(F.col("window.start").alias("start"), "series", "n", "mean", "low", "high")
 
 
+#: Groups that the series of a stream are dealt to, by a hash; what it costs to call a task is paid for a group, not for each of its series.
+GROUPS = 1024
+
+
 def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[str, str]) -> StatefulProcessor:
     """The processor's class is made here so that it travels whole: its runner starts before the package has been shipped."""
 
     class InOrder(StatefulProcessor):
-        """Holds rows (us, event_id and the columns) until the watermark has passed them, and gives them to the fold in order."""
+        """Holds rows (series, us, event_id and the columns) until the watermark has passed them, and gives those of each series to the fold in order.
+
+        A key is a group of series; frames without a series are of the one that the key names. Rows are held as Arrow streams, one for each frame."""
 
         def __init__(self, fold: str, arguments: tuple, state: str, columns: dict[str, str]) -> None:
             self.name, self.arguments, self.schema = fold, arguments, state
-            self.columns = {"us": "bigint", "event_id": "bigint", **columns}
+            self.columns = ["series", "us", "event_id", *columns]
             self.loaded = None
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.held = handle.getListState("held", ", ".join(f"{c} array<{kind}>" for c, kind in self.columns.items()))
-            self.state = handle.getValueState("state", self.schema)
+            self.held = handle.getListState("held", "rows binary")
+            self.states = handle.getListState("states", f"series string, {self.schema}")
+            self.timer = handle.getValueState("timer", "at bigint")
 
         @property
         def fold(self):
@@ -56,39 +63,46 @@ def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[st
                 self.loaded = getattr(folds, self.name)(*self.arguments)
             return self.loaded
 
+        def wake(self, at: int) -> None:
+            """A timer in time, and one only."""
+            before = self.timer.get()[0] if self.timer.exists() else None
+            if before is None or at < before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            from hypnoflow.streaming import folds
+
             first = None
             for frame in rows:
                 if len(frame):
-                    self.held.appendValue(tuple([None if x is None else [float(v) for v in x] for x in frame[c]] if kind.startswith("array") else frame[c].tolist() for c, kind in self.columns.items()))
+                    frame = frame if "series" in frame.columns else frame.assign(series=key[0])
+                    self.held.appendValue((folds.packed(frame[self.columns]),))
                     first = min(x for x in (first, int(frame["us"].min())) if x is not None)
             if first is not None:
-                self.handle.registerTimer(-(-first // 1000))
+                self.wake(-(-first // 1000))
             yield from ()
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            from hypnoflow.streaming import folds
+
             until = 1000 * timerValues.getCurrentWatermarkInMs()
-            chunks = list(self.held.get()) if self.held.exists() else []
-            rows = {}
-            for i, (c, kind) in enumerate(self.columns.items()):
-                values = [v for chunk in chunks for v in chunk[i]]
-                rows[c] = np.empty(len(values), object if kind.startswith(("array", "string")) else np.int64 if kind == "bigint" else float)
-                rows[c][:] = values
-            order = np.lexsort((rows["event_id"], rows["us"]))
-            ready = int(np.searchsorted(rows["us"][order], self.fold.cut(until), side="right"))
-            state = self.state.get() if self.state.exists() else None
-            state, out = self.fold.rows(key, state, {c: v[order[:ready]] for c, v in rows.items()}, until)
-            if state is not None:
-                self.state.update(state)
-            rest = order[ready:]
-            if ready and len(rest):
-                self.held.put([tuple(v[rest].tolist() for v in rows.values())])
-            elif ready:
+            held = [row[0] for row in self.held.get()] if self.held.exists() else []
+            states = {row[0]: tuple(row[1:]) for row in self.states.get()} if self.states.exists() else {}
+            out, rest, due = folds.each_series(self.fold, self.columns[1:], held, states, until)
+            if states:
+                self.states.put([(name, *state) for name, state in states.items()])
+            if rest is not None:
+                self.held.put([(rest,)])
+            elif held:
                 self.held.clear()
-            due = self.fold.next(state, int(rows["us"][rest[0]]) if len(rest) else None)
+            self.timer.update((None,))
             if due is not None:
-                self.handle.registerTimer(max(-(-due // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-            yield from out
+                self.wake(max(-(-due // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            if out is not None:
+                yield out
 
         def close(self) -> None:
             pass
@@ -191,13 +205,21 @@ def epochs_processor(signals: tuple, epoch_us: int, start_us: int, taken: int, p
     return ByEpoch(signals, epoch_us, start_us, taken, put_out)
 
 
-def _in_order(samples: DataFrame, late: str, fold: str, arguments: tuple, state: str, columns: dict[str, str], out: str, key: str = "series") -> DataFrame:
+def grouped(rows: DataFrame, processor: StatefulProcessor, out: str, time_mode: str = "eventTime") -> DataFrame:
+    """What the processor makes of groups of series, with the series in their own type."""
+    kind = rows.schema["series"].dataType
+    # in the state a series is a string, which can be null where pandas' whole numbers cannot
+    rows = rows.withColumn("series", F.col("series").cast("string")).withColumn("_group", F.pmod(F.hash("series"), F.lit(GROUPS)))
+    done = rows.groupBy("_group").transformWithStateInPandas(processor, f"series string, {out}", "append", time_mode)
+    done = done.withColumn("series", F.col("series").cast(kind))
+    return done.withColumn("event_id", F.when(F.col("event_id") != NO_ID, F.col("event_id"))) if "event_id" in done.columns else done
+
+
+def _in_order(samples: DataFrame, late: str, fold: str, arguments: tuple, state: str, columns: dict[str, str], out: str) -> DataFrame:
     # pandas has no whole numbers that are null
     told = F.coalesce(F.col("event_id").cast("bigint"), F.lit(NO_ID)).alias("event_id")
-    rows = samples.where("us IS NOT NULL AND ts IS NOT NULL").select(key, "us", told, *columns, "ts").withWatermark("ts", late)
-    kind = samples.schema[key].dataType.simpleString()
-    done = rows.groupBy(key).transformWithStateInPandas(in_order_processor(fold, arguments, state, columns), f"{key} {kind}, {out}", "append", "eventTime")
-    return done.withColumn("event_id", F.when(F.col("event_id") != NO_ID, F.col("event_id"))) if "event_id" in done.columns else done
+    rows = samples.where("us IS NOT NULL AND ts IS NOT NULL").select("series", "us", told, *columns, "ts").withWatermark("ts", late)
+    return grouped(rows, in_order_processor(fold, arguments, state, columns), out)
 
 
 def iir_stream(samples: DataFrame, stages: Sequence[Biquad], late: str = "10 seconds") -> DataFrame:

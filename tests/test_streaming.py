@@ -262,3 +262,36 @@ def test_rows_without_values(spark):
     keep = folds.KeepAlive(3, 1)
     assert keep.rows(("t",), None, {"us": np.array([], np.int64), "value": np.array([])}, 5) == (None, [])
     assert folds.Epochs([("a", 1)], 10, 100).cut(50) == 99 and folds.Epochs([("a", 1)], 10, 100).cut(109) == 109
+
+
+FOLDS = {
+    "Filter": ("z array<double>", {"value": "double"}, (design.cascade("lowpass", "butterworth", 2, 100.0, 12.0),)),
+    "Beats": ("kept array<int>", {"intervals": "array<double>"}, (30,)),
+    "KeepAlive": ("us bigint, value double, sent bigint", {"value": "double"}, (3 * SECOND, SECOND)),
+    "Sound": ("z array<double>", {"value": "double"}, (design.polyphase(100.0, 40.0, 8), (), 4, 300 * SECOND)),
+}
+
+
+@pytest.mark.parametrize("fold", FOLDS)
+def test_a_group_of_series_is_as_each_by_itself(monkeypatch, fold):
+    """Series (the null one too) that come and end at other times, in one group, with a few calls of the state for each batch, whatever the number of series."""
+    state, columns, arguments = FOLDS[fold]
+    rng, calls = np.random.default_rng(11), []
+    for name in ("put", "get", "appendValue"):
+        monkeypatch.setattr(Listed, name, lambda self, *x, plain=getattr(Listed, name): (calls.append(1), plain(self, *x))[1])
+    for many in (3, 30):
+        n = 20 * many
+        rows = pd.DataFrame({"series": rng.choice([None, *(f"s{i}" for i in range(many - 1))], n), "us": np.sort(rng.integers(1, 200 * SECOND, n)), "value": rng.standard_normal(n)})
+        rows["event_id"] = rows.groupby("series", dropna=False).cumcount()
+        rows["intervals"] = [None if i % 9 == 0 else np.array([0.7 + 0.01 * (i % 50)]) for i in range(n)]
+        batches = dealt(rows[["series", "us", "event_id", *columns]], rng, end_us=400 * SECOND)
+        calls.clear()
+        got = run(processor(fold, state, columns, *arguments), batches, (5,))
+        assert len(calls) <= 8 * len(batches)
+        for name, own in got.groupby("series", dropna=False):
+            name = None if pd.isna(name) else name
+            alone = [(b[b["series"].isna() if name is None else b["series"] == name].drop(columns="series"), mark) for b, mark in batches]
+            want = run(processor(fold, state, columns, *arguments), alone, (name,))
+            order = [c for c in ("us", "chunk", "repeated") if c in want.columns]
+            pd.testing.assert_frame_equal(own.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True), rtol=1e-9)
+        assert got["series"].nunique(dropna=False) == rows["series"].nunique(dropna=False) == many
