@@ -78,6 +78,37 @@ def each_series(fold: Fold, columns: Sequence[str], held: Sequence[bytes], state
     return together(out), rest, min(dues, default=None)
 
 
+def pushed(held: pd.DataFrame, batch: pd.DataFrame, states: dict[str | None, tuple[int, int, bool]], capacity: int, retain_us: int | None) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """What ring buffers of many series hold after a batch, what it has pushed out of them, and whether some series are new.
+
+    held: series, n, us, event_id, value, the oldest row of each series first; batch: the same without n, in order. states, by series: rows ever
+    pushed, the newest time, and a mark that is left alone; they are changed in place.
+    """
+    columns = ["series", "n", "us", "event_id", "value"]
+    rows = pd.concat([held, batch.assign(n=-1)[columns]], ignore_index=True) if len(held) else batch.assign(n=-1)[columns]
+    code, names = pd.factorize(rows["series"], use_na_sentinel=False)
+    names = [None if pd.isna(name) else name for name in names]
+    before = [states.get(name) for name in names]
+    order = np.argsort(code, kind="stable")
+    rows, code = rows.take(order), code[order]
+    fresh, us = rows["n"].to_numpy() < 0, rows["us"].to_numpy()
+    size = np.bincount(code, minlength=len(names))
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place, came = np.arange(len(code)) - start[code], np.bincount(code, fresh, len(names)).astype(np.int64)
+    total = came + np.array([s[0] if s else 0 for s in before], np.int64)
+    newest = np.array([s[1] if s else us.min() for s in before], np.int64)
+    np.maximum.at(newest, code[fresh], us[fresh])
+    rows = rows.assign(n=total[code] - size[code] + place)
+    gone = place < (size - capacity)[code]
+    if retain_us is not None:
+        # rows that are too old go until the first one that is not
+        stays = ~gone & (us >= newest[code] - retain_us)
+        first = np.minimum.reduceat(np.where(stays, place, len(code)), start)
+        gone = place < first[code]
+    states |= {name: (int(total[i]), int(newest[i]), before[i][2] if before[i] else False) for i, name in enumerate(names)}
+    return rows[~gone], rows[gone], None in before
+
+
 class Fold:
     """Takes every row as soon as it is certain, and waits for the next one."""
 

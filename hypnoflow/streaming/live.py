@@ -257,62 +257,55 @@ def sound_stream(samples: DataFrame, polyphase: Polyphase, stages: Sequence[Biqu
 
 
 def ring_processor(capacity: int, retain_us: int | None, drain_us: int | None) -> StatefulProcessor:
-    """A ring buffer for each key; the class is made here so that it travels whole."""
+    """The ring buffers of a group of series; the class is made here so that it travels whole."""
 
     class Ring(StatefulProcessor):
-        """Chunks of rows by number, the newest last: a push appends one chunk, and what is pushed out is read from the oldest ones."""
+        """What the buffers of a group hold (an Arrow stream, each series' oldest row first) and, for each series, what has been pushed: read and written once
+        for each micro-batch that has rows of the group. Frames without a series are of the one that the key names."""
 
         def __init__(self, capacity: int, retain_us: int | None, drain_us: int | None) -> None:
             self.capacity, self.retain_us, self.drain_us = capacity, retain_us, drain_us
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.chunks = handle.getMapState("chunks", "chunk bigint", "us array<bigint>, event_id array<bigint>, value array<double>")
-            # the oldest chunk, how many of its rows are gone, the number of the next chunk, rows held, rows ever pushed, the newest time
-            self.state = handle.getValueState("state", "head bigint, gone bigint, tail bigint, size bigint, pushed bigint, newest bigint")
-
-        def frame(self, key: tuple, rows: list[tuple], first: int, evicted: bool) -> pd.DataFrame:
-            us, ids, values = (list(x) for x in zip(*rows))
-            return pd.DataFrame({"series": key[0], "n": range(first, first + len(rows)), "us": us, "event_id": ids, "value": values, "evicted": evicted})
-
-        def taken(self, head: int, gone: int, tail: int, most: int, before: int | None) -> tuple[list[tuple], int, int]:
-            """Up to `most` rows from the oldest on, and those older than `before` after them; the chunks that are used up go."""
-            rows: list[tuple] = []
-            while head < tail:
-                chunk = list(zip(*self.chunks.getValue((head,))))[gone:]
-                n = max(min(most - len(rows), len(chunk)), 0)
-                while before is not None and n < len(chunk) and chunk[n][0] < before:
-                    n += 1
-                rows += chunk[:n]
-                if n < len(chunk):
-                    return rows, head, gone + n
-                self.chunks.removeKey((head,))
-                head, gone = head + 1, 0
-            return rows, head, gone
+            self.held = handle.getListState("held", "rows binary")
+            # rows ever pushed, the newest time, whether the contents have been put out
+            self.series = handle.getListState("pushed", "series string, pushed bigint, newest bigint, drained boolean")
+
+        def contents(self) -> pd.DataFrame:
+            from hypnoflow.streaming import folds
+
+            return folds.unpacked([row[0] for row in self.held.get()]).to_pandas() if self.held.exists() else pd.DataFrame()
+
+        def keep(self, rows: pd.DataFrame, pushed: dict[str | None, tuple[int, int, bool]]) -> None:
+            from hypnoflow.streaming import folds
+
+            self.series.put([(name, *state) for name, state in pushed.items()])
+            self.held.put([(folds.packed(rows),)]) if len(rows) else self.held.clear()
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            from hypnoflow.streaming import folds
+
             frames = [f for f in rows if len(f)]
             if not frames:
                 return
             batch = pd.concat(frames).sort_values(["us", "event_id"], kind="stable")
-            head, gone, tail, size, pushed, newest = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, None)
-            if newest is None and self.drain_us is not None:
+            batch = batch if "series" in batch.columns else batch.assign(series=key[0])
+            pushed = {row[0]: tuple(row[1:]) for row in self.series.get()} if self.series.exists() else {}
+            kept, out, fresh = folds.pushed(self.contents(), batch, pushed, self.capacity, self.retain_us)
+            if fresh and self.drain_us is not None:
                 self.handle.registerTimer(-(-self.drain_us // 1000))
-            self.chunks.updateValue((tail,), tuple(batch[c].tolist() for c in ("us", "event_id", "value")))
-            tail, size, pushed = tail + 1, size + len(batch), pushed + len(batch)
-            newest = max(x for x in (newest, int(batch["us"].max())) if x is not None)
-            out, head, gone = self.taken(head, gone, tail, max(size - self.capacity, 0), None if self.retain_us is None else newest - self.retain_us)
-            first, size = pushed - size, size - len(out)
-            self.state.update((head, gone, tail, size, pushed, newest))
-            if out:
-                yield self.frame(key, out, first, True)
+            self.keep(kept, pushed)
+            if len(out):
+                yield out.assign(evicted=True)
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            head, gone, tail, size, pushed, newest = self.state.get()
-            out, head, gone = self.taken(head, gone, tail, size, None)
-            self.state.update((head, gone, tail, 0, pushed, newest))
-            if out:
-                yield self.frame(key, out, pushed - size, False)
+            pushed, rows = {row[0]: tuple(row[1:]) for row in self.series.get()}, self.contents()
+            full = {name for name, state in pushed.items() if not state[2]}
+            out = rows["series"].map(lambda name: (None if pd.isna(name) else name) in full).to_numpy(bool) if len(rows) else []
+            self.keep(rows[~out] if len(rows) else rows, {name: (n, newest, True) for name, (n, newest, _) in pushed.items()})
+            if np.any(out):
+                yield rows[out].assign(evicted=False)
 
         def close(self) -> None:
             pass
@@ -328,9 +321,9 @@ def ring_stream(samples: DataFrame, capacity: int, late: str = "10 seconds", ret
     """
     if isinstance(capacity, bool) or not isinstance(capacity, int) or capacity < 1:
         raise ValueError(f"a ring buffer holds a whole number of rows, one at least, not {capacity}")
-    rows = samples.select("series", "us", "event_id", "value", "ts").withWatermark("ts", late)
-    kind = samples.schema["series"].dataType.simpleString()
-    return rows.groupBy("series").transformWithStateInPandas(ring_processor(capacity, retain_us, drain_us), f"series {kind}, n bigint, us bigint, event_id bigint, value double, evicted boolean", "append", "eventTime")
+    told = F.coalesce(F.col("event_id").cast("bigint"), F.lit(NO_ID)).alias("event_id")
+    rows = samples.where("us IS NOT NULL AND ts IS NOT NULL").select("series", "us", told, "value", "ts").withWatermark("ts", late)
+    return grouped(rows, ring_processor(capacity, retain_us, drain_us), "n bigint, us bigint, event_id bigint, value double, evicted boolean")
 
 
 def keep_alive_processor(stale_us: int, beat_us: int) -> StatefulProcessor:

@@ -295,3 +295,25 @@ def test_a_group_of_series_is_as_each_by_itself(monkeypatch, fold):
             order = [c for c in ("us", "chunk", "repeated") if c in want.columns]
             pd.testing.assert_frame_equal(own.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True), rtol=1e-9)
         assert got["series"].nunique(dropna=False) == rows["series"].nunique(dropna=False) == many
+
+
+@pytest.mark.parametrize("retain_us", [None, 30 * SECOND])
+def test_rings_of_a_group_of_series(retain_us):
+    """Each series' buffer pushes out and holds what one by itself does: the null series, and series that come after the buffers have been emptied."""
+    rng, n = np.random.default_rng(13), 400
+    rows = pd.DataFrame({"series": rng.choice([None, *(f"s{i}" for i in range(20))], n), "us": np.sort(rng.integers(1, 200 * SECOND, n)), "event_id": np.arange(n), "value": rng.standard_normal(n)})
+    rows.loc[390:, "series"] = rng.choice(["late", "s1"], 10)
+    cuts = [0, 50, 51, 300, 390, n]
+    batches = [(rows.iloc[a:b].sample(frac=1, random_state=5), 0 if b < 390 else 250_000) for a, b in zip(cuts, cuts[1:])]
+
+    def make():
+        return live.ring_processor(7, retain_us, 240 * SECOND)
+
+    got = run(make, batches, (5,))
+    assert got["series"].nunique(dropna=False) == 22 and not got["evicted"].all() and got["evicted"].any()
+    for name, own in got.groupby("series", dropna=False):
+        name = None if pd.isna(name) else name
+        alone = [(b[b["series"].isna() if name is None else b["series"] == name].drop(columns="series"), mark) for b, mark in batches]
+        want = run(make, alone, (name,))[own.columns]
+        assert own.sort_values("n").drop(columns="series").values.tolist() == want.sort_values("n").drop(columns="series").values.tolist()
+        assert len(own) == (rows["series"].isna() if name is None else rows["series"] == name).sum() - (0 if name != "s1" else min((rows.loc[390:, "series"] == "s1").sum(), 7))
