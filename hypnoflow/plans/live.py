@@ -133,17 +133,17 @@ def stream_hrv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.where("series IS NOT NULL").select("series", "event_id", "hrv"), "hrv")
 
 
-#: Readings are repeated every ten minutes until they are an hour old.
-BEAT, STALE = 600, 3600
+#: Readings are repeated every ten minutes until they are an hour old; a task has four hours of a series, and the hour after them.
+BEAT, STALE, STRETCH = 600, 3600, 4 * 3600
 
 
 @query(f"""WITH {S_TYPE}, n AS (SELECT *, lead(us) OVER (PARTITION BY series ORDER BY us, event_id) AS after FROM s)
 SELECT series, us, value, false AS repeated FROM s
 UNION ALL SELECT series, us + i * {BEAT}000000, value, true FROM n, (SELECT unnest(range(1, {STALE // BEAT} + 1)) AS i) WHERE after IS NULL OR us + i * {BEAT}000000 < after""")
 def stream_keepalive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings and their repeats by the readings' own times; time goes on after a series' last reading until that is stale."""
+    """Readings and their repeats by the readings' own times; time goes on after a series' last reading until its stretch is over and that is stale."""
     rows = series_by(spark, sf_dir, "event_type")
-    out = finished(live.keep_alive(staged(rows, resample.span(rows, HOUR)[1] + STALE * 1_000_000), STALE, BEAT, LATE), spark)
+    out = finished(live.keep_alive(staged(rows, resample.span(rows, HOUR)[1] + (STRETCH + STALE) * 1_000_000), STALE, BEAT, LATE, STRETCH), spark)
     return out.where("series IS NOT NULL")
 
 

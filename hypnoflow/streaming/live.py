@@ -377,15 +377,31 @@ def keep_alive_processor(stale_us: int, beat_us: int) -> StatefulProcessor:
     return KeepAlive(stale_us, beat_us)
 
 
-def keep_alive(samples: DataFrame, stale: float = 60.0, beat: float = 1.0, late: str | None = None) -> DataFrame:
+def keep_alive(samples: DataFrame, stale: float = 60.0, beat: float = 1.0, late: str | None = None, stretch: float | None = None) -> DataFrame:
     """series, us, value, repeated from (series, us, event_id, value, ts): every reading, and the last one again each `beat` seconds until it is `stale`.
 
     Repeats follow the clock of the machine, and readings are passed on at once. With `late`, how late readings may come, repeats follow the readings'
     times: readings and repeats come when the watermark has passed them, the same whatever the batches. Readings later than that are dropped.
+    With `stretch` (seconds; `late` is needed too) a series is cut into stretches of time, each with the readings of `stale` after it, which may end its repeats.
+    Each stretch is put out when these are over, and is a group of its own: many tasks share a series.
     """
     stale_us, beat_us = int(stale * 1_000_000), int(beat * 1_000_000)
     out = "us bigint, value double, repeated boolean"
+    if stretch is not None:
+        if late is None:
+            raise ValueError("stretches of time need `late`, for they follow the readings' times")
+        return _keep_alive_by_stretch(samples, stale_us, beat_us, late, int(stretch * 1_000_000))
     if late is not None:
         return _in_order(samples, late, "KeepAlive", (stale_us, beat_us), "us bigint, value double, sent bigint", {"value": "double"}, out)
     kind = samples.schema["series"].dataType.simpleString()
     return samples.groupBy("series").transformWithStateInPandas(keep_alive_processor(stale_us, beat_us), f"series {kind}, {out}", "append", "processingTime")
+
+
+def _keep_alive_by_stretch(samples: DataFrame, stale_us: int, beat_us: int, late: str, stretch_us: int) -> DataFrame:
+    rows = samples.where("us IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    stretches = rows.groupBy(F.window("ts", f"{stretch_us + stale_us} microseconds", f"{stretch_us} microseconds"), "series").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "value"))).alias("readings"))
+    after = F.unix_micros("window.start") + stretch_us
+    each = stretches.select("series", after.alias("after"), F.explode(F.arrays_zip("readings", F.expr("slice(readings, 2, size(readings))").alias("next"))).alias("r")).where("r.readings.us < after")
+    repeats = F.floor(F.least(F.lit(stale_us), F.col("r.next.us") - F.col("r.readings.us") - 1) / beat_us)  # least passes over a next that there is not
+    beats = each.select("series", F.col("r.readings.us").alias("us"), F.col("r.readings.value").alias("value"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(repeats, F.lit(0)).cast("bigint"))).alias("k"))
+    return beats.select("series", (F.col("us") + F.col("k") * beat_us).alias("us"), "value", (F.col("k") > 0).alias("repeated"))

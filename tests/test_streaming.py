@@ -317,3 +317,23 @@ def test_rings_of_a_group_of_series(retain_us):
         want = run(make, alone, (name,))[own.columns]
         assert own.sort_values("n").drop(columns="series").values.tolist() == want.sort_values("n").drop(columns="series").values.tolist()
         assert len(own) == (rows["series"].isna() if name is None else rows["series"] == name).sum() - (0 if name != "s1" else min((rows.loc[390:, "series"] == "s1").sum(), 7))
+
+
+def test_repeats_by_stretches_of_time(spark):
+    """A series is many groups: gaps shorter and longer than a stretch, readings at a stretch's edges, equal times, none of a value, ids or series that are null."""
+    from hypnoflow.plans.live import finished, staged
+
+    rng = np.random.default_rng(17)
+    times = {"a": [*rng.integers(1, 120, 40).tolist(), 40, 40, 80, 300, 303, 311], 7: [39, 50], None: [5, 44]}
+    rows = [(None if s is None else str(s), t * SECOND + SECOND // 2 * (t % 40 > 0), None if t == 303 else i, None if t == 311 else float(i)) for s, own in times.items() for i, t in enumerate(own)]
+    samples = spark.createDataFrame(rows, "series string, us bigint, event_id bigint, value double")
+    stream = live.keep_alive(staged(samples, 400 * SECOND, late_us=1000 * SECOND), 10, 3, "1000 seconds", 40)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "window" in plan
+    got = finished(stream, spark).collect()
+    for name in {r[0] for r in rows}:
+        own = sorted(((u, -1 if i is None else i, v) for s, u, i, v in rows if s == name), key=lambda r: r[:2])
+        want = [(u, v is None, v or 0.0, r) for u, v, r in [x for i, (u, _, v) in enumerate(own) for x in [(u, v, False), *[(u + k * 3 * SECOND, v, True) for k in range(1, 4) if i + 1 == len(own) or u + k * 3 * SECOND < own[i + 1][0]]]]]
+        assert sorted((r.us, r.value is None, r.value or 0.0, r.repeated) for r in got if r.series == name and r.us < 400 * SECOND) == sorted(want)
+    with pytest.raises(ValueError):
+        live.keep_alive(samples, 10, 3, stretch=40)
