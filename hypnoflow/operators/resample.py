@@ -137,8 +137,8 @@ def lttb(df: DataFrame, n: int, series: str = "series", time: str = "us", splits
     whole = Window.partitionBy("series")
     known = F.struct(F.coalesce(F.sum("_c").over(parts_before("series")), F.lit(0)).alias("before"), F.sum("_c").over(whole).alias("size"), F.min("_a").over(whole).alias("base"))
     both, w = with_starts(placed, totals, "series", {"_known": known}, ("t", "value"))
-    both = both.withColumn("_known", F.first("_known").over(so_far(w))).withColumn("seq", F.row_number().over(w) - 2 + F.col("_known.before")).where("_row = 1")
-    sized = both.select("series", "t", "value", "seq", F.col("_known.size").alias("size"), F.col("_known.base").alias("base"))
+    both = both.withColumn("_known", F.first("_known").over(so_far(w))).withColumn("_at", F.row_number().over(w) - 2).withColumn("seq", F.col("_at") + F.col("_known.before")).where("_row = 1")
+    sized = both.select("series", "t", "value", "seq", (F.col("_at") == 0).alias("opens"), F.col("_known.size").alias("size"), F.col("_known.base").alias("base"))
 
     # bucket j begins at floor(j * width) + 1; the first row is before all of them, the last after
     width = F.when(F.col("size") > n, (F.col("size") - 2) / float(n - 2))
@@ -157,7 +157,8 @@ def _hulls(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     """A row for each run of rows of one bucket: their number, how many have a time, the sums of time (from the series' first) and value, and
     the points of the hull; of rows without a time, the first and the last.
 
-    Rows of a series come in order as a rule, but nothing depends on it: any parts of a bucket will do.
+    Rows of a series' stretch come together, and `opens` marks the first of them: places alone do not tell a series from another one whose rows
+    come next. Any parts of a bucket will do.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -165,8 +166,8 @@ def _hulls(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         bucket, seq = batch["bucket"].to_numpy(), batch["seq"].to_numpy()
         value, timed = batch["value"].to_numpy(), batch["t"].is_valid().to_numpy(zero_copy_only=False)
         since = _since(batch["t"], batch["base"])
-        # a series' numbers go on by one within it
-        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(seq) != 1) | np.diff(timed)) + 1
+        opens = batch["opens"].to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(seq) != 1) | np.diff(timed) | opens[1:]) + 1
         first, after = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seq)]])
         whole = batch["size"].to_numpy()[first] <= n
         reduced = lambda a, b: a + hull(since[a:b], value[a:b]) if timed[a] else np.array([a, b - 1])
