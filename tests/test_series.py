@@ -203,28 +203,46 @@ def test_lttb_of_many_series(spark):
         assert sorted(got[s]) == [own[i][0] for i in plain_lttb(t, v, 12)]
 
 
-def test_lttb_of_series_that_meet_in_a_task(spark):
-    """Short stretches, so that a series' row often comes after another one's whose place is the one before, in the same bucket."""
-    rng = np.random.default_rng(6)
-    rows = [(s, int(u), float(v)) for s in [None, *map(str, range(60))] for u, v in zip(rng.integers(0, 10_000, 66), rng.integers(0, 500, 66))]
-    df = spark.createDataFrame(rows, "series string, us bigint, value double").repartition(5)
+@pytest.fixture
+def thin_tasks(spark):
+    """Many tasks that are not put together, so that each holds few rows of a series."""
     conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def many_short_series(seed):
+    rng = np.random.default_rng(seed)
+    return [(s, int(u), float(v)) for s in [None, *map(str, range(60))] for u, v in zip(rng.integers(0, 10_000, 66), rng.integers(0, 500, 66))]
+
+
+def test_lttb_of_series_that_meet_in_a_task(spark, thin_tasks):
+    """A series' row often comes after another one's whose place is the one before, in the same bucket."""
+    rows = many_short_series(6)
+    df = spark.createDataFrame(rows, "series string, us bigint, value double").repartition(5)
     got = {}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        for r in resample.lttb(df, 12, splits=range(10, 10_000, 10)).collect():
-            got.setdefault(r.series, []).append((r.us, r.value))
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    for r in resample.lttb(df, 12, splits=range(10, 10_000, 10)).collect():
+        got.setdefault(r.series, []).append((r.us, r.value))
     for s in {s for s, _, _ in rows}:
         own = sorted((u, v) for x, u, v in rows if x == s)
         t, v = (np.array(x, float) for x in zip(*own))
         assert sorted(got[s]) == [own[i] for i in plain_lttb(t - t[0], v, 12)], s
 
 
+def test_autoscale_of_series_that_meet_in_a_task(spark, thin_tasks):
+    rows = many_short_series(7)
+    df = spark.createDataFrame(rows, "series string, us bigint, value double").repartition(5)
+    got = {r.series: (r.lo, r.hi) for r in view.autoscale(df, 0.0, 500.0, points=24).collect()}
+    for s in {s for s, _, _ in rows}:
+        t, v = (np.array(x, float) for x in zip(*sorted((u, v) for x, u, v in rows if x == s)))
+        shown = sorted(v[plain_lttb(t - t[0], v, 24)])
+        assert got[s] == (shown[0], shown[23]), s
+
+
 @pytest.mark.parametrize("chunk", [1 << 15, 64])
 def test_polyphase_by_chunks(spark, chunk):
     rng = np.random.default_rng(2)
