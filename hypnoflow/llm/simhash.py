@@ -201,6 +201,15 @@ def _dealt(fps: DataFrame, keys: list) -> DataFrame:
     return fps.select("fp", each).select(F.col("d.which").alias("which"), F.col("d.key").alias("key"), "fp")
 
 
+def _in_runs(dealt: DataFrame) -> DataFrame:
+    """dealt with each bucket whole in a partition, its rows one after the other.
+
+    The partitions are by a hash of the bucket, not by its columns: a repartition by the columns of a join before it is left out of the plan,
+    and where that join is then done by broadcast, tasks read shares of all buckets.
+    """
+    return dealt.repartition(F.xxhash64("which", "key")).sortWithinPartitions("which", "key")
+
+
 def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) that connect every two of the distinct fingerprints within DISTANCE."""
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
@@ -209,12 +218,12 @@ def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     kept = durable(sizes)
     hot = kept.where(F.col("n") > bucket_limit).drop("n")
     cold = dealt.join(kept.where(F.col("n") <= bucket_limit).drop("n"), ["which", "key"], "left_semi")
-    found = _links(cold.repartition("which", "key").sortWithinPartitions("which", "key"), lookup=False)
+    found = _links(_in_runs(cold), lookup=False)
     if not hot.isEmpty():
         crowded = dealt.join(hot, ["which", "key"], "left_semi").select("fp").distinct()
         masks = [sum(0xFF << 8 * b for b in range(8) if b not in pair) for pair in BYTE_PAIRS]
         again = _dealt(crowded, [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])
-        found = found.union(_links(again.repartition("which", "key").sortWithinPartitions("which", "key"), lookup=True))
+        found = found.union(_links(_in_runs(again), lookup=True))
     return found
 
 

@@ -185,6 +185,25 @@ def test_links_of_close_fingerprints(spark, limit):
     assert [got.get(f, f) for f in fps] == want
 
 
+@pytest.mark.parametrize("limit", [4096, 20])
+def test_links_where_joins_become_broadcasts(spark, limit):
+    """A join that is planned with a shuffle and turns out small is done by broadcast; a bucket's fingerprints are to stay together."""
+    rng = np.random.default_rng(5)
+    centres = [int(b) for b in rng.integers(0, 1 << 62, 8)]
+    fps = sorted({b ^ 1 << int(i) ^ 1 << int(j) for b in centres for i, j in rng.integers(0, 62, (60, 2))} | {int(b) for b in rng.integers(0, 1 << 62, 300)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint").repartition(7)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in components.components(simhash.links(df, limit)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [got.get(f, f) for f in fps] == plain_components(fps, fps)
+
+
 def test_keep_one(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
