@@ -340,6 +340,27 @@ def test_hrv_over_many_stretches(spark):
             assert got[s, i] == w.push(x)
 
 
+@pytest.mark.parametrize("hot", ["hot", None])
+def test_hrv_cuts_long_series_only(spark, hot):
+    """Rows of short series are shuffled once and have no maps; a long one, the null one too, is cut as before. Rows without a time, and rows that come twice."""
+    rng = np.random.default_rng(21)
+    rows = [(f"s{i}", int(u), int(u) % 7, [0.7 + (u * 37 % 100) / 400]) for i in range(60) for u in rng.integers(0, 40, 30).tolist()]  # equal times have equal rows
+    rows += [("s1", None, 3, [0.9]), ("s1", None, 4, None), *rows[:5]]
+    more = [(hot, u, 0, [0.6 + float(x)]) for u, x in enumerate(rng.random(900) / 3)]
+    exchanges = []
+    for given, cut in ((rows, []), ([*rows, *more], [hot])):
+        df = spark.createDataFrame(given, "series string, us bigint, event_id bigint, intervals array<double>").repartition(3)
+        assert series.long_series(df, "series") == cut
+        out = series.heart_rate_variability(df)
+        exchanges.append(out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"))
+        want = []
+        for s in {r[0] for r in given}:
+            w = kernels.HrvWindow()
+            want += [(s, u, i, w.push(x or ())) for _, u, i, x in sorted((r for r in given if r[0] == s), key=lambda r: (-1 if r[1] is None else r[1], r[2]))]
+        assert Counter(tuple(r) for r in out.collect()) == Counter(want)
+    assert exchanges == [1, 3] and series.long_series(df.limit(0), "series") == []
+
+
 def test_stretches_hold_equal_shares(spark):
     """Wherever rows lie in time: one row of 1970 among those of a month, rows without a time, an empty table."""
     df = spark.range(20_000).select(F.lit("a").alias("series"), (F.col("id") * 130_000_000 + 1_704_067_200_000_000).alias("us"), F.col("id").alias("event_id"), F.lit(1.0).alias("value"))
