@@ -579,6 +579,19 @@ class EdfRecorder(DataSourceStreamArrowWriter):
         notes = {"label": ANNOTATIONS, "physical_min": -1, "physical_max": 1, "samples_per_record": ANNOTATION_SAMPLES}
         self.signals = [{"digital_min": -32768, "digital_max": 32767} | s for s in [*signals, notes]]
 
+    def digital(self, rows: list[tuple]) -> list[bytes]:
+        """Each row's samples as they are written; all rows of a signal are scaled at once."""
+        out = [b""] * len(rows)
+        for index in {r[2] for r in rows}:
+            s, own = self.signals[index], [i for i, r in enumerate(rows) if r[2] == index]
+            wrong = next((rows[i] for i in own if len(rows[i][3]) != s["samples_per_record"]), None)
+            if wrong is not None:
+                raise ValueError(f"record {wrong[1]} of {wrong[0]} does not have the samples of {s['label']}")
+            scaled = to_digital(np.array([rows[i][3] for i in own], float).ravel(), s).reshape(len(own), s["samples_per_record"])
+            for i, samples in zip(own, scaled):
+                out[i] = samples.tobytes()
+        return out
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         _, path = located(self.path)
         os.makedirs(path, exist_ok=True)
@@ -587,18 +600,14 @@ class EdfRecorder(DataSourceStreamArrowWriter):
         files: dict[str, int] = {}
         try:
             for batch in iterator:
-                rows = sorted(zip(*(batch[c].to_pylist() for c in ("recording", "record", "signal_index", "values"))), key=lambda r: r[:3] if r[0] is not None else ("",))
-                for i, (who, record, index, values) in enumerate(rows):
-                    if who is None:
-                        continue
+                rows = sorted((r for r in zip(*(batch[c].to_pylist() for c in ("recording", "record", "signal_index", "values"))) if r[0] is not None), key=lambda r: r[:3])
+                for i, ((who, record, index, _), samples) in enumerate(zip(rows, self.digital(rows))):
                     if who not in files:
                         files[who] = os.open(posixpath.join(path, f"{file_name(who)}.edf"), os.O_RDWR | os.O_CREAT, 0o644)
                         if os.fstat(files[who]).st_size < len(header):
                             os.pwrite(files[who], header, 0)
-                    s, at = self.signals[index], len(header) + record * size
-                    if len(values) != s["samples_per_record"]:
-                        raise ValueError(f"record {record} of {who} does not have the samples of {s['label']}")
-                    os.pwrite(files[who], to_digital(np.array(values, float), s).tobytes(), at + offsets[index])
+                    at = len(header) + record * size
+                    os.pwrite(files[who], samples, at + offsets[index])
                     if i + 1 == len(rows) or rows[i + 1][:2] != (who, record):
                         # the annotations are a record's end: with them it is whole
                         os.pwrite(files[who], time_kept(record * self.duration).ljust(2 * ANNOTATION_SAMPLES, b"\x00"), at + offsets[-2])

@@ -40,8 +40,12 @@ def named(series: object, n: int) -> np.ndarray:
 
 
 def together(parts: Sequence[Mapping]) -> pd.DataFrame | None:
-    """The columns of all parts as one frame."""
-    return pd.DataFrame({c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in parts[0]}) if parts else None
+    """The columns of all parts, lists or arrays, as one frame."""
+
+    def joined(each: Sequence) -> list | np.ndarray:
+        return [x for own in each for x in own] if isinstance(each[0], list) else np.concatenate([np.asarray(own) for own in each])
+
+    return pd.DataFrame({c: joined([p[c] for p in parts]) for c in parts[0]}) if parts else None
 
 
 def each_series(fold: Fold, columns: Sequence[str], held: Sequence[bytes], states: dict[object, tuple], until: int) -> tuple[pd.DataFrame | None, bytes | None, int | None]:
@@ -199,15 +203,15 @@ class Epochs(Fold):
         first, after = state[0] if state else 0, self.over(until)
         record = (rows["us"] - self.start_us) // self.epoch_us
         given = {label: rows["signal"] == label for label, _ in self.signals}
-        out = []
+        out = {c: [] for c in ("recording", "signal_index", "label", "record", "values", "is_filled")}
         for r in range(first, after):
             lo, hi = np.searchsorted(record, [r, r + 1])
             for i, (label, n) in enumerate(self.signals):
                 own = np.flatnonzero(given[label][lo:hi]) + lo
                 values = linear_points(rows["us"][own] / 1000.0, rows["value"][own].astype(float), n)[1] if len(own) else np.zeros(n)
-                out.append((key[0], i, label, r, values.tolist(), not len(own)))
-        frame = pd.DataFrame(out, columns=["recording", "signal_index", "label", "record", "values", "is_filled"])
-        return (max(first, after),), [frame] if out else []
+                for c, x in zip(out, (key[0], i, label, r, values.tolist(), not len(own))):
+                    out[c].append(x)
+        return (max(first, after),), [out] if out["record"] else []
 
 
 class Sound(Fold):

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -127,8 +128,8 @@ def epochs_processor(signals: tuple, epoch_us: int, start_us: int, taken: int, p
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            # signal: its place in the list of signals, -1 for others
-            self.held = handle.getMapState("held", "record bigint, chunk bigint", "us array<bigint>, event_id array<bigint>, signal array<int>, value array<double>")
+            # an Arrow stream of us, event_id, signal (its place in the list of signals, -1 for others) and value
+            self.held = handle.getMapState("held", "record bigint, chunk bigint", "rows binary")
             # of each epoch that rows are held of, how many chunks they are in
             self.index = handle.getValueState("index", "record array<bigint>, chunks array<bigint>")
             self.state = handle.getValueState("state", "record bigint")
@@ -145,15 +146,19 @@ def epochs_processor(signals: tuple, epoch_us: int, start_us: int, taken: int, p
             return dict(zip(*self.index.get())) if self.index.exists() else {}
 
         def deal(self, frames: list[pd.DataFrame], chunks: dict[int, int], first: int) -> None:
+            from hypnoflow.streaming import folds
+
             place = {label: i for i, (label, _) in enumerate(self.signals)}
-            us, event_id, value = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("us", "event_id", "value"))
-            signal = np.concatenate([f["signal"].map(place).fillna(-1).to_numpy(np.int32) for f in frames])
-            record = (us - self.start_us) // self.epoch_us
+            rows = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in ("us", "event_id", "value")}
+            rows["signal"] = np.concatenate([f["signal"].map(place).fillna(-1).to_numpy(np.int32) for f in frames])
+            record = (rows["us"] - self.start_us) // self.epoch_us
             order = np.argsort(record, kind="stable")
             order = order[np.searchsorted(record[order], first) :]  # what is before the start, or the next record, is left out
-            for own in np.split(order, np.flatnonzero(np.diff(record[order])) + 1) if len(order) else ():
-                r = int(record[own[0]])
-                self.held.updateValue((r, chunks.get(r, 0)), tuple(x[own].tolist() for x in (us, event_id, signal, value)))
+            table, record = pa.table({c: x[order] for c, x in rows.items()}), record[order]
+            cuts = np.flatnonzero(np.diff(record, append=record[-1:] + 1)) + 1
+            for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
+                r = int(record[a])
+                self.held.updateValue((r, chunks.get(r, 0)), (folds.packed(table.slice(a, b - a)),))
                 chunks[r] = chunks.get(r, 0) + 1
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -175,29 +180,35 @@ def epochs_processor(signals: tuple, epoch_us: int, start_us: int, taken: int, p
 
         def rows_of(self, record: int, chunks: dict[int, int]) -> dict[str, np.ndarray]:
             """The epoch's rows in order; they are not held any more."""
-            parts = [self.held.getValue((record, c)) for c in range(chunks.get(record, 0))]
+            from hypnoflow.streaming import folds
+
+            parts = [self.held.getValue((record, c))[0] for c in range(chunks.get(record, 0))]
             for c in range(chunks.pop(record, 0)):
                 self.held.removeKey((record, c))
-            us, event_id, signal = (np.array([v for p in parts for v in p[i]], np.int64) for i in range(3))
-            value = np.array([v for p in parts for v in p[3]], float)
-            order = np.lexsort((event_id, us))
+            if not parts:
+                return {"us": np.zeros(0, np.int64), "event_id": np.zeros(0, np.int64), "signal": np.zeros(0, object), "value": np.zeros(0)}
+            table = folds.unpacked(parts)
+            rows = {c: table[c].to_numpy() for c in table.column_names}
+            order = np.lexsort((rows["event_id"], rows["us"]))
             labels = np.array([*(label for label, _ in self.signals), None], object)
-            return {"us": us[order], "event_id": event_id[order], "signal": labels[signal[order]], "value": value[order]}
+            return {c: x[order] for c, x in (rows | {"signal": labels[rows["signal"]]}).items()}
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            from hypnoflow.streaming import folds
+
             until, chunks, out = 1000 * timerValues.getCurrentWatermarkInMs(), self.chunks(), []
             first = self.state.get()[0] if self.state.exists() else 0
             after = max(self.fold.over(until), first)
             for r in range(first, after):
                 out += self.fold.rows(key, (r,), self.rows_of(r, chunks), self.start_us + (r + 1) * self.epoch_us - 1)[1]
                 if len(out) == self.put_out:
-                    yield pd.concat(out)
+                    yield folds.together(out)
                     out = []
             self.state.update((after,))
             self.index.update((list(chunks), list(chunks.values())))
             self.handle.registerTimer(max(-(-self.fold.next((after,), None) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
             if out:
-                yield pd.concat(out)
+                yield folds.together(out)
 
         def close(self) -> None:
             pass

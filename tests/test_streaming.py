@@ -212,6 +212,20 @@ def test_records_hold_rows_by_epoch(monkeypatch, taken):
     assert max(seen) < 60 and sum(seen) == (rows["us"] >= start).sum()
 
 
+def test_records_cost_a_frame_for_many_and_a_value_for_a_chunk(monkeypatch):
+    """No frame is made for each record, and what is held of an epoch is one value for each time it is dealt rows, not one for each sample; a null recording and null values."""
+    frames, held = [], []
+    monkeypatch.setattr(Mapped, "updateValue", lambda self, key, value: (held.append(value), self.__setitem__(key, value))[1])
+    plain = pd.DataFrame.__init__
+    rows = pd.DataFrame({"us": np.arange(2000) * SECOND // 2, "event_id": np.arange(2000), "signal": ["a", "b"] * 1000, "value": [None, *np.arange(1999.0)]})
+    batches = [(rows, 0), (rows.head(0), 1000 * 1000)]
+    monkeypatch.setattr(pd.DataFrame, "__init__", lambda self, *a, **b: (frames.append(1), plain(self, *a, **b))[1])
+    got = run(lambda: live.epochs_processor((("a", 10), ("b", 10)), 10 * SECOND, 0, 10**6, 50), batches, (None,))
+    assert len(got) == 200 and got["recording"].isna().all() and np.isnan(got["values"][0][0]) and got["values"][199][-1] == 1998.0
+    assert len(held) == 100 and all(len(x) == 1 and isinstance(x[0], bytes) for x in held)
+    assert len(frames) < 20
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 7, 1000])
 def test_sound_goes_on_from_batch_to_batch(spark, chunk):
     from hypnoflow.operators import resample
