@@ -20,8 +20,9 @@ Rows = Mapping[str, np.ndarray]
 State = tuple | None
 
 
-def packed(frame: pd.DataFrame | pa.Table) -> bytes:
-    table = frame if isinstance(frame, pa.Table) else pa.Table.from_pandas(frame, preserve_index=False)
+def packed(frame: pd.DataFrame | pa.Table, columns: Sequence[str] | None = None) -> bytes:
+    """The frame, or its columns of these names, as an Arrow stream, without what pandas notes beside them."""
+    table = frame if isinstance(frame, pa.Table) else pa.table({c: pa.array(frame[c], from_pandas=True) for c in columns or frame.columns})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
@@ -146,7 +147,7 @@ class Beats(Fold):
 
     def rows(self, key: tuple, state: State, rows: Rows, until: int) -> tuple[State, list[Mapping]]:
         kept = HrvWindow(self.window, state[0] if state else ())
-        out = [kept.push(x if x is not None else ()) for x in rows["intervals"]]
+        out = [kept.push(x.tolist() if x is not None else ()) for x in rows["intervals"]]
         return (list(kept.kept),), [{"series": named(key[0], len(out)), "us": rows["us"], "event_id": rows["event_id"], "hrv": np.array(out, dtype=float)}]
 
 

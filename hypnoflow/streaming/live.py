@@ -66,7 +66,7 @@ def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[st
 
         def wake(self, at: int) -> None:
             """A timer in time, and one only."""
-            before = self.timer.get()[0] if self.timer.exists() else None
+            before = (self.timer.get() or (None,))[0]
             if before is None or at < before:
                 if before is not None:
                     self.handle.deleteTimer(before)
@@ -80,7 +80,7 @@ def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[st
             for frame in rows:
                 if len(frame):
                     frame = frame if "series" in frame.columns else frame.assign(series=key[0])
-                    self.held.appendValue((folds.packed(frame[self.columns]),))
+                    self.held.appendValue((folds.packed(frame, self.columns),))
                     first = min(x for x in (first, int(frame["us"].min())) if x is not None)
             if first is not None:
                 self.wake(-(-first // 1000))
@@ -90,8 +90,8 @@ def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[st
             from hypnoflow.streaming import folds
 
             until = 1000 * timerValues.getCurrentWatermarkInMs()
-            held = [row[0] for row in self.held.get()] if self.held.exists() else []
-            states = {row[0]: tuple(row[1:]) for row in self.states.get()} if self.states.exists() else {}
+            held = [row[0] for row in self.held.get()]
+            states = {row[0]: tuple(row[1:]) for row in self.states.get()}
             out, rest, due = folds.each_series(self.fold, self.columns[1:], held, states, until)
             if states:
                 self.states.put([(name, *state) for name, state in states.items()])
@@ -99,9 +99,11 @@ def in_order_processor(fold: str, arguments: tuple, state: str, columns: dict[st
                 self.held.put([(rest,)])
             elif held:
                 self.held.clear()
-            self.timer.update((None,))
-            if due is not None:
-                self.wake(max(-(-due // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            # the timer that was held has just gone off
+            at = None if due is None else max(-(-due // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            if at is not None:
+                self.handle.registerTimer(at)
+            self.timer.update((at,))
             if out is not None:
                 yield out
 

@@ -132,6 +132,27 @@ def test_filters_and_beats_in_order():
         assert got["event_id"].tolist() == beats["event_id"].tolist() and np.allclose(got["hrv"], np.array(want, float), equal_nan=True)
 
 
+def test_rows_in_order_ask_the_state_little(monkeypatch):
+    """Calls of the state for a group's frame and for its timer, what is held, and the one timer that waits; a null series, a null measurement, an empty one."""
+    calls = []
+    for kind, names in ((Value, ("exists", "get", "update")), (Listed, ("exists", "get", "put", "appendValue", "clear")), (Handle, ("registerTimer", "deleteTimer"))):
+        for name in names:
+            monkeypatch.setattr(kind, name, lambda self, *x, plain=getattr(kind, name), name=name: (calls.append(name), plain(self, *x))[1])
+    handle, beats = Handle(), processor("Beats", "kept array<int>", {"intervals": "array<double>"}, 30)()
+    beats.init(handle)
+    frame = pd.DataFrame({"event_id": range(5), "series": ["a", None, "a", None, "a"], "us": np.array([1, 2, 3, 100, 101]) * SECOND, "intervals": [np.array([0.7]), None, np.array([0.8, np.nan]), np.array([]), np.array([0.9])]})
+    assert not list(beats.handleInputRows((5,), iter([frame, frame.head(0)]), Clock(0)))
+    assert calls == ["appendValue", "get", "registerTimer", "update"] and handle.timers == {1000}
+    held = folds.unpacked([row[0] for row in handle.states["held"].rows])
+    assert held.column_names == ["series", "us", "event_id", "intervals"] and not held.schema.metadata and held["intervals"].null_count == 1
+    for now, timers, ids, hrv in ((50_000, {100_000}, [0, 2, 1], [None, 100.0, None]), (200_000, set(), [4, 3], [100.0, None])):
+        calls.clear()
+        handle.timers.clear()
+        (out,) = list(beats.handleExpiredTimer((5,), Clock(now), None))
+        assert len(calls) <= 6 and handle.timers == timers
+        assert out["event_id"].tolist() == ids and [None if pd.isna(x) else x for x in out["hrv"]] == hrv
+
+
 def plain_repeats(readings, stale, beat, until):
     out = [(u, v, False) for u, v in readings]
     for i, (u, v) in enumerate(readings):
